@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netquarry.llm import language_id, line_dedup, simhash
-from netquarry.llm.common import held_out, table
+from netquarry.llm import language_id, line_dedup, quality, simhash
+from netquarry.llm.common import cut, held_out, table
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,8 +26,15 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), quality.document_statistics(F.col("text").cast("binary")).alias("features"))
+    docs = cut(docs)
+    model = quality.train(docs.where(~F.col("held_out")), table(spark, sf_dir, "labels"))
+    return quality.scored(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op4_line_dedup, op7_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_language_id, op4_line_dedup, op7_simhash_near_dedup, op8_quality_classifier)}
 
 
 OP4_SQL = r"""
