@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netquarry.llm import decontamination, language_id, line_dedup, quality, simhash
+from netquarry.llm import decontamination, language_id, language_model, line_dedup, quality, simhash
 from netquarry.llm.common import cut, held_out, table
 
 
@@ -33,12 +33,18 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out("doc_id", 7, 2))
+    model, counts = language_model.train(docs.where(~F.col("held_out")), "doc_id", "text")
+    return language_model.scored(docs, model, counts, keep=("held_out",))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op4_line_dedup, op7_simhash_near_dedup, op8_quality_classifier, op10_decontamination)}
+    return {f.__name__: f for f in (op1_language_id, op4_line_dedup, op7_simhash_near_dedup, op8_quality_classifier, op9_lm_scoring, op10_decontamination)}
 
 
 OP4_SQL = r"""
