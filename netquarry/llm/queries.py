@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netquarry.llm import decontamination, language_id, language_model, line_dedup, mixing, quality, sharding, simhash
+from netquarry.llm import ann, decontamination, language_id, language_model, line_dedup, mixing, quality, sharding, simhash
 from netquarry.llm.common import cut, held_out, table
 
 
@@ -17,6 +17,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, model).select("doc_id", "held_out", "language.lang_pred", "language.score")
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -52,7 +56,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_mixing, op4_line_dedup, op6_sharding, op7_simhash_near_dedup, op8_quality_classifier, op9_lm_scoring, op10_decontamination)}
+    return {f.__name__: f for f in (op1_language_id, op2_nearest_neighbours, op3_mixing, op4_line_dedup, op6_sharding, op7_simhash_near_dedup, op8_quality_classifier, op9_lm_scoring, op10_decontamination)}
 
 
 OP4_SQL = r"""
