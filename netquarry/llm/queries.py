@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netquarry.llm import ann, decontamination, language_id, language_model, line_dedup, mixing, quality, sharding, simhash
-from netquarry.llm.common import cut, held_out, table
+from netquarry.llm import ann, decontamination, language_id, language_model, line_dedup, mixing, quality, sharding, simhash, warc
+from netquarry.llm.common import cut, held_out, shared_dir, table
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +31,12 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.page_records(spark, path)
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -56,7 +63,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_nearest_neighbours, op3_mixing, op4_line_dedup, op6_sharding, op7_simhash_near_dedup, op8_quality_classifier, op9_lm_scoring, op10_decontamination)}
+    return {f.__name__: f for f in (op1_language_id, op2_nearest_neighbours, op3_mixing, op4_line_dedup, op5_warc, op6_sharding, op7_simhash_near_dedup, op8_quality_classifier, op9_lm_scoring, op10_decontamination)}
 
 
 OP4_SQL = r"""
