@@ -21,38 +21,49 @@ PAIRS_AT_ONCE = 2_000_000
 SHINGLES_AT_ONCE = 500_000
 
 
-def fingerprint(text: bytes | None, shingle: int = 4, seed: int = 42) -> int:
+def _remixed(hashes: np.ndarray) -> np.ndarray:
+    """A second hash of what was hashed, by the SplitMix64 finalizer."""
+    x = (hashes ^ (hashes >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprint(text: bytes | None, shingle: int = 4, seed: int = 42, parts: int = 1) -> tuple[int, ...]:
     """64 bits; each is 1 if it is set in over half of the XXH64 hashes of all word shingles.
 
-    A text of fewer words is one shingle; a null text or one without words gives 0.
+    With 2 ``parts`` there are 64 more bits from a second hash of each shingle. A text of fewer
+    words is one shingle; a null text or one without words gives 0.
     """
     words = (text or b"").lower().split()
     if not words:
-        return 0
+        return (0,) * parts
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
     starts = (ends - lengths)[: max(1, len(words) - shingle + 1)]
     ends = ends[min(shingle, len(words)) - 1 :]
-    counts = np.zeros(64, np.int64)
+    counts = np.zeros(64 * parts, np.int64)
     digest = xxhash.xxh64_intdigest
     for at in range(0, len(starts), SHINGLES_AT_ONCE):
         some = slice(at, at + SHINGLES_AT_ONCE)
         hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts[some].tolist(), ends[some].tolist(), strict=True)], np.uint64)
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        if parts == 2:
+            hashes = np.column_stack([hashes, _remixed(hashes)])
+        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8 * parts), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     ones = (2 * counts > len(starts)).astype(np.uint8)
-    return int(np.packbits(ones, bitorder="little").view(np.uint64)[0])
+    return tuple(np.packbits(ones, bitorder="little").view(np.uint64).tolist())
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, seed: int) -> DataFrame:
-    """``doc_id, fp`` of each row."""
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, seed: int, parts: int = 1) -> DataFrame:
+    """``doc_id, fp`` of each row, with 2 ``parts`` also ``fp2``."""
+    names = ["fp", "fp2"][:parts]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t.as_py(), shingle, seed) for t in batch.column(1)], np.uint64)
-            yield pa.record_batch({"doc_id": batch.column(0), "fp": as_int64(found)})
+            found = np.array([fingerprint(t.as_py(), shingle, seed, parts) for t in batch.column(1)], np.uint64).reshape(-1, parts)
+            yield pa.record_batch({"doc_id": batch.column(0)} | {name: as_int64(found[:, i]) for i, name in enumerate(names)})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, ", ".join(["doc_id long", *(f"{name} long" for name in names)]))
 
 
 def segment_bounds(segments: int) -> list[tuple[int, int]]:
@@ -187,18 +198,25 @@ def near_links(fps: DataFrame, radius: int = 4, segments: int = 3) -> DataFrame:
     return rows.repartition("bucket").sortWithinPartitions("bucket", "probe").mapInArrow(_bucket_links(radius), "u long, v long")
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42, radius: int = 4, segments: int = 3) -> DataFrame:
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42, radius: int = 4, segments: int = 3, confirm: int | None = None) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of each row.
 
-    Fingerprints within ``radius`` bits link; a component's id is the smallest doc_id in it. Texts
+    Fingerprints within ``radius`` bits link; a component's id is the smallest doc_id in it. With a wide
+    radius, ``confirm`` bounds the distance over 128 bits, so that chance meetings don't link. Texts
     are whole and lower-cased in A-Z. Null texts and texts without words have fingerprint zero and
     link as any other. Equal fingerprints are compared once, so copies cost no pairs. Rows with a
     null id take part; a component of null ids only has a null id. Repeated rows give repeated
     results, an empty table an empty one. Extra columns are ignored.
     """
-    rows = cut(fingerprints(docs, id_col, text_col, shingle, seed))
+    rows = cut(fingerprints(docs, id_col, text_col, shingle, seed, 1 if confirm is None else 2))
     fps = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    labels = components(near_links(fps.select("fp"), radius, segments))
+    links = near_links(fps.select("fp"), radius, segments)
+    if confirm is not None:
+        wide = rows.groupBy("fp").agg(F.min("fp2").alias("fp2"))
+        for end in ("u", "v"):
+            links = links.join(wide.select(F.col("fp").alias(end), F.col("fp2").alias(f"{end}2")), end)
+        links = links.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) + F.bit_count(F.col("u2").bitwiseXOR(F.col("v2"))) <= confirm).select("u", "v")
+    labels = components(links)
     linked = labels.join(fps, labels.node == fps.fp).select("node", "label", "least")
     smallest = linked.groupBy(F.col("label").alias("root")).agg(F.min("least").alias("smallest"))
     linked = cut(linked.join(smallest, linked.label == smallest.root).select("node", "smallest"))
