@@ -106,11 +106,10 @@ def cuts(groups: DataFrame, shards: int) -> tuple[list[tuple[int, int]], dict[in
             break
         finer = int(bits[doubtful].max())
         finer = 64 if int(rows[doubtful].sum()) <= CELLS else min(64, finer + max(1, int(np.log2(CELLS / doubtful.sum()))))
-        where = None
-        for run in np.split(np.flatnonzero(doubtful), np.flatnonzero(np.diff(np.flatnonzero(doubtful)) > 1) + 1):
-            a, b = int(start[run[0]]), int(start[run[-1]]) + (1 << (64 - int(bits[run[-1]]))) - 1
-            here = _unsigned("h").between(_biased(a), _biased(b))
-            where = here if where is None else where | here
+        where = F.lit(False)
+        for level in np.unique(bits[doubtful]).tolist():
+            cells = start[doubtful & (bits == level)] >> np.uint64(64 - level)
+            where = where | F.shiftrightunsigned("h", 64 - level).isin(cells.astype(np.int64).tolist())
         s, z, n = _histogram(groups.where(where), finer)
         start, size, rows, bits = (np.concatenate([x[~doubtful], y]) for x, y in ((start, s), (size, z), (rows, n), (bits, np.full(len(s), finer))))
         order = np.argsort(start)
