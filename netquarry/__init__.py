@@ -1,0 +1 @@
+"""Packet-capture analytics on Spark."""
