@@ -43,7 +43,7 @@ class FlowState(StatefulProcessor):
 def flow_updates(inspected: DataFrame, idle_ms: int = 300_000) -> DataFrame:
     """A row for each flow that a batch of the stream touches. Needs the RocksDB state store."""
     wanted = inspected.select(*FIVE_TUPLE, "packet_no", "frame_length", "has_tcp", "tcp_flags", "found_app", "found_sni")
-    return wanted.groupBy(*FIVE_TUPLE).transformWithStateInPandas(FlowState(idle_ms), FLOW_SCHEMA, "Update", "None")
+    return wanted.groupBy(*FIVE_TUPLE).transformWithStateInPandas(FlowState(idle_ms), FLOW_SCHEMA, "Update", "ProcessingTime")
 
 
 def traffic(packets: DataFrame, late: str = "10 seconds") -> DataFrame:
