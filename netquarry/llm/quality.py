@@ -54,7 +54,7 @@ class Model:
         d = len(NAMES)
         total = sum(n for n, _, _ in moments.values())
         cov = {c: s2 / n - np.outer(s1 / n, s1 / n) for c, (n, s1, s2) in moments.items()}
-        pooled = sum(n * cov[c] for c, (n, _, _) in moments.items()) / total
+        pooled = sum(n * cov[c] for c, (n, _, _) in moments.items()) / max(total, 1)
         self.mean, self.factor, self.offset = {}, {}, {}
         for c, (n, s1, _) in moments.items():
             mixed = (1 - pool) * cov[c] + pool * pooled
