@@ -74,26 +74,29 @@ def app_distribution(flows: DataFrame) -> DataFrame:
     return flows.groupBy("application").agg(F.count(F.lit(1)).alias("flows"))
 
 
-def timeline(acted: DataFrame) -> DataFrame:
-    """Packets, bytes and report drops in each second after the first packet of the file; seconds without packets have no row."""
+def timeline(acted: DataFrame, reported: DataFrame | None = None) -> DataFrame:
+    """Packets, bytes and report drops in each second after the first packet of the file; seconds without packets have no row.
+
+    The first packet is looked for in ``reported``, the same packets without their flows, where it is given.
+    """
     ts = epoch(F.col("ts_sec"), F.col("ts_usec"))
-    first = acted.agg(F.min_by(ts, "packet_no").alias("first_ts"))
+    first = (acted if reported is None else reported).agg(F.min_by(ts, "packet_no").alias("first_ts"))
     second = (ts - F.col("first_ts")).cast("long")
     counted = acted.select(ts.alias("ts"), "ts_sec", "ts_usec", "frame_length", "report_action").crossJoin(F.broadcast(first)).withColumn("second", second)
     return counted.groupBy("second").agg(F.count(F.lit(1)).alias("packets"), F.sum("frame_length").cast("long").alias("bytes"), F.count_if(F.col("report_action") == "DROP").alias("dropped")).select(F.col("second").cast("double").alias("timestamp"), F.format_string("+%ds", "second").alias("time_label"), "packets", "bytes", "dropped")
 
 
-def graph_nodes(acted: DataFrame, flows: DataFrame) -> DataFrame:
+def graph_nodes(reported: DataFrame, flows: DataFrame) -> DataFrame:
     """Addresses and names with what they sent and received; the type is that of the first appearance."""
     end = lambda ip, kind, side: F.struct(F.col(ip).alias("id"), F.lit(kind).alias("type"), F.lit(side).alias("side"))
-    seen = acted.select(F.lit(0).alias("phase"), "packet_no", F.col("frame_length").cast("long").alias("bytes"), F.explode(F.array(end("src_ip", "client", 0), end("dst_ip", "server", 1))).alias("end")).select("phase", "packet_no", "bytes", "end.*")
+    seen = reported.select(F.lit(0).alias("phase"), "packet_no", F.col("frame_length").cast("long").alias("bytes"), F.explode(F.array(end("src_ip", "client", 0), end("dst_ip", "server", 1))).alias("end")).select("phase", "packet_no", "bytes", "end.*")
     named = flows.where("sni <> ''").select(F.lit(1).alias("phase"), F.col("first_packet_no").alias("packet_no"), F.lit(0).cast("long").alias("bytes"), F.col("sni").alias("id"), F.lit("domain").alias("type"), F.lit(0).alias("side"))
     return seen.unionByName(named).groupBy("id").agg(F.min_by("type", F.struct("phase", "packet_no", "side")).alias("type"), F.count(F.lit(1)).alias("packets"), F.sum("bytes").alias("bytes")).select("id", F.col("id").alias("label"), "type", "packets", "bytes")
 
 
-def graph_edges(acted: DataFrame, flows: DataFrame) -> DataFrame:
+def graph_edges(reported: DataFrame, flows: DataFrame) -> DataFrame:
     """Address pairs, and a server's names where that pair isn't an address pair; names carry no counts."""
-    pairs = acted.groupBy(F.col("src_ip").alias("source"), F.col("dst_ip").alias("target")).agg(F.min_by(protocol_name(F.col("protocol")), "packet_no").alias("protocol"), F.count(F.lit(1)).alias("packets"), F.sum("frame_length").cast("long").alias("bytes"))
+    pairs = reported.groupBy(F.col("src_ip").alias("source"), F.col("dst_ip").alias("target")).agg(F.min_by(protocol_name(F.col("protocol")), "packet_no").alias("protocol"), F.count(F.lit(1)).alias("packets"), F.sum("frame_length").cast("long").alias("bytes"))
     names = flows.where("sni <> ''").select(F.col("dst_ip").alias("source"), F.col("sni").alias("target")).distinct()
     names = names.join(pairs, ["source", "target"], "left_anti").withColumns({"protocol": F.lit("TLS/SNI"), "packets": F.lit(0).cast("long"), "bytes": F.lit(0).cast("long")})
     return pairs.unionByName(names)
@@ -106,10 +109,10 @@ def engine_totals(run: DataFrame) -> DataFrame:
     )
 
 
-def summary(run: DataFrame, acted: DataFrame, flows: DataFrame, rules: RuleSet) -> DataFrame:
+def summary(run: DataFrame, reported: DataFrame, flows: DataFrame, rules: RuleSet) -> DataFrame:
     """One row: engine totals, with sizes and times of all report packets."""
     ts = epoch(F.col("ts_sec"), F.col("ts_usec"))
-    times = acted.agg(F.coalesce(F.max("frame_length"), F.lit(0)).alias("largest_packet_size"), F.coalesce(F.max_by(ts, "packet_no") - F.min_by(ts, "packet_no"), F.lit(0.0)).alias("capture_duration"))
+    times = reported.agg(F.coalesce(F.max("frame_length"), F.lit(0)).alias("largest_packet_size"), F.coalesce(F.max_by(ts, "packet_no") - F.min_by(ts, "packet_no"), F.lit(0.0)).alias("capture_duration"))
     active = visible(flows).agg(F.count_if(F.col("state") != "BLOCKED").alias("active_connections"))
     t, d = F.col("total_packets"), F.col("capture_duration")
     stats = rules.stats()
@@ -153,8 +156,8 @@ def worker_load(run: DataFrame, balancers: int = 2, workers: int = 2) -> DataFra
     return every.join(loads, "worker", "left").na.fill(0).withColumn("dropped", F.col("processed") - F.col("forwarded"))
 
 
-def protocol_breakdown(acted: DataFrame) -> DataFrame:
+def protocol_breakdown(reported: DataFrame) -> DataFrame:
     """Packets by protocol, and by the ports of DNS and TLS on either side."""
     on = lambda port: (F.col("src_port") == port) | (F.col("dst_port") == port)
-    counted = acted.agg(F.count_if("has_tcp").alias("TCP"), F.count_if("has_udp").alias("UDP"), F.count_if(on(53)).alias("DNS"), F.count_if(on(443)).alias("TLS"))
+    counted = reported.agg(F.count_if("has_tcp").alias("TCP"), F.count_if("has_udp").alias("UDP"), F.count_if(on(53)).alias("DNS"), F.count_if(on(443)).alias("TLS"))
     return counted.unpivot([], ["TCP", "UDP", "DNS", "TLS"], "name", "packets")

@@ -46,14 +46,23 @@ class Analysis:
     def flows(self) -> DataFrame:
         return flow_ops.visible(self.all_flows, self.include_closed)
 
+    @cached_property
+    def reported(self) -> DataFrame:
+        """Report packets as decoded, for the tables that need no flow."""
+        return report_packets(self.packets).drop(*BYTES)
+
     @cached_property
     def acted(self) -> DataFrame:
         """Report packets with their flow's attributes and the report's action."""
-        return report.with_report_action(report.resolve(report_packets(self.packets).drop(*BYTES), self.flows, self.exact), self.rules)
+        return report.with_report_action(report.resolve(self.reported, self.flows, self.exact), self.rules)
 
     @cached_property
     def summary(self) -> DataFrame:
-        return report.summary(self.run, self.acted, self.all_flows, self.rules)
+        return report.summary(self.run, self.reported, self.all_flows, self.rules)
+
+    @property
+    def timeline(self) -> DataFrame:
+        return report.timeline(self.acted, self.reported)
 
     @property
     def details(self) -> DataFrame:
@@ -76,7 +85,7 @@ class Analysis:
     def tables(self) -> dict[str, DataFrame]:
         return {
             "stats": self.summary, "packets": self.details, "flows": self.flow_details, "applications": report.app_distribution(self.flows), "domains": report.domains(self.flows),
-            "timeline": report.timeline(self.acted), "nodes": report.graph_nodes(self.acted, self.flows), "edges": report.graph_edges(self.acted, self.flows),
+            "timeline": self.timeline, "nodes": report.graph_nodes(self.reported, self.flows), "edges": report.graph_edges(self.reported, self.flows),
         }
 
 

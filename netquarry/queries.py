@@ -61,7 +61,7 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 @query
 def timeline(spark, sf_dir):
-    return report.timeline(analysis(spark, sf_dir).acted)
+    return analysis(spark, sf_dir).timeline
 
 
 @query
@@ -272,25 +272,25 @@ def domain_details(spark, sf_dir):
 @query
 def graph_nodes(spark, sf_dir):
     a = analysis(spark, sf_dir)
-    return report.graph_nodes(a.acted, a.flows)
+    return report.graph_nodes(a.reported, a.flows)
 
 
 @query
 def graph_edges(spark, sf_dir):
     a = analysis(spark, sf_dir)
-    return report.graph_edges(a.acted, a.flows)
+    return report.graph_edges(a.reported, a.flows)
 
 
 @query
 def edge_endpoints(spark, sf_dir):
     a = analysis(spark, sf_dir)
-    return views.edge_endpoints(report.graph_edges(a.acted, a.flows), report.graph_nodes(a.acted, a.flows))
+    return views.edge_endpoints(report.graph_edges(a.reported, a.flows), report.graph_nodes(a.reported, a.flows))
 
 
 @query
 def node_edges(spark, sf_dir):
     a = analysis(spark, sf_dir)
-    return views.edges_of(report.graph_edges(a.acted, a.flows), "198.51.100.1")
+    return views.edges_of(report.graph_edges(a.reported, a.flows), "198.51.100.1")
 
 
 @query
@@ -325,7 +325,7 @@ def inspection_counters(spark, sf_dir):
 
 @query
 def protocol_breakdown(spark, sf_dir):
-    return report.protocol_breakdown(analysis(spark, sf_dir).acted)
+    return report.protocol_breakdown(analysis(spark, sf_dir).reported)
 
 
 @query
