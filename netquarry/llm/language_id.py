@@ -42,23 +42,27 @@ def _pieces(column: pa.Array) -> Iterator[np.ndarray]:
         at = to
 
 
+def _unit(packed: np.ndarray) -> np.ndarray:
+    x = np.unpackbits(packed, axis=1).astype(np.float32)
+    return x / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
+
+
 class Model:
     """Landmarks as unit rows of presence features, and for each language the weight of each landmark."""
 
-    def __init__(self, features: np.ndarray, langs: list[str], landmarks: int, ridge: float):
+    def __init__(self, packed: np.ndarray, langs: list[str], landmarks: int, ridge: float):
+        """packed: the rows' presence features, eight to a byte; they are unpacked some rows at a time."""
         self.langs = sorted(set(langs))
-        x = features.astype(np.float32)
-        x /= np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
         of = np.array([self.langs.index(a) for a in langs])
         rank = np.empty(len(of), np.int64)  # of a row among those of its language: landmarks are dealt evenly
         for c in range(len(self.langs)):
             rank[of == c] = np.arange((of == c).sum())
         chosen = np.lexsort((of, rank))[:landmarks]
-        self.marks = np.ascontiguousarray(x[chosen].T)
-        values, vectors = np.linalg.eigh((x[chosen] @ self.marks).astype(np.float64))
+        self.marks = np.ascontiguousarray(_unit(packed[chosen]).T)
+        values, vectors = np.linalg.eigh((self.marks.T @ self.marks).astype(np.float64))
         good = values > 1e-6 * values[-1]
         whiten = vectors[:, good] / np.sqrt(values[good])
-        z = (x @ self.marks).astype(np.float64) @ whiten
+        z = np.concatenate([(_unit(packed[at : at + 256]) @ self.marks).astype(np.float64) @ whiten for at in range(0, len(packed), 256)])
         y = np.where(of[:, None] == np.arange(len(self.langs)), 1.0, -1.0)
         weight = 1 / np.bincount(of)[of]  # each language counts the same
         mean = y.T @ weight / weight.sum()
@@ -96,8 +100,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     got = chosen.mapInArrow(_packed, "lang string, h long, bits binary").orderBy("h", "lang").limit(2 * sample).collect()
     if not got:
         return None
-    features = np.unpackbits(np.frombuffer(b"".join(bytes(r.bits) for r in got), np.uint8).reshape(len(got), -1), axis=1)
-    return Model(features, [r.lang for r in got], landmarks, ridge)
+    packed = np.frombuffer(b"".join(bytes(r.bits) for r in got), np.uint8).reshape(len(got), -1)
+    return Model(packed, [r.lang for r in got], landmarks, ridge)
 
 
 def predicted(model, text: Column) -> Column:
