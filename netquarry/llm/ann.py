@@ -110,7 +110,10 @@ def search(vectors: DataFrame, query_step: int = 20, k: int = 20, id_col: str =
     asked = cut(rows.where(F.col("id") % query_step == 0).distinct().join(reps.select("rep", "v"), "v").select(F.col("id").alias("query_id"), "rep", "v"))
     queries = asked.dropDuplicates(["rep"]).select("rep", "v")
     blocks, parts = -(-n // VECTORS), -(-max(1, queries.count()) // QUERIES)
-    spread = lambda df, own, count, other, many: df.withColumn(own, F.pmod(F.xxhash64("rep"), F.lit(count)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(many - 1))))
+
+    def spread(df: DataFrame, own: str, count: int, other: str, many: int) -> DataFrame:
+        """Deals rows to ``count`` blocks of their own and repeats them for each of ``many`` blocks of the other side."""
+        return df.withColumn(own, F.pmod(F.xxhash64("rep"), F.lit(count)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(many - 1))))
 
     def pairs(left: pa.Table, right: pa.Table) -> pa.Table:
         found: list = [[], [], []]
