@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from netquarry.llm.common import cut
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Replaces the links of a partition by stars with the same components: at most one link a node."""
     parent: dict[int, int] = {}
 
@@ -43,10 +43,11 @@ def components(links: DataFrame) -> DataFrame:
     """Labels each node of ``links(u long, v long)`` with the smallest node that it reaches.
 
     Smallest labels spread along links and then along labels (pointer jumping), so the rounds
-    needed grow with the logarithm of the diameter. Returns ``node, label`` of linked nodes only;
+    needed grow with the logarithm of the diameter. Before, links are contracted in their tasks and once more
+    by node, so that a dense group has few. Returns ``node, label`` of linked nodes only;
     an empty link table gives an empty result. Self links and repeated links don't matter.
     """
-    stars = links.mapInArrow(_forest, "u long, v long")
+    stars = links.mapInArrow(forest, "u long, v long").repartition("u").mapInArrow(forest, "u long, v long")
     both = cut(stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     labels = cut(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("node"), F.min("v")).alias("label")))
     while True:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netquarry.llm.common import as_int64, cut
-from netquarry.llm.components import components
+from netquarry.llm.components import components, forest
 
 #: Buckets up to this size are compared pair by pair in numpy, larger ones by searching outwards from one member.
 PAIRWISE = 256
@@ -93,46 +93,59 @@ def _flips(width: int, radius: int) -> list[tuple[int, int]]:
 
 
 def _probes(segments: int, radius: int):
+    """Rows ``bucket, probe`` and the fingerprint's parts: one for each segment, and one for each move out of it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = batch.column(0).to_numpy().view(np.uint64)
+            fps = [c.to_numpy().view(np.uint64) for c in batch.columns]
+
+            def rows(keys: np.ndarray, probe: int, which, fps=fps, names=batch.schema.names) -> pa.RecordBatch:
+                return pa.record_batch({"bucket": as_int64(keys), "probe": pa.array(np.full(len(keys), probe, np.int8))} | {name: as_int64(x[which]) for name, x in zip(names, fps, strict=True)})
+
             for s, (low, width) in enumerate(segment_bounds(segments)):
-                key = (fp >> np.uint64(low)) & np.uint64((1 << width) - 1)
+                key = (fps[0] >> np.uint64(low)) & np.uint64((1 << width) - 1)
                 tag = np.uint64(s << 56)
-                yield pa.record_batch({"bucket": as_int64(key | tag), "probe": pa.array(np.zeros(len(fp), np.int8)), "fp": as_int64(fp)})
-                keys, fps = [], []
+                yield rows(key | tag, 0, slice(None))
                 for zero, one in _flips(width, radius // segments):
-                    fit = ((key & np.uint64(zero)) == 0) & ((key & np.uint64(one)) == np.uint64(one))
-                    keys.append(key[fit] ^ np.uint64(zero | one) | tag)
-                    fps.append(fp[fit])
-                if keys:
-                    keys, fps = np.concatenate(keys), np.concatenate(fps)
-                    for at in range(0, len(keys), 200_000):
-                        k, f = keys[at : at + 200_000], fps[at : at + 200_000]
-                        yield pa.record_batch({"bucket": as_int64(k), "probe": pa.array(np.ones(len(k), np.int8)), "fp": as_int64(f)})
+                    fit = np.flatnonzero(((key & np.uint64(zero)) == 0) & ((key & np.uint64(one)) == np.uint64(one)))
+                    yield rows(key[fit] ^ np.uint64(zero | one) | tag, 1, fit)
 
     return run
 
 
-def _outwards(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links within ``fp``: each member found leaves the search, so a dense bucket costs few scans."""
+class _Near:
+    """Whether fingerprints link: within ``radius`` bits of the first 64 and, if asked for, ``confirm`` of all 128."""
+
+    def __init__(self, radius: int, confirm: int | None):
+        self.radius, self.confirm = radius, confirm
+
+    def __call__(self, one: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
+        bits = np.bitwise_count(one[0] ^ other[0])
+        near = bits <= self.radius
+        if self.confirm is not None:
+            near &= bits + np.bitwise_count(one[1] ^ other[1]) <= self.confirm
+        return near
+
+
+def _outwards(fps: list[np.ndarray], linked: _Near) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links within a bucket: each member found leaves the search, so a dense bucket costs few scans."""
     left, right = [], []
-    while len(fp):
-        frontier, fp = [fp[0]], fp[1:]
-        while frontier and len(fp):
+    while len(fps[0]):
+        frontier, fps = [[f[0] for f in fps]], [f[1:] for f in fps]
+        while frontier and len(fps[0]):
             x = frontier.pop()
-            near = np.bitwise_count(fp ^ x) <= radius
+            near = linked(x, fps)
             if near.any():
-                new = fp[near]
-                left.append(np.full(len(new), x))
-                right.append(new)
-                frontier.extend(new)
-                fp = fp[~near]
+                new = [f[near] for f in fps]
+                left.append(np.full(len(new[0]), x[0]))
+                right.append(new[0])
+                frontier.extend(map(list, zip(*new, strict=True)))
+                fps = [f[~near] for f in fps]
     none = np.zeros(0, np.uint64)
     return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
-def _within(bucket: np.ndarray, probe: np.ndarray, fp: np.ndarray, radius: int) -> Iterator[pa.RecordBatch]:
+def _within(bucket: np.ndarray, probe: np.ndarray, *fps: np.ndarray, linked: _Near) -> Iterator[pa.RecordBatch]:
     """Links between table entries and other members of their bucket; rows are sorted by bucket, table entries first."""
     n = len(bucket)
     starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
@@ -154,48 +167,51 @@ def _within(bucket: np.ndarray, probe: np.ndarray, fp: np.ndarray, radius: int)
         c = counts[at:to]
         a = np.repeat(first[at:to], c)
         b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(c) - c, c)
-        near = np.bitwise_count(fp[a] ^ fp[b]) <= radius
+        near = linked([f[a] for f in fps], [f[b] for f in fps])
         if near.any():
-            yield links(fp[a[near]], fp[b[near]])
+            yield links(fps[0][a[near]], fps[0][b[near]])
         at = to
     for k in np.flatnonzero(sizes > PAIRWISE):
-        members = slice(starts[k], starts[k] + sizes[k])
         if probe[starts[k]] == 0:
-            a, b = _outwards(fp[members], radius)
+            a, b = _outwards([f[starts[k] : starts[k] + sizes[k]] for f in fps], linked)
             if len(a):
                 yield links(a, b)
 
 
-def _bucket_links(radius: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+def _bucket_links(linked: _Near):
+    """Links of the buckets of a partition, contracted to a forest before they leave the task."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
-            new = (batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64))
+            new = (batch.column(0).to_numpy(), batch.column(1).to_numpy(), *(c.to_numpy().view(np.uint64) for c in batch.columns[2:]))
             if not len(new[0]):
                 continue
-            last = int(np.searchsorted(new[0], new[0][-1], "left")) if new[0][0] <= new[0][-1] else len(new[0]) - 1
+            last = int(np.searchsorted(new[0], new[0][-1], "left"))
             if last == 0 and kept and kept[-1][0][-1] == new[0][0]:
                 kept.append(new)  # the batch continues one bucket
                 continue
             whole = [np.concatenate(x) for x in zip(*kept, tuple(x[:last] for x in new), strict=True)]
             if len(whole[0]):
-                yield from _within(*whole, radius)
+                yield from _within(*whole, linked=linked)
             kept = [tuple(x[last:] for x in new)]
         if kept:
-            yield from _within(*(np.concatenate(x) for x in zip(*kept, strict=True)), radius)
+            yield from _within(*(np.concatenate(x) for x in zip(*kept, strict=True)), linked=linked)
 
-    return run
+    return lambda batches: forest(found(batches))
 
 
-def near_links(fps: DataFrame, radius: int = 4, segments: int = 3) -> DataFrame:
+def near_links(fps: DataFrame, radius: int = 4, segments: int = 3, confirm: int | None = None) -> DataFrame:
     """Links ``u, v`` that connect the distinct fingerprints ``fps(fp long)`` as all pairs within ``radius`` bits do.
 
     With ``segments`` segments a pair within ``radius`` bits differs by at most ``radius // segments``
     bits in one of them: each fingerprint stands in the table under its segments and probes the
     small Hamming ball around them; whole distances decide. Rows are dealt by (segment, value).
+    With ``confirm``, ``fp2`` holds 64 more bits, and linked pairs are also within that distance over both.
     """
-    rows = fps.mapInArrow(_probes(segments, radius), "bucket long, probe byte, fp long")
-    return rows.repartition("bucket").sortWithinPartitions("bucket", "probe").mapInArrow(_bucket_links(radius), "u long, v long")
+    parts = ["fp"] if confirm is None else ["fp", "fp2"]
+    rows = fps.select(*parts).mapInArrow(_probes(segments, radius), ", ".join(["bucket long, probe byte", *(f"{p} long" for p in parts)]))
+    return rows.repartition("bucket").sortWithinPartitions("bucket", "probe").mapInArrow(_bucket_links(_Near(radius, confirm)), "u long, v long")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42, radius: int = 4, segments: int = 3, confirm: int | None = None) -> DataFrame:
@@ -209,19 +225,14 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     results, an empty table an empty one. Extra columns are ignored.
     """
     rows = cut(fingerprints(docs, id_col, text_col, shingle, seed, 1 if confirm is None else 2))
-    fps = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    links = near_links(fps.select("fp"), radius, segments)
-    if confirm is not None:
-        wide = rows.groupBy("fp").agg(F.min("fp2").alias("fp2"))
-        for end in ("u", "v"):
-            links = links.join(wide.select(F.col("fp").alias(end), F.col("fp2").alias(f"{end}2")), end)
-        links = links.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) + F.bit_count(F.col("u2").bitwiseXOR(F.col("v2"))) <= confirm).select("u", "v")
+    fps = rows.groupBy("fp").agg(F.min("doc_id").alias("least"), *([] if confirm is None else [F.min("fp2").alias("fp2")]))
+    links = near_links(fps, radius, segments, confirm)
     labels = components(links)
     linked = labels.join(fps, labels.node == fps.fp).select("node", "label", "least")
     smallest = linked.groupBy(F.col("label").alias("root")).agg(F.min("least").alias("smallest"))
     linked = cut(linked.join(smallest, linked.label == smallest.root).select("node", "smallest"))
     return (
-        rows.join(fps, "fp")
+        rows.select("doc_id", "fp").join(fps.select("fp", "least"), "fp")
         .join(linked, F.col("fp") == F.col("node"), "left")
         .select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.coalesce("smallest", "least").alias("component_id"))
     )
