@@ -77,10 +77,10 @@ class Analysis:
         kept = self.run.where("action = 'FORWARD'").select("packet_no")
         return self.raw.join(kept, "packet_no", "left_semi")
 
-    def write_capture(self, path: str, byteorder: str = "little", snaplen: int = 65_535) -> None:
-        """The passing packets in file order, as one capture in the folder ``path``."""
+    def write_capture(self, path: str, byteorder: str = "little", snaplen: int = 65_535, file_bytes: int = pcap.FILE_BYTES) -> None:
+        """The passing packets as captures in the folder ``path``: as many as their size asks for, file order being packet order."""
         pcap.register(self.raw.sparkSession)
-        self.forwarded().coalesce(1).sortWithinPartitions("packet_no").write.format("pcap").option("byteorder", byteorder).option("snaplen", snaplen).mode("overwrite").save(path)
+        self.forwarded().repartitionByRange("packet_no").sortWithinPartitions("packet_no").write.format("pcap").option("byteorder", byteorder).option("snaplen", snaplen).option("filebytes", file_bytes).mode("overwrite").save(path)
 
     def tables(self) -> dict[str, DataFrame]:
         return {

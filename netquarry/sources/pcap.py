@@ -16,6 +16,8 @@ SCHEMA = "source_file string, packet_no bigint, ts_sec int, ts_usec int, incl_le
 # The magic number in the file's byte order, sizes of the headers, and the most bytes of a frame.
 MAGIC, FILE_HEADER, RECORD_HEADER, MOST_BYTES = 0xA1B2C3D4, 24, 16, 65_535
 ROWS = 10_000
+#: Bytes after which a task goes on in another file; a file is read as one value of 2 GB at most.
+FILE_BYTES = 256 << 20
 COLUMNS = pa.schema([("source_file", pa.string()), ("packet_no", pa.int64()), *((c, pa.int32()) for c in ("ts_sec", "ts_usec", "incl_len", "orig_len")), ("data", pa.binary())])
 
 
@@ -87,14 +89,15 @@ class _Reader(DataSourceReader):
 
 @dataclass
 class _Written(WriterCommitMessage):
-    path: str
+    paths: list[str]
 
 
 class _Writer(DataSourceArrowWriter):
-    """A capture for each task, renamed into place at commit. The frames' original lengths become those kept."""
+    """Captures of about FILE_BYTES at most of each task, renamed into place at commit. The frames' original lengths become those kept."""
 
     def __init__(self, options: dict[str, str], names: list[str], overwrite: bool):
         self.path, self.names, self.overwrite = options["path"].removeprefix("file://"), names, overwrite
+        self.most = int(options.get("filebytes", FILE_BYTES))
         self.order = ">" if options.get("byteorder", "little") == "big" else "<"
         self.header = struct.pack(f"{self.order}IHHiIII", MAGIC, 2, 4, 0, 0, int(options.get("snaplen", MOST_BYTES)), int(options.get("linktype", 1)))
 
@@ -103,29 +106,45 @@ class _Writer(DataSourceArrowWriter):
 
         task = TaskContext.get()
         os.makedirs(self.path, exist_ok=True)
-        path = os.path.join(self.path, f".part-{task.partitionId():05d}-{task.taskAttemptId()}.tmp")
-        with open(path, "wb") as out:
+        paths: list[str] = []
+
+        def opened():
+            paths.append(os.path.join(self.path, f".part-{task.partitionId():05d}-{len(paths):05d}-{task.taskAttemptId()}.tmp"))
+            out = open(paths[-1], "wb")  # noqa: SIM115
             out.write(self.header)
+            return out
+
+        out = opened()
+        try:
             for batch in iterator:
                 sec, usec, data = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("ts_sec", "ts_usec", "data"))
                 for s, u, d in zip(sec, usec, data, strict=True):
+                    if out.tell() > FILE_HEADER and out.tell() + RECORD_HEADER + len(d) > self.most:
+                        out.close()
+                        out = opened()
                     out.write(struct.pack(f"{self.order}IIII", s & 0xFFFFFFFF, u & 0xFFFFFFFF, len(d), len(d)))
                     out.write(d)
-        return _Written(path)
+        finally:
+            out.close()
+        return _Written(paths)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
-        kept = {m.path for m in messages if m is not None}
+        kept = {path for m in messages if m is not None for path in m.paths}
         if self.overwrite:
             for old in glob.glob(os.path.join(self.path, "*.pcap")):
                 os.remove(old)
         for path in kept:
-            part = os.path.basename(path).split("-")[1]
-            os.replace(path, os.path.join(self.path, f"part-{part}.pcap"))
+            _, part, piece, _ = os.path.basename(path).split("-")
+            os.replace(path, os.path.join(self.path, f"part-{part}-{piece}.pcap"))
+        if not kept:  # nothing passed: an empty capture
+            os.makedirs(self.path, exist_ok=True)
+            with open(os.path.join(self.path, "part-00000-00000.pcap"), "wb") as out:
+                out.write(self.header)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
-        for m in messages:
-            if m is not None and os.path.exists(m.path):
-                os.remove(m.path)
+        for path in (path for m in messages if m is not None for path in m.paths):
+            if os.path.exists(path):
+                os.remove(path)
 
 
 class PcapDataSource(DataSource):

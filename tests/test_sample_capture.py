@@ -91,6 +91,17 @@ def test_capture_round_trip(spark, packets, tmp_path):
         assert spark.read.format("pcap").load(str(tmp_path / order)).count() == 69
 
 
+def test_capture_is_cut_by_size_and_keeps_its_order(spark, packets, tmp_path):
+    a = Analysis(packets, RULES)
+    a.write_capture(str(tmp_path / "cut"), file_bytes=1000)
+    files = sorted((tmp_path / "cut").glob("*.pcap"))
+    assert len(files) > 3 and max(f.stat().st_size for f in files) <= 1000
+    back = [r for f in files for r in pcap.records(io.BytesIO(f.read_bytes()[24:]), pcap.file_header(f.read_bytes()))]
+    assert [bytes(r[4]) for r in back] == [bytes(r.data) for r in a.forwarded().orderBy("packet_no").collect()]
+    Analysis(packets.limit(0), RULES).write_capture(str(tmp_path / "none"))
+    assert analyze(spark, str(tmp_path / "none" / "*.pcap")).raw.count() == 0
+
+
 def test_malformed_captures():
     header = pcap.file_header(bytes.fromhex("d4c3b2a1020004000000000000000000ffff000001000000"))
     assert header == pcap.Header("<", (2, 4), 65535, 1)
