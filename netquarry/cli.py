@@ -25,11 +25,12 @@ def main(args: list[str] | None = None) -> int:
     for kind, add in (("ip", rules.block_ip), ("app", rules.block_app), ("domain", rules.block_domain)):
         for value in getattr(given, f"block_{kind}"):
             add(value)
-    found = analyze(session(), given.input, rules, balancers=given.lbs, workers=given.fps)
+    found = analyze(session(), given.input, rules, balancers=given.lbs, workers=given.fps).persist()
     found.write_capture(given.output)
     print(console(found))
     if given.verbose:
         found.details.orderBy("id").show(100, truncate=False)
+    found.unpersist()
     return 0
 
 

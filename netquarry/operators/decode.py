@@ -1,46 +1,138 @@
-"""Ethernet, IPv4, TCP and UDP headers as column expressions over the frame's bytes."""
+"""Ethernet, IPv4, TCP and UDP headers: read once for each Arrow batch, by numpy over the frames' joined bytes."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+ETHERNET, IPV4, TCP, UDP = 14, 0x0800, 6, 17
+
+#: The decoded fields, in the order in which ``Frames.columns`` gives them.
+FIELDS = (
+    "frame_length int, ether_type int, ip_version int, has_ip boolean, protocol int, ttl int, has_tcp boolean, has_udp boolean, parse_ok boolean, src_mac string, dst_mac string, "
+    "src_ip string, dst_ip string, src_port int, dst_port int, seq_number bigint, ack_number bigint, tcp_flags int, payload_offset int, payload_length int"
+)
+PAYLOAD = "payload binary"
+_ARROW = {"int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary()}
+KINDS = {name: _ARROW[kind] for name, kind in (f.split() for f in FIELDS.split(", "))}
+
+
+def _named(values: np.ndarray, where: np.ndarray, text) -> pa.Array:
+    """Numbers as text, each distinct one written once; null outside ``where``."""
+    distinct, at = np.unique(values[where], return_inverse=True)
+    index = np.zeros(len(values), np.int32)
+    index[where] = at
+    names = pa.array([text(int(v)) for v in distinct] or [""], pa.string())
+    return pa.DictionaryArray.from_arrays(pa.array(index, mask=~where), names).dictionary_decode()
+
+
+def mac_text(number: int) -> str:
+    return ":".join(f"{number >> s & 255:02x}" for s in range(40, -1, -8))
+
+
+def ip_text(number: int) -> str:
+    return ".".join(str(number >> s & 255) for s in range(24, -1, -8))
+
+
+@dataclass
+class Frames:
+    """A batch of frames as one run of bytes, each frame with its start and length. A null frame has no bytes."""
 
-from netquarry.functions.codec import be, ipv4, mac
+    data: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
 
-ETHERNET, IPV4 = 14, 0x0800
+    @classmethod
+    def of(cls, column: pa.Array) -> Frames:
+        column = column.cast(pa.large_binary()).fill_null(b"")
+        offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8) if len(column) else np.zeros(1, np.int64)
+        data = column.buffers()[2] if len(column) else None
+        return cls(np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8), offsets[:-1], np.diff(offsets))
+
+    def number(self, at, size: int, where: np.ndarray) -> np.ndarray:
+        """Unsigned big-endian integers at an offset of each frame; 0 outside ``where``."""
+        out = np.zeros(len(self.start), np.int64)
+        first = (self.start + at)[where]
+        value = np.zeros(len(first), np.int64)
+        for i in range(size):
+            value = value << 8 | self.data[first + i]
+        out[where] = value
+        return out
+
+    def payloads(self, offset: np.ndarray, length: np.ndarray) -> Frames:
+        """What is left of each frame from ``offset`` on, still in the same bytes."""
+        return Frames(self.data, self.start + offset, length)
+
+    def array(self) -> pa.Array:
+        """The frames as a binary column of their own."""
+        ends = np.cumsum(self.size)
+        picked = self.data[np.repeat(self.start - (ends - self.size), self.size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        return pa.Array.from_buffers(pa.large_binary(), len(self.size), [None, pa.py_buffer(np.r_[0, ends].astype(np.int64)), pa.py_buffer(picked.tobytes())]).cast(pa.binary())
+
+    def columns(self) -> tuple[dict[str, pa.Array], Frames]:
+        """The decoded fields, and the payloads."""
+        n = self.size
+        eth = n >= ETHERNET
+        ether = self.number(12, 2, eth)
+        is_ipv4 = eth & (ether == IPV4)
+        long_enough = is_ipv4 & (n >= ETHERNET + 20)
+        first = self.number(ETHERNET, 1, long_enough)
+        l4 = (first & 15) * 4 + ETHERNET
+        has_ip = long_enough & (first >> 4 == 4) & (l4 >= ETHERNET + 20) & (l4 <= n)
+        protocol = self.number(23, 1, has_ip)
+        tcp_head = has_ip & (protocol == TCP) & (n >= l4 + 20)
+        tcp_size = (self.number(l4 + 12, 1, tcp_head) >> 4) * 4
+        has_tcp = tcp_head & (tcp_size >= 20) & (l4 + tcp_size <= n)
+        has_udp = has_ip & (protocol == UDP) & (n >= l4 + 8)
+        transport = has_tcp | has_udp
+        offset = np.where(has_tcp, l4 + tcp_size, np.where(has_udp, l4 + 8, np.where(has_ip, l4, ETHERNET)))
+        length = np.maximum(n - offset, 0)
+        made = {
+            "frame_length": n, "ether_type": (ether, ~eth), "ip_version": (first >> 4, ~long_enough), "has_ip": has_ip, "protocol": (protocol, ~has_ip), "ttl": (self.number(22, 1, has_ip), ~has_ip), "has_tcp": has_tcp, "has_udp": has_udp,
+            "parse_ok": eth & (~is_ipv4 | (has_ip & (transport | ~np.isin(protocol, (TCP, UDP))))),
+            "src_mac": _named(self.number(6, 6, eth), eth, mac_text), "dst_mac": _named(self.number(0, 6, eth), eth, mac_text), "src_ip": _named(self.number(26, 4, has_ip), has_ip, ip_text), "dst_ip": _named(self.number(30, 4, has_ip), has_ip, ip_text),
+            "src_port": self.number(l4, 2, transport), "dst_port": self.number(l4 + 2, 2, transport), "seq_number": self.number(l4 + 4, 4, has_tcp), "ack_number": self.number(l4 + 8, 4, has_tcp), "tcp_flags": self.number(l4 + 13, 1, has_tcp),
+            "payload_offset": offset, "payload_length": length,
+        }
+        arrays = {k: v if isinstance(v, pa.Array) else pa.array(v[0], KINDS[k], mask=v[1]) if isinstance(v, tuple) else pa.array(v, KINDS[k]) for k, v in made.items()}
+        return arrays, self.payloads(np.minimum(offset, n), length)
+
+
+def with_fields(raw: DataFrame, fields: str, made, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """``raw`` (all columns, or ``keep``) with ``fields`` that ``made`` computes from the frames of each batch. Columns of ``raw`` with their names are replaced."""
+    added = T.StructType.fromDDL(fields)
+    names = [f.name for f in added.fields]
+    kept = [c for c in (raw.columns if keep is None else keep) if c not in names and c != "data"]
+    with_data = keep is None
+    wanted = raw.select(*(f"`{c}`" for c in kept), "data")
+    schema = T.StructType([*(f for f in wanted.schema.fields if with_data or f.name != "data"), *added.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            new = made(Frames.of(batch.column(len(kept))))
+            old = batch.columns if with_data else batch.columns[:-1]
+            yield pa.record_batch([*old, *(new[n] for n in names)], names=[*kept, *(["data"] if with_data else []), *names])
+
+    return wanted.mapInArrow(run, schema)
 
 
 def decode(raw: DataFrame) -> DataFrame:
-    """Adds the decoded fields to raw packets with ``data``.
+    """Adds the decoded fields and the payload to raw packets with ``data``.
 
     ``parse_ok`` is false for frames whose headers are cut or wrong; other ether types parse but have no IP.
     The payload runs to the frame's end, padding included. UDP's length field isn't used. Null data is a frame of no bytes.
     """
-    data, n = F.coalesce(F.col("data"), F.lit(b"")), F.length(F.coalesce(F.col("data"), F.lit(b"")))
-    step = raw.withColumns({"frame_length": n, "ether_type": F.when(n >= ETHERNET, be(data, 12, 2)).cast("int")})
-    step = step.withColumns({"is_ipv4": F.coalesce(F.col("ether_type") == IPV4, F.lit(False)), "first": F.when((F.col("ether_type") == IPV4) & (n >= 34), be(data, ETHERNET, 1))})
-    step = step.withColumns({"ip_version": F.shiftright("first", 4).cast("int"), "l4": (F.col("first").bitwiseAND(15) * 4 + ETHERNET).cast("int")})
-    step = step.withColumn("has_ip", F.coalesce((F.col("ip_version") == 4) & (F.col("l4") >= 34) & (F.col("l4") <= n), F.lit(False)))
-    step = step.withColumns({"protocol": F.when(F.col("has_ip"), be(data, 23, 1)).cast("int"), "ttl": F.when(F.col("has_ip"), be(data, 22, 1)).cast("int")})
-    l4 = F.col("l4")
-    step = step.withColumn("tcp_size", F.when((F.col("protocol") == 6) & (n >= l4 + 20), F.shiftright(be(data, l4 + 12, 1), 4) * 4).cast("int"))
-    step = step.withColumns({
-        "has_tcp": F.coalesce((F.col("tcp_size") >= 20) & (l4 + F.col("tcp_size") <= n), F.lit(False)),
-        "has_udp": F.coalesce((F.col("protocol") == 17) & (n >= l4 + 8), F.lit(False)),
-    })
-    transport = F.col("has_tcp") | F.col("has_udp")
-    tcp = lambda at, size: F.when(F.col("has_tcp"), be(data, l4 + at, size)).otherwise(F.lit(0))
-    step = step.withColumns({
-        "parse_ok": (n >= ETHERNET) & (~F.col("is_ipv4") | (F.col("has_ip") & (transport | ~F.col("protocol").isin(6, 17)))),
-        "src_mac": F.when(n >= ETHERNET, mac(data, 6)), "dst_mac": F.when(n >= ETHERNET, mac(data, 0)),
-        "src_ip": F.when(F.col("has_ip"), ipv4(data, 26)), "dst_ip": F.when(F.col("has_ip"), ipv4(data, 30)),
-        "src_port": F.when(transport, be(data, l4, 2)).otherwise(F.lit(0)).cast("int"), "dst_port": F.when(transport, be(data, l4 + 2, 2)).otherwise(F.lit(0)).cast("int"),
-        "seq_number": tcp(4, 4).cast("long"), "ack_number": tcp(8, 4).cast("long"), "tcp_flags": tcp(13, 1).cast("int"),
-        "payload_offset": F.when(F.col("has_tcp"), l4 + F.col("tcp_size")).when(F.col("has_udp"), l4 + 8).when(F.col("has_ip"), l4).otherwise(F.lit(ETHERNET)).cast("int"),
-    })
-    step = step.withColumn("payload_length", F.greatest(F.col("frame_length") - F.col("payload_offset"), F.lit(0)))
-    step = step.withColumn("payload", F.substring(data, F.col("payload_offset") + 1, F.col("payload_length")))
-    return step.drop("is_ipv4", "first", "l4", "tcp_size")
+
+    def made(frames: Frames) -> dict[str, pa.Array]:
+        fields, payloads = frames.columns()
+        return fields | {"payload": payloads.array()}
+
+    return with_fields(raw, f"{FIELDS}, {PAYLOAD}", made)
 
 
 def engine_packets(packets: DataFrame) -> DataFrame:

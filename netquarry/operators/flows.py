@@ -1,83 +1,81 @@
-"""Directional flows: each one's state machine, its table, and what is kept of it."""
+"""Directional flows: each one's state machine in closed form, its table, and what is kept of it."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from netquarry.functions.codec import ACK, FIN, FIVE_TUPLE, RST, SYN, epoch, hash_step, ip_number, worker_of
 from netquarry.operators.rules import RuleSet
 
 
+def _flow() -> WindowSpec:
+    """A flow's packets in order; all windows share it, so that they need one shuffle and one sort."""
+    return Window.partitionBy(*FIVE_TUPLE).orderBy("packet_no")
+
+
+def _so_far(last: int = 0) -> WindowSpec:
+    return _flow().rowsBetween(Window.unboundedPreceding, last)
+
 
-#: Columns that the state machine reads, and those that it adds.
-READ = (*FIVE_TUPLE, "has_tcp", "tcp_flags", "found_app", "found_sni", "address_hit", "found_hit")
-ADDED = "seg int, action string, app string, sni string, seg_state string, classified boolean, blocked boolean"
-
-
-def _machine(unknown_hit: bool):
-    """Runs each flow's state machine over rows sorted by flow and packet number; only one flow's state is held."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = None
-        for batch in batches:
-            out = []
-            for *at, is_tcp, flags, app, sni, address, hit in zip(*(batch.column(c).to_pylist() for c in READ), strict=True):
-                if at != key:
-                    key, state, carried, seg = at, "NEW", ("Unknown", "", unknown_hit), 0
-                    syn = synack = fin = False
-                classified = False
-                if is_tcp:
-                    ack = bool(flags & ACK)
-                    syn, synack, fin = syn or bool(flags & SYN and not ack), synack or bool(flags & SYN and ack), fin or bool(flags & FIN)
-                    if flags & RST or fin and ack:
-                        state, seg = "CLOSED", seg + 1
-                    elif state == "NEW" and syn and synack and ack:
-                        state = "ESTABLISHED"
-                before = state
-                if state not in ("BLOCKED", "CLASSIFIED") and app is not None:
-                    state, carried, classified = "CLASSIFIED", (app, sni, hit), True
-                if address or carried[2]:
-                    state = "BLOCKED"
-                out.append((seg, "DROP" if state == "BLOCKED" else "FORWARD", carried[0], carried[1], state, classified, state == "BLOCKED" != before))
-            columns = zip(*out, strict=True) if out else [()] * 7
-            kinds = (pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.bool_())
-            names = [c.split()[0] for c in ADDED.split(", ")]
-            yield pa.record_batch([*batch.columns, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[*batch.schema.names, *names])
-
-    return run
+def _last(condition: Column, last: int = 0) -> Column:
+    """Number of the last packet that meets a condition; null if none did."""
+    return F.max(F.when(condition, F.col("packet_no"))).over(_so_far(last))
+
+
+def _first(condition: Column) -> Column:
+    return F.min(F.when(condition, F.col("packet_no"))).over(_so_far())
 
 
 def run_flows(inspected: DataFrame, rules: RuleSet | None = None) -> DataFrame:
-    """Adds ``seg, action, app, sni, seg_state, classified, blocked``: each accepted packet's fate, and its flow after it.
+    """Adds ``seg, action, app, sni, seg_state, classified, blocked, last_of_flow``: each accepted packet's fate, and its flow after it.
 
-    A flow is an exact five-tuple, its packets in file order. Flags come first (RST closes, and so does every ACK once
+    A flow is an exact five-tuple, its packets in the order of ``packet_no``. Flags come first (RST closes, and so does every ACK once
     FIN was seen); a blocked flow drops; the first finding of a payload classifies a flow that isn't; then the rules
-    decide by the packet's addresses and what the flow carries. A close undoes classification and block, not what is carried. One
-    shuffle by flow with a sort serves all; the flow's rows stream past its state, so a very large flow needs no more memory.
+    decide by the packet's addresses and what the flow carries. A close undoes classification and block, not what is carried.
+
+    Closes cut a flow into segments, and a segment's first finding counts if it comes with the segment's first packet, or
+    if nothing blocks the flow by then: no address rule, and no bad finding since the last that came with a segment's start. So
+    all is running extremes over the flow. The windows stream: a very large flow needs time but no more memory.
     """
     rules = rules or RuleSet()
-    address = rules.address_hit(F.col("src_ip"), F.col("dst_port"))
-    step = inspected.withColumns({"address_hit": address, "found_hit": rules.flow_hit(F.coalesce("found_app", F.lit("Unknown")), F.coalesce("found_sni", F.lit("")))})
-    step = step.repartition(*FIVE_TUPLE).sortWithinPartitions(*FIVE_TUPLE, "packet_no")
-    schema = T.StructType([*step.schema.fields, *(T.StructField(c.split()[0], {"int": T.IntegerType(), "string": T.StringType(), "boolean": T.BooleanType()}[c.split()[1]]) for c in ADDED.split(", "))])
-    return step.mapInArrow(_machine("Unknown" in rules.apps), schema).drop("address_hit", "found_hit")
+    unknown_bad = F.lit("Unknown" in rules.apps)
+    flag = lambda bit: F.coalesce(F.col("has_tcp") & (F.col("tcp_flags").bitwiseAND(bit) != 0), F.lit(False))
+    found, starts = F.col("found_app").isNotNull(), F.col("closes") | (F.col("place") == 1)
+    step = inspected.withColumns({
+        "address_hit": rules.address_hit(F.col("src_ip"), F.col("dst_port")), "found_hit": rules.flow_hit(F.coalesce("found_app", F.lit("Unknown")), F.coalesce("found_sni", F.lit(""))),
+        "fin_at": _first(flag(FIN)), "syn_at": _first(flag(SYN) & ~flag(ACK)), "synack_at": _first(flag(SYN) & flag(ACK)), "ack_at": _last(flag(ACK)),
+        "found_before": _last(found, -1), "place": F.row_number().over(_flow()), "last_of_flow": F.lead("packet_no").over(_flow()).isNull(),
+    })
+    step = step.withColumn("closes", flag(RST) | (flag(ACK) & F.col("fin_at").isNotNull()))
+    step = step.withColumns({"seg": F.sum(F.col("closes").cast("int")).over(_so_far()).cast("int"), "seg_at": _last(F.col("closes"))})
+    step = step.withColumn("first_found", found & (F.col("found_before").isNull() | F.coalesce(F.col("found_before") < F.col("seg_at"), F.lit(False))))
+    step = step.withColumn("fresh", F.col("first_found") & starts)
+    step = step.withColumn("offered", F.col("first_found") & (F.col("fresh") | ~F.col("address_hit")))
+    step = step.withColumns({"fresh_at": _last(F.col("fresh")), "bad_before": _last(F.col("offered") & F.col("found_hit"), -1)})
+    spoiled = F.when(F.col("fresh_at").isNull(), unknown_bad | F.col("bad_before").isNotNull()).otherwise(F.coalesce(F.col("bad_before") >= F.col("fresh_at"), F.lit(False)))
+    step = step.withColumn("classified", F.col("offered") & (F.col("fresh") | ~spoiled))
+    step = step.withColumns({"carried": F.last(F.when(F.col("classified"), F.struct("found_app", "found_sni", "found_hit")), ignorenulls=True).over(_so_far()), "classified_at": _last(F.col("classified"))})
+    drop = F.col("address_hit") | F.coalesce("carried.found_hit", unknown_bad)
+    classified = F.col("classified_at").isNotNull() & F.coalesce(F.col("classified_at") >= F.col("seg_at"), F.lit(True))
+    shaken = F.coalesce(F.col("ack_at") >= F.when(F.col("syn_at").isNotNull() & F.col("synack_at").isNotNull(), F.greatest("syn_at", "synack_at")), F.lit(False))
+    return step.withColumns({
+        "action": F.when(drop, "DROP").otherwise("FORWARD"), "app": F.coalesce("carried.found_app", F.lit("Unknown")), "sni": F.coalesce("carried.found_sni", F.lit("")),
+        "seg_state": F.when(drop, "BLOCKED").when(classified, "CLASSIFIED").when(F.col("seg") > 0, "CLOSED").when(shaken, "ESTABLISHED").otherwise("NEW"),
+        "blocked": drop & (starts | (F.col("classified") & F.col("found_hit"))),
+    }).drop("address_hit", "found_hit", "fin_at", "syn_at", "synack_at", "ack_at", "found_before", "place", "closes", "seg_at", "first_found", "fresh", "offered", "fresh_at", "bad_before", "carried", "classified_at")
 
 
 def flow_table(run: DataFrame, balancers: int = 2, workers: int = 2) -> DataFrame:
-    """One row a flow. Counts of a flow all go out, as its key is directional."""
+    """One row a flow: running totals at its last packet, from the shuffle and sort of its state. Counts of a flow all go out, as its key is directional."""
     ts = epoch(F.col("ts_sec"), F.col("ts_usec"))
-    last = F.max_by(F.struct("seg_state", "app", "sni", ts.alias("ts")), "packet_no")
-    flows = run.groupBy(*FIVE_TUPLE).agg(
-        last.alias("last"), F.count(F.lit(1)).alias("packets"), F.sum("frame_length").cast("long").alias("bytes"), F.min("packet_no").alias("first_packet_no"), F.min_by(ts, "packet_no").alias("first_ts"),
-        F.count_if("classified").alias("classified_events"), F.count_if("blocked").alias("blocked_events"),
-    )
-    flows = flows.select(*FIVE_TUPLE, F.col("last.seg_state").alias("state"), F.col("last.app").alias("application"), F.col("last.sni").alias("sni"), "packets", "bytes", "first_packet_no", "first_ts", F.col("last.ts").alias("last_ts"), "classified_events", "blocked_events")
+    events = lambda name: F.sum(F.col(name).cast("long")).over(_so_far())
+    ended = run.withColumns({
+        "packets": F.count(F.lit(1)).over(_so_far()), "bytes": F.sum("frame_length").over(_so_far()).cast("long"), "first_packet_no": F.first("packet_no").over(_so_far()), "first_ts": F.first(ts).over(_so_far()),
+        "classified_events": events("classified"), "blocked_events": events("blocked"),
+    }).where("last_of_flow")
+    flows = ended.select(*FIVE_TUPLE, F.col("seg_state").alias("state"), F.col("app").alias("application"), "sni", "packets", "bytes", "first_packet_no", "first_ts", ts.alias("last_ts"), "classified_events", "blocked_events")
     return with_worker(flows, balancers, workers)
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from pyspark.sql import types as T
 
 from netquarry.functions.classify import app_of
 from netquarry.functions.codec import be
+from netquarry.operators.decode import FIELDS, Frames, with_fields
 
 #: TLS is looked for in payloads of at least so many bytes on any port.
 TLS_ANYWHERE = 50
@@ -120,20 +123,54 @@ def dns_name(p: Column, where: Column | None = None) -> Column:
     return _each(question_name)(F.when(guard, p))
 
 
-def inspect(packets: DataFrame) -> DataFrame:
-    """Adds ``found_by``, ``found_app`` and ``found_sni``: what a packet's payload says of its flow; null if nothing.
+_HOST = re.compile(rb"(?is)(?=.{7})host:[ \t]*+([^\r\n]+)")
 
-    It depends on the packet alone, so it runs before flows are put together. TLS on port 443 or in larger payloads
-    goes first, then HTTP to port 80, DNS on port 53, and at last the port by itself.
+
+def host_name(p: bytes) -> str | None:
+    """As ``http_host``, of one payload."""
+    found = _HOST.search(p) if p[:4].decode("latin-1") in METHODS else None
+    return _text(found[1].split(b":")[0].strip(bytes(range(33)))) or None if found else None
+
+
+def _findings(fields: dict[str, pa.Array], payloads: Frames) -> dict[str, pa.Array]:
+    """``found_by`` and ``found_sni`` of a batch: the conditions are numpy's, only payloads that may hold a name are looked into."""
+    number = lambda name: fields[name].to_numpy(zero_copy_only=False)
+    source, target, size = number("src_port"), number("dst_port"), payloads.size
+    has = (size > 0) & (number("has_tcp") | number("has_udp"))
+    by, name = np.full(len(size), None, object), np.full(len(size), None, object)
+    hello = has & (size >= 9) & ((target == 443) | (size >= TLS_ANYWHERE))
+    hello &= (payloads.number(0, 1, hello) == 0x16) & (payloads.number(5, 1, hello) == 1) & (payloads.number(3, 2, hello) <= size - 5)
+    version = payloads.number(1, 2, hello)
+    hello &= (version >= 0x0300) & (version <= 0x0304)
+    query = has & (size >= 12) & ((target == 53) | (source == 53))
+    query &= (payloads.number(2, 1, query) < 0x80) & (payloads.number(4, 2, query) != 0)
+    for kind, where, one in (("TLS", hello, server_name), ("HTTP", has & (target == 80), host_name), ("DNS", query, question_name)):
+        for i in np.flatnonzero(where & (by == None)).tolist():  # noqa: E711
+            found = one(payloads.data[payloads.start[i] : payloads.start[i] + size[i]].tobytes())
+            if found:
+                by[i], name[i] = kind, found if kind != "DNS" else ""
+    for port in (80, 443):
+        rest = has & (by == None) & (target == port)  # noqa: E711
+        by[rest], name[rest] = f"port {port}", ""
+    return {"found_by": pa.array(by, pa.string()), "found_sni": pa.array(name, pa.string())}
+
+
+def _with_app(packets: DataFrame) -> DataFrame:
+    by = F.col("found_by")
+    return packets.withColumn("found_app", F.when(by.isin("TLS", "HTTP"), app_of(F.col("found_sni"))).when(by == "DNS", "DNS").when(by == "port 80", "HTTP").when(by == "port 443", "HTTPS"))
+
+
+def inspected(raw: DataFrame) -> DataFrame:
+    """Raw packets decoded as by ``decode``, without their bytes, with ``found_by``, ``found_app`` and ``found_sni``: what a
+    packet's payload says of its flow; null if nothing.
+
+    It depends on the packet alone, so one pass over the bytes comes before any shuffle. TLS on port 443 or in larger payloads
+    goes first, then HTTP to port 80, DNS on port 53, and at last the port by itself. Only TCP and UDP are looked into.
     """
-    p, has = F.col("payload"), F.col("payload_length") > 0
-    step = packets.withColumns({
-        "tls_name": tls_server_name(p, has & ((F.col("dst_port") == 443) | (F.col("payload_length") >= TLS_ANYWHERE))),
-        "host_name": F.when(has & (F.col("dst_port") == 80), http_host(p)),
-        "query_name": dns_name(p, has & ((F.col("dst_port") == 53) | (F.col("src_port") == 53))),
-    })
-    by = F.when(~has, None).when(F.col("tls_name").isNotNull(), "TLS").when(F.col("host_name").isNotNull(), "HTTP").when(F.col("query_name").isNotNull(), "DNS")
-    by = by.when(F.col("dst_port") == 80, "port 80").when(F.col("dst_port") == 443, "port 443")
-    step = step.withColumn("found_by", by).withColumn("found_sni", F.when(F.col("found_by").isin("TLS", "HTTP"), F.coalesce("tls_name", "host_name")).when(F.col("found_by").isNotNull(), ""))
-    app = F.when(F.col("found_by").isin("TLS", "HTTP"), app_of(F.col("found_sni"))).when(F.col("found_by") == "DNS", "DNS").when(F.col("found_by") == "port 80", "HTTP").when(F.col("found_by") == "port 443", "HTTPS")
-    return step.withColumn("found_app", app)
+
+    def made(frames: Frames) -> dict[str, pa.Array]:
+        fields, payloads = frames.columns()
+        return fields | _findings(fields, payloads)
+
+    keep = tuple(c for c in raw.columns if c in ("packet_no", "ts_sec", "ts_usec"))
+    return _with_app(with_fields(raw, f"{FIELDS}, found_by string, found_sni string", made, keep))

@@ -7,36 +7,49 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from netquarry.functions.codec import FIVE_TUPLE, epoch, flag_names, protocol_name, utc_millis
-from netquarry.operators.flows import visible, with_worker
+from netquarry.operators.flows import with_worker
 from netquarry.operators.rules import RuleSet
 
 REVERSED = {"src_ip": "dst_ip", "dst_ip": "src_ip", "src_port": "dst_port", "dst_port": "src_port", "protocol": "protocol"}
 
 
-def resolve(packets: DataFrame, flows: DataFrame, exact: bool = False) -> DataFrame:
-    """Adds ``flow_app`` and ``flow_sni`` of each report packet's flow (null without one).
+def per_tuple(reported: DataFrame) -> DataFrame:
+    """Counts and the first packet of each directional five-tuple, by partial and final aggregation of numbers."""
+    return reported.groupBy(*FIVE_TUPLE).agg(F.count(F.lit(1)).alias("packets"), F.sum("frame_length").cast("long").alias("bytes"), F.min("packet_no").alias("first_no"))
+
+
+def lookups(flows: DataFrame, exact: bool = False) -> DataFrame:
+    """``flow_app, flow_sni`` of the flow that a lookup of each five-tuple finds.
 
     A lookup goes through the workers in order and in each tries the tuple and then its reverse, so the other
     direction's flow can be found first. With ``exact`` only the tuple itself counts.
     """
     known = flows.select(*FIVE_TUPLE, "worker", "application", "sni")
-    own = known.select(*FIVE_TUPLE, F.struct("worker", F.lit(0).alias("turn"), "application", "sni").alias("own"))
-    found = packets.join(own, list(FIVE_TUPLE), "left")
+    own = known.select(*FIVE_TUPLE, (F.col("worker") * 2).alias("own_turn"), F.col("application").alias("own_app"), F.col("sni").alias("own_sni"))
     if exact:
-        return found.withColumns({"flow_app": F.col("own.application"), "flow_sni": F.col("own.sni")}).drop("own")
-    other = known.select(*(F.col(c).alias(REVERSED[c]) for c in FIVE_TUPLE), F.struct("worker", F.lit(1).alias("turn"), "application", "sni").alias("other"))
-    found = found.join(other, list(FIVE_TUPLE), "left").withColumn("flow", F.least("own", "other"))
-    return found.withColumns({"flow_app": F.col("flow.application"), "flow_sni": F.col("flow.sni")}).drop("own", "other", "flow")
+        return own.select(*FIVE_TUPLE, F.col("own_app").alias("flow_app"), F.col("own_sni").alias("flow_sni"))
+    other = known.select(*(F.col(c).alias(REVERSED[c]) for c in FIVE_TUPLE), (F.col("worker") * 2 + 1).alias("other_turn"), F.col("application").alias("other_app"), F.col("sni").alias("other_sni"))
+    both, mine = own.join(other, list(FIVE_TUPLE), "full"), F.coalesce(F.col("own_turn") < F.col("other_turn"), F.col("own_turn").isNotNull())
+    return both.select(*FIVE_TUPLE, F.when(mine, F.col("own_app")).otherwise(F.col("other_app")).alias("flow_app"), F.when(mine, F.col("own_sni")).otherwise(F.col("other_sni")).alias("flow_sni"))
+
+
+def verdicts(reported: DataFrame, flows: DataFrame, rules: RuleSet, exact: bool = False) -> DataFrame:
+    """One row for each five-tuple: its flow's attributes, and ``first_hit``, the packet from which its pair of endpoints is dropped.
+
+    Rules look at the tuple and at its flow's final attributes, so all packets of a tuple are hit or none is, and once one is, both
+    directions stay blocked: the first packets of two tuples decide. No packet is sorted or windowed.
+    """
+    found = per_tuple(reported).join(lookups(flows, exact), list(FIVE_TUPLE), "left")
+    hit = rules.address_hit(F.col("src_ip"), F.col("dst_port")) | rules.flow_hit(F.coalesce("flow_app", F.lit("Unknown")), F.coalesce("flow_sni", F.lit("")))
+    forth, back = F.concat_ws("|", "src_ip", "src_port"), F.concat_ws("|", "dst_ip", "dst_port")
+    found = found.withColumns({"hit_no": F.when(hit, F.col("first_no")), "low": F.least(forth, back), "high": F.greatest(forth, back)})
+    pair = Window.partitionBy("protocol", "low", "high")
+    return found.withColumn("first_hit", F.min("hit_no").over(pair)).select(*FIVE_TUPLE, "flow_app", "flow_sni", "first_hit")
 
 
-def with_report_action(resolved: DataFrame, rules: RuleSet) -> DataFrame:
-    """Adds ``report_action``: by the flow's final attributes, and once a tuple is blocked, both directions stay blocked."""
-    app, sni = F.coalesce("flow_app", F.lit("Unknown")), F.coalesce("flow_sni", F.lit(""))
-    hit = rules.address_hit(F.col("src_ip"), F.col("dst_port")) | rules.flow_hit(app, sni)
-    forth, back = F.struct("src_ip", "src_port", "dst_ip", "dst_port"), F.struct("dst_ip", "dst_port", "src_ip", "src_port")
-    ends = F.when(forth <= back, F.concat_ws("|", "src_ip", "src_port", "dst_ip", "dst_port")).otherwise(F.concat_ws("|", "dst_ip", "dst_port", "src_ip", "src_port"))
-    past = Window.partitionBy("protocol", "ends").orderBy("packet_no").rowsBetween(Window.unboundedPreceding, 0)
-    return resolved.withColumn("ends", ends).withColumn("report_action", F.when(F.max(hit).over(past), "DROP").otherwise("FORWARD")).drop("ends")
+def act(reported: DataFrame, judged: DataFrame) -> DataFrame:
+    """Report packets with ``flow_app``, ``flow_sni`` and ``report_action``: one join by the tuple, which AQE may broadcast or split."""
+    return reported.join(judged, list(FIVE_TUPLE), "left").withColumn("report_action", F.when(F.col("packet_no") >= F.col("first_hit"), "DROP").otherwise("FORWARD")).drop("first_hit")
 
 
 def packet_details(acted: DataFrame) -> DataFrame:
@@ -49,6 +62,7 @@ def packet_details(acted: DataFrame) -> DataFrame:
 
 
 def layers() -> Column:
+    # The texts of the layers.
     return F.array_compact(F.array(
         F.concat(F.lit("Ethernet Layer: Src="), F.col("src_mac"), F.lit(", Dst="), F.col("dst_mac"), F.lit(", Type=0x"), F.lpad(F.hex("ether_type"), 4, "0")),
         F.format_string("IPv4 Layer: Src=%s, Dst=%s, TTL=%d, Protocol=%d", "src_ip", "dst_ip", "ttl", "protocol"),
@@ -75,54 +89,69 @@ def app_distribution(flows: DataFrame) -> DataFrame:
 
 
 def timeline(acted: DataFrame, reported: DataFrame | None = None) -> DataFrame:
-    """Packets, bytes and report drops in each second after the first packet of the file; seconds without packets have no row.
+    """Packets, bytes and report drops in each second after the first packet of the capture, in order; seconds without packets have no row.
 
     The first packet is looked for in ``reported``, the same packets without their flows, where it is given.
     """
     ts = epoch(F.col("ts_sec"), F.col("ts_usec"))
     first = (acted if reported is None else reported).agg(F.min_by(ts, "packet_no").alias("first_ts"))
     second = (ts - F.col("first_ts")).cast("long")
-    counted = acted.select(ts.alias("ts"), "ts_sec", "ts_usec", "frame_length", "report_action").crossJoin(F.broadcast(first)).withColumn("second", second)
-    return counted.groupBy("second").agg(F.count(F.lit(1)).alias("packets"), F.sum("frame_length").cast("long").alias("bytes"), F.count_if(F.col("report_action") == "DROP").alias("dropped")).select(F.col("second").cast("double").alias("timestamp"), F.format_string("+%ds", "second").alias("time_label"), "packets", "bytes", "dropped")
+    counted = acted.select("ts_sec", "ts_usec", "frame_length", "report_action").crossJoin(F.broadcast(first)).withColumn("second", second)
+    counted = counted.groupBy("second").agg(F.count(F.lit(1)).alias("packets"), F.sum("frame_length").cast("long").alias("bytes"), F.count_if(F.col("report_action") == "DROP").alias("dropped"))
+    return counted.orderBy("second").select(F.col("second").cast("double").alias("timestamp"), F.format_string("+%ds", "second").alias("time_label"), "packets", "bytes", "dropped")
 
 
 def graph_nodes(reported: DataFrame, flows: DataFrame) -> DataFrame:
-    """Addresses and names with what they sent and received; the type is that of the first appearance."""
-    end = lambda ip, kind, side: F.struct(F.col(ip).alias("id"), F.lit(kind).alias("type"), F.lit(side).alias("side"))
-    seen = reported.select(F.lit(0).alias("phase"), "packet_no", F.col("frame_length").cast("long").alias("bytes"), F.explode(F.array(end("src_ip", "client", 0), end("dst_ip", "server", 1))).alias("end")).select("phase", "packet_no", "bytes", "end.*")
-    named = flows.where("sni <> ''").select(F.lit(1).alias("phase"), F.col("first_packet_no").alias("packet_no"), F.lit(0).cast("long").alias("bytes"), F.col("sni").alias("id"), F.lit("domain").alias("type"), F.lit(0).alias("side"))
-    return seen.unionByName(named).groupBy("id").agg(F.min_by("type", F.struct("phase", "packet_no", "side")).alias("type"), F.count(F.lit(1)).alias("packets"), F.sum("bytes").alias("bytes")).select("id", F.col("id").alias("label"), "type", "packets", "bytes")
+    """Addresses and names with what they sent and received; the type is that of the first appearance, source before target. Built from the tuples' counts."""
+    seen = per_tuple(reported).select("packets", "bytes", F.expr("stack(2, src_ip, first_no * 2, dst_ip, first_no * 2 + 1) AS (id, seen_at)"))
+    named = flows.where("sni <> ''").groupBy(F.col("sni").alias("id")).agg(F.count(F.lit(1)).alias("packets")).select("packets", F.lit(0).cast("long").alias("bytes"), "id", F.lit(None).cast("long").alias("seen_at"))
+    nodes = seen.unionByName(named).groupBy("id").agg(F.min("seen_at").alias("seen_at"), F.sum("packets").alias("packets"), F.sum("bytes").alias("bytes"))
+    kind = F.when(F.col("seen_at").isNull(), "domain").when(F.col("seen_at") % 2 == 0, "client").otherwise("server")
+    return nodes.select("id", F.col("id").alias("label"), kind.alias("type"), "packets", "bytes")
 
 
 def graph_edges(reported: DataFrame, flows: DataFrame) -> DataFrame:
     """Address pairs, and a server's names where that pair isn't an address pair; names carry no counts."""
-    pairs = reported.groupBy(F.col("src_ip").alias("source"), F.col("dst_ip").alias("target")).agg(F.min_by(protocol_name(F.col("protocol")), "packet_no").alias("protocol"), F.count(F.lit(1)).alias("packets"), F.sum("frame_length").cast("long").alias("bytes"))
+    pairs = per_tuple(reported).groupBy(F.col("src_ip").alias("source"), F.col("dst_ip").alias("target")).agg(F.min_by("protocol", "first_no").alias("number"), F.sum("packets").alias("packets"), F.sum("bytes").alias("bytes"))
+    pairs = pairs.select("source", "target", protocol_name(F.col("number")).alias("protocol"), "packets", "bytes")
     names = flows.where("sni <> ''").select(F.col("dst_ip").alias("source"), F.col("sni").alias("target")).distinct()
     names = names.join(pairs, ["source", "target"], "left_anti").withColumns({"protocol": F.lit("TLS/SNI"), "packets": F.lit(0).cast("long"), "bytes": F.lit(0).cast("long")})
     return pairs.unionByName(names)
 
 
-def engine_totals(run: DataFrame) -> DataFrame:
-    return run.agg(
+def _engine_counts() -> list[Column]:
+    return [
         F.count(F.lit(1)).alias("total_packets"), F.coalesce(F.sum("frame_length"), F.lit(0)).cast("long").alias("total_bytes"), F.count_if("has_tcp").alias("tcp_packets"), F.count_if("has_udp").alias("udp_packets"),
         F.count_if(F.col("action") == "FORWARD").alias("forwarded_packets"), F.count_if(F.col("action") == "DROP").alias("dropped_packets"),
-    )
+    ]
 
 
-def summary(run: DataFrame, reported: DataFrame, flows: DataFrame, rules: RuleSet) -> DataFrame:
-    """One row: engine totals, with sizes and times of all report packets."""
+def engine_totals(run: DataFrame) -> DataFrame:
+    return run.agg(*_engine_counts())
+
+
+def summary(run: DataFrame, reported: DataFrame, rules: RuleSet) -> DataFrame:
+    """One row: engine totals and active flows in one pass, with sizes and times of all report packets."""
     ts = epoch(F.col("ts_sec"), F.col("ts_usec"))
     times = reported.agg(F.coalesce(F.max("frame_length"), F.lit(0)).alias("largest_packet_size"), F.coalesce(F.max_by(ts, "packet_no") - F.min_by(ts, "packet_no"), F.lit(0.0)).alias("capture_duration"))
-    active = visible(flows).agg(F.count_if(F.col("state") != "BLOCKED").alias("active_connections"))
+    active = F.count_if(F.col("last_of_flow") & ~F.col("seg_state").isin("CLOSED", "BLOCKED")).alias("active_connections")
     t, d = F.col("total_packets"), F.col("capture_duration")
     stats = rules.stats()
-    return engine_totals(run).crossJoin(times).crossJoin(active).select(
+    return run.agg(*_engine_counts(), active).crossJoin(times).select(
         "total_packets", "total_bytes", "tcp_packets", "udp_packets", "forwarded_packets", "dropped_packets", F.when(t > 0, 100.0 * F.col("dropped_packets") / t).otherwise(0.0).alias("drop_rate"), F.when(t > 0, F.col("total_bytes") / t).otherwise(0.0).alias("average_packet_size"),
         "largest_packet_size", "capture_duration", F.when(d > 0, 8.0 * F.col("total_bytes") / d).otherwise(0.0).alias("bandwidth_bits_per_sec"), "active_connections",
         F.lit(stats["blocked_ips"]).alias("blocked_ips"), F.lit(stats["blocked_apps"]).alias("blocked_apps"), F.lit(stats["blocked_domains"]).alias("blocked_domains"),
     )
 
 
+def shown(summary: DataFrame) -> DataFrame:
+    """A summary's shares as a dashboard shows them: the forward rate to one digit, the drop rate and the duration to two."""
+    t = F.col("total_packets")
+    return summary.select(
+        F.round(F.when(t > 0, 100.0 * F.col("forwarded_packets") / t).otherwise(0.0), 1).alias("forward_rate"), F.round("drop_rate", 2).alias("drop_rate"), F.round("capture_duration", 2).alias("duration"),
+    )
+
+
 def top_domains(flows: DataFrame, n: int = 20) -> DataFrame:
     counted = flows.where("sni <> ''").groupBy("sni").agg(F.count(F.lit(1)).alias("flows")).orderBy(F.desc("flows"), "sni").limit(n)
     return counted.select(F.col("sni").alias("domain"), F.when(F.length("sni") > 35, F.concat(F.left("sni", F.lit(32)), F.lit("..."))).otherwise(F.col("sni")).alias("shown"), "flows")
@@ -148,14 +177,18 @@ def inspection_counters(run: DataFrame) -> DataFrame:
     return counted.agg(F.count_if(F.col("found_by") == "TLS").alias("sni_extractions"), F.count_if(hit).alias("classification_hits"))
 
 
-def worker_load(run: DataFrame, balancers: int = 2, workers: int = 2) -> DataFrame:
-    """Packets and flows of every worker; those that no hash reaches have none."""
-    loads = with_worker(run.groupBy(*FIVE_TUPLE).agg(F.count(F.lit(1)).alias("packets"), F.count_if(F.col("action") == "FORWARD").alias("forwarded")), balancers, workers)
-    loads = loads.groupBy("worker").agg(F.sum("packets").alias("processed"), F.sum("forwarded").alias("forwarded"), F.count(F.lit(1)).alias("flows"))
-    every = run.sparkSession.range(balancers * workers).select(F.col("id").cast("int").alias("worker"))
+def worker_load(flows: DataFrame, balancers: int = 2, workers: int = 2) -> DataFrame:
+    """Packets and flows by the worker that a five-tuple's hash names; those that no hash reaches have none. flows: five-tuples with ``packets, forwarded``."""
+    loads = with_worker(flows, balancers, workers).groupBy("worker").agg(F.sum("packets").alias("processed"), F.sum("forwarded").alias("forwarded"), F.count(F.lit(1)).alias("flows"))
+    every = flows.sparkSession.range(balancers * workers).select(F.col("id").cast("int").alias("worker"))
     return every.join(loads, "worker", "left").na.fill(0).withColumn("dropped", F.col("processed") - F.col("forwarded"))
 
 
+def flow_loads(run: DataFrame) -> DataFrame:
+    """Packets of each flow, and those that the engine lets pass."""
+    return run.groupBy(*FIVE_TUPLE).agg(F.count(F.lit(1)).alias("packets"), F.count_if(F.col("action") == "FORWARD").alias("forwarded"))
+
+
 def protocol_breakdown(reported: DataFrame) -> DataFrame:
     """Packets by protocol, and by the ports of DNS and TLS on either side."""
     on = lambda port: (F.col("src_port") == port) | (F.col("dst_port") == port)

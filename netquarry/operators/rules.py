@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from netquarry.functions.classify import app_name
 from netquarry.functions.codec import ip_number
+from netquarry.sources.files import located
 
 # The sections of a rules file, with the kind of rule in each.
 SECTIONS = {"[BLOCKED_IPS]": "IP", "[BLOCKED_APPS]": "APP", "[BLOCKED_DOMAINS]": "DOMAIN", "[BLOCKED_PORTS]": "PORT"}
@@ -118,14 +119,26 @@ class RuleSet:
 
     def save(self, path: str) -> None:
         parts = (self.blocked_ips(), sorted(self.apps), self.blocked_domains(), [str(p) for p in sorted(self.ports)])
-        with open(path, "w", encoding="utf-8") as f:
-            f.write("\n".join(f"{title}\n" + "".join(f"{v}\n" for v in values) for title, values in zip(SECTIONS, parts, strict=True)))
+        fs, place = located(path)
+        fs.create_dir(place.rpartition("/")[0])
+        with fs.open_output_stream(place) as f:
+            f.write("\n".join(f"{title}\n" + "".join(f"{v}\n" for v in values) for title, values in zip(SECTIONS, parts, strict=True)).encode())
 
     @classmethod
     def load(cls, path: str) -> RuleSet:
         rules = cls()
-        with open(path, encoding="utf-8") as f:
-            rules.read(f)
+        fs, place = located(path)
+        with fs.open_input_stream(place) as f:
+            rules.read(f.read().decode().splitlines())
+        return rules
+
+    @classmethod
+    def from_table(cls, table: DataFrame) -> RuleSet:
+        """Rules of a table ``kind, value``. Rules are conditions of a plan, so they come to the driver."""
+        rules = cls()
+        add = {"IP": rules.block_ip, "APP": rules.block_app, "DOMAIN": rules.block_domain, "PORT": rules.block_port}
+        for r in table.select("kind", "value").distinct().orderBy("kind", "value").toLocalIterator():
+            add[r.kind](r.value)
         return rules
 
     def read(self, lines) -> None:

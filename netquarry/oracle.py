@@ -153,6 +153,11 @@ def oracle_sql() -> dict[str, str]:
     known = [next((n for n in APP_NAMES if n.lower() == a.lower()), "Unknown") for a in APPS]
     names = [*APP_NAMES, "no such app"]
     lower_names = " ".join(f"WHEN '{n.lower()}' THEN '{n}'" for n in APP_NAMES)
+    drawn = f"""WITH rules AS (
+      SELECT 'IP' AS kind, value FROM (SELECT '10.0.' || ((user_id // 256) % 256) || '.' || (user_id % 256) AS value, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1 ORDER BY n DESC, value LIMIT 20)
+      UNION ALL SELECT 'DOMAIN', value FROM (SELECT regexp_extract(url, '{HOST}', 1) AS value, count(*) AS n FROM pages GROUP BY 1 ORDER BY n DESC, value LIMIT 10)
+      UNION ALL SELECT DISTINCT 'PORT', CASE event_type WHEN 'signup' THEN '53' WHEN 'click' THEN '80' ELSE '443' END FROM events
+      UNION ALL SELECT 'APP', a FROM (VALUES {", ".join(f"('{a}')" for a in known)}) AS v(a))"""
     octets = ("event_id % 256", "user_id % 256", "7", "event_id * 3 % 256")
     own = {
         "timeline": run + " SELECT s::DOUBLE AS timestamp, '+' || s || 's' AS time_label, count(*) AS packets, sum(frame_length)::BIGINT AS bytes, count(*) FILTER (report_action = 'DROP') AS dropped FROM (SELECT *, trunc(ts - (SELECT arg_min(ts, packet_no) FROM acted))::BIGINT AS s FROM acted) GROUP BY s",
@@ -186,8 +191,8 @@ def oracle_sql() -> dict[str, str]:
         "domain_rules": f"SELECT page_id, host, {domain_sql('host', ('Facebook', '*.example.com', 'a*b.com', '*.TIKTOK.com', 'zoom'))} AS blocked FROM {mixed()}",
         "block_reasons": free + f""" SELECT packet_no, type, detail FROM (SELECT packet_no, CASE WHEN src_ip IN ({', '.join(f"'{i}'" for i in IPS)}) THEN 'IP' WHEN dst_port = 80 THEN 'PORT' WHEN app IN ({', '.join(f"'{a}'" for a in known)}) THEN 'APP' WHEN {domain_sql('sni')} THEN 'DOMAIN' END AS type,
           CASE type WHEN 'IP' THEN src_ip WHEN 'PORT' THEN '80' WHEN 'APP' THEN app ELSE sni END AS detail FROM now) WHERE type IS NOT NULL""",
-        "rule_stats": f"SELECT {len(IPS)}::BIGINT AS blocked_ips, {len(APPS)}::BIGINT AS blocked_apps, {len(DOMAINS)}::BIGINT AS blocked_domains, 1::BIGINT AS blocked_ports",
-        "rules_file_parse": "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in [*(("IP", i) for i in IPS), *(("APP", a) for a in known), *(("DOMAIN", d) for d in DOMAINS), ("PORT", "80")]) + ") AS t(kind, value)",
+        "rule_stats": drawn + " SELECT count(*) FILTER (kind = 'IP') AS blocked_ips, count(*) FILTER (kind = 'APP') AS blocked_apps, count(*) FILTER (kind = 'DOMAIN') AS blocked_domains, count(*) FILTER (kind = 'PORT' AND value <> '53') AS blocked_ports FROM rules",
+        "rules_file_parse": drawn + " SELECT kind, value FROM rules",
         "ip_rule_semi_join": BASE + f" SELECT packet_no, src_ip FROM report WHERE src_ip IN ({', '.join(f"'{i}'" for i in IPS)})",
         "domain_rule_theta_join": f"SELECT page_id, rule FROM {mixed()}, (VALUES ('facebook'), ('zoom'), ('example'), ('*.spotify.com')) AS r(rule) WHERE CASE WHEN starts_with(rule, '*.') THEN ends_with(lower(host), substr(rule, 2)) OR lower(host) = substr(rule, 3) ELSE contains(lower(host), rule) END",
         "payload_inspection": BASE + " SELECT packet_no, found_by, found_app, found_sni FROM found WHERE found_by IS NOT NULL",
@@ -221,8 +226,10 @@ def oracle_sql() -> dict[str, str]:
         "export_json": run + """ SELECT '{"application":"' || application || '","flows":' || count(*) || '}' AS json FROM flows GROUP BY application""",
         "export_top30": run + " SELECT client, server, packets, application, status FROM flow_details ORDER BY worker, first_packet_no LIMIT 30",
         "simple_scan": BASE + " SELECT count(*) AS packets, count(*) FILTER (load = 'tls') AS names FROM packets",
-        "pcap_roundtrip": BASE + " SELECT frame_length AS incl_len, count(*) AS packets, sum(ts_sec)::BIGINT AS seconds, sum(ts_usec)::BIGINT AS micros FROM packets GROUP BY 1",
-        "filtered_capture": run + " SELECT count(*) AS packets, sum(frame_length)::BIGINT AS bytes, sum(ts_sec)::BIGINT AS seconds FROM run WHERE action = 'FORWARD'",
+        "pcap_roundtrip": BASE + " SELECT frame_length AS incl_len, count(*) AS packets, sum(frame_length)::BIGINT AS bytes, sum(ts_sec)::BIGINT AS seconds, sum(ts_usec)::BIGINT AS micros, true AS same FROM packets GROUP BY 1",
+        "filtered_capture": run + " SELECT count(*) AS packets, sum(frame_length)::BIGINT AS bytes, sum(ts_sec)::BIGINT AS seconds, true AS same FROM run WHERE action = 'FORWARD'",
+        "capture_set": run + " SELECT count(*) AS total_packets, count(*) FILTER (action = 'FORWARD') AS forwarded_packets, count(*) FILTER (action = 'DROP') AS dropped_packets, count(*) FILTER (action = 'FORWARD') AS written_packets, sum(frame_length) FILTER (action = 'FORWARD')::BIGINT AS written_bytes, true AS same FROM run",
+        "summary_shown": run + " SELECT round(100.0::DOUBLE * count(*) FILTER (action = 'FORWARD') / count(*), 1) AS forward_rate, round(100.0::DOUBLE * count(*) FILTER (action = 'DROP') / count(*), 2) AS drop_rate, (SELECT round(arg_max(ts, packet_no) - arg_min(ts, packet_no), 2) FROM acted) AS duration FROM run",
     }
     # what a flow carries after each packet: its segment's finding from there on, before that what came with it
     now = f""", befores AS (SELECT {KEY}, seg, lag(app) OVER w AS app0, lag(sni) OVER w AS sni0 FROM segments WINDOW w AS (PARTITION BY {KEY} ORDER BY seg)

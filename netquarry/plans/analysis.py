@@ -2,25 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from netquarry.operators import flows as flow_ops
 from netquarry.operators import report
 from netquarry.operators.decode import decode, engine_packets, report_packets
-from netquarry.operators.inspection import inspect
+from netquarry.operators.inspection import inspected
 from netquarry.operators.rules import RuleSet
 from netquarry.sources import pcap
-
-#: Bytes aren't needed once a packet is inspected; they stay out of every shuffle.
-BYTES = ("data", "payload")
+from netquarry.synth import sample_packets
 
 
 @dataclass
 class Analysis:
-    """Tables of one set of raw packets under one set of rules; nothing runs before a table is used."""
+    """Tables of one set of raw packets under one set of rules; nothing runs before a table is used.
+
+    ``packet_no`` of ``raw`` is unique over all its captures and gives their order.
+    """
 
     raw: DataFrame
     rules: RuleSet = field(default_factory=RuleSet)
@@ -31,12 +35,26 @@ class Analysis:
 
     @cached_property
     def packets(self) -> DataFrame:
+        """All packets with their bytes and payloads."""
         return decode(self.raw)
 
+    @cached_property
+    def inspected(self) -> DataFrame:
+        """All packets as decoded and inspected in one pass, without their bytes, which no shuffle carries."""
+        return inspected(self.raw)
+
+    def persist(self, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> Analysis:
+        """Keeps the decoded packets (about a tenth of the bytes) once the first table is made, so that the next ones don't read the captures again."""
+        self.inspected.persist(level)
+        return self
+
+    def unpersist(self) -> None:
+        self.inspected.unpersist()
+
     @cached_property
     def run(self) -> DataFrame:
         """Accepted packets with the engine's action."""
-        return flow_ops.run_flows(inspect(engine_packets(self.packets)).drop(*BYTES), self.rules)
+        return flow_ops.run_flows(engine_packets(self.inspected), self.rules)
 
     @cached_property
     def all_flows(self) -> DataFrame:
@@ -49,16 +67,16 @@ class Analysis:
     @cached_property
     def reported(self) -> DataFrame:
         """Report packets as decoded, for the tables that need no flow."""
-        return report_packets(self.packets).drop(*BYTES)
+        return report_packets(self.inspected)
 
     @cached_property
     def acted(self) -> DataFrame:
         """Report packets with their flow's attributes and the report's action."""
-        return report.with_report_action(report.resolve(self.reported, self.flows, self.exact), self.rules)
+        return report.act(self.reported, report.verdicts(self.reported, self.flows, self.rules, self.exact))
 
     @cached_property
     def summary(self) -> DataFrame:
-        return report.summary(self.run, self.reported, self.all_flows, self.rules)
+        return report.summary(self.run, self.reported, self.rules)
 
     @property
     def timeline(self) -> DataFrame:
@@ -72,8 +90,12 @@ class Analysis:
     def flow_details(self) -> DataFrame:
         return report.flow_details(self.flows)
 
+    @property
+    def worker_load(self) -> DataFrame:
+        return report.worker_load(report.flow_loads(self.run), self.balancers, self.workers)
+
     def forwarded(self) -> DataFrame:
-        """Raw packets that the engine lets pass."""
+        """Raw packets that the engine lets pass, found by their number, which is unique over all captures."""
         kept = self.run.where("action = 'FORWARD'").select("packet_no")
         return self.raw.join(kept, "packet_no", "left_semi")
 
@@ -82,6 +104,11 @@ class Analysis:
         pcap.register(self.raw.sparkSession)
         self.forwarded().repartitionByRange("packet_no").sortWithinPartitions("packet_no").write.format("pcap").option("byteorder", byteorder).option("snaplen", snaplen).option("filebytes", file_bytes).mode("overwrite").save(path)
 
+    def each_batch(self, output: Callable[[DataFrame, str], None]) -> None:
+        """Gives the raw packets of each action to ``output(packets, action)``, as a hook for sinks of one's own."""
+        for action in ("FORWARD", "DROP"):
+            output(self.raw.join(self.run.where(F.col("action") == action).select("packet_no"), "packet_no", "left_semi"), action)
+
     def tables(self) -> dict[str, DataFrame]:
         return {
             "stats": self.summary, "packets": self.details, "flows": self.flow_details, "applications": report.app_distribution(self.flows), "domains": report.domains(self.flows),
@@ -90,5 +117,10 @@ class Analysis:
 
 
 def analyze(spark: SparkSession, path: str, rules: RuleSet | None = None, **options) -> Analysis:
-    """An analysis of the capture at ``path``."""
+    """An analysis of the captures at ``path`` (one file, a glob or a folder), taken as one capture in the order of their names."""
     return Analysis(pcap.read_pcap(spark, path), rules or RuleSet(), **options)
+
+
+def analyze_sample(spark: SparkSession, rules: RuleSet | None = None, **options) -> Analysis:
+    """An analysis of the package's own sample of 77 packets."""
+    return Analysis(sample_packets(spark), rules or RuleSet(), **options)

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,11 +11,12 @@ from netquarry.functions import codec
 from netquarry.functions.classify import app_named, app_of
 from netquarry.operators import flows as flow_ops
 from netquarry.operators import inspection, report, views
-from netquarry.operators.decode import report_packets
+from netquarry.operators.decode import engine_packets, report_packets
 from netquarry.operators.rules import RuleSet
 from netquarry.plans.analysis import Analysis
 from netquarry.sources import exports, pcap
-from netquarry.synth import frames
+from netquarry.sources.files import scratch
+from netquarry.synth import HOSTS, frames
 
 #: Rules of the queries; of those by port only where a query says so.
 IPS, APPS, DOMAINS = ("10.0.0.7", "10.0.0.42"), ("YouTube", "tiktok"), ("facebook", "*.spotify.com")
@@ -35,8 +33,13 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
+def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A frame for each event. Events come in few row groups and frames are made in Python, so they are dealt to all cores first."""
+    return frames(events(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism))
+
+
 def analysis(spark: SparkSession, sf_dir: str, with_rules: bool = True) -> Analysis:
-    return Analysis(frames(events(spark, sf_dir)), rules() if with_rules else RuleSet())
+    return Analysis(packets(spark, sf_dir), rules() if with_rules else RuleSet())
 
 
 def hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,8 +48,6 @@ def hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixed_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page hosts and, in turn, the known hosts, some in capitals."""
-    from netquarry.synth import HOSTS
-
     known = F.element_at(F.array(*map(F.lit, HOSTS)), (F.col("page_id") % len(HOSTS) + 1).cast("int"))
     return hosts(spark, sf_dir).select("page_id", F.when(F.col("page_id") % 3 == 0, F.col("host")).when(F.col("page_id") % 3 == 1, known).otherwise(F.upper(known)).alias("host"))
 
@@ -133,12 +134,12 @@ def flow_labels(spark, sf_dir):
 
 @query
 def tuple_hash(spark, sf_dir):
-    return flow_ops.with_hash(analysis(spark, sf_dir).run).select("packet_no", "hash")
+    return flow_ops.with_hash(engine_packets(analysis(spark, sf_dir).inspected)).select("packet_no", "hash")
 
 
 @query
 def worker_assignment(spark, sf_dir):
-    flows = flow_ops.with_hash(analysis(spark, sf_dir).run.select(*codec.FIVE_TUPLE).distinct())
+    flows = flow_ops.with_hash(engine_packets(analysis(spark, sf_dir).inspected).select(*codec.FIVE_TUPLE).distinct())
     return flows.select("src_ip", "src_port", "dst_ip", "dst_port", codec.worker_of(F.col("hash")).alias("worker"), codec.worker_of(F.col("hash"), 3, 4).alias("worker_of_12"))
 
 
@@ -201,19 +202,29 @@ def block_reasons(spark, sf_dir):
     return run.select("packet_no", reason.alias("reason")).where("reason IS NOT NULL").select("packet_no", "reason.type", "reason.detail")
 
 
+def drawn_rules(spark, sf_dir) -> DataFrame:
+    """Rules as a table: the clients with most errors, the hosts of most pages, the applications, and the ports that events go to."""
+    client = F.concat(F.lit("10.0."), (F.floor(F.col("user_id") / 256) % 256).cast("string"), F.lit("."), (F.col("user_id") % 256).cast("string"))
+    worst = events(spark, sf_dir).where("event_type = 'error'").groupBy(client.alias("value")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "value").limit(20)
+    most = hosts(spark, sf_dir).groupBy(F.col("host").alias("value")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "value").limit(10)
+    ports = events(spark, sf_dir).select(F.when(F.col("event_type") == "signup", "53").when(F.col("event_type") == "click", "80").otherwise("443").alias("value")).distinct()
+    apps = rules().table(spark).where("kind = 'APP'")
+    named = lambda df, kind: df.select(F.lit(kind).alias("kind"), "value")
+    return named(worst, "IP").unionByName(named(most, "DOMAIN")).unionByName(named(ports, "PORT")).unionByName(apps)
+
+
 @query
 def rule_stats(spark, sf_dir):
-    some = RuleSet.of(IPS, APPS, DOMAINS, ports=(80, 22))
-    some.unblock_port(22)
-    stats = some.stats()
-    return spark.range(1).select(*(F.lit(v).cast("long").alias(k) for k, v in stats.items()))
+    some = RuleSet.from_table(drawn_rules(spark, sf_dir))
+    some.unblock_port(53)
+    return spark.createDataFrame([tuple(some.stats().values())], ", ".join(f"{k} long" for k in some.stats()))
 
 
 @query
 def rules_file_parse(spark, sf_dir):
     """Rules written to a file and read back."""
-    path = os.path.join(tempfile.mkdtemp(), "rules.txt")
-    RuleSet.of(IPS, APPS, DOMAINS, ports=(80,)).save(path)
+    path = f"{scratch(spark, 'rules')}/rules.txt"
+    RuleSet.from_table(drawn_rules(spark, sf_dir)).save(path)
     return RuleSet.load(path).table(spark)
 
 
@@ -231,12 +242,12 @@ def domain_rule_theta_join(spark, sf_dir):
     names, rule = mixed_hosts(spark, sf_dir).withColumn("name", F.lower("host")), F.lower(F.col("value"))
     star = F.startswith(rule, F.lit("*."))
     met = F.when(star, F.endswith(F.col("name"), F.substring(rule, 2, 1000)) | (F.col("name") == F.substring(rule, 3, 1000))).otherwise(F.contains(F.col("name"), rule))
-    return names.join(F.broadcast(table), met).select("page_id", F.col("value").alias("rule"))
+    return names.join(table, met).select("page_id", F.col("value").alias("rule"))
 
 
 @query
 def payload_inspection(spark, sf_dir):
-    return analysis(spark, sf_dir).run.where("found_by IS NOT NULL").select("packet_no", "found_by", "found_app", "found_sni")
+    return engine_packets(analysis(spark, sf_dir).inspected).where("found_by IS NOT NULL").select("packet_no", "found_by", "found_app", "found_sni")
 
 
 @query
@@ -310,7 +321,7 @@ def layer_details(spark, sf_dir):
 
 @query
 def worker_load(spark, sf_dir):
-    return report.worker_load(analysis(spark, sf_dir).run)
+    return analysis(spark, sf_dir).worker_load
 
 
 @query
@@ -386,29 +397,48 @@ def simple_scan(spark, sf_dir):
     return packets.select(name.alias("sni")).agg(F.count(F.lit(1)).alias("packets"), F.count("sni").alias("names"))
 
 
-def _capture(spark: SparkSession) -> str:
-    """A folder for a capture that all executors reach: below the checkpoint folder where one is set."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
-    return f"{shared}/captures-{uuid.uuid4().hex}"
+def _digest() -> list:
+    """A digest of all bytes and times that doesn't depend on the order."""
+    return [F.count(F.lit(1)).alias("packets"), F.sum(F.length("data")).cast("long").alias("bytes"), F.bit_xor(F.xxhash64("ts_sec", "ts_usec", "data")).alias("digest")]
 
 
 @query
 def pcap_roundtrip(spark, sf_dir):
-    """Frames written as captures and read again by the data source."""
+    """Frames written as captures and read again by the data source; ``same`` says whether all bytes and times came back."""
     pcap.register(spark)
-    path = _capture(spark)
-    frames(events(spark, sf_dir)).repartitionByRange(4, "packet_no").sortWithinPartitions("packet_no").write.format("pcap").mode("overwrite").save(path)
-    back = spark.read.format("pcap").load(path)
-    return back.select("ts_sec", "ts_usec", "incl_len", F.md5("data").alias("digest")).groupBy("incl_len").agg(F.count(F.lit(1)).alias("packets"), F.sum("ts_sec").alias("seconds"), F.sum("ts_usec").alias("micros"))
+    path, sent = scratch(spark, "captures"), packets(spark, sf_dir)
+    sent.repartitionByRange("packet_no").sortWithinPartitions("packet_no").write.format("pcap").mode("overwrite").save(path)
+    back = spark.read.format("pcap").load(path).groupBy("incl_len").agg(*_digest(), F.sum("ts_sec").alias("seconds"), F.sum("ts_usec").alias("micros"))
+    sent = sent.groupBy("incl_len").agg(*_digest()).select("incl_len", F.col("digest").alias("sent"))
+    return back.join(sent, "incl_len", "left").select("incl_len", "packets", "bytes", "seconds", "micros", F.coalesce(F.col("digest") == F.col("sent"), F.lit(False)).alias("same"))
 
 
 @query
 def filtered_capture(spark, sf_dir):
-    """What passes the rules, read back from the capture it was written to."""
-    path = _capture(spark)
-    analysis(spark, sf_dir).write_capture(path, byteorder="big")
-    back = pcap.read_pcap(spark, f"{path}/*.pcap")
-    return back.agg(F.count(F.lit(1)).alias("packets"), F.sum("incl_len").cast("long").alias("bytes"), F.sum("ts_sec").alias("seconds"))
+    """What passes the rules, read back from the captures it was written to; ``same`` says whether they hold just those bytes."""
+    path, a = scratch(spark, "captures"), analysis(spark, sf_dir)
+    a.write_capture(path, byteorder="big")
+    back = pcap.read_pcap(spark, f"{path}/*.pcap").agg(*_digest(), F.sum("ts_sec").alias("seconds"))
+    return back.crossJoin(a.forwarded().agg(*_digest()).select(F.col("digest").alias("passed"))).select("packets", "bytes", "seconds", (F.col("digest") == F.col("passed")).alias("same"))
+
+
+@query
+def capture_set(spark, sf_dir):
+    """Many captures taken as one: written, read in pieces, analysed, filtered, and read back."""
+    pcap.register(spark)
+    path, sent = scratch(spark, "captures"), packets(spark, sf_dir)
+    sent.repartitionByRange("packet_no").sortWithinPartitions("packet_no").write.format("pcap").option("filebytes", 1 << 18).mode("overwrite").save(f"{path}/in")
+    a = Analysis(pcap.read_pcap(spark, f"{path}/in/*.pcap", piece_bytes=1 << 17), rules())
+    a.write_capture(f"{path}/out")
+    totals = report.engine_totals(a.run).select("total_packets", "forwarded_packets", "dropped_packets")
+    back = pcap.read_pcap(spark, f"{path}/out/*.pcap").agg(*_digest()).select(F.col("packets").alias("written_packets"), F.col("bytes").alias("written_bytes"), "digest")
+    passed = analysis(spark, sf_dir).forwarded().agg(F.bit_xor(F.xxhash64("ts_sec", "ts_usec", "data")).alias("passed"))
+    return totals.crossJoin(back).crossJoin(passed).select(*totals.columns, "written_packets", "written_bytes", (F.col("digest") == F.col("passed")).alias("same"))
+
+
+@query
+def summary_shown(spark, sf_dir):
+    return report.shown(analysis(spark, sf_dir).summary)
 
 
 QUERIES["report_packets"] = report_totals

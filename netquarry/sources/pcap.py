@@ -1,23 +1,32 @@
-"""Packet captures as a Spark data source: ``spark.read.format("pcap")`` and ``df.write.format("pcap")``."""
+"""Packet captures: ``read_pcap`` for captures of any size and number, and ``spark.read.format("pcap")`` / ``df.write.format("pcap")``."""
 
 from __future__ import annotations
 
-import glob
-import os
+import io
+import itertools
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.fs
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.window import Window
+
+from netquarry.sources.files import located
 
 SCHEMA = "source_file string, packet_no bigint, ts_sec int, ts_usec int, incl_len int, orig_len int, data binary"
 # The magic number in the file's byte order, sizes of the headers, and the most bytes of a frame.
 MAGIC, FILE_HEADER, RECORD_HEADER, MOST_BYTES = 0xA1B2C3D4, 24, 16, 65_535
 ROWS = 10_000
-#: Bytes after which a task goes on in another file; a file is read as one value of 2 GB at most.
-FILE_BYTES = 256 << 20
+#: Bytes after which a task goes on in another file, and bytes of a file that one task reads.
+FILE_BYTES, PIECE_BYTES = 256 << 20, 64 << 20
+#: The data source numbers packets file by file: a file's place times this, and the packet's place in it.
+FILE_STEP = 1 << 40
 COLUMNS = pa.schema([("source_file", pa.string()), ("packet_no", pa.int64()), *((c, pa.int32()) for c in ("ts_sec", "ts_usec", "incl_len", "orig_len")), ("data", pa.binary())])
 
 
@@ -28,6 +37,10 @@ class Header:
     snaplen: int
     linktype: int
 
+    @property
+    def most(self) -> int:
+        return min(self.snaplen, MOST_BYTES)
+
 
 def file_header(start: bytes) -> Header:
     """Raises for anything but a microsecond capture in either byte order."""
@@ -44,47 +57,149 @@ def signed(value: int) -> int:
     return value - (1 << 32) if value >= 1 << 31 else value
 
 
+def record_header(order: str, sec: int, usec: int, kept: int) -> bytes:
+    """The original length becomes that of the bytes kept."""
+    return struct.pack(f"{order}IIII", sec & 0xFFFFFFFF, usec & 0xFFFFFFFF, kept, kept)
+
+
 def records(stream, header: Header) -> Iterator[tuple[int, int, int, int, bytes]]:
-    """Records to the file's end; a cut record, or one longer than may be, ends them."""
-    most = min(header.snaplen, MOST_BYTES)
+    """Records to the stream's end; a cut record, or one longer than may be, ends them."""
     while len(head := stream.read(RECORD_HEADER)) == RECORD_HEADER:
         sec, usec, kept, whole = struct.unpack(f"{header.order}IIII", head)
-        if kept > most or len(data := stream.read(kept)) < kept:
+        if kept > header.most or len(data := stream.read(kept)) < kept:
             return
         yield signed(sec), signed(usec), kept, signed(whole), data
 
 
-def batches(stream, name: str) -> Iterator[pa.RecordBatch]:
-    header, rows = file_header(stream.read(FILE_HEADER)), []
-    for i, (sec, usec, kept, whole, data) in enumerate(records(stream, header)):
-        rows.append((name, i, sec, usec, kept, whole, data))
-        if len(rows) == ROWS:
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), COLUMNS.types, strict=True)], schema=COLUMNS)
-            rows = []
-    if rows:
+def batches(found: Iterator[tuple], name: str, first: int) -> Iterator[pa.RecordBatch]:
+    """Record batches of ``records``, numbered from ``first``."""
+    for rows in itertools.batched(((name, n, *r) for n, r in enumerate(found, first)), ROWS):
         yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), COLUMNS.types, strict=True)], schema=COLUMNS)
 
 
+# -- captures read in pieces
+
+
+def _start(uri: str):
+    """A capture's open file and its header."""
+    fs, path = located(uri)
+    stream = fs.open_input_file(path)
+    return stream, file_header(stream.read_at(FILE_HEADER, 0))
+
+
+def chains(content: np.ndarray, begin: int, end: int, size: int, header: Header, entries: np.ndarray) -> dict[int, tuple[int, int]]:
+    """For each place in ``entries`` where a record may start: where the chain of records from there leaves ``end``, and its records.
+
+    content: the bytes from ``begin`` on, past ``end`` by a record's header. A chain that meets a wrong or cut record has exit -1.
+    """
+    weights = np.array([1, 1 << 8, 1 << 16, 1 << 24] if header.order == "<" else [1 << 24, 1 << 16, 1 << 8, 1], np.int64)
+    inside = entries[entries - begin + RECORD_HEADER <= len(content)]
+    kept = (content[(inside - begin + 8)[:, None] + np.arange(4)].astype(np.int64) * weights).sum(axis=1)
+    sound = inside[(kept <= header.most) & (inside + RECORD_HEADER + kept <= size)]
+    raw, kind, known = content.tobytes(), struct.Struct(f"{header.order}I"), {}
+    for entry in sound.tolist():
+        path, at = [], entry
+        while begin <= at < end and at not in known:
+            path.append(at)
+            kept = kind.unpack_from(raw, at - begin + 8)[0] if at - begin + RECORD_HEADER <= len(raw) else MOST_BYTES + 1
+            at = at + RECORD_HEADER + kept if kept <= header.most and at + RECORD_HEADER + kept <= size else -1
+        leaves, n = known.get(at, (at, 0))
+        if leaves < 0 and at < 0:
+            known[path.pop()] = (-1, 0)
+        for place in reversed(path):
+            n += 1
+            known[place] = (leaves, n)
+    return {e: known[e] for e in sound.tolist()}
+
+
+def _candidates(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The chains through each piece: from the file's header in the first piece, from anywhere that a record could start in others."""
+    for batch in parts:
+        for name, size, begin, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            stream, header = _start(name)
+            with stream:
+                content = np.frombuffer(stream.read_at(min(size, end + RECORD_HEADER) - begin, begin), np.uint8)
+            entries = np.array([FILE_HEADER]) if begin == 0 else np.arange(begin, min(end, begin + header.most + RECORD_HEADER))
+            found = chains(content, begin, end, size, header, entries)
+            yield pa.record_batch({
+                "source_file": pa.array([name] * len(found), pa.string()), "begin": pa.array([begin] * len(found), pa.int64()), "end": pa.array([end] * len(found), pa.int64()),
+                "entry": pa.array(list(found), pa.int64()), "leaves": pa.array([x for x, _ in found.values()], pa.int64()), "n": pa.array([n for _, n in found.values()], pa.int64()),
+            })
+
+
+def _followed(table: pa.Table) -> pa.Table:
+    """Of the candidates of one file the pieces' chains that join up from its start, with the packets before each."""
+    rows = {(b, e): (end, leaves, n) for b, end, e, leaves, n in zip(*(table[c].to_pylist() for c in ("begin", "end", "entry", "leaves", "n")), strict=True)}
+    begins = sorted({(b, end) for (b, _), (end, _, _) in rows.items()})
+    at, before, out = FILE_HEADER, 0, []
+    for begin, end in begins:
+        if at >= end:
+            continue  # a record reaches over the whole piece
+        _, leaves, n = rows.get((begin, at), (end, -1, 0))
+        if n:
+            out.append((table["source_file"][0].as_py(), at, leaves if leaves >= 0 else end, n, before))
+        before, at = before + n, leaves
+        if leaves < 0:
+            break
+    return pa.table({k: pa.array([r[i] for r in out], t) for i, (k, t) in enumerate((("source_file", pa.string()), ("entry", pa.int64()), ("leaves", pa.int64()), ("n", pa.int64()), ("before", pa.int64())))})
+
+
+def _read_pieces(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in parts:
+        for name, entry, leaves, n, number in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            stream, header = _start(name)
+            with stream:
+                content = io.BytesIO(stream.read_at(leaves + MOST_BYTES + RECORD_HEADER - entry, entry))
+            yield from batches(itertools.islice(records(content, header), n), name, number)
+
+
+def read_pcap(spark: SparkSession, path: str, piece_bytes: int = PIECE_BYTES) -> DataFrame:
+    """All packets of the captures at ``path`` (a glob, or a folder), as one capture: files in the order of their names, ``packet_no`` from 0 over all of them.
+
+    A file of any size is read in pieces. Where a record starts can't be told from within a file, so each piece gives the chains of
+    records from all places where one could start, and those that join up from the file's start are read. Files
+    are opened by pyarrow, which knows local and mounted folders, S3, GCS and HDFS. The chains (a row for each piece) are kept once made.
+    """
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("source_file"), "length")
+    pieces = F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("length") / piece_bytes) - 1, F.lit(0)).cast("long"))
+    cuts = files.select("source_file", "length", F.explode(pieces).alias("i"))
+    cuts = cuts.select("source_file", "length", (F.col("i") * piece_bytes).alias("begin"), F.least((F.col("i") + 1) * piece_bytes, "length").alias("end"))
+    tasks = max(1, min(cuts.count(), 10_000))
+    found = cuts.repartition(tasks).mapInArrow(_candidates, "source_file string, begin long, end long, entry long, leaves long, n long")
+    true = found.groupBy("source_file").applyInArrow(_followed, "source_file string, entry long, leaves long, n long, before long").persist(StorageLevel.MEMORY_AND_DISK)
+    totals = true.groupBy("source_file").agg(F.sum("n").alias("of_file"))
+    bases = totals.select(F.col("source_file").alias("file"), (F.sum("of_file").over(Window.orderBy("source_file").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("of_file")).alias("base"))
+    numbered = true.join(bases, F.col("source_file") == F.col("file")).select("source_file", "entry", "leaves", "n", (F.col("base") + F.col("before")).alias("number"))
+    return numbered.repartition(tasks, "source_file", "entry").mapInArrow(_read_pieces, SCHEMA)
+
+
+# -- the data source
+
+
 class _File(InputPartition):
     pass
 
 
 class _Reader(DataSourceReader):
-    """One partition a file, as records can't be found from within one."""
+    """One partition a file; ``read_pcap`` reads large files in pieces."""
 
     def __init__(self, path: str):
         self.path = path
 
     def partitions(self) -> list[InputPartition]:
-        path = self.path.removeprefix("file://")
-        files = sorted(glob.glob(os.path.join(path, "*.pcap")) if os.path.isdir(path) else glob.glob(path))
-        if not files:
+        fs, path = located(self.path)
+        info = fs.get_file_info(path)
+        found = [f.path for f in fs.get_file_info(pyarrow.fs.FileSelector(path)) if f.path.endswith(".pcap")] if info.type == pyarrow.fs.FileType.Directory else [path] if info.is_file else []
+        if not found:
             raise FileNotFoundError(self.path)
-        return [_File(f) for f in files]
+        return [_File((i, f)) for i, f in enumerate(sorted(found))]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        with open(partition.value, "rb") as stream:
-            yield from batches(stream, partition.value)
+        rank, path = partition.value
+        fs, _ = located(self.path)
+        with fs.open_input_stream(path) as stream:
+            header = file_header(stream.read(FILE_HEADER))
+            yield from batches(records(stream, header), path, rank * FILE_STEP)
 
 
 @dataclass
@@ -93,10 +208,10 @@ class _Written(WriterCommitMessage):
 
 
 class _Writer(DataSourceArrowWriter):
-    """Captures of about FILE_BYTES at most of each task, renamed into place at commit. The frames' original lengths become those kept."""
+    """Captures of about FILE_BYTES at most of each task, renamed into place at commit: the order of names is that of partitions."""
 
-    def __init__(self, options: dict[str, str], names: list[str], overwrite: bool):
-        self.path, self.names, self.overwrite = options["path"].removeprefix("file://"), names, overwrite
+    def __init__(self, options: dict[str, str], overwrite: bool):
+        self.uri, self.overwrite = options["path"], overwrite
         self.most = int(options.get("filebytes", FILE_BYTES))
         self.order = ">" if options.get("byteorder", "little") == "big" else "<"
         self.header = struct.pack(f"{self.order}IHHiIII", MAGIC, 2, 4, 0, 0, int(options.get("snaplen", MOST_BYTES)), int(options.get("linktype", 1)))
@@ -104,47 +219,46 @@ class _Writer(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         from pyspark import TaskContext
 
-        task = TaskContext.get()
-        os.makedirs(self.path, exist_ok=True)
+        task, (fs, root) = TaskContext.get(), located(self.uri)
+        fs.create_dir(root)
         paths: list[str] = []
-
-        def opened():
-            paths.append(os.path.join(self.path, f".part-{task.partitionId():05d}-{len(paths):05d}-{task.taskAttemptId()}.tmp"))
-            out = open(paths[-1], "wb")  # noqa: SIM115
-            out.write(self.header)
-            return out
-
-        out = opened()
-        try:
-            for batch in iterator:
-                sec, usec, data = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("ts_sec", "ts_usec", "data"))
-                for s, u, d in zip(sec, usec, data, strict=True):
-                    if out.tell() > FILE_HEADER and out.tell() + RECORD_HEADER + len(d) > self.most:
-                        out.close()
-                        out = opened()
-                    out.write(struct.pack(f"{self.order}IIII", s & 0xFFFFFFFF, u & 0xFFFFFFFF, len(d), len(d)))
-                    out.write(d)
-        finally:
+        out, size = None, 0
+        for batch in iterator:
+            sec, usec, data = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("ts_sec", "ts_usec", "data"))
+            for s, u, d in zip(sec, usec, data, strict=True):
+                d = d or b""
+                if out is not None and size > FILE_HEADER and size + RECORD_HEADER + len(d) > self.most:
+                    out.close()
+                    out = None
+                if out is None:
+                    paths.append(f"{root}/.part-{task.partitionId():08d}-{len(paths):05d}-{task.taskAttemptId()}.tmp")
+                    out, size = io.BufferedWriter(fs.open_output_stream(paths[-1]), 1 << 20), FILE_HEADER
+                    out.write(self.header)
+                out.write(record_header(self.order, s, u, len(d)) + d)
+                size += RECORD_HEADER + len(d)
+        if out is not None:
             out.close()
         return _Written(paths)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
-        kept = {path for m in messages if m is not None for path in m.paths}
+        kept, (fs, root) = [path for m in messages if m is not None for path in m.paths], located(self.uri)
+        fs.create_dir(root)
         if self.overwrite:
-            for old in glob.glob(os.path.join(self.path, "*.pcap")):
-                os.remove(old)
+            for old in fs.get_file_info(pyarrow.fs.FileSelector(root)):
+                if old.path.endswith(".pcap"):
+                    fs.delete_file(old.path)
         for path in kept:
-            _, part, piece, _ = os.path.basename(path).split("-")
-            os.replace(path, os.path.join(self.path, f"part-{part}-{piece}.pcap"))
+            _, part, piece, _ = path.rsplit("/", 1)[1].split("-")
+            fs.move(path, f"{root}/part-{part}-{piece}.pcap")
         if not kept:  # nothing passed: an empty capture
-            os.makedirs(self.path, exist_ok=True)
-            with open(os.path.join(self.path, "part-00000-00000.pcap"), "wb") as out:
+            with fs.open_output_stream(f"{root}/part-00000000-00000.pcap") as out:
                 out.write(self.header)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        fs, _ = located(self.uri)
         for path in (path for m in messages if m is not None for path in m.paths):
-            if os.path.exists(path):
-                os.remove(path)
+            if fs.get_file_info(path).is_file:
+                fs.delete_file(path)
 
 
 class PcapDataSource(DataSource):
@@ -159,20 +273,8 @@ class PcapDataSource(DataSource):
         return _Reader(self.options["path"])
 
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
-        return _Writer(dict(self.options), schema.fieldNames(), overwrite)
+        return _Writer(dict(self.options), overwrite)
 
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(PcapDataSource)
-
-
-def read_pcap(spark: SparkSession, path: str) -> DataFrame:
-    """Captures in any store that Spark reads, a task for each file (up to 2 GB, as it comes as one value)."""
-    import io
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            for name, content in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                yield from batches(io.BytesIO(content.as_py()), name)
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, SCHEMA)

@@ -9,41 +9,58 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from netquarry.functions.codec import ACK, FIN, FIVE_TUPLE, RST, epoch
+from netquarry.functions.codec import ACK, FIN, FIVE_TUPLE, RST, SYN, epoch
+from netquarry.operators.rules import RuleSet
 
-FLOW_SCHEMA = "src_ip string, dst_ip string, src_port int, dst_port int, protocol int, packets bigint, bytes bigint, application string, sni string, state string"
+FLOW_SCHEMA = "src_ip string, dst_ip string, src_port int, dst_port int, protocol int, packets bigint, bytes bigint, forwarded bigint, dropped bigint, application string, sni string, state string"
+_STATE = "packets bigint, bytes bigint, forwarded bigint, dropped bigint, application string, sni string, bad boolean, state string, syn boolean, synack boolean, fin boolean"
 
 
 class FlowState(StatefulProcessor):
-    """Counts and classification of a flow so far; a flow idle for longer than its time limit starts anew."""
+    """Counts, classification and block of a flow so far, as the batch has them; a flow that gets no packet for ``idle_ms`` of processing time starts anew."""
 
-    def __init__(self, idle_ms: int = 300_000):
-        self.idle_ms = idle_ms
+    def __init__(self, idle_ms: int = 300_000, unknown_bad: bool = False):
+        self.idle_ms, self.unknown_bad = idle_ms, unknown_bad
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.flow = handle.getValueState("flow", "packets bigint, bytes bigint, application string, sni string, state string, fin boolean", ttlDurationMs=self.idle_ms)
+        self.flow = handle.getValueState("flow", _STATE, ttlDurationMs=self.idle_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        packets, size, app, sni, state, fin = self.flow.get() if self.flow.exists() else (0, 0, "Unknown", "", "NEW", False)
-        for frame in rows:
-            for r in frame.sort_values("packet_no").itertuples():
-                packets, size = packets + 1, size + r.frame_length
-                fin = fin or bool(r.has_tcp and r.tcp_flags & FIN)
-                if r.has_tcp and (r.tcp_flags & RST or fin and r.tcp_flags & ACK):
+        packets, size, passed, dropped, app, sni, bad, state, syn, synack, fin = self.flow.get() if self.flow.exists() else (0, 0, 0, 0, "Unknown", "", self.unknown_bad, "NEW", False, False, False)
+        arrived = pd.concat(list(rows), ignore_index=True).sort_values("packet_no")
+        for r in arrived.itertuples():
+            packets, size = packets + 1, size + r.frame_length
+            if r.has_tcp:
+                ack = bool(r.tcp_flags & ACK)
+                syn, synack, fin = syn or bool(r.tcp_flags & SYN and not ack), synack or bool(r.tcp_flags & SYN and ack), fin or bool(r.tcp_flags & FIN)
+                if r.tcp_flags & RST or fin and ack:
                     state = "CLOSED"
-                if state != "CLASSIFIED" and isinstance(r.found_app, str):
-                    app, sni, state = r.found_app, r.found_sni, "CLASSIFIED"
-        self.flow.update((packets, size, app, sni, state, fin))
-        yield pd.DataFrame([(*key, packets, size, app, sni, state)], columns=[c.split()[0] for c in FLOW_SCHEMA.split(", ")])
+                elif state == "NEW" and syn and synack and ack:
+                    state = "ESTABLISHED"
+            if state not in ("BLOCKED", "CLASSIFIED") and isinstance(r.found_app, str):
+                app, sni, bad, state = r.found_app, r.found_sni, bool(r.found_hit), "CLASSIFIED"
+            if r.address_hit or bad:
+                state = "BLOCKED"
+            dropped, passed = dropped + (state == "BLOCKED"), passed + (state != "BLOCKED")
+        self.flow.update((packets, int(size), passed, dropped, app, sni, bad, state, syn, synack, fin))
+        yield pd.DataFrame([(*key, packets, size, passed, dropped, app, sni, state)], columns=[c.split()[0] for c in FLOW_SCHEMA.split(", ")])
 
     def close(self) -> None:
         pass
 
 
-def flow_updates(inspected: DataFrame, idle_ms: int = 300_000) -> DataFrame:
-    """A row for each flow that a batch of the stream touches. Needs the RocksDB state store."""
-    wanted = inspected.select(*FIVE_TUPLE, "packet_no", "frame_length", "has_tcp", "tcp_flags", "found_app", "found_sni")
-    return wanted.groupBy(*FIVE_TUPLE).transformWithStateInPandas(FlowState(idle_ms), FLOW_SCHEMA, "Update", "ProcessingTime")
+def flow_updates(inspected: DataFrame, rules: RuleSet | None = None, idle_ms: int = 300_000) -> DataFrame:
+    """A row for each flow that a batch of the stream touches, with the engine's verdicts under ``rules``. Needs the RocksDB state store.
+
+    Packets of one micro-batch are put in order by ``packet_no``; those of later batches come later. With every packet in
+    its place the last row of a flow agrees with the batch's flow table.
+    """
+    rules = rules or RuleSet()
+    wanted = inspected.select(
+        *FIVE_TUPLE, "packet_no", "frame_length", "has_tcp", "tcp_flags", "found_app", "found_sni",
+        rules.address_hit(F.col("src_ip"), F.col("dst_port")).alias("address_hit"), rules.flow_hit(F.coalesce("found_app", F.lit("Unknown")), F.coalesce("found_sni", F.lit(""))).alias("found_hit"),
+    )
+    return wanted.groupBy(*FIVE_TUPLE).transformWithStateInPandas(FlowState(idle_ms, "Unknown" in rules.apps), FLOW_SCHEMA, "Update", "ProcessingTime")
 
 
 def traffic(packets: DataFrame, late: str = "10 seconds") -> DataFrame:

@@ -6,7 +6,7 @@ import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Hosts of the servers 198.51.100.1 and on: each application's, two that other patterns shadow, and unknown ones.
@@ -94,3 +94,37 @@ def frames(events: DataFrame) -> DataFrame:
 
     wanted = events.select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"), "user_id", "event_type", "value")
     return wanted.mapInArrow(run, "packet_no bigint, ts_sec int, ts_usec int, incl_len int, orig_len int, data binary")
+
+
+# The sample capture's client, and its servers with their names.
+SAMPLE_CLIENT = "192.168.1.100"
+SAMPLE_TLS = (
+    ("142.250.185.206", "www.google.com"), ("142.250.185.110", "www.youtube.com"), ("157.240.1.35", "www.facebook.com"), ("157.240.1.174", "www.instagram.com"), ("104.244.42.65", "twitter.com"), ("52.94.236.248", "www.amazon.com"),
+    ("23.52.167.61", "www.netflix.com"), ("140.82.114.4", "github.com"), ("104.16.85.20", "discord.com"), ("35.186.224.25", "zoom.us"), ("35.186.227.140", "web.telegram.org"), ("99.86.0.100", "www.tiktok.com"),
+    ("35.186.224.47", "open.spotify.com"), ("192.0.78.24", "www.cloudflare.com"), ("13.107.42.14", "www.microsoft.com"), ("17.253.144.10", "www.apple.com"),
+)
+SAMPLE_HTTP = (("93.184.216.34", "example.com"), ("185.199.108.153", "httpbin.org"))
+SAMPLE_DNS = ("www.google.com", "www.youtube.com", "www.facebook.com", "api.twitter.com")
+SAMPLE_BLOCKED = ("192.168.1.50", "172.217.0.100")
+SAMPLE_REQUEST = "GET / HTTP/1.1\r\nHost: {host}\r\nUser-Agent: DPI-Test/1.0\r\nAccept: */*\r\n\r\n"
+
+
+def sample_frames(first_port: int = 50_000) -> list[bytes]:
+    """77 frames: sixteen TLS handshakes, two HTTP requests, four DNS queries, and five packets of another source."""
+    ports, me = iter(range(first_port, 65_536)), SAMPLE_CLIENT
+    out: list[bytes] = []
+    for ip, host in SAMPLE_TLS:
+        port = next(ports)
+        out += [ipv4(me, ip, 6, tcp(port, 443, 2)), ipv4(ip, me, 6, tcp(443, port, 18)), ipv4(me, ip, 6, tcp(port, 443, 16)), ipv4(me, ip, 6, tcp(port, 443, 24, client_hello(host)))]
+    for ip, host in SAMPLE_HTTP:
+        port = next(ports)
+        out += [ipv4(me, ip, 6, tcp(port, 80, 2)), ipv4(me, ip, 6, tcp(port, 80, 24, SAMPLE_REQUEST.format(host=host).encode()))]
+    out += [ipv4(me, RESOLVER, 17, udp(next(ports), 53, dns_query(host))) for host in SAMPLE_DNS]
+    source, target = SAMPLE_BLOCKED
+    return out + [ipv4(source, target, 6, tcp(next(ports), 443, 2)) for _ in range(5)]
+
+
+def sample_packets(spark: SparkSession, first_second: int = 1_700_000_000) -> DataFrame:
+    """The sample as raw packets, one a second."""
+    rows = [(i, first_second + i, 0, len(f), len(f), bytearray(f)) for i, f in enumerate(sample_frames())]
+    return spark.createDataFrame(rows, "packet_no bigint, ts_sec int, ts_usec int, incl_len int, orig_len int, data binary")

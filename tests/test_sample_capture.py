@@ -9,34 +9,9 @@ from netquarry.operators import report
 from netquarry.operators.rules import RuleSet
 from netquarry.plans.analysis import Analysis, analyze
 from netquarry.sources import exports, pcap
-from netquarry.synth import client_hello, dns_query, ipv4, tcp, udp
-
-ME = "192.168.1.100"
-TLS = [
-    ("142.250.185.206", "www.google.com"), ("142.250.185.110", "www.youtube.com"), ("157.240.1.35", "www.facebook.com"), ("157.240.1.174", "www.instagram.com"), ("104.244.42.65", "twitter.com"), ("52.94.236.248", "www.amazon.com"),
-    ("23.52.167.61", "www.netflix.com"), ("140.82.114.4", "github.com"), ("104.16.85.20", "discord.com"), ("35.186.224.25", "zoom.us"), ("35.186.227.140", "web.telegram.org"), ("99.86.0.100", "www.tiktok.com"),
-    ("35.186.224.47", "open.spotify.com"), ("192.0.78.24", "www.cloudflare.com"), ("13.107.42.14", "www.microsoft.com"), ("17.253.144.10", "www.apple.com"),
-]
-HTTP = [("93.184.216.34", "example.com"), ("185.199.108.153", "httpbin.org")]
-DNS = ["www.google.com", "www.youtube.com", "www.facebook.com", "api.twitter.com"]
-
-
-def sample_frames():
-    port, out = 50000, []
-    for ip, host in TLS:
-        out += [ipv4(ME, ip, 6, tcp(port, 443, 2)), ipv4(ip, ME, 6, tcp(443, port, 18)), ipv4(ME, ip, 6, tcp(port, 443, 16)), ipv4(ME, ip, 6, tcp(port, 443, 24, client_hello(host)))]
-        port += 1
-    for ip, host in HTTP:
-        request = f"GET / HTTP/1.1\r\nHost: {host}\r\nUser-Agent: DPI-Test/1.0\r\nAccept: */*\r\n\r\n".encode()
-        out += [ipv4(ME, ip, 6, tcp(port, 80, 2)), ipv4(ME, ip, 6, tcp(port, 80, 24, request))]
-        port += 1
-    for host in DNS:
-        out.append(ipv4(ME, "8.8.8.8", 17, udp(port, 53, dns_query(host))))
-        port += 1
-    for _ in range(5):
-        out.append(ipv4("192.168.1.50", "172.217.0.100", 6, tcp(port, 443, 2)))
-        port += 1
-    return out
+from netquarry.synth import SAMPLE_CLIENT, client_hello, ipv4, sample_frames, sample_packets, tcp
+
+ME = SAMPLE_CLIENT
 
 
 RULES = RuleSet.of(ips=("192.168.1.50",), apps=("YouTube", "TikTok"), domains=("facebook",))
@@ -49,7 +24,7 @@ def raw(spark, frames, first=1_700_000_000):
 
 @pytest.fixture(scope="module")
 def packets(spark):
-    return raw(spark, sample_frames()).cache()
+    return sample_packets(spark).cache()
 
 
 def test_goldens_without_rules(packets):
@@ -65,7 +40,7 @@ def test_goldens_with_rules(packets):
     assert {r.state: r["count"] for r in a.flows.groupBy("state").count().collect()} == {"CLASSIFIED": 19, "NEW": 16, "BLOCKED": 8}
     assert a.acted.where("report_action = 'DROP'").count() == 17
     assert a.details.where("payload_summary LIKE 'SNI: %'").count() == 16
-    assert [r.flows for r in report.worker_load(a.run).orderBy("worker").collect()] == [24, 0, 0, 19]
+    assert [r.flows for r in a.worker_load.orderBy("worker").collect()] == [24, 0, 0, 19]
 
 
 def test_graph_and_applications(packets):

@@ -1,10 +1,9 @@
 from pyspark.sql import functions as F
 
-from netquarry.operators.decode import decode, engine_packets
-from netquarry.operators.inspection import inspect
+from netquarry.operators.decode import decode, engine_packets, report_packets
+from netquarry.operators.inspection import inspected
 from netquarry.streaming.captures import flow_updates, traffic
 from netquarry.synth import client_hello, ipv4, tcp
-from netquarry.operators.decode import report_packets
 
 
 def source(spark, tmp_path):
@@ -21,7 +20,7 @@ def finished(df, name, mode):
 
 
 def test_flow_state(spark, tmp_path):
-    finished(flow_updates(inspect(engine_packets(decode(source(spark, tmp_path)))).drop("data", "payload")), "flows_out", "update")
+    finished(flow_updates(engine_packets(inspected(source(spark, tmp_path)))), "flows_out", "update")
     row = spark.table("flows_out").first()
     assert (row.packets, row.application, row.sni, row.state) == (3, "Zoom", "zoom.us", "CLOSED")
 
