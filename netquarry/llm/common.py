@@ -47,6 +47,34 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: One-row-a-key tables of at most so many narrow rows (about 10 MB) are broadcast; larger ones are repeated for each of SALTS parts of a key.
+BROADCAST_ROWS, SALTS = 200_000, 16
+
+
+def hot_join(big: DataFrame, small: DataFrame, key: str, spread_by: str, how: str = "inner") -> DataFrame:
+    """Joins ``big``, of which one key may hold any share, with ``small`` (narrow, one row a key, already written by ``cut``), without one task for a key."""
+    if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return big.join(F.broadcast(small), key, how)
+    salted = big.withColumn("join_salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int"))
+    copies = small.withColumn("join_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, [key, "join_salt"], how).drop("join_salt")
+
+
+def quoted(name: str) -> Column:
+    """A column by its name, whatever characters that holds."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def packed(docs: DataFrame) -> Column:
+    """All columns of a row as one struct, so that working columns can't clash with them; ``select("row.*")`` gives them back."""
+    return F.struct(*(quoted(c) for c in docs.columns)).alias("row")
+
+
+def row_hash(docs: DataFrame) -> Column:
+    """A hash over all columns; maps, which have no order, as JSON."""
+    return F.xxhash64(*(F.to_json(F.struct(quoted(f.name))) if "map" in f.dataType.simpleString() or "variant" in f.dataType.simpleString() else quoted(f.name) for f in docs.schema.fields))
+
+
 def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts a batch so that the variable-length ``column`` of a piece holds about ``most_bytes`` (one row at least)."""
     n = batch.num_rows

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netquarry.llm.common import cut
+from netquarry.llm.common import cut, hot_join
 
 
 def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,17 +44,17 @@ def components(links: DataFrame) -> DataFrame:
 
     Smallest labels spread along links and then along labels (pointer jumping), so the rounds
     needed grow with the logarithm of the diameter. Before, links are contracted in their tasks and once more
-    by node, so that a dense group has few. Returns ``node, label`` of linked nodes only;
+    by node, so that a dense group has few. A node in very many links is dealt to several tasks. Returns ``node, label`` of linked nodes only;
     an empty link table gives an empty result. Self links and repeated links don't matter.
     """
     stars = links.mapInArrow(forest, "u long, v long").repartition("u").mapInArrow(forest, "u long, v long")
     both = cut(stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     labels = cut(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("node"), F.min("v")).alias("label")))
     while True:
-        near = both.join(labels, both.v == labels.node).groupBy("u").agg(F.min("label").alias("seen"))
+        near = hot_join(both, labels.withColumnRenamed("node", "v"), "v", "u").groupBy("u").agg(F.min("label").alias("seen"))
         spread = labels.join(near, labels.node == near.u).select("node", F.col("label").alias("old"), F.least("label", "seen").alias("label"))
-        target = labels.select(F.col("node").alias("at"), F.col("label").alias("onward"))
-        moved = cut(spread.join(target, spread.label == target.at).select("node", "old", F.least("label", "onward").alias("label")))
+        target = labels.select(F.col("node").alias("label"), F.col("label").alias("onward"))
+        moved = cut(hot_join(spread, target, "label", "node").select("node", "old", F.least("label", "onward").alias("label")))
         done = moved.where("label <> old").isEmpty()
         labels = moved.select("node", "label")
         if done:

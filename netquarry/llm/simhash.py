@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netquarry.llm.common import as_int64, cut
+from netquarry.llm.common import as_int64, cut, hot_join
 from netquarry.llm.components import components, forest
 
 #: Buckets up to this size are compared pair by pair in numpy, larger ones by searching outwards from one member.
@@ -21,49 +21,37 @@ PAIRS_AT_ONCE = 2_000_000
 SHINGLES_AT_ONCE = 500_000
 
 
-def _remixed(hashes: np.ndarray) -> np.ndarray:
-    """A second hash of what was hashed, by the SplitMix64 finalizer."""
-    x = (hashes ^ (hashes >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def fingerprint(text: bytes | None, shingle: int = 4, seed: int = 42, parts: int = 1) -> tuple[int, ...]:
+def fingerprint(text: bytes | None, shingle: int = 4, seed: int = 42) -> int:
     """64 bits; each is 1 if it is set in over half of the XXH64 hashes of all word shingles.
 
-    With 2 ``parts`` there are 64 more bits from a second hash of each shingle. A text of fewer
-    words is one shingle; a null text or one without words gives 0.
+    A text of fewer words is one shingle; a null text or one without words gives 0.
     """
     words = (text or b"").lower().split()
     if not words:
-        return (0,) * parts
+        return 0
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
     starts = (ends - lengths)[: max(1, len(words) - shingle + 1)]
     ends = ends[min(shingle, len(words)) - 1 :]
-    counts = np.zeros(64 * parts, np.int64)
+    counts = np.zeros(64, np.int64)
     digest = xxhash.xxh64_intdigest
     for at in range(0, len(starts), SHINGLES_AT_ONCE):
         some = slice(at, at + SHINGLES_AT_ONCE)
         hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts[some].tolist(), ends[some].tolist(), strict=True)], np.uint64)
-        if parts == 2:
-            hashes = np.column_stack([hashes, _remixed(hashes)])
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8 * parts), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    ones = (2 * counts > len(starts)).astype(np.uint8)
-    return tuple(np.packbits(ones, bitorder="little").view(np.uint64).tolist())
+        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits((2 * counts > len(starts)).astype(np.uint8), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, seed: int, parts: int = 1) -> DataFrame:
-    """``doc_id, fp`` of each row, with 2 ``parts`` also ``fp2``."""
-    names = ["fp", "fp2"][:parts]
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, seed: int) -> DataFrame:
+    """``doc_id, fp`` of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t.as_py(), shingle, seed, parts) for t in batch.column(1)], np.uint64).reshape(-1, parts)
-            yield pa.record_batch({"doc_id": batch.column(0)} | {name: as_int64(found[:, i]) for i, name in enumerate(names)})
+            found = np.array([fingerprint(t.as_py(), shingle, seed) for t in batch.column(1)], np.uint64)
+            yield pa.record_batch({"doc_id": batch.column(0), "fp": as_int64(found)})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, ", ".join(["doc_id long", *(f"{name} long" for name in names)]))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
 def segment_bounds(segments: int) -> list[tuple[int, int]]:
@@ -93,59 +81,44 @@ def _flips(width: int, radius: int) -> list[tuple[int, int]]:
 
 
 def _probes(segments: int, radius: int):
-    """Rows ``bucket, probe`` and the fingerprint's parts: one for each segment, and one for each move out of it."""
+    """Rows ``bucket, probe, fp``: one for each segment of a fingerprint, and one for each move out of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [c.to_numpy().view(np.uint64) for c in batch.columns]
+            fps = batch.column(0).to_numpy().view(np.uint64)
 
-            def rows(keys: np.ndarray, probe: int, which, fps=fps, names=batch.schema.names) -> pa.RecordBatch:
-                return pa.record_batch({"bucket": as_int64(keys), "probe": pa.array(np.full(len(keys), probe, np.int8))} | {name: as_int64(x[which]) for name, x in zip(names, fps, strict=True)})
+            def rows(keys: np.ndarray, probe: int, of: np.ndarray) -> pa.RecordBatch:
+                return pa.record_batch({"bucket": as_int64(keys), "probe": pa.array(np.full(len(keys), probe, np.int8)), "fp": as_int64(of)})
 
             for s, (low, width) in enumerate(segment_bounds(segments)):
-                key = (fps[0] >> np.uint64(low)) & np.uint64((1 << width) - 1)
+                key = (fps >> np.uint64(low)) & np.uint64((1 << width) - 1)
                 tag = np.uint64(s << 56)
-                yield rows(key | tag, 0, slice(None))
+                yield rows(key | tag, 0, fps)
                 for zero, one in _flips(width, radius // segments):
                     fit = np.flatnonzero(((key & np.uint64(zero)) == 0) & ((key & np.uint64(one)) == np.uint64(one)))
-                    yield rows(key[fit] ^ np.uint64(zero | one) | tag, 1, fit)
+                    yield rows(key[fit] ^ np.uint64(zero | one) | tag, 1, fps[fit])
 
     return run
 
 
-class _Near:
-    """Whether fingerprints link: within ``radius`` bits of the first 64 and, if asked for, ``confirm`` of all 128."""
-
-    def __init__(self, radius: int, confirm: int | None):
-        self.radius, self.confirm = radius, confirm
-
-    def __call__(self, one: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
-        bits = np.bitwise_count(one[0] ^ other[0])
-        near = bits <= self.radius
-        if self.confirm is not None:
-            near &= bits + np.bitwise_count(one[1] ^ other[1]) <= self.confirm
-        return near
-
-
-def _outwards(fps: list[np.ndarray], linked: _Near) -> tuple[np.ndarray, np.ndarray]:
+def _outwards(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links within a bucket: each member found leaves the search, so a dense bucket costs few scans."""
     left, right = [], []
-    while len(fps[0]):
-        frontier, fps = [[f[0] for f in fps]], [f[1:] for f in fps]
-        while frontier and len(fps[0]):
+    while len(fps):
+        frontier, fps = [fps[0]], fps[1:]
+        while frontier and len(fps):
             x = frontier.pop()
-            near = linked(x, fps)
+            near = np.bitwise_count(fps ^ x) <= radius
             if near.any():
-                new = [f[near] for f in fps]
-                left.append(np.full(len(new[0]), x[0]))
-                right.append(new[0])
-                frontier.extend(map(list, zip(*new, strict=True)))
-                fps = [f[~near] for f in fps]
+                left.append(np.full(int(near.sum()), x))
+                right.append(fps[near])
+                frontier.extend(fps[near])
+                fps = fps[~near]
     none = np.zeros(0, np.uint64)
     return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
-def _within(bucket: np.ndarray, probe: np.ndarray, *fps: np.ndarray, linked: _Near) -> Iterator[pa.RecordBatch]:
+def _within(bucket: np.ndarray, probe: np.ndarray, fps: np.ndarray, radius: int) -> Iterator[pa.RecordBatch]:
     """Links between table entries and other members of their bucket; rows are sorted by bucket, table entries first."""
     n = len(bucket)
     starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
@@ -167,24 +140,24 @@ def _within(bucket: np.ndarray, probe: np.ndarray, *fps: np.ndarray, linked: _Ne
         c = counts[at:to]
         a = np.repeat(first[at:to], c)
         b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(c) - c, c)
-        near = linked([f[a] for f in fps], [f[b] for f in fps])
+        near = np.bitwise_count(fps[a] ^ fps[b]) <= radius
         if near.any():
-            yield links(fps[0][a[near]], fps[0][b[near]])
+            yield links(fps[a[near]], fps[b[near]])
         at = to
     for k in np.flatnonzero(sizes > PAIRWISE):
         if probe[starts[k]] == 0:
-            a, b = _outwards([f[starts[k] : starts[k] + sizes[k]] for f in fps], linked)
+            a, b = _outwards(fps[starts[k] : starts[k] + sizes[k]], radius)
             if len(a):
                 yield links(a, b)
 
 
-def _bucket_links(linked: _Near):
+def _bucket_links(radius: int):
     """Links of the buckets of a partition, contracted to a forest before they leave the task."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
-            new = (batch.column(0).to_numpy(), batch.column(1).to_numpy(), *(c.to_numpy().view(np.uint64) for c in batch.columns[2:]))
+            new = (batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64))
             if not len(new[0]):
                 continue
             last = int(np.searchsorted(new[0], new[0][-1], "left"))
@@ -193,46 +166,38 @@ def _bucket_links(linked: _Near):
                 continue
             whole = [np.concatenate(x) for x in zip(*kept, tuple(x[:last] for x in new), strict=True)]
             if len(whole[0]):
-                yield from _within(*whole, linked=linked)
+                yield from _within(*whole, radius)
             kept = [tuple(x[last:] for x in new)]
         if kept:
-            yield from _within(*(np.concatenate(x) for x in zip(*kept, strict=True)), linked=linked)
+            yield from _within(*(np.concatenate(x) for x in zip(*kept, strict=True)), radius)
 
     return lambda batches: forest(found(batches))
 
 
-def near_links(fps: DataFrame, radius: int = 4, segments: int = 3, confirm: int | None = None) -> DataFrame:
+def near_links(fps: DataFrame, radius: int = 4, segments: int = 3) -> DataFrame:
     """Links ``u, v`` that connect the distinct fingerprints ``fps(fp long)`` as all pairs within ``radius`` bits do.
 
     With ``segments`` segments a pair within ``radius`` bits differs by at most ``radius // segments``
     bits in one of them: each fingerprint stands in the table under its segments and probes the
     small Hamming ball around them; whole distances decide. Rows are dealt by (segment, value).
-    With ``confirm``, ``fp2`` holds 64 more bits, and linked pairs are also within that distance over both.
     """
-    parts = ["fp"] if confirm is None else ["fp", "fp2"]
-    rows = fps.select(*parts).mapInArrow(_probes(segments, radius), ", ".join(["bucket long, probe byte", *(f"{p} long" for p in parts)]))
-    return rows.repartition("bucket").sortWithinPartitions("bucket", "probe").mapInArrow(_bucket_links(_Near(radius, confirm)), "u long, v long")
+    rows = fps.select("fp").mapInArrow(_probes(segments, radius), "bucket long, probe byte, fp long")
+    return rows.repartition("bucket").sortWithinPartitions("bucket", "probe").mapInArrow(_bucket_links(radius), "u long, v long")
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42, radius: int = 4, segments: int = 3, confirm: int | None = None) -> DataFrame:
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42, radius: int = 4, segments: int = 3) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of each row.
 
-    Fingerprints within ``radius`` bits link; a component's id is the smallest doc_id in it. With a wide
-    radius, ``confirm`` bounds the distance over 128 bits, so that chance meetings don't link. Texts
+    Fingerprints within ``radius`` bits link; a component's id is the smallest doc_id in it. Texts
     are whole and lower-cased in A-Z. Null texts and texts without words have fingerprint zero and
-    link as any other. Equal fingerprints are compared once, so copies cost no pairs. Rows with a
-    null id take part; a component of null ids only has a null id. Repeated rows give repeated
-    results, an empty table an empty one. Extra columns are ignored.
+    link as any other. Equal fingerprints are compared once, so copies cost no pairs, and are dealt to
+    several tasks when they get their result. Rows with a null id take part; a component of null ids only has a
+    null id. Repeated rows give repeated results, an empty table an empty one. Extra columns are ignored.
     """
-    rows = cut(fingerprints(docs, id_col, text_col, shingle, seed, 1 if confirm is None else 2))
-    fps = rows.groupBy("fp").agg(F.min("doc_id").alias("least"), *([] if confirm is None else [F.min("fp2").alias("fp2")]))
-    links = near_links(fps, radius, segments, confirm)
-    labels = components(links)
-    linked = labels.join(fps, labels.node == fps.fp).select("node", "label", "least")
-    smallest = linked.groupBy(F.col("label").alias("root")).agg(F.min("least").alias("smallest"))
-    linked = cut(linked.join(smallest, linked.label == smallest.root).select("node", "smallest"))
-    return (
-        rows.select("doc_id", "fp").join(fps.select("fp", "least"), "fp")
-        .join(linked, F.col("fp") == F.col("node"), "left")
-        .select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.coalesce("smallest", "least").alias("component_id"))
-    )
+    rows = cut(fingerprints(docs, id_col, text_col, shingle, seed))
+    fps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    labels = components(near_links(fps, radius, segments)).withColumnRenamed("node", "fp")
+    labelled = fps.join(labels, "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("root"))
+    smallest = cut(labelled.groupBy("root").agg(F.min("least").alias("component_id")))
+    of_fp = cut(hot_join(labelled.select("fp", "root"), smallest, "root", "fp").select("fp", "component_id"))
+    return hot_join(rows, of_fp, "fp", "doc_id").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
