@@ -48,7 +48,7 @@ def document_statistics(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 
 class Model:
-    """Means, cached Cholesky factors and log priors of the two classes."""
+    """Means, inverses of the cached Cholesky factors, and log priors of the two classes."""
 
     def __init__(self, moments: dict[int, tuple[float, np.ndarray, np.ndarray]], shrink: float = 0.1, pool: float = 0.2):
         d = len(NAMES)
@@ -60,13 +60,14 @@ class Model:
             mixed = (1 - pool) * cov[c] + pool * pooled
             mixed = (1 - shrink) * mixed + shrink * np.diag(np.diag(mixed)) + 1e-4 * np.eye(d)
             self.mean[c] = s1 / n
-            self.factor[c] = np.linalg.cholesky(mixed)
-            self.offset[c] = np.log(n / total) - np.log(np.diag(self.factor[c])).sum()
+            factor = np.linalg.cholesky(mixed)
+            self.factor[c] = np.linalg.inv(factor)  # of a triangle of this size, so that batches are one product each
+            self.offset[c] = np.log(n / total) - np.log(np.diag(factor)).sum()
 
     def log_density(self, x: np.ndarray, c: int) -> np.ndarray:
         """Log of prior times density, without the constant that both classes share."""
-        z = np.linalg.solve(self.factor[c], (x - self.mean[c]).T)
-        return self.offset[c] - 0.5 * (z * z).sum(axis=0)
+        z = (x - self.mean[c]) @ self.factor[c].T
+        return self.offset[c] - 0.5 * (z * z).sum(axis=1)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if 0 not in self.mean or 1 not in self.mean:
@@ -106,7 +107,8 @@ def scored(features: DataFrame, model: Model) -> DataFrame:
     """Adds ``score`` (likelihood of label 1, 0 to 1) and ``predicted`` (1 from 0.5 on).
 
     Each row is scored by its text's statistics alone, null and empty texts too. Without training rows
-    the score is 0.5, with one class only 0 or 1. Repeated rows get repeated results.
+    the score is 0.5, with one class only 0 or 1. Very long texts count whole. Repeated rows get repeated results, an empty
+    table an empty one; other columns of ``features`` stay, but for ``score`` and ``predicted``, which are replaced.
     """
     held = features.sparkSession.sparkContext.broadcast(model)
 
