@@ -85,21 +85,20 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"lang": batch.column(0), "h": batch.column(1), "bits": pa.array(bits, pa.binary())})
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 4000, landmarks: int = 256, ridge: float = 0.01) -> Model | None:
-    """Fits on about ``sample`` rows (a bound), dealt evenly over the languages; None if no row has a text and a language.
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = 4000, landmarks: int = 256, ridge: float = 0.01) -> Model | None:
+    """Fits on about ``sample`` distinct labelled texts (a bound), dealt evenly over the languages; None if no row has a text and a language.
 
-    Rows are chosen by a hash, and only their packed features (2 KB each) come to the driver.
+    Texts are chosen by their hash alone, at least one of each language, and only their packed features (2 KB each) come to the driver.
+    Of more than ``sample`` different labels the most frequent are learnt. Copies of a text count once.
     """
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).cast("string").alias("lang"), F.lower(F.col(text_col)).alias("text"), F.xxhash64(F.lit(1), F.col(text_col), F.col(id_col)).alias("h"))
-    counts = {r["lang"]: r["count"] for r in docs.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).cast("string").alias("lang")).count().collect()}
+    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).cast("string").alias("lang"), F.lower(F.col(text_col)).alias("text"), F.xxhash64(F.lit(1), F.col(text_col)).bitwiseAND(2**62 - 1).alias("h"))
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("least")).orderBy(F.desc("n"), "lang").limit(sample).collect()
     if not counts:
         return None
     each = max(1, sample // len(counts))
-    most = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, 1.1 * each / n) * (2**31 - 1)))))
-    chosen = rows.where(F.col("h").bitwiseAND(2**31 - 1) <= most[F.col("lang")]).select("lang", "h", F.col("text").cast("binary"))
+    most = F.create_map(*(F.lit(x) for r in counts for x in (r.lang, max(r.least, int(min(1.0, 1.1 * each / r.n) * (2**62 - 1))))))
+    chosen = rows.where(F.col("h") <= most[F.col("lang")]).dropDuplicates(["lang", "h"]).select("lang", "h", F.col("text").cast("binary"))
     got = chosen.mapInArrow(_packed, "lang string, h long, bits binary").orderBy("h", "lang").limit(2 * sample).collect()
-    if not got:
-        return None
     packed = np.frombuffer(b"".join(bytes(r.bits) for r in got), np.uint8).reshape(len(got), -1)
     return Model(packed, [r.lang for r in got], landmarks, ridge)
 
@@ -125,10 +124,10 @@ def predicted(model, text: Column) -> Column:
     return F.when(has_letter, run(F.when(has_letter, F.lower(text)).cast("binary"))).otherwise(nothing)
 
 
-def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """Adds the column ``language`` (struct of lang_pred and score) to the rows of ``docs``.
+def identify(docs: DataFrame, model: Model | None, text_col: str = "text", out_col: str = "language") -> DataFrame:
+    """Adds the column ``out_col`` (struct of lang_pred and score) to the rows of ``docs``; a column of that name is replaced.
 
-    Texts are whole; equal texts get equal results. Null texts, texts without a letter and every text
-    where nothing was learned get ``und`` with score 0. An empty table gives an empty one.
+    Texts are whole, however long; equal texts get equal results, and repeated rows repeated ones. Null texts, texts without a letter
+    and every text where nothing was learned get ``und`` with score 0. An empty table gives an empty one. Other columns stay as they are.
     """
-    return docs.withColumn("language", predicted(docs.sparkSession.sparkContext.broadcast(model), F.col(text_col)))
+    return docs.withColumn(out_col, predicted(docs.sparkSession.sparkContext.broadcast(model), F.col(text_col)))
