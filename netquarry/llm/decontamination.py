@@ -10,11 +10,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from netquarry.llm.common import cut
+
 #: Share of an item's characters that may be edited.
 EDITS = 0.1
-#: Normalised items shorter than this are too common to tell anything and are left out.
-LEAST_CHARS = 20
-#: Characters of benchmark text that are broadcast at once; a larger benchmark takes several passes.
+#: Normalised items shorter than this hit by chance within other words or by an edit; they must stand whole, between other than letters and digits.
+SHORT = 20
+#: Characters of benchmark text that are broadcast at once; a larger benchmark takes several passes, each written before the next.
 BLOCK_CHARS = 4_000_000
 
 
@@ -60,11 +62,17 @@ class Item:
     """
 
     def __init__(self, text: str, edits: float):
-        self.text, self.budget = text, int(edits * len(text))
+        self.text, self.short = text, len(text) < SHORT
+        self.budget = 0 if self.short else int(edits * len(text))
         n = self.budget + 1
         self.edges = [len(text) * j // n for j in range(n + 1)]
         self.masks: dict[tuple[int, int], dict[str, int]] = {}
 
+    def stands(self, text: str, at: int) -> bool:
+        """Whether an exact hit counts: a short item's only as whole words."""
+        end = at + len(self.text)
+        return not self.short or not ((at and text[at - 1].isalnum() and text[at].isalnum()) or (end < len(text) and text[end].isalnum() and text[end - 1].isalnum()))
+
     def ancestors(self, piece: int) -> list[tuple[int, int]]:
         """(first piece, end piece) of the nodes above a piece, the lowest first."""
         low, high, path = 0, self.budget + 1, []
@@ -90,10 +98,12 @@ class Item:
 
 
 class Matcher:
-    def __init__(self, items: list[tuple[int, str]], edits: float):
-        self.items = [(key, Item(text, edits)) for key, text in items]
+    """Items by their place in a list."""
+
+    def __init__(self, items: list[str], edits: float):
+        self.items = [Item(text, edits) for text in items]
         self.pieces: dict[str, list[tuple[int, int]]] = defaultdict(list)
-        for i, (_, item) in enumerate(self.items):
+        for i, item in enumerate(self.items):
             for p, (a, b) in enumerate(zip(item.edges, item.edges[1:], strict=False)):
                 self.pieces[item.text[a:b]].append((i, p))
         self.automaton = ahocorasick.Automaton()
@@ -103,28 +113,29 @@ class Matcher:
             self.automaton.make_automaton()
 
     def hits(self, text: str | None) -> dict[int, int]:
-        """Item key to the smallest distance found, for the items within their budget."""
+        """Item to the smallest distance found, for the items within their budget."""
         found: dict[int, int] = {}
         if not text or not self.pieces:
             return found
         text = normalised(text)
-        tried: set[tuple[int, int]] = set()
+        tried: set[tuple[int, int, int]] = set()
         for last, piece in self.automaton.iter(text):
             at = last + 1 - len(piece)
             for i, p in self.pieces[piece]:
-                key, item = self.items[i]
-                if found.get(key) == 0:
+                item = self.items[i]
+                if found.get(i) == 0:
                     continue
                 start = at - item.edges[p]
-                if text.startswith(item.text, max(0, start)) and start >= 0:
-                    found[key] = 0
+                if start >= 0 and text.startswith(item.text, start):
+                    if item.stands(text, start):
+                        found[i] = 0
                     continue
-                if (i, p, at) in tried:
+                if item.short or (i, p, at) in tried:
                     continue
                 tried.add((i, p, at))
                 distance = item.verify(text, p, at)
                 if distance is not None:
-                    found[key] = min(distance, found.get(key, distance))
+                    found[i] = min(distance, found.get(i, distance))
         return found
 
 
@@ -137,53 +148,60 @@ def hits_of(block, edits: float, text: Column) -> Column:
 
     @F.arrow_udf("array<struct<item_id: long, distance: int>>")
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        keys = [k for k, _ in block.value]
         if _built[0] is not block.value:
-            _built[:] = [block.value, Matcher(block.value, edits)]
+            _built[:] = [block.value, Matcher([t for _, t in block.value], edits)]
         matcher = _built[1]
         for column in columns:
-            rows = [[{"item_id": k, "distance": d} for k, d in sorted(matcher.hits(t.as_py()).items())] for t in column]
+            rows = [[{"item_id": keys[i], "distance": d} for i, d in sorted(matcher.hits(t.as_py()).items())] for t in column]
             yield pa.array(rows, pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32())])))
 
     return run(text)
 
 
-def blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> Iterator:
-    """Broadcasts of the benchmark's items, ``BLOCK_CHARS`` characters at once. Null and very short texts and null keys are left out."""
+def blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> Iterator[tuple]:
+    """(broadcast, whether it is the last) of the benchmark's items, ``BLOCK_CHARS`` characters at once. Null and blank texts are left out; null ids stay null."""
     sc = benchmark.sparkSession.sparkContext
-    held: list[tuple[int, str]] = []
+    held: list[tuple[int | None, str]] = []
     size = 0
-    for key, text in benchmark.select(F.col(item_col).cast("long"), F.col(text_col)).where(F.col(item_col).isNotNull() & F.col(text_col).isNotNull()).toLocalIterator():
+    for key, text in benchmark.select(F.col(item_col).cast("long"), F.col(text_col)).where(F.col(text_col).isNotNull()).toLocalIterator():
         text = normalised(text)
-        if len(text) < LEAST_CHARS:
+        if not text:
             continue
         if held and size + len(text) > BLOCK_CHARS:
-            yield sc.broadcast(held)
+            yield sc.broadcast(held), False
             held, size = [], 0
         held.append((key, text))
         size += len(text)
     if held:
-        yield sc.broadcast(held)
+        yield sc.broadcast(held), True
 
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: float = EDITS) -> DataFrame:
     """``doc_id, item_id, distance``: which rows hold a benchmark text within ``edits`` of its length.
 
-    Texts and items are compared whole, in lower case with white space runs as one space. There is a
-    row for each document row and item that match, with the distance found; clean documents have
-    none. Null and empty texts match nothing; repeated rows give repeated results; an empty table or
-    benchmark gives an empty result. Extra columns are ignored.
+    Texts and items are compared whole, however long, in lower case with white space runs as one space. Items of less than
+    ``SHORT`` characters hit only without edits and as whole words. There is a row for each document row and item row that match, with
+    the distance found; clean documents have none. Null and blank texts and items match nothing; an item's id may be
+    null; repeated rows give repeated results; an empty table or benchmark gives an empty result. Extra columns are
+    ignored. One block's items are in memory at a time.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = [docs.select("doc_id", F.explode(hits_of(b, edits, F.col("text"))).alias("hit")).select("doc_id", "hit.item_id", "hit.distance") for b in blocks(benchmark)]
-    if not found:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, distance int")
-    for more in found[1:]:
-        found[0] = found[0].unionByName(more)
-    return found[0]
+    found = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, distance int")
+    for n, (block, last) in enumerate(blocks(benchmark)):
+        hits = docs.select("doc_id", F.explode(hits_of(block, edits, F.col("text"))).alias("hit")).select("doc_id", "hit.item_id", "hit.distance")
+        if n or not last:
+            hits = cut(hits)
+            block.unpersist()
+        found = found.unionByName(hits) if n else hits
+    return found
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", edits: float = EDITS) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark text, all columns as they are. No row is shuffled."""
-    for block in blocks(benchmark):
+    """The rows of ``docs`` that hold no benchmark text, all columns as they are. No row is shuffled. Cases as in ``benchmark_hits``."""
+    for n, (block, last) in enumerate(blocks(benchmark)):
         docs = docs.where(F.size(hits_of(block, edits, F.col(text_col))) == 0)
+        if n or not last:
+            docs = cut(docs)
+            block.unpersist()
     return docs
