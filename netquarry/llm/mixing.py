@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -10,14 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from netquarry.llm.common import cut
+from netquarry.llm.common import cut, packed
 
 #: Levels of the tree, as columns.
 LEVELS = ("domain", "language", "origin")
 #: A plan of at most so many leaves is broadcast; a larger one is joined by its keys.
 BROADCAST_LEAVES = 100_000
-#: Leading hex digits of the order hash: a leaf's running total is taken over these ranges, and row by row in one range only.
-DIGITS = 3
 #: Weights in production; nodes without one weigh 1.
 WEIGHTS: Mapping[str, Mapping[str, int]] = {"domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "language": {"en": 5, "de": 2, "fr": 2, "es": 1}, "origin": {}}
 #: The budget is this share (numerator, denominator) of all tokens; a leaf gives at most MAX_EPOCHS times its tokens.
@@ -47,12 +46,12 @@ def fill(nodes: DataFrame, parents: list[str], level: str, weights: Mapping[str,
     """Deals ``given`` of each parent to its children (``capacity``) by weight; replaces ``given`` by the child's part.
 
     What a child can't take goes to its siblings by their weights: in order of capacity over weight
-    those that fill up form a prefix, which one running total finds.
+    those that fill up form a prefix, which one running total finds. Children of weight 0 have no capacity and get nothing.
     """
     name = level
     nodes = nodes.withColumn("w", _weight(level, weights))
     siblings = Window.partitionBy(*parents) if parents else Window.partitionBy(F.lit(0))
-    order = siblings.orderBy(F.col("capacity") / F.col("w"), name).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = siblings.orderBy(F.when(F.col("w") > 0, F.col("capacity") / F.col("w")).otherwise(0.0), name).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rest_w = F.sum("w").over(siblings) - F.sum("w").over(order) + F.col("w")
     rest_b = F.col("given") - F.sum("capacity").over(order) + F.col("capacity")
     nodes = nodes.withColumn("full", F.col("capacity") * rest_w <= F.col("w") * rest_b)
@@ -66,9 +65,11 @@ def leaf_budgets(leaves: DataFrame, budget: int, weights: Mapping[str, Mapping[s
     """``domain, language, origin, tokens, budget, epochs, rest`` of each leaf of ``leaves(domain, language, origin, tokens)``.
 
     A node takes at most what its leaves hold in ``max_epochs`` epochs. So a shortage is met by the
-    siblings first, and only what a whole subtree lacks goes to the siblings of an ancestor.
+    siblings first, and only what a whole subtree lacks goes to the siblings of an ancestor. A leaf below any node of
+    weight 0 takes nothing, also where all siblings weigh 0.
     """
-    leaves = leaves.withColumn("capacity", F.col("tokens") * max_epochs)
+    barred = reduce(lambda a, b: a | b, (_weight(level, weights.get(level, {})) == 0 for level in LEVELS))
+    leaves = leaves.withColumn("capacity", F.when(barred, 0).otherwise(F.col("tokens") * max_epochs))
     given = None
     for depth, level in enumerate(LEVELS):
         keys = list(LEVELS[: depth + 1])
@@ -90,16 +91,24 @@ def plan(narrow: DataFrame, id_col: str, share: tuple[int, int], weights: Mappin
 
     narrow: ``id_col, domain, language, origin, tokens`` of each document.
     """
-    leaves = cut(narrow.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens")))
-    total = leaves.agg(F.sum("tokens")).first()[0] or 0
-    budgets = cut(leaf_budgets(leaves, total * share[0] // share[1], weights, max_epochs))
-    ranges = narrow.join(_small(budgets.select(*LEVELS, "epochs")), list(LEVELS)).groupBy(*LEVELS, F.left(_order(seed, id_col), F.lit(DIGITS)).alias("range")).agg(F.sum("tokens").alias("here"))
+    leaves = cut(narrow.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")))
+    total, rows = leaves.agg(F.sum("tokens"), F.max("rows")).first()
+    total = total or 0
+    budgets = cut(leaf_budgets(leaves.drop("rows"), total * share[0] // share[1], weights, max_epochs))
+    digits = order_digits(rows or 0)
+    ranges = narrow.join(_small(budgets.select(*LEVELS, "epochs")), list(LEVELS)).groupBy(*LEVELS, F.left(_order(seed, id_col), F.lit(digits)).alias("range")).agg(F.sum("tokens").alias("here"))
     running = F.sum("here").over(Window.partitionBy(*LEVELS).orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     edges = ranges.withColumn("before", running - F.col("here")).join(_small(budgets.select(*LEVELS, "rest")), list(LEVELS))
     edges = edges.where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("here"))).select(*LEVELS, F.col("range").alias("edge"), "before")
     return cut(budgets.join(edges, list(LEVELS), "left"))
 
 
+def order_digits(rows: int) -> int:
+    """Leading hex digits of the order hash whose ranges cut the largest leaf into about the root of its rows: a leaf's running
+    total is taken over these ranges, and row by row in one range only."""
+    return max(2, -(-max(1, rows).bit_length() // 8))
+
+
 def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_LEAVES + 1).count() <= BROADCAST_LEAVES else df
 
@@ -111,7 +120,7 @@ def selected(rows: DataFrame, leaf_plan: DataFrame, id_col: str, seed: int) -> D
     """
     columns = rows.columns
     rows = rows.where("tokens > 0").join(_small(leaf_plan.drop("tokens")), list(LEVELS)).withColumn("place", _order(seed, id_col))
-    at = F.left(F.col("place"), F.lit(DIGITS))
+    at = F.left(F.col("place"), F.length("edge"))
     in_order = Window.partitionBy(*LEVELS).orderBy("place", id_col, "tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     edge = rows.where(at == F.col("edge")).withColumn("taken", F.sum("tokens").over(in_order) + F.col("before") <= F.col("rest"))
     others = rows.where(F.col("edge").isNull() | (at != F.col("edge"))).withColumn("taken", F.coalesce(at < F.col("edge"), F.lit(False)))
@@ -125,7 +134,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     Tokens are words of the whole text; the budget is a share of all tokens. Null texts have none, and
     documents without tokens are never taken. Null languages and sources are unnamed nodes. Equal ids
     stand together in the order. Repeated rows count and are taken each. Budgets are rounded down at
-    each node. An empty table gives an empty result.
+    each node. Very long texts count whole. An empty table gives an empty result. Extra columns are ignored.
     """
     keys = leaf_columns(lang_col, source_col)
     narrow = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), *(c.alias(k) for k, c in keys.items()), word_count(F.col(text_col).cast("binary")).alias("tokens")))
@@ -133,10 +142,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", share: tuple[int, int] = SHARE, weights=WEIGHTS, seed: int = SEED) -> DataFrame:
-    """The rows of ``docs`` that the mix takes within one epoch, with the columns of ``docs``."""
-    columns = docs.columns
+    """The rows of ``docs`` that the mix takes within one epoch, with the columns of ``docs``, whatever their names. Cases as in ``mix``."""
     keys = leaf_columns(lang_col, source_col)
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.col(id_col).cast("long").alias("order_id"), *(c.alias(k) for k, c in keys.items()), word_count(F.col(text_col).cast("binary")).alias("tokens"))
+    rows = docs.select(packed(docs), F.col(id_col).cast("long").alias("order_id"), *(c.alias(k) for k, c in keys.items()), word_count(F.col(text_col).cast("binary")).alias("tokens"))
     narrow = cut(rows.select("order_id", *LEVELS, "tokens"))
     return selected(rows, plan(narrow, "order_id", share, weights, 1, seed), "order_id", seed).select("row.*")
 
