@@ -22,8 +22,14 @@ CLASSES = WORDS + 1 + GROUPS
 HEAD = 100_000
 #: Counter entries of a task before they are sent on.
 ENTRIES = 300_000
-#: Sampled rows of training text, and the most tokens of one that the network sees.
-SAMPLE_ROWS, SAMPLE_TOKENS = 2_500, 4_096
+#: Rounds of training. Each training text is learnt from whole, in the round that its hash names; after a round the tasks' networks are averaged.
+ROUNDS = 4
+#: A task learns from so many tokens at least, and all tasks together from so many: a smaller corpus is gone through several times.
+TASK_TOKENS, LEAST_TOKENS = 500_000, 4_000_000
+#: Tokens that a task mixes before it learns from them; a minibatch and its shared noise words.
+AT_ONCE, BATCH, NOISES = 1 << 17, 2048, 128
+#: Parts of a network's parameters that are averaged apart.
+PARTS = 16
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -64,50 +70,58 @@ class Network:
         self.position = [np.eye(dim, dtype=np.float32), np.eye(dim, dtype=np.float32) / 2]
         self.noise = unigram / unigram.sum()
         self.bias = np.log(self.noise).astype(np.float32)
+        self.squares = [np.full_like(x, 1e-4) for x in (self.context, self.target, *self.position, self.bias)]
 
-    def train(self, texts: list[np.ndarray], epochs: int = 1, batch: int = 1024, noises: int = 256, rate: float = 0.3, seed: int = 11) -> None:
-        """Noise-contrastive estimation with Adagrad; the noise words of a batch are shared, so scores are matrix products."""
-        if not texts:
-            return
-        rng = np.random.default_rng(seed)
+    def state(self) -> list[np.ndarray]:
+        return [self.context, self.target, *self.position, self.bias, *self.squares]
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([x.ravel() for x in self.state()])
+
+    def load(self, flat: np.ndarray) -> None:
+        at = 0
+        for x in self.state():
+            x[...] = flat[at : at + x.size].reshape(x.shape)
+            at += x.size
+
+    def learn(self, texts: list[np.ndarray], rng: np.random.Generator, rate: float = 0.3) -> None:
+        """One pass of noise-contrastive estimation with Adagrad; the noise words of a batch are shared, so scores are matrix products."""
         now = np.concatenate(texts)
         one = np.concatenate([np.r_[END, t[:-1]] for t in texts])
         two = np.concatenate([np.r_[END, END, t[:-2]][: len(t)] for t in texts])
-        log_noise = (np.log(self.noise) + np.log(noises)).astype(np.float32)
+        log_noise = (np.log(self.noise) + np.log(NOISES)).astype(np.float32)
         cum = np.cumsum(self.noise)
-        squares = [np.full_like(x, 1e-4) for x in (self.context, self.target, *self.position, self.bias)]
 
         def step(k: int, value: np.ndarray, grad: np.ndarray, rows=slice(None)) -> None:
-            squares[k][rows] += grad * grad
-            value[rows] += rate * grad / np.sqrt(squares[k][rows])
+            self.squares[k][rows] += grad * grad
+            value[rows] += rate * grad / np.sqrt(self.squares[k][rows])
 
         def summed(ids: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            rows, inverse = np.unique(ids, return_inverse=True)
-            order = np.argsort(inverse, kind="stable")
-            return rows, np.add.reduceat(grad[order], np.searchsorted(inverse[order], np.arange(len(rows))))
-
-        for _ in range(epochs):
-            order = rng.permutation(len(now))
-            for at in range(0, len(order), batch):
-                pick = order[at : at + batch]
-                w, a, b = now[pick], one[pick], two[pick]
-                noise = np.minimum(np.searchsorted(cum, rng.random(noises)), CLASSES - 1)
-                qa, qb = self.context[a], self.context[b]
-                guess = qa @ self.position[0] + qb @ self.position[1]
-                rw, rn = self.target[w], self.target[noise]
-                true = (guess * rw).sum(axis=1) + self.bias[w] - log_noise[w]
-                false = guess @ rn.T + self.bias[noise] - log_noise[noise]
-                up = (1 / (1 + np.exp(np.clip(true, -30, 30)))).astype(np.float32) / len(pick)
-                down = (-1 / (1 + np.exp(np.clip(-false, -30, 30)))).astype(np.float32) / len(pick)
-                g_guess = up[:, None] * rw + down @ rn
-                rows, g = summed(np.r_[w, noise], np.r_[up[:, None] * guess, down.T @ guess])
-                step(1, self.target, g, rows)
-                rows, g = summed(np.r_[w, noise], np.r_[up, down.sum(axis=0)])
-                step(4, self.bias, g, rows)
-                rows, g = summed(np.r_[a, b], np.r_[g_guess @ self.position[0].T, g_guess @ self.position[1].T])
-                for i, q in enumerate((qa, qb)):
-                    step(2 + i, self.position[i], q.T @ g_guess)
-                step(0, self.context, g, rows)
+            order = np.argsort(ids, kind="stable")
+            ids = ids[order]
+            starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+            return ids[starts], np.add.reduceat(grad[order], starts)
+
+        order = rng.permutation(len(now))
+        for at in range(0, len(order), BATCH):
+            pick = order[at : at + BATCH]
+            w, a, b = now[pick], one[pick], two[pick]
+            noise = np.minimum(np.searchsorted(cum, rng.random(NOISES)), CLASSES - 1).astype(w.dtype)
+            qa, qb = self.context[a], self.context[b]
+            guess = qa @ self.position[0] + qb @ self.position[1]
+            rw, rn = self.target[w], self.target[noise]
+            true = (guess * rw).sum(axis=1) + self.bias[w] - log_noise[w]
+            false = guess @ rn.T + self.bias[noise] - log_noise[noise]
+            up = (1 / (1 + np.exp(np.clip(true, -30, 30)))).astype(np.float32) / len(pick)
+            down = (-1 / (1 + np.exp(np.clip(-false, -30, 30)))).astype(np.float32) / len(pick)
+            g_guess = up[:, None] * rw + down @ rn
+            rows, g = summed(np.r_[w, noise], np.column_stack([np.r_[up[:, None] * guess, down.T @ guess], np.r_[up, down.sum(axis=0)]]))
+            step(1, self.target, g[:, :-1], rows)
+            step(4, self.bias, g[:, -1], rows)
+            rows, g = summed(np.r_[a, b], np.r_[g_guess @ self.position[0].T, g_guess @ self.position[1].T])
+            for i, q in enumerate((qa, qb)):
+                step(2 + i, self.position[i], q.T @ g_guess)
+            step(0, self.context, g, rows)
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """log10 parts of each class after each class at distance 1 (bias included) and 2, and of the normaliser of each pair.
@@ -158,9 +172,69 @@ class Model:
         return len(words) + 1, int(known.sum()) + (self.end_count > 0), base, float(value), b" ".join(words[i] for i in np.flatnonzero(~known).tolist())
 
 
-def train(docs: DataFrame, id_col: str, text_col: str) -> tuple[Model, DataFrame]:
-    """Counts over all of ``docs`` and the network fitted on a bounded sample; returns the model and ``word, c`` of every word."""
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+def _learn(held, epochs: int, seed: int):
+    """Learns from the texts of a partition, starting from the network of ``held``; emits the parts of its parameters with the tokens behind them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, network = held.value
+        rng, tokens, kept, size = np.random.default_rng(seed), 0, [], 0
+        again: list[list[np.ndarray]] = []  # held in a small corpus only
+        for batch in batches:
+            for text in batch.column(0):
+                kept.append(np.r_[model.classes(words_of(text.as_py()))[0], END].astype(np.uint16))
+                size += len(kept[-1])
+                if size >= AT_ONCE:
+                    network.learn(kept, rng)
+                    tokens += size
+                    if epochs > 1:
+                        again.append(kept)
+                    kept, size = [], 0
+        if kept:
+            network.learn(kept, rng)
+            tokens += size
+            again.append(kept)
+        for _ in range(epochs - 1):
+            for texts in again:
+                network.learn(texts, rng)
+        if tokens:
+            parts = np.array_split(network.flat(), PARTS)
+            yield pa.record_batch({"part": pa.array(range(PARTS), pa.int32()), "tokens": pa.array([tokens] * PARTS, pa.int64()), "values": pa.array([p.tobytes() for p in parts], pa.binary())})
+
+    return run
+
+
+def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Means of the parts, weighted by tokens; rows are taken one by one."""
+    sums: dict[int, list] = {}
+    for batch in batches:
+        for part, tokens, values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            x = np.frombuffer(values, np.float32).astype(np.float64) * tokens
+            if part in sums:
+                sums[part][0] += tokens
+                sums[part][1] += x
+            else:
+                sums[part] = [tokens, x]
+    yield pa.record_batch({"part": pa.array(list(sums), pa.int32()), "tokens": pa.array([n for n, _ in sums.values()], pa.int64()), "values": pa.array([(x / n).astype(np.float32).tobytes() for n, x in sums.values()], pa.binary())})
+
+
+def fit(docs: DataFrame, model: Model, unigram: np.ndarray, tokens: int) -> Network:
+    """The network fitted on every text of ``docs(text binary)``. Texts stay in their tasks; only parameters (half a megabyte a task and round) move."""
+    network, sc = Network(unigram), docs.sparkSession.sparkContext
+    epochs, schema = max(1, -(-LEAST_TOKENS // max(1, tokens))), "part int, tokens long, values binary"
+    turn = F.pmod(F.xxhash64(F.lit(3), F.coalesce("text", F.lit(b""))), F.lit(ROUNDS))
+    for n in range(ROUNDS):
+        held = sc.broadcast((model, network))
+        learnt = docs.where(turn == n).coalesce(max(1, tokens // TASK_TOKENS)).mapInArrow(_learn(held, epochs, n), schema)
+        got = sorted(learnt.repartition(PARTS, "part").mapInArrow(_averaged, schema).collect())
+        if got:
+            network.load(np.concatenate([np.frombuffer(r["values"], np.float32) for r in got]))
+        held.unpersist()
+    return network
+
+
+def train(docs: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
+    """Counts and a network over all of ``docs``; returns the model and ``word, c`` of every word. Null texts are empty ones, very long ones count whole."""
+    docs = docs.select(F.col(text_col).cast("binary").alias("text"))
     counts = cut(word_counts(docs))
     ends = docs.count()
     total = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
@@ -182,18 +256,7 @@ def train(docs: DataFrame, id_col: str, text_col: str) -> tuple[Model, DataFrame
     unigram[: min(WORDS, len(c))] = c[:WORDS]
     unigram[END] = ends
     model = Model({w: i for i, w in enumerate(words)}, classes, np.log10(c + 1), ends, tokens, distinct, share, *[np.zeros((1, 1), np.float32)] * 3)
-    held = docs.sparkSession.sparkContext.broadcast(model)
-
-    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [np.r_[held.value.classes(words_of(t.as_py())[: SAMPLE_TOKENS - 1])[0], END].astype(np.uint16).tobytes() for t in batch.column(1)]
-            yield pa.record_batch({"h": batch.column(0), "ids": pa.array(rows, pa.binary())})
-
-    hashed = docs.select(F.xxhash64(F.lit(3), "text", "id").alias("h"), "text")
-    rate = min(1.0, 1.3 * SAMPLE_ROWS / max(1, ends))
-    chosen = hashed.where(F.col("h").bitwiseAND(2**31 - 1) <= int(rate * (2**31 - 1))).mapInArrow(ids, "h long, ids binary").orderBy("h").limit(SAMPLE_ROWS).collect()
-    network = Network(unigram + 1)
-    network.train([np.frombuffer(r.ids, np.uint16).astype(np.int64) for r in chosen])
+    network = fit(docs, model, unigram + 1, tokens)
     model.first, model.second, model.norm = network.tables()
     return model, counts
 
@@ -203,8 +266,8 @@ def scored(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_
 
     Probabilities are normalised: P(class | two classes before) from the network, times (c + 1) over
     the sum of this in a class of many words, one more for all unseen words. Words of the head are
-    looked up, others joined with their counts. Null texts are empty ones: the end token alone. Repeated
-    rows get repeated results; an empty table gives an empty result.
+    looked up, others joined with their counts. Null texts are empty ones: the end token alone. Texts are scored whole, however
+    long. Repeated rows get repeated results; an empty table gives an empty result. Columns other than ``keep`` are ignored.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 

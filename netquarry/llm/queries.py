@@ -54,7 +54,7 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out("doc_id", 7, 2))
-    model, counts = language_model.train(docs.where(~F.col("held_out")), "doc_id", "text")
+    model, counts = language_model.train(docs.where(~F.col("held_out")))
     return language_model.scored(docs, model, counts, keep=("held_out",))
 
 
