@@ -12,54 +12,77 @@ from pyspark.sql.window import Window
 
 from netquarry.llm.common import cut
 
-#: Bits of a code: vectors are padded to this length before they are rotated, so that the error shrinks as its root.
-BITS = 256
+#: Bits of a code, a multiple of 64: vectors are padded to this length before they are rotated, so that the error shrinks as its root.
+BITS = 128
+#: Bit planes of a query's rotated components.
+PLANES = 4
 #: Width of the error bounds in standard deviations.
 EPSILON = 1.9
-#: Vectors and queries of a block. A group of the scan holds one block of each.
-VECTORS, QUERIES = 8_192, 4_096
-#: Queries scored at once within a group.
-AT_ONCE = 128
+#: Codes (36 bytes each) and queries of a block at most. A group of the scan holds one block of each.
+VECTORS, QUERIES = 1 << 20, 1 << 16
+#: Codes of a block at least, below which more blocks don't pay, and codes and queries that meet at once.
+LEAST_BLOCK, CODES_AT_ONCE, AT_ONCE = 4_096, 8_192, 64
 #: Parts of a group of equal vectors when its smallest ids are found.
 SALTS = 16
 
 
 def rotation(dim: int, bits: int = BITS, seed: int = 5) -> np.ndarray:
     """(bits, dim) with orthonormal columns: a random rotation of the padded space."""
-    q, r = np.linalg.qr(np.random.default_rng(seed).normal(size=(max(bits, dim), dim)))
+    q, r = np.linalg.qr(np.random.default_rng(seed).normal(size=(max(bits, -(-dim // 64) * 64), dim)))
     return q * np.sign(np.diag(r))
 
 
 def encode(x: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Packed signs of the rotated residuals, the residuals' lengths, and the cosine between each and its code."""
+    """Signs of the rotated residuals as 64-bit words; the factor of an estimate from them, and the error of one for a query of length 1."""
     away = (x - centre) @ turn.T
+    bits = away.shape[1]
     length = np.linalg.norm(away, axis=1)
-    cosine = np.abs(away).sum(axis=1) / (np.sqrt(away.shape[1]) * np.maximum(length, 1e-300))
-    return np.packbits(away > 0, axis=1), length, np.where(length > 0, cosine, 1.0)
-
-
-def nearest(x: np.ndarray, codes: np.ndarray, length: np.ndarray, cosine: np.ndarray, queries: np.ndarray, centre: np.ndarray, turn: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, vector, exact inner product) of all vectors of a block that the bounds leave among each query's ``k`` nearest."""
-    bits = len(turn)
-    signs = np.unpackbits(codes, axis=1)[:, :bits].astype(np.float32) * np.float32(2) - np.float32(1)
-    scale = (length / (np.sqrt(bits) * cosine)).astype(np.float32)
-    error = (length * EPSILON * np.sqrt(np.maximum(0, 1 - cosine**2)) / (cosine * np.sqrt(max(1, bits - 1)))).astype(np.float32)
-    turned = (queries @ turn.T).astype(np.float32)
-    out = []
-    for at in range(0, len(queries), AT_ONCE):
-        q = queries[at : at + AT_ONCE]
-        size = np.linalg.norm(q, axis=1).astype(np.float32)[:, None]
-        guess = (turned[at : at + AT_ONCE] @ signs.T) * scale + (q @ centre).astype(np.float32)[:, None]
-        spread = size * error
-        if len(x) > k:
-            low = np.partition(guess - spread, len(x) - k, axis=1)[:, len(x) - k, None]
-            i, j = np.nonzero(guess + spread >= low - 1e-5 * size)
-        else:
-            i, j = (v.ravel() for v in np.indices(guess.shape))
-        for part in range(0, len(i), 200_000):
-            a, b = i[part : part + 200_000], j[part : part + 200_000]
-            out.append((a + at, b, (x[b] * q[a]).sum(axis=1)))
-    return tuple(np.concatenate(v) for v in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+    cosine = np.where(length > 0, np.abs(away).sum(axis=1) / (np.sqrt(bits) * np.maximum(length, 1e-300)), 1.0)
+    error = length * EPSILON * np.sqrt(np.maximum(0, 1 - cosine**2)) / (cosine * np.sqrt(bits - 1))
+    return np.packbits(away > 0, axis=1, bitorder="little").view(np.uint64), length / (np.sqrt(bits) * cosine), error
+
+
+def planes(q: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(queries, PLANES, words): bit planes of each query's rotated components on a scale of its own; and that scale (low, step), the
+    sum of its steps, its product with the centre, and its length."""
+    turned = q @ turn.T
+    low = turned.min(axis=1)
+    step = np.maximum((turned.max(axis=1) - low) / (2**PLANES - 1), 1e-300)
+    level = np.rint((turned - low[:, None]) / step[:, None]).astype(np.uint8)
+    bits = np.stack([np.packbits(level >> p & 1, axis=1, bitorder="little") for p in range(PLANES)], axis=1)
+    total = low * turned.shape[1] + step * level.sum(axis=1)
+    return np.ascontiguousarray(bits).view(np.uint64), np.column_stack([low, step, total, q @ centre, np.linalg.norm(q, axis=1)])
+
+
+def bounds(codes: np.ndarray, factor: np.ndarray, error: np.ndarray, bits: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper bounds of the inner products of (queries, codes), from counted bits and the scalars alone."""
+    low, step, total, centre, size = (scale[:, i, None] for i in range(5))
+    ones = np.bitwise_count(codes).sum(axis=1, dtype=np.int32)
+    met = np.zeros((len(bits), len(codes)), np.int32)
+    for p in range(bits.shape[1]):
+        for word in range(codes.shape[1]):
+            met += np.bitwise_count(codes[:, word] & bits[:, p, word, None]).astype(np.int32) << p
+    guess = (2 * (low * ones + step * met) - total) * factor + centre
+    spread = size * error + 2 * EPSILON * step * np.sqrt(64 * codes.shape[1] / 12) * factor + 1e-9 * size
+    return guess - spread, guess + spread
+
+
+def survivors(codes: np.ndarray, factor: np.ndarray, error: np.ndarray, bits: np.ndarray, scale: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(query, code, lower bound, upper bound) of what a block may add to each query's ``k`` nearest: upper bounds from the block's k-th lower bound on."""
+    for at in range(0, len(bits), AT_ONCE):
+        some = slice(at, at + AT_ONCE)
+        best = np.full((len(bits[some]), k), -np.inf)
+        held: list[tuple[np.ndarray, ...]] = []
+        for start in range(0, len(codes), CODES_AT_ONCE):
+            part = slice(start, start + CODES_AT_ONCE)
+            low, high = bounds(codes[part], factor[part], error[part], bits[some], scale[some])
+            top = np.partition(low, low.shape[1] - k, axis=1)[:, -k:] if low.shape[1] > k else low
+            best = np.partition(np.concatenate([best, top], axis=1), top.shape[1], axis=1)[:, -k:]
+            i, j = np.nonzero(high >= best.min(axis=1)[:, None])
+            held.append((i, j + start, low[i, j], high[i, j]))
+        i, j, low, high = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, int),) * 4
+        stay = high >= best.min(axis=1)[i]
+        yield i[stay] + at, j[stay], low[stay], high[stay]
 
 
 def _matrix(column) -> np.ndarray:
@@ -67,28 +90,55 @@ def _matrix(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
+def _words(column, *shape: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), *shape, -1)
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    return pa.array([x.tobytes() for x in rows], pa.binary())
+
+
 def index(reps: DataFrame, centre: np.ndarray, turn: np.ndarray) -> DataFrame:
-    """Adds ``code, length, cosine`` to ``rep, v, ids``."""
+    """``rep, code, factor, error`` of ``reps(rep, v)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                codes, length, cosine = encode(_matrix(batch.column(1)), centre, turn)
-                yield pa.record_batch([*batch.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(length), pa.array(cosine)], names=["rep", "v", "ids", "code", "length", "cosine"])
+                code, factor, error = encode(_matrix(batch.column(1)), centre, turn)
+                yield pa.record_batch({"rep": batch.column(0), "code": _binary(code), "factor": pa.array(factor), "error": pa.array(error)})
+
+    return reps.select("rep", "v").mapInArrow(run, "rep long, code binary, factor double, error double")
+
+
+def asked_planes(queries: DataFrame, centre: np.ndarray, turn: np.ndarray) -> DataFrame:
+    """``query, bits, scale`` of ``queries(rep, v)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                bits, scale = planes(_matrix(batch.column(1)), centre, turn)
+                yield pa.record_batch({"query": batch.column(0), "bits": _binary(bits), "scale": pa.array(list(scale), pa.list_(pa.float64()))})
+
+    return queries.select("rep", "v").mapInArrow(run, "query long, bits binary, scale array<double>")
+
 
-    return reps.select("rep", "v", "ids").mapInArrow(run, "rep long, v array<double>, ids array<long>, code binary, length double, cosine double")
+def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            yield pa.record_batch({"query": batch.column(0), "ids": batch.column(1), "score": pa.array((_matrix(batch.column(2)) * _matrix(batch.column(3))).sum(axis=1))})
 
 
 def search(vectors: DataFrame, query_step: int = 20, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", bits: int = BITS) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest rows of each row whose id is divisible by ``query_step``.
 
     Nearness is the inner product in double precision, ties go to the smaller id. Equal vectors are
-    scored once, and of them only the ``k + 1`` smallest ids can be results. Every distinct vector has a code;
-    blocks of codes meet blocks of queries, and what the bounds can't rule out is scored exactly.
+    scored once, and of them only the ``k + 1`` smallest ids can be results. Every distinct vector has a code. Blocks of codes
+    and their scalars meet blocks of queries' bit planes; the bounds of all blocks together leave few vectors for each query, and
+    only those are fetched and scored exactly.
 
     Null ids, vectors that are null, zero, of another length than most, or hold a null or non-finite
     component take no part. Rows with the query's id are its own. Repeated queries with one vector
-    give one result. An empty table, or one vector alone, gives an empty result.
+    give one result. An empty table, or one vector alone, gives an empty result. Extra columns are ignored.
     """
     v = F.col(vector_col).cast("array<double>")
     sound = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0)
@@ -98,46 +148,43 @@ def search(vectors: DataFrame, query_step: int = 20, k: int = 20, id_col: str =
     if sizes is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim = sizes["dim"]
-    rows = rows.where(F.size("v") == dim)
-    salted = Window.partitionBy("v", "salt").orderBy("id")
-    least = rows.distinct().withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS))).withColumn("i", F.row_number().over(salted)).where(F.col("i") <= k + 1)
-    least = least.withColumn("i", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("i") <= k + 1)
-    reps = cut(least.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))).withColumn("rep", F.monotonically_increasing_id())
+    rows = rows.where(F.size("v") == dim).select("id", "v", F.xxhash64("v").alias("h1"), F.hash("v").alias("h2"))  # 96 bits stand for a vector
+    same = ["h1", "h2"]
+    narrow = rows.select("id", *same).distinct().withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    least = narrow.withColumn("i", F.row_number().over(Window.partitionBy(*same, "salt").orderBy("id"))).where(F.col("i") <= k + 1)
+    least = least.withColumn("i", F.row_number().over(Window.partitionBy(*same).orderBy("id"))).where(F.col("i") <= k + 1)
+    ids = least.groupBy(*same).agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    reps = cut(rows.groupBy(*same).agg(F.first("v").alias("v")).join(ids, same)).withColumn("rep", F.monotonically_increasing_id())
     means = reps.agg(F.count(F.lit(1)).alias("n"), *(F.avg(F.col("v")[i]).alias(f"m{i}") for i in range(dim))).first()
     n, centre = means["n"], np.array(means[1:], float)
     turn = rotation(dim, bits)
-    coded = index(reps, centre, turn)
-    asked = cut(rows.where(F.col("id") % query_step == 0).distinct().join(reps.select("rep", "v"), "v").select(F.col("id").alias("query_id"), "rep", "v"))
-    queries = asked.dropDuplicates(["rep"]).select("rep", "v")
-    blocks, parts = -(-n // VECTORS), -(-max(1, queries.count()) // QUERIES)
+    asked = cut(rows.where(F.col("id") % query_step == 0).select("id", *same).distinct().join(reps.select(*same, "rep"), same).select(F.col("id").alias("query_id"), F.col("rep").alias("query")))
+    queries = cut(asked.select("query").distinct().join(reps.select(F.col("rep").alias("query"), "v"), "query").select(F.col("query").alias("rep"), "v"))
+    cores = spark.sparkContext.defaultParallelism
+    blocks = max(-(-n // VECTORS), min(cores, -(-n // LEAST_BLOCK)))
+    parts = max(1, -(-queries.count() // QUERIES))
 
-    def spread(df: DataFrame, own: str, count: int, other: str, many: int) -> DataFrame:
+    def spread(df: DataFrame, by: str, own: str, count: int, other: str, many: int) -> DataFrame:
         """Deals rows to ``count`` blocks of their own and repeats them for each of ``many`` blocks of the other side."""
-        return df.withColumn(own, F.pmod(F.xxhash64("rep"), F.lit(count)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(many - 1))))
+        return df.withColumn(own, F.pmod(F.xxhash64(by), F.lit(count)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(many - 1))))
 
     def pairs(left: pa.Table, right: pa.Table) -> pa.Table:
-        found: list = [[], [], []]
+        found = []
         if left.num_rows and right.num_rows:
-            codes = np.frombuffer(b"".join(left["code"].to_pylist()), np.uint8).reshape(left.num_rows, -1)
-            i, j, score = nearest(_matrix(left["v"]), codes, left["length"].to_numpy(), left["cosine"].to_numpy(), _matrix(right["v"]), centre, turn, k + 1)
-            rep, ids = right["rep"].to_numpy(), left["ids"].to_pylist()
-            order = np.lexsort((-score, i))
-            i, j, score = i[order], j[order], score[order]
-            starts = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else []
-            for a, b in zip(starts, [*starts[1:], len(i)], strict=True):
-                # all vectors that tie with the (k + 1)-th stay, as smaller ids go first
-                top = min(b, a + k + 1)
-                while top < b and score[top] == score[top - 1]:
-                    top += 1
-                near = sorted((-s, vec) for s, one in zip(score[a:top].tolist(), j[a:top].tolist(), strict=True) for vec in ids[one])[: k + 1]
-                found[0] += [rep[i[a]]] * len(near)
-                found[1] += [vec for _, vec in near]
-                found[2] += [-s for s, _ in near]
-        return pa.table({"rep": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.float64())})
-
-    left, right = spread(coded, "block", blocks, "part", parts), spread(queries, "part", parts, "block", blocks)
-    met = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(pairs, "rep long, vec_id long, score double")
-    best = met.withColumn("i", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("score"), "vec_id"))).where(F.col("i") <= k + 1).drop("i")
-    own = asked.select("query_id", F.col("rep").alias("of"))
-    ranked = best.join(own, F.col("rep") == F.col("of")).where("vec_id <> query_id").withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "rep").orderBy(F.desc("score"), "vec_id")))
+            rep, query = left["rep"].to_numpy(), right["query"].to_numpy()
+            codes, asked_bits = _words(left["code"]), _words(right["bits"], PLANES)
+            for i, j, low, high in survivors(codes, left["factor"].to_numpy(), left["error"].to_numpy(), asked_bits, _matrix(right["scale"]), k + 1):
+                found.append((query[i], rep[j], low, high))
+        columns = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0)] * 4
+        return pa.table({name: pa.array(x, kind) for name, x, kind in zip(("query", "rep", "low", "high"), columns, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)})
+
+    left, right = spread(index(reps, centre, turn), "rep", "block", blocks, "part", parts), spread(asked_planes(queries, centre, turn), "query", "part", parts, "block", blocks)
+    met = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(pairs, "query long, rep long, low double, high double")
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("low")))
+    edge = F.min(F.when(F.col("i") <= k + 1, F.col("low"))).over(Window.partitionBy("query"))
+    near = cut(met.withColumn("i", place).withColumn("edge", edge).where(F.col("high") >= F.col("edge")).select("query", "rep"))
+    both = near.join(reps.select("rep", "v", "ids"), "rep").join(queries.select(F.col("rep").alias("query"), F.col("v").alias("of")), "query").select("query", "ids", "v", "of")
+    scored = both.mapInArrow(_products, "query long, ids array<long>, score double").select("query", F.explode("ids").alias("vec_id"), "score")
+    best = scored.withColumn("i", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).where(F.col("i") <= k + 1).drop("i")
+    ranked = best.join(asked, "query").where("vec_id <> query_id").withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
