@@ -41,23 +41,44 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of our own below the shared one, in whatever store Spark has it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes ``df`` to the shared checkpoint folder, so that later jobs survive lost executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
-#: One-row-a-key tables of at most so many narrow rows (about 10 MB) are broadcast; larger ones are repeated for each of SALTS parts of a key.
+#: A key is heavy if it holds more than one row in so many; so this is also the most heavy keys that there can be.
+HEAVY = 1_000
+#: Tables of nodes of at most so many narrow rows (about 4 MB) are broadcast; larger ones are repeated for each of SALTS parts of a key.
 BROADCAST_ROWS, SALTS = 200_000, 16
 
 
-def hot_join(big: DataFrame, small: DataFrame, key: str, spread_by: str, how: str = "inner") -> DataFrame:
-    """Joins ``big``, of which one key may hold any share, with ``small`` (narrow, one row a key, already written by ``cut``), without one task for a key."""
+def hot_join(big: DataFrame, small: DataFrame, key: str, rows: str = "n") -> DataFrame:
+    """Joins ``big``, of which one key may hold any share, with ``small``, one row a key with its number of rows in ``big``.
+
+    The heavy keys, HEAVY at most, are broadcast, and their rows aren't shuffled; all others are joined as usual. ``small`` is already written by ``cut``.
+    """
+    total = small.agg(F.sum(rows)).first()[0] or 0
+    heavy = small.where(F.col(rows) * HEAVY > total).drop(rows)
+    light = small.drop(rows)
+    if heavy.isEmpty():
+        return big.join(light, key)
+    return big.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key).unionByName(big.join(F.broadcast(heavy), key))
+
+
+def salted_join(big: DataFrame, small: DataFrame, key: str, spread_by: str) -> DataFrame:
+    """Joins ``big``, of which one key may hold any share, with ``small`` (two numbers, one row a key, already written by ``cut``), where the shares aren't known."""
     if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        return big.join(F.broadcast(small), key, how)
+        return big.join(F.broadcast(small), key)
     salted = big.withColumn("join_salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int"))
     copies = small.withColumn("join_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, [key, "join_salt"], how).drop("join_salt")
+    return salted.join(copies, [key, "join_salt"]).drop("join_salt")
 
 
 def quoted(name: str) -> Column:

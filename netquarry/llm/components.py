@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netquarry.llm.common import cut, hot_join
+from netquarry.llm.common import cut, salted_join
 
 
 def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,10 +51,10 @@ def components(links: DataFrame) -> DataFrame:
     both = cut(stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     labels = cut(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("node"), F.min("v")).alias("label")))
     while True:
-        near = hot_join(both, labels.withColumnRenamed("node", "v"), "v", "u").groupBy("u").agg(F.min("label").alias("seen"))
+        near = salted_join(both, labels.withColumnRenamed("node", "v"), "v", "u").groupBy("u").agg(F.min("label").alias("seen"))
         spread = labels.join(near, labels.node == near.u).select("node", F.col("label").alias("old"), F.least("label", "seen").alias("label"))
         target = labels.select(F.col("node").alias("label"), F.col("label").alias("onward"))
-        moved = cut(hot_join(spread, target, "label", "node").select("node", "old", F.least("label", "onward").alias("label")))
+        moved = cut(salted_join(spread, target, "label", "node").select("node", "old", F.least("label", "onward").alias("label")))
         done = moved.where("label <> old").isEmpty()
         labels = moved.select("node", "label")
         if done:

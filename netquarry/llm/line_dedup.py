@@ -125,7 +125,7 @@ def drop_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Lines with a key of at least ``least_chars`` code points that at least ``least_docs`` (3 or more)
     documents hold go, but for those in the largest doc_id that holds the key. The first filter has
     the keys seen once, the second those seen again; only lines that the second suspects are shuffled,
-    by a 128-bit digest of the key, and counted exactly by distinct doc_id. A line of very many documents is dealt to several tasks.
+    by a 128-bit digest of the key, and counted exactly by distinct doc_id. A line of very many documents isn't gathered in one task.
 
     A null or empty text is one empty line. Rows that share a doc_id are one document when counted.
     Null ids are together one document, which is never the largest. Repeated rows give repeated
@@ -145,7 +145,7 @@ def drop_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         at = segment * (SEGMENT_BITS // 8)
         twice[at : at + SEGMENT_BITS // 8] = np.frombuffer(words, np.uint8)
     suspects = cut(docs.mapInArrow(_suspects(spark.sparkContext.broadcast(twice), bits, least_chars), "doc_id long, key binary").distinct())
-    shared = cut(suspects.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= least_docs).drop("n"))
-    drops = hot_join(suspects, shared, "key", "doc_id").where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).groupBy(F.col("doc_id").alias("of")).agg(F.collect_list("key").alias("keys"))
+    shared = cut(suspects.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= least_docs))
+    drops = hot_join(suspects, shared, "key").where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).groupBy(F.col("doc_id").alias("of")).agg(F.collect_list("key").alias("keys"))
     rows = docs.join(drops, F.col("doc_id").eqNullSafe(F.col("of")), "left").select("doc_id", "text", "keys")
     return rows.mapInArrow(_keep(least_chars), "doc_id long, kept binary, n_lines long, n_dropped long").select("doc_id", F.col("kept").cast("string").alias("kept_text"), "n_lines", "n_dropped")

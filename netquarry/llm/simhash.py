@@ -190,14 +190,13 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Fingerprints within ``radius`` bits link; a component's id is the smallest doc_id in it. Texts
     are whole and lower-cased in A-Z. Null texts and texts without words have fingerprint zero and
-    link as any other. Equal fingerprints are compared once, so copies cost no pairs, and are dealt to
-    several tasks when they get their result. Rows with a null id take part; a component of null ids only has a
+    link as any other. Equal fingerprints are compared once, so copies cost no pairs, and are never gathered in one task. Rows with a null id take part; a component of null ids only has a
     null id. Repeated rows give repeated results, an empty table an empty one. Extra columns are ignored.
     """
     rows = cut(fingerprints(docs, id_col, text_col, shingle, seed))
-    fps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    fps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
     labels = components(near_links(fps, radius, segments)).withColumnRenamed("node", "fp")
-    labelled = fps.join(labels, "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("root"))
-    smallest = cut(labelled.groupBy("root").agg(F.min("least").alias("component_id")))
-    of_fp = cut(hot_join(labelled.select("fp", "root"), smallest, "root", "fp").select("fp", "component_id"))
-    return hot_join(rows, of_fp, "fp", "doc_id").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    labelled = fps.join(labels, "fp", "left").select("fp", "least", F.col("n").alias("copies"), F.coalesce("label", "fp").alias("root"))
+    smallest = cut(labelled.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")))
+    of_fp = cut(hot_join(labelled.select("root", "fp", "copies"), smallest, "root").select("fp", "component_id", F.col("copies").alias("n")))
+    return hot_join(rows, of_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
