@@ -102,26 +102,40 @@ class Network:
             starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
             return ids[starts], np.add.reduceat(grad[order], starts)
 
+        def sigmoid(x: np.ndarray, scale: float) -> np.ndarray:
+            """scale / (1 + exp(x)), in the place of x."""
+            np.exp(x, out=x)
+            x += 1
+            return np.divide(np.float32(scale), x, out=x)
+
         order = rng.permutation(len(now))
-        for at in range(0, len(order), BATCH):
-            pick = order[at : at + BATCH]
-            w, a, b = now[pick], one[pick], two[pick]
-            noise = np.minimum(np.searchsorted(cum, rng.random(NOISES)), CLASSES - 1).astype(w.dtype)
-            qa, qb = self.context[a], self.context[b]
-            guess = qa @ self.position[0] + qb @ self.position[1]
-            rw, rn = self.target[w], self.target[noise]
-            true = (guess * rw).sum(axis=1) + self.bias[w] - log_noise[w]
-            false = guess @ rn.T + self.bias[noise] - log_noise[noise]
-            up = (1 / (1 + np.exp(np.clip(true, -30, 30)))).astype(np.float32) / len(pick)
-            down = (-1 / (1 + np.exp(np.clip(-false, -30, 30)))).astype(np.float32) / len(pick)
-            g_guess = up[:, None] * rw + down @ rn
-            rows, g = summed(np.r_[w, noise], np.column_stack([np.r_[up[:, None] * guess, down.T @ guess], np.r_[up, down.sum(axis=0)]]))
-            step(1, self.target, g[:, :-1], rows)
-            step(4, self.bias, g[:, -1], rows)
-            rows, g = summed(np.r_[a, b], np.r_[g_guess @ self.position[0].T, g_guess @ self.position[1].T])
-            for i, q in enumerate((qa, qb)):
-                step(2 + i, self.position[i], q.T @ g_guess)
-            step(0, self.context, g, rows)
+        with np.errstate(over="ignore"):
+            for at in range(0, len(order), BATCH):
+                pick = order[at : at + BATCH]
+                w, a, b = now[pick], one[pick], two[pick]
+                noise = np.minimum(np.searchsorted(cum, rng.random(NOISES)), CLASSES - 1).astype(w.dtype)
+                qa, qb = self.context[a], self.context[b]
+                guess = qa @ self.position[0] + qb @ self.position[1]
+                rw, rn = self.target[w], self.target[noise]
+                true = np.einsum("ij,ij->i", guess, rw)
+                true += self.bias[w] - log_noise[w]
+                false = guess @ rn.T
+                false += self.bias[noise] - log_noise[noise]
+                up = sigmoid(true, 1 / len(pick))
+                down = sigmoid(np.negative(false, out=false), -1 / len(pick))
+                g_guess = down @ rn
+                grad = np.empty((len(w) + NOISES, guess.shape[1] + 1), np.float32)
+                np.multiply(guess, up[:, None], out=grad[: len(w), :-1])
+                grad[len(w) :, :-1] = down.T @ guess
+                grad[: len(w), -1], grad[len(w) :, -1] = up, down.sum(axis=0)
+                g_guess += rw * up[:, None]
+                rows, g = summed(np.concatenate([w, noise]), grad)
+                step(1, self.target, g[:, :-1], rows)
+                step(4, self.bias, g[:, -1], rows)
+                rows, g = summed(np.concatenate([a, b]), np.concatenate([g_guess @ self.position[0].T, g_guess @ self.position[1].T]))
+                for i, q in enumerate((qa, qb)):
+                    step(2 + i, self.position[i], q.T @ g_guess)
+                step(0, self.context, g, rows)
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """log10 parts of each class after each class at distance 1 (bias included) and 2, and of the normaliser of each pair.
