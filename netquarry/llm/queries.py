@@ -9,43 +9,53 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netquarry.llm import ann, decontamination, language_id, language_model, line_dedup, mixing, quality, sharding, simhash, warc
-from netquarry.llm.common import cut, held_out, shared_dir, table
+from netquarry.llm.common import cut, held_out, removed, shared_dir, table
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out("doc_id", 4, 2))
+    """``doc_id, held_out, lang_pred, score`` of each document row; null texts and texts without a letter are ``und`` with score 0. Other cases as in ``language_id.identify``; an empty table gives no rows."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out("doc_id", 4, 2).alias("held_out"))
     model = language_id.train(docs.where(~F.col("held_out")))
     return language_id.identify(docs, model).select("doc_id", "held_out", "language.lang_pred", "language.score")
 
 
 def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``query_id, rank, vec_id, score``: the 20 nearest of each row whose id is divisible by 20. Unsound vectors take no part; cases as in ``ann.search``."""
     return ann.search(table(spark, sf_dir, "embeddings"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, domain, language, origin, tokens, budget, epoch``: a row for each time that a document is taken; cases as in ``mixing.mix``."""
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, n_lines, n_dropped, kept_sha256`` of each document row; a null or empty text is one empty line. Cases as in ``line_dedup.drop_shared_lines``."""
     kept = line_dedup.drop_shared_lines(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``page_id, payload_bytes, payload_digest, record_type, refers_to`` of each page row, from archives written, read back and then deleted. Cases as in ``warc.write_archives``."""
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     warc.write_archives(table(spark, sf_dir, "pages"), path)
-    return warc.page_records(spark, path)
+    found = cut(warc.page_records(spark, path))
+    removed(spark, path)
+    return found
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` of each document row under the law ``bytes``; cases as in ``sharding.shard``."""
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, fingerprint, component_id`` of each document row; texts without words have fingerprint zero. Cases as in ``simhash.simhash_components``."""
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, held_out, score, predicted`` of each document row, null and empty texts too; without labels the score is 0.5. Cases as in ``quality.scored``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), quality.document_statistics(F.col("text").cast("binary")).alias("features"))
     docs = cut(docs)
     model = quality.train(docs.where(~F.col("held_out")), table(spark, sf_dir, "labels"))
@@ -53,12 +63,14 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of each document row; a null text is empty: the end alone. Cases as in ``language_model.scored``."""
     docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out("doc_id", 7, 2))
     model, counts = language_model.train(docs.where(~F.col("held_out")))
     return language_model.scored(docs, model, counts, keep=("held_out",))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, item_id, distance`` for each document row and benchmark item that it holds; clean documents have no row. Cases as in ``decontamination.benchmark_hits``."""
     return decontamination.benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 

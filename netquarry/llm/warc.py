@@ -39,7 +39,9 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     """Writes a record for each row. Of equal payloads of at least ``least_bytes`` the smallest id's is a response, others revisit it.
 
     A null payload is empty. Rows that share the smallest id are all responses; null ids come last, and
-    if a payload has null ids only, its rows are responses. Only digests shuffle, never payloads unless very many repeat.
+    if a payload has null ids only, its rows are responses. A null url is left out, and line ends in one are dropped. Repeated rows
+    are records each, an empty table gives archives without records, payloads may be of any size that a string can have,
+    and extra columns are ignored. Only digests shuffle, never payloads unless very many repeat.
     """
     text = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.regexp_replace(F.col(url_col).cast("string"), r"[\r\n]", "").alias("url"), text.alias("payload"), F.octet_length(text).alias("length"), F.sha1(text.cast("binary")).alias("hexed"))
@@ -183,7 +185,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """``file, offset, record_type, record_id, target_uri, refers_to, declared_digest, declared_length, payload`` of each record.
 
     Files are split; each task emits candidate records with their successors, pointer jumping from the file's start finds
-    those that are reachable, and a record start within a payload isn't one. A chain that breaks ends its file.
+    those that are reachable, and a record start within a payload isn't one. A chain that breaks ends its file. Records may
+    reach over many splits. Empty files and folders give no rows; a header that lacks a field gives null for it.
     """
     splits, beyond = _splits(spark, path)
     few = _few(splits)

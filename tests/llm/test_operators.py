@@ -232,6 +232,21 @@ def test_warc(spark, tmp_path):
     assert warc.page_records(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_long_payloads_over_many_splits_and_joined_tables(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
+    long = ("long payload " * 100 + "WARC/1.1\r\n" + "\u00fc" * 700) * 200
+    df = spark.createDataFrame([(1, "u", long), (2, "u", "short"), (3, "u", long), (4, "u", "short" + long)], "page_id long, url string, html string").coalesce(1)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "50k")
+        warc.write_archives(df, str(tmp_path / "w"))
+        found = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.page_records(spark, str(tmp_path / "w")).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    size = len(long.encode())
+    assert found == {1: (size, "response", None), 2: (5, "response", None), 3: (size, "revisit", 1), 4: (size + 5, "response", None)}
+
+
 # -- sharding
 
 
@@ -318,11 +333,13 @@ def test_simhash(spark, odd, none):
     assert simhash.simhash_components(none).count() == 0
 
 
-def test_hot_keys_are_dealt_out(spark, odd, monkeypatch):
-    """The joins of a large table of keys give what the broadcast ones give."""
+@pytest.mark.parametrize(("heavy", "broadcast"), [(10**9, 0), (1, 0), (5, 200_000)])
+def test_hot_keys_are_dealt_out(spark, odd, monkeypatch, heavy, broadcast):
+    """All keys heavy, none, or some; nodes salted or broadcast: the results are the same."""
     want = sorted(map(tuple, simhash.simhash_components(odd).collect()), key=str)
     lines = sorted(map(tuple, line_dedup.drop_shared_lines(odd).collect()), key=str)
-    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "HEAVY", heavy)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast)
     assert sorted(map(tuple, simhash.simhash_components(odd).collect()), key=str) == want
     assert sorted(map(tuple, line_dedup.drop_shared_lines(odd).collect()), key=str) == lines
 
