@@ -1,15 +1,17 @@
 """The 77-packet sample: sixteen TLS handshakes, two HTTP requests, four DNS queries, five packets of a blocked source."""
 
 import io
+import random
+import struct
 
 import pytest
 from pyspark.sql import functions as F
 
 from netquarry.operators import report
 from netquarry.operators.rules import RuleSet
-from netquarry.plans.analysis import Analysis, analyze
+from netquarry.plans.analysis import Analysis, analyze, analyze_sample
 from netquarry.sources import exports, pcap
-from netquarry.synth import SAMPLE_CLIENT, client_hello, ipv4, sample_frames, sample_packets, tcp
+from netquarry.synth import SAMPLE_CLIENT, client_hello, ipv4, sample_packets, tcp
 
 ME = SAMPLE_CLIENT
 
@@ -132,3 +134,62 @@ def test_skewed_flow_keeps_its_order(spark):
     frames = [ipv4(ME, "1.2.3.4", 6, tcp(5, 443, 16)) for _ in range(500)] + [ipv4(ME, "1.2.3.4", 6, tcp(5, 443, 24, client_hello("www.tiktok.com")))] + [ipv4(ME, "1.2.3.4", 6, tcp(5, 443, 16)) for _ in range(500)]
     a = Analysis(raw(spark, frames).repartition(8), RULES)
     assert a.run.where("action = 'DROP'").agg(F.min("packet_no"), F.count("*")).first() == (500, 501)
+
+
+def test_captures_in_many_files_are_one(spark, packets, tmp_path):
+    """The sample cut into three captures: the engine's verdicts and the bytes written are those of the one capture."""
+    rows = packets.orderBy("packet_no").collect()
+    for name, part in (("a", rows[:30]), ("b", rows[30:71]), ("c", rows[71:])):
+        Analysis(spark.createDataFrame(part, packets.schema)).write_capture(str(tmp_path / name))
+    a = analyze(spark, str(tmp_path / "[abc]" / "*.pcap"), RULES)
+    back = a.raw.orderBy("packet_no").collect()
+    assert [(r.packet_no, bytes(r.data)) for r in back] == [(i, bytes(r.data)) for i, r in enumerate(rows)]
+    s = a.summary.first()
+    assert (s.total_packets, s.forwarded_packets, s.dropped_packets, s.capture_duration) == (77, 69, 8, 76.0)
+    one = Analysis(packets, RULES)
+    assert a.details.orderBy("id").collect() == one.details.orderBy("id").collect()
+    assert [r.timestamp for r in a.timeline.collect()] == list(range(77))
+    a.write_capture(str(tmp_path / "out"))
+    written = spark.read.format("pcap").load(str(tmp_path / "out")).orderBy("packet_no").collect()
+    assert [bytes(r.data) for r in written] == [bytes(r.data) for r in one.forwarded().orderBy("packet_no").collect()]
+
+
+def capture_bytes(order, records, snaplen=65_535):
+    return struct.pack(f"{order}IHHiIII", pcap.MAGIC, 2, 4, 0, 0, snaplen, 1) + b"".join(struct.pack(f"{order}IIII", i, 7, len(r), len(r)) + r for i, r in enumerate(records))
+
+
+@pytest.mark.parametrize("order", "<>")
+def test_files_are_read_in_pieces(spark, tmp_path, order):
+    """Payloads that look like records, zeros, records over several pieces, cut ends and empty captures."""
+    rng = random.Random(3)
+    fake = struct.pack(f"{order}IIII", 1, 2, 40, 40)
+    kinds = (lambda: rng.randbytes(rng.randint(0, 90)), lambda: fake * rng.randint(1, 9), lambda: bytes(rng.randint(0, 200)), lambda: fake + bytes(rng.randint(0, 60)), lambda: rng.randbytes(1500))
+    files = [[rng.choice(kinds)() for _ in range(rng.randint(1, 80))] for _ in range(4)] + [[]]
+    for i, f in enumerate(files):
+        (tmp_path / f"{i}.pcap").write_bytes(capture_bytes(order, f) + (fake[:-3] if i == 1 else fake if i == 2 else b""))
+    want = [(i, r) for i, r in enumerate(r for f in files for r in f)]
+    for size in (100, 777, 1 << 20):
+        got = pcap.read_pcap(spark, str(tmp_path / "*.pcap"), piece_bytes=size).orderBy("packet_no").collect()
+        assert [(r.packet_no, bytes(r.data)) for r in got] == want
+
+
+def test_export_by_format_and_hook(spark, packets, tmp_path):
+    a = Analysis(packets, RULES).persist()
+    for fmt in ("json", "csv", "html"):
+        exports.export(a, fmt, str(tmp_path / fmt))
+    assert spark.read.text(str(tmp_path / "csv")).count() == 77
+    assert "Active Flows: 43" in "".join(r.value for r in spark.read.text(str(tmp_path / "html")).collect())
+    with pytest.raises(ValueError):
+        exports.export(a, "xml", str(tmp_path / "xml"))
+    seen = {}
+    a.each_batch(lambda df, action: seen.update({action: df.count()}))
+    assert seen == {"FORWARD": 69, "DROP": 8}
+    text = exports.console(a)
+    assert all(x in text for x in ("classified", "unidentified", "connections seen", "worker 3", "dropped"))
+    a.unpersist()
+
+
+def test_sample_of_the_package(spark):
+    s = analyze_sample(spark, RULES).summary
+    assert (s.first().forwarded_packets, s.first().dropped_packets) == (69, 8)
+    assert tuple(report.shown(s).first()) == (89.6, 10.39, 76.0)

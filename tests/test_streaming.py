@@ -1,9 +1,15 @@
+import random
+import time
+
 from pyspark.sql import functions as F
 
 from netquarry.operators.decode import decode, engine_packets, report_packets
+from netquarry.operators.flows import flow_table, run_flows
 from netquarry.operators.inspection import inspected
+from netquarry.operators.rules import RuleSet
 from netquarry.streaming.captures import flow_updates, traffic
 from netquarry.synth import client_hello, ipv4, tcp
+from tests.test_flows import COLUMNS
 
 
 def source(spark, tmp_path):
@@ -13,18 +19,44 @@ def source(spark, tmp_path):
     return spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
 
 
-def finished(df, name, mode):
+def finished(df, name, mode, rows):
+    """Runs until ``rows`` were taken in: a stream with state time limits doesn't end by itself."""
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    until = time.time() + 120
+    while q.isActive and time.time() < until and sum(p["numInputRows"] for p in q.recentProgress) < rows:
+        time.sleep(0.3)
     q.stop()
 
 
 def test_flow_state(spark, tmp_path):
-    finished(flow_updates(engine_packets(inspected(source(spark, tmp_path)))), "flows_out", "update")
+    finished(flow_updates(engine_packets(inspected(source(spark, tmp_path)))), "flows_out", "update", 3)
     row = spark.table("flows_out").first()
     assert (row.packets, row.application, row.sni, row.state) == (3, "Zoom", "zoom.us", "CLOSED")
 
 
 def test_traffic(spark, tmp_path):
-    finished(traffic(report_packets(decode(source(spark, tmp_path)))), "traffic_out", "complete")
+    finished(traffic(report_packets(decode(source(spark, tmp_path)))), "traffic_out", "complete", 10**9)
     assert sorted(r.packets for r in spark.table("traffic_out").select(F.col("packets")).collect()) == [1, 2]
+
+
+def test_stream_and_batch_agree(spark, tmp_path):
+    """Random flows under rules, in several micro-batches: a flow's last row is the batch's flow."""
+    rng = random.Random(8)
+    findings = [None, None, None, ("YouTube", "youtube.com"), ("HTTPS", ""), ("HTTPS", "bad.com"), ("Zoom", "zoom.us")]
+    rows = []
+    for k in range(10):
+        for i in range(40):
+            flags, found = rng.choice((2, 18, 16, 24, 17, 4, 16)), rng.choice(findings)
+            rows.append(("10.0.0.7" if i % 9 == 0 else "10.0.0.1", "10.0.0.2", i, 443, 6, k * 100 + i, k, 0, 60, True, flags, "TLS" if found else None, found and found[0], found and found[1]))
+    rules = RuleSet.of(ips=("10.0.0.7",), apps=("YouTube",), domains=("bad",))
+    df = spark.createDataFrame(rows, COLUMNS)
+    for part in range(3):
+        df.where(f"packet_no div 100 in ({', '.join(str(x) for x in range(10) if x * 3 // 10 == part)})").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    finished(flow_updates(stream, rules), "verdicts_out", "update", 400)
+    ends = {}
+    for r in spark.table("verdicts_out").orderBy("packets").collect():
+        ends[r.src_port] = (r.state, r.application, r.sni, r.packets, r.bytes, r.dropped)
+    run = run_flows(df, rules)
+    drops = {r.src_port: r.n for r in run.groupBy("src_port").agg(F.count_if(F.col("action") == "DROP").alias("n")).collect()}
+    assert ends == {r.src_port: (r.state, r.application, r.sni, r.packets, r.bytes, drops[r.src_port]) for r in flow_table(run).collect()}
