@@ -33,19 +33,6 @@ def swap32(value: Column) -> Column:
     return reduce(lambda a, b: a.bitwiseOR(b), (F.shiftleft(F.shiftright(v, 8 * i).bitwiseAND(0xFF), 24 - 8 * i) for i in range(4)))
 
 
-def put(value: Column, size: int) -> Column:
-    """Big-endian bytes of an unsigned integer."""
-    return F.unhex(F.lpad(F.hex(value.cast("long")), 2 * size, "0"))
-
-
-def mac(data: Column, offset: int) -> Column:
-    return F.lower(F.concat_ws(":", *(F.hex(F.substring(data, offset + 1 + i, 1)) for i in range(6))))
-
-
-def ipv4(data: Column, offset: int) -> Column:
-    return F.concat_ws(".", *(be(data, offset + i, 1).cast("string") for i in range(4)))
-
-
 def ip_number(ip: Column) -> Column:
     """Dotted address to a number, the first octet lowest. Anything but digits and dots is skipped; an octet above 255 runs into the next."""
     parts = F.split(F.regexp_replace(ip, "[^0-9.]", ""), r"\.")
