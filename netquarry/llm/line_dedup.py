@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -12,11 +13,37 @@ from pyspark.sql import functions as F
 
 from netquarry.llm.common import cut, hot_join, slices
 
-#: Bits of a segment of the filters; a task sends the set positions of each segment as 16-bit numbers.
-SEGMENT_BITS = 1 << 16
-#: The filters have about one bit for 16 bytes of text, within these bounds. The upper one bounds what is
-#: broadcast (64 MB); beyond it more lines are suspected in vain, and the confirmation stays exact.
-LEAST_BITS, MOST_BITS = 1 << 20, 1 << 29
+#: The first filter has about one bit for 4 bytes of text, this many at least. It lies dealt over the tasks and grows with the text.
+LEAST_BITS = 1 << 20
+#: The second filter is broadcast (64 MB at most), so it is the first one folded to at most so many bits.
+MOST_BITS = 1 << 29
+#: Bits of a part of the second filter, and of a part of the first at most (a byte each in memory). A task holds one part of each at a time.
+SECOND_PART, MOST_PART = 1 << 16, 1 << 27
+
+
+class Layout(NamedTuple):
+    """Bits of a part of the first filter, and the numbers of parts: the first's parts p, p + seconds, ... fold to the second's part p."""
+
+    span: int
+    parts: int
+    seconds: int
+
+    @classmethod
+    def of(cls, bits: int) -> Layout:
+        seconds = max(1, min(bits, MOST_BITS) // SECOND_PART)
+        parts = max(seconds, bits // MOST_PART)
+        return cls(bits // parts, parts, seconds)
+
+    @property
+    def number(self) -> type:
+        """The type of a position within a part."""
+        return np.uint16 if self.span <= 1 << 16 else np.uint32
+
+    def places(self, digests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The part of the first filter that each digest falls into, and its two positions there."""
+        words = digests.view(np.uint64).reshape(-1, 2)
+        within = np.column_stack([words[:, 0] >> np.uint64(32), words[:, 1]]) & np.uint64(self.span - 1)
+        return (words[:, 0] & np.uint64(self.parts - 1)).astype(np.int64), within
 
 
 def line_key(line: bytes, least: int) -> bytes | None:
@@ -33,70 +60,73 @@ def _digests(text: bytes | None, least: int) -> set[bytes]:
     return {digest(k) for line in (text or b"").split(b"\n") if (k := line_key(line, least)) is not None}
 
 
-def _positions(digests: np.ndarray, bits: int) -> np.ndarray:
-    """Two filter positions for each digest."""
-    return digests.view(np.uint64).reshape(-1, 2) & np.uint64(bits - 1)
-
-
-def _by_segment(positions: np.ndarray) -> dict[int, bytes]:
-    positions = np.unique(positions.ravel())
-    segment = (positions // np.uint64(SEGMENT_BITS)).astype(np.int64)
-    low = (positions % np.uint64(SEGMENT_BITS)).astype(np.uint16)
-    starts = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]]) if len(segment) else []
-    return {int(segment[a]): low[a:b].tobytes() for a, b in zip(starts, [*starts[1:], len(segment)], strict=True)}
-
-
-def _seen(bits: int, least: int):
+def _seen(layout: Layout, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 0, 64 << 20):
-                found = [d for t in part.column(0) for d in _digests(t.as_py(), least)]
+            for slice_ in slices(batch, 0, 64 << 20):
+                found = [d for t in slice_.column(0) for d in _digests(t.as_py(), least)]
                 if not found:
                     continue
                 keys, counts = np.unique(np.frombuffer(b"".join(found), "V16"), return_counts=True)
-                once = _by_segment(_positions(keys, bits))
-                twice = _by_segment(_positions(np.ascontiguousarray(keys[counts > 1]), bits)) if (counts > 1).any() else {}
-                yield pa.record_batch({"segment": pa.array(list(once), pa.int64()), "once": pa.array(list(once.values()), pa.binary()), "twice": pa.array([twice.get(s, b"") for s in once], pa.binary())})
+                part, at = layout.places(keys)
+                order = np.lexsort((counts == 1, part))  # of each part the keys seen again come first
+                part, at, again = part[order], at[order].astype(layout.number), (counts > 1)[order]
+                starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+                ends = np.r_[starts[1:], len(part)]
+                places = pa.array([at[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary())
+                yield pa.record_batch({"part": pa.array(part[starts]), "places": places, "again": pa.array(np.add.reduceat(again, starts, dtype=np.int64))})
 
     return run
 
 
-def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merges the filters of a segment in any order; the rows of a segment follow each other, so one segment is held at a time."""
-    at, once, twice = None, np.zeros(SEGMENT_BITS, bool), np.zeros(SEGMENT_BITS, bool)
+def _fold(layout: Layout):
+    """The second filter's parts. Rows of a part come in any order and follow each other, so one part of each filter is held at a time.
+
+    A key was seen before where both its positions are set in the first filter; only such keys enter the second.
+    """
+
+    def filled(second: int, twice: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch({"second": pa.array([second], pa.int64()), "twice": pa.array([np.packbits(twice, bitorder="little").tobytes()], pa.binary())})
 
-    def filled() -> pa.RecordBatch:
-        return pa.record_batch({"segment": pa.array([at], pa.int64()), "twice": pa.array([np.packbits(twice, bitorder="little").tobytes()], pa.binary())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first_part = second_part = None
+        once, twice = np.zeros(layout.span, bool), np.zeros(SECOND_PART, bool)
+        for batch in batches:
+            for second, first, places, again in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if second != second_part:
+                    if second_part is not None:
+                        yield filled(second_part, twice)
+                    second_part = second
+                    twice[:] = False
+                if first != first_part:
+                    first_part = first
+                    once[:] = False
+                at = np.frombuffer(places, layout.number).reshape(-1, 2)
+                before = once[at].all(axis=1)
+                before[:again] = True
+                twice[at[before] & (SECOND_PART - 1)] = True
+                once[at] = True
+        if second_part is not None:
+            yield filled(second_part, twice)
 
-    for batch in batches:
-        for segment, a, b in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            if segment != at:
-                if at is not None:
-                    yield filled()
-                at = segment
-                once[:], twice[:] = False, False
-            a = np.frombuffer(a, np.uint16)
-            twice[a[once[a]]] = True
-            once[a] = True
-            twice[np.frombuffer(b, np.uint16)] = True
-    if at is not None:
-        yield filled()
+    return run
 
 
-def _suspects(twice, bits: int, least: int):
+def _suspects(twice, layout: Layout, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = twice.value
         for batch in batches:
-            for part in slices(batch, 1, 64 << 20):
-                found = [_digests(t.as_py(), least) for t in part.column(1)]
+            for slice_ in slices(batch, 1, 64 << 20):
+                found = [_digests(t.as_py(), least) for t in slice_.column(1)]
                 sizes = np.fromiter(map(len, found), np.int64, len(found))
                 if not sizes.sum():
                     continue
                 keys = np.frombuffer(b"".join(d for one in found for d in one), "V16")
-                at = _positions(keys, bits)
+                part, at = layout.places(keys)
+                at = ((part % layout.seconds).astype(np.uint64) * np.uint64(SECOND_PART))[:, None] + (at & np.uint64(SECOND_PART - 1))
                 hit = ((words[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1)
                 row = np.repeat(np.arange(len(found)), sizes)[hit]
-                yield pa.record_batch({"doc_id": part.column(0).take(pa.array(row)), "key": pa.array([x.tobytes() for x in keys[hit]], pa.binary())})
+                yield pa.record_batch({"doc_id": slice_.column(0).take(pa.array(row)), "key": pa.array([x.tobytes() for x in keys[hit]], pa.binary())})
 
     return run
 
@@ -126,6 +156,7 @@ def drop_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     documents hold go, but for those in the largest doc_id that holds the key. The first filter has
     the keys seen once, the second those seen again; only lines that the second suspects are shuffled,
     by a 128-bit digest of the key, and counted exactly by distinct doc_id. A line of very many documents isn't gathered in one task.
+    ``bits`` is the first filter's size, a power of two of at least ``SECOND_PART``; by default it follows the text's.
 
     A null or empty text is one empty line. Rows that share a doc_id are one document when counted.
     Null ids are together one document, which is never the largest. Repeated rows give repeated
@@ -135,16 +166,16 @@ def drop_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     if bits is None:
         size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        bits = min(MOST_BITS, max(LEAST_BITS, 1 << (size // 16).bit_length()))
-    segments = (
-        docs.select("text").mapInArrow(_seen(bits, least_chars), "segment long, once binary, twice binary")
-        .repartition("segment").sortWithinPartitions("segment").mapInArrow(_fold, "segment long, twice binary")
+        bits = max(LEAST_BITS, 1 << (size // 4).bit_length())
+    layout = Layout.of(bits)
+    filled = (
+        docs.select("text").mapInArrow(_seen(layout, least_chars), "part long, places binary, again long").select((F.col("part") % layout.seconds).alias("second"), "part", "places", "again")
+        .repartition("second").sortWithinPartitions("second", "part").mapInArrow(_fold(layout), "second long, twice binary")
     )
-    twice = np.zeros(bits // 8, np.uint8)
-    for segment, words in segments.toLocalIterator():
-        at = segment * (SEGMENT_BITS // 8)
-        twice[at : at + SEGMENT_BITS // 8] = np.frombuffer(words, np.uint8)
-    suspects = cut(docs.mapInArrow(_suspects(spark.sparkContext.broadcast(twice), bits, least_chars), "doc_id long, key binary").distinct())
+    twice = np.zeros(layout.seconds * SECOND_PART // 8, np.uint8)
+    for second, words in filled.toLocalIterator():
+        twice[second * (SECOND_PART // 8) : (second + 1) * (SECOND_PART // 8)] = np.frombuffer(words, np.uint8)
+    suspects = cut(docs.mapInArrow(_suspects(spark.sparkContext.broadcast(twice), layout, least_chars), "doc_id long, key binary").distinct())
     shared = cut(suspects.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= least_docs))
     drops = hot_join(suspects, shared, "key").where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).groupBy(F.col("doc_id").alias("of")).agg(F.collect_list("key").alias("keys"))
     rows = docs.join(drops, F.col("doc_id").eqNullSafe(F.col("of")), "left").select("doc_id", "text", "keys")

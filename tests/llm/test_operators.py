@@ -5,8 +5,10 @@ import hashlib
 import random
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -188,8 +190,11 @@ def brute_lines(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("bits", [None, 1 << 16])
-def test_line_dedup(spark, odd, none, bits):
+@pytest.mark.parametrize(("bits", "most_bits", "most_part"), [(None, 1 << 29, 1 << 27), (1 << 16, 1 << 29, 1 << 27), (1 << 20, 1 << 17, 1 << 27), (1 << 22, 1 << 18, 1 << 17)])
+def test_line_dedup(spark, odd, none, monkeypatch, bits, most_bits, most_part):
+    """Filters of one size; a first filter of longer positions than the second; and one of more parts than the second."""
+    monkeypatch.setattr(line_dedup, "MOST_BITS", most_bits)
+    monkeypatch.setattr(line_dedup, "MOST_PART", most_part)
     rng = random.Random(2)
     lines = ["a common line of enough length", "  A COMMON line of enough length\t", "é" * 20, "é" * 19, "short", "another line that is repeated", "", "x" * 25 + "\r"]
     rows = [(i, "\n".join(rng.choices(lines, k=rng.randint(0, 6)))) for i in range(60)] + [(None, lines[0]), (7, lines[5]), (7, None), (99, "only one of its kind, this line")]
@@ -201,6 +206,32 @@ def test_line_dedup(spark, odd, none, bits):
         assert {r.doc_id: r.n_dropped for r in line_dedup.drop_shared_lines(odd).collect()}[6] == 0
 
 
+@pytest.mark.parametrize(("bits", "most_bits", "most_part"), [(1 << 20, 1 << 29, 1 << 27), (1 << 20, 1 << 17, 1 << 27), (1 << 20, 1 << 17, 1 << 18)])
+def test_line_filters(monkeypatch, bits, most_bits, most_part):
+    """Every key of two slices, or seen twice in one, is suspected; of the others few are."""
+    monkeypatch.setattr(line_dedup, "MOST_BITS", most_bits)
+    monkeypatch.setattr(line_dedup, "MOST_PART", most_part)
+    texts = [[f"the line of number {i} of this text" for i in range(a, b)] for a, b in ((0, 3000), (2900, 6000), (6000, 9000), (8990, 9000))]
+    text = [[b"\n".join(line.encode() for line in lines)] for lines in texts]
+    layout, rows = line_dedup.Layout.of(bits), []
+    for some in ([text[0]], [text[1]], [text[2], text[3]]):
+        for out in line_dedup._seen(layout, 20)(iter([pa.record_batch({"text": pa.array([t for (t,) in some], pa.binary())})])):
+            rows += out.to_pylist()
+    seconds = layout.seconds
+    assert all(r["part"] < layout.parts for r in rows)
+    rows.sort(key=lambda r: (r["part"] % seconds, r["part"]))
+    batch = pa.record_batch({"second": [r["part"] % seconds for r in rows], "part": [r["part"] for r in rows], "places": pa.array([r["places"] for r in rows], pa.binary()), "again": [r["again"] for r in rows]})
+    twice = np.zeros(seconds * line_dedup.SECOND_PART // 8, np.uint8)
+    for out in line_dedup._fold(layout)(iter([batch])):
+        for r in out.to_pylist():
+            twice[r["second"] * 8192 : (r["second"] + 1) * 8192] = np.frombuffer(r["twice"], np.uint8)
+    asked = pa.record_batch({"doc_id": pa.array(range(4), pa.int64()), "text": pa.array([t for (t,) in text], pa.binary())})
+    hit = {r["key"] for out in line_dedup._suspects(SimpleNamespace(value=twice), layout, 20)(iter([asked])) for r in out.to_pylist()}
+    digest = lambda i: line_dedup.xxhash.xxh3_128_digest(f"the line of number {i} of this text".encode())
+    again = {digest(i) for i in [*range(2900, 3000), *range(8990, 9000)]}
+    assert again <= hit and len(hit - again) <= 30
+
+
 # -- WARC
 
 
