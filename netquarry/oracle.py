@@ -37,6 +37,12 @@ def _hash() -> str:
     return sql
 
 
+def _hex(number: str, little: bool) -> str:
+    """The eight hexadecimal digits of a 32-bit number, its lowest byte first if ``little``."""
+    digits = f"lower(printf('%08X', {number}))"
+    return "(" + " || ".join(f"substr({digits}, {i}, 2)" for i in ((7, 5, 3, 1) if little else (1, 3, 5, 7))) + ")"
+
+
 def hashed(source: str) -> str:
     """``source`` with h4, the hash of its five-tuple."""
     return _hash().format(source=source)
@@ -150,6 +156,7 @@ def mixed() -> str:
 
 def oracle_sql() -> dict[str, str]:
     run, free = BASE + _run(), BASE + _run((), (), ())
+    header = ("ts_sec", "ts_usec", "frame_length", "frame_length")
     known = [next((n for n in APP_NAMES if n.lower() == a.lower()), "Unknown") for a in APPS]
     names = [*APP_NAMES, "no such app"]
     lower_names = " ".join(f"WHEN '{n.lower()}' THEN '{n}'" for n in APP_NAMES)
@@ -193,6 +200,8 @@ def oracle_sql() -> dict[str, str]:
           CASE type WHEN 'IP' THEN src_ip WHEN 'PORT' THEN '80' WHEN 'APP' THEN app ELSE sni END AS detail FROM now) WHERE type IS NOT NULL""",
         "rule_stats": drawn + " SELECT count(*) FILTER (kind = 'IP') AS blocked_ips, count(*) FILTER (kind = 'APP') AS blocked_apps, count(*) FILTER (kind = 'DOMAIN') AS blocked_domains, count(*) FILTER (kind = 'PORT' AND value <> '53') AS blocked_ports FROM rules",
         "rules_file_parse": drawn + " SELECT kind, value FROM rules",
+        "rule_edits": drawn + """ SELECT kind, value FROM rules WHERE CASE kind WHEN 'IP' THEN split_part(value, '.', 4)::INT % 2 = 1 WHEN 'DOMAIN' THEN length(value) % 2 = 1 WHEN 'APP' THEN value <> 'YouTube' ELSE value <> '53' END
+          UNION SELECT * FROM (VALUES ('DOMAIN', '*.example.org'), ('APP', 'Netflix'), ('PORT', '8080'))""",
         "ip_rule_semi_join": BASE + f" SELECT packet_no, src_ip FROM report WHERE src_ip IN ({', '.join(f"'{i}'" for i in IPS)})",
         "domain_rule_theta_join": f"SELECT page_id, rule FROM {mixed()}, (VALUES ('facebook'), ('zoom'), ('example'), ('*.spotify.com')) AS r(rule) WHERE CASE WHEN starts_with(rule, '*.') THEN ends_with(lower(host), substr(rule, 2)) OR lower(host) = substr(rule, 3) ELSE contains(lower(host), rule) END",
         "payload_inspection": BASE + " SELECT packet_no, found_by, found_app, found_sni FROM found WHERE found_by IS NOT NULL",
@@ -226,6 +235,8 @@ def oracle_sql() -> dict[str, str]:
         "export_json": run + """ SELECT '{"application":"' || application || '","flows":' || count(*) || '}' AS json FROM flows GROUP BY application""",
         "export_top30": run + " SELECT client, server, packets, application, status FROM flow_details ORDER BY worker, first_packet_no LIMIT 30",
         "simple_scan": BASE + " SELECT count(*) AS packets, count(*) FILTER (load = 'tls') AS names FROM packets",
+        "record_headers": BASE + f" SELECT packet_no, {' || '.join(_hex(v, True) for v in header)} AS little, {' || '.join(_hex(v, False) for v in header)} AS big FROM packets",
+        "streamed_traffic": BASE + " SELECT ts_sec::BIGINT AS second, count(*) AS packets, sum(frame_length)::BIGINT AS bytes FROM report GROUP BY 1",
         "pcap_roundtrip": BASE + " SELECT frame_length AS incl_len, count(*) AS packets, sum(frame_length)::BIGINT AS bytes, sum(ts_sec)::BIGINT AS seconds, sum(ts_usec)::BIGINT AS micros, true AS same FROM packets GROUP BY 1",
         "filtered_capture": run + " SELECT count(*) AS packets, sum(frame_length)::BIGINT AS bytes, sum(ts_sec)::BIGINT AS seconds, true AS same FROM run WHERE action = 'FORWARD'",
         "capture_set": run + " SELECT count(*) AS total_packets, count(*) FILTER (action = 'FORWARD') AS forwarded_packets, count(*) FILTER (action = 'DROP') AS dropped_packets, count(*) FILTER (action = 'FORWARD') AS written_packets, sum(frame_length) FILTER (action = 'FORWARD')::BIGINT AS written_bytes, true AS same FROM run",

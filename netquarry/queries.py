@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,11 +12,12 @@ from netquarry.functions import codec
 from netquarry.functions.classify import app_named, app_of
 from netquarry.operators import flows as flow_ops
 from netquarry.operators import inspection, report, views
-from netquarry.operators.decode import engine_packets, report_packets
+from netquarry.operators.decode import decode, engine_packets, report_packets
 from netquarry.operators.rules import RuleSet
 from netquarry.plans.analysis import Analysis
 from netquarry.sources import exports, pcap
 from netquarry.sources.files import scratch
+from netquarry.streaming.captures import traffic
 from netquarry.synth import HOSTS, frames
 
 #: Rules of the queries; of those by port only where a query says so.
@@ -228,6 +230,27 @@ def rules_file_parse(spark, sf_dir):
     return RuleSet.load(path).table(spark)
 
 
+@query
+def rule_edits(spark, sf_dir):
+    """Rules taken back and added one by one, written to a file and read back."""
+    drawn = drawn_rules(spark, sf_dir)
+    some = RuleSet.from_table(drawn)
+    for ip in some.blocked_ips():
+        if int(ip.rpartition(".")[2]) % 2 == 0:
+            some.unblock_ip(ip)
+    for host in some.blocked_domains():
+        if len(host) % 2 == 0:
+            some.unblock_domain(host)
+    some.block_domain("*.example.org")
+    some.unblock_app("youtube")
+    some.block_app("NETFLIX")
+    some.unblock_port(53)
+    some.block_port(8080)
+    path = f"{scratch(spark, 'rules')}/edited.txt"
+    some.save(path)
+    return RuleSet.load(path).table(spark)
+
+
 @query
 def ip_rule_semi_join(spark, sf_dir):
     """Packets of blocked sources, the rules being a table."""
@@ -402,6 +425,19 @@ def _digest() -> list:
     return [F.count(F.lit(1)).alias("packets"), F.sum(F.length("data")).cast("long").alias("bytes"), F.bit_xor(F.xxhash64("ts_sec", "ts_usec", "data")).alias("digest")]
 
 
+@query
+def record_headers(spark, sf_dir):
+    """The header of each packet's record in both byte orders, as hexadecimal digits."""
+
+    def run(batches):
+        for batch in batches:
+            number, *values = (c.to_pylist() for c in batch.columns)
+            both = {name: [pcap.record_header(order, *v).hex() for v in zip(*values, strict=True)] for name, order in (("little", "<"), ("big", ">"))}
+            yield pa.record_batch({"packet_no": pa.array(number, pa.int64()), **{k: pa.array(v, pa.string()) for k, v in both.items()}})
+
+    return packets(spark, sf_dir).select("packet_no", "ts_sec", "ts_usec", "incl_len").mapInArrow(run, "packet_no long, little string, big string")
+
+
 @query
 def pcap_roundtrip(spark, sf_dir):
     """Frames written as captures and read again by the data source; ``same`` says whether all bytes and times came back."""
@@ -436,6 +472,17 @@ def capture_set(spark, sf_dir):
     return totals.crossJoin(back).crossJoin(passed).select(*totals.columns, "written_packets", "written_bytes", (F.col("digest") == F.col("passed")).alias("same"))
 
 
+@query
+def streamed_traffic(spark, sf_dir):
+    """Packets and bytes of each second, from a stream that ends with the stored packets."""
+    path, sent = scratch(spark, "stream"), packets(spark, sf_dir)
+    sent.write.parquet(f"{path}/in")
+    seconds = traffic(report_packets(decode(spark.readStream.schema(sent.schema).parquet(f"{path}/in"))))
+    kept = seconds.select(F.unix_seconds("window.start").alias("second"), "packets", "bytes").writeStream.outputMode("complete").option("checkpointLocation", f"{path}/state")
+    kept.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{path}/out")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("second long, packets long, bytes long").parquet(f"{path}/out")
+
+
 @query
 def summary_shown(spark, sf_dir):
     return report.shown(analysis(spark, sf_dir).summary)
