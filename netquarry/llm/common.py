@@ -111,5 +111,15 @@ def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 4 << 20) -> Ite
         start = end
 
 
+def joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column's values one after another, and where each begins and the last one ends. Null is empty."""
+    column = column.cast(pa.large_binary()).fill_null(b"")
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
+    data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] else np.zeros(0, np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
 def as_int64(values: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(values).view(np.int64), pa.int64())

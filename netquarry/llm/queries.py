@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netquarry.llm import ann, decontamination, language_id, language_model, line_dedup, mixing, quality, sharding, simhash, warc
+from netquarry.llm import ann, decontamination, fill_in_middle, language_id, language_model, line_dedup, mixing, quality, sharding, simhash, warc
 from netquarry.llm.common import cut, held_out, removed, shared_dir, table
 
 
@@ -74,8 +74,16 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, n, form, prefix_chars, middle_chars, output_sha256, restored_sha256`` of each document row; cases as in ``fill_in_middle.fill_in_middle``."""
+    made = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    back = fill_in_middle.restored(F.col("form"), F.col("output"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(back).alias("restored_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_nearest_neighbours, op3_mixing, op4_line_dedup, op5_warc, op6_sharding, op7_simhash_near_dedup, op8_quality_classifier, op9_lm_scoring, op10_decontamination)}
+    return {f.__name__: f for f in (op1_language_id, op2_nearest_neighbours, op3_mixing, op4_line_dedup, op5_warc, op6_sharding, op7_simhash_near_dedup, op8_quality_classifier, op9_lm_scoring, op10_decontamination, op12_fill_in_middle)}
 
 
 OP4_SQL = r"""
@@ -95,4 +103,4 @@ FROM marked GROUP BY doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.oracle_sql(), "op4_line_dedup": OP4_SQL}
+    return {"op3_mixing": mixing.oracle_sql(), "op4_line_dedup": OP4_SQL, "op12_fill_in_middle": fill_in_middle.oracle_sql()}
