@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netquarry.llm import ann, decontamination, fill_in_middle, language_id, language_model, line_dedup, mixing, quality, sharding, simhash, warc
+from netquarry.llm import ann, decontamination, fill_in_middle, language_id, language_model, license_scan, line_dedup, mixing, quality, sharding, simhash, warc
 from netquarry.llm.common import cut, held_out, removed, shared_dir, table
 
 
@@ -82,8 +82,16 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(back).alias("restored_sha256"))
 
 
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score`` of each document row; without places the labels are empty and the words null. Cases as in ``license_scan.license_places``."""
+    found = license_scan.license_places(table(spark, sf_dir, "documents"))
+    base = F.filter("places", lambda p: p["base"])
+    starts, labels = F.transform(base, lambda p: p["first_word"]), lambda places: F.array_join(F.array_sort(F.array_distinct(F.transform(places, lambda p: p["label"]))), ",")
+    return found.select("doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), labels(base).alias("base_labels"), labels(F.col("places")).alias("labels"), "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_nearest_neighbours, op3_mixing, op4_line_dedup, op5_warc, op6_sharding, op7_simhash_near_dedup, op8_quality_classifier, op9_lm_scoring, op10_decontamination, op12_fill_in_middle)}
+    return {f.__name__: f for f in (op1_language_id, op2_nearest_neighbours, op3_mixing, op4_line_dedup, op5_warc, op6_sharding, op7_simhash_near_dedup, op8_quality_classifier, op9_lm_scoring, op10_decontamination, op12_fill_in_middle, op13_license_scan)}
 
 
 OP4_SQL = r"""
