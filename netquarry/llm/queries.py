@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netquarry.llm import ann, decontamination, fill_in_middle, language_id, language_model, license_scan, line_dedup, mixing, quality, sharding, simhash, warc
+from netquarry.llm import ann, decontamination, fill_in_middle, language_id, language_model, license_scan, line_dedup, mixing, prefix_trie, quality, sharding, simhash, warc
 from netquarry.llm.common import cut, held_out, removed, shared_dir, table
 
 
@@ -74,6 +74,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256``: a row for each node of the trie of rebuilt conversations.
+
+    Rows without a conv_id are left out; null roles and texts are empty; null turns come first, ties by role and text; repeated rows are turns of their own. Other cases as in ``prefix_trie``."""
+    turns, convs = prefix_trie.forked(prefix_trie.numbered_turns(table(spark, sf_dir, "conversations")))
+    return prefix_trie.prefix_trie(turns, convs)
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, n, form, prefix_chars, middle_chars, output_sha256, restored_sha256`` of each document row; cases as in ``fill_in_middle.fill_in_middle``."""
     made = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"))
@@ -91,7 +99,7 @@ def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_nearest_neighbours, op3_mixing, op4_line_dedup, op5_warc, op6_sharding, op7_simhash_near_dedup, op8_quality_classifier, op9_lm_scoring, op10_decontamination, op12_fill_in_middle, op13_license_scan)}
+    return {f.__name__: f for f in (op1_language_id, op2_nearest_neighbours, op3_mixing, op4_line_dedup, op5_warc, op6_sharding, op7_simhash_near_dedup, op8_quality_classifier, op9_lm_scoring, op10_decontamination, op11_prefix_trie, op12_fill_in_middle, op13_license_scan)}
 
 
 OP4_SQL = r"""
@@ -111,4 +119,4 @@ FROM marked GROUP BY doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.oracle_sql(), "op4_line_dedup": OP4_SQL, "op12_fill_in_middle": fill_in_middle.oracle_sql()}
+    return {"op3_mixing": mixing.oracle_sql(), "op4_line_dedup": OP4_SQL, "op11_prefix_trie": prefix_trie.oracle_sql(), "op12_fill_in_middle": fill_in_middle.oracle_sql()}
