@@ -14,7 +14,7 @@ from netquarry.llm.common import cut
 
 #: Share of an item's characters that may be edited.
 EDITS = 0.1
-#: Normalised items shorter than this hit by chance within other words or by an edit; they must stand whole, between other than letters and digits.
+#: Normalised items shorter than this hit by chance within other words; with their edits they must stand as whole words.
 SHORT = 20
 #: Characters of benchmark text that are broadcast at once; a larger benchmark takes several passes, each written before the next.
 BLOCK_CHARS = 4_000_000
@@ -47,6 +47,28 @@ def edit_distance_within(masks: dict[str, int], length: int, text: str) -> int:
     return best
 
 
+def at_edge(text: str, at: int) -> bool:
+    """Whether a word may begin or end here: not between two letters or digits."""
+    return not (0 < at < len(text) and text[at - 1].isalnum() and text[at].isalnum())
+
+
+def whole_word_distance(pattern: str, text: str, first: int, last: int, most: int) -> int | None:
+    """Smallest edit distance of a pattern to the parts of ``text`` from a word's edge in ``first`` to ``last`` to another one; None beyond ``most``."""
+    best = most + 1
+    for start in range(max(0, first), min(last, len(text)) + 1):
+        if not at_edge(text, start):
+            continue
+        row = list(range(len(pattern) + 1))
+        for end in range(start, min(len(text), start + len(pattern) + most) + 1):
+            if end > start:
+                before, row[0] = row[0], end - start
+                for j, c in enumerate(pattern, 1):
+                    before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (c != text[end - 1]))
+            if row[-1] < best and at_edge(text, end):
+                best = row[-1]
+    return best if best <= most else None
+
+
 def char_masks(pattern: str) -> dict[str, int]:
     masks: dict[str, int] = defaultdict(int)
     for i, c in enumerate(pattern):
@@ -63,15 +85,14 @@ class Item:
 
     def __init__(self, text: str, edits: float):
         self.text, self.short = text, len(text) < SHORT
-        self.budget = 0 if self.short else int(edits * len(text))
+        self.budget = int(edits * len(text))
         n = self.budget + 1
         self.edges = [len(text) * j // n for j in range(n + 1)]
         self.masks: dict[tuple[int, int], dict[str, int]] = {}
 
     def stands(self, text: str, at: int) -> bool:
         """Whether an exact hit counts: a short item's only as whole words."""
-        end = at + len(self.text)
-        return not self.short or not ((at and text[at - 1].isalnum() and text[at].isalnum()) or (end < len(text) and text[end].isalnum() and text[end - 1].isalnum()))
+        return not self.short or at_edge(text, at) and at_edge(text, at + len(self.text))
 
     def ancestors(self, piece: int) -> list[tuple[int, int]]:
         """(first piece, end piece) of the nodes above a piece, the lowest first."""
@@ -94,6 +115,9 @@ class Item:
             distance = edit_distance_within(self.masks[low, high], b - a, window)
             if distance > budget:
                 return None
+        if self.short:
+            start = at - self.edges[piece]
+            return whole_word_distance(self.text, text, start - self.budget, start + self.budget, self.budget)
         return distance
 
 
@@ -126,11 +150,10 @@ class Matcher:
                 if found.get(i) == 0:
                     continue
                 start = at - item.edges[p]
-                if start >= 0 and text.startswith(item.text, start):
-                    if item.stands(text, start):
-                        found[i] = 0
+                if start >= 0 and text.startswith(item.text, start) and item.stands(text, start):
+                    found[i] = 0
                     continue
-                if item.short or (i, p, at) in tried:
+                if not item.budget or (i, p, at) in tried:
                     continue
                 tried.add((i, p, at))
                 distance = item.verify(text, p, at)
@@ -181,7 +204,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     """``doc_id, item_id, distance``: which rows hold a benchmark text within ``edits`` of its length.
 
     Texts and items are compared whole, however long, in lower case with white space runs as one space. Items of less than
-    ``SHORT`` characters hit only without edits and as whole words. There is a row for each document row and item row that match, with
+    ``SHORT`` characters hit only as whole words, with as many edits as their length allows (none below 10 characters). There is a row for each document row and item row that match, with
     the distance found; clean documents have none. Null and blank texts and items match nothing; an item's id may be
     null; repeated rows give repeated results; an empty table or benchmark gives an empty result. Extra columns are
     ignored. One block's items are in memory at a time.
