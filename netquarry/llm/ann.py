@@ -12,23 +12,24 @@ from pyspark.sql.window import Window
 
 from netquarry.llm.common import cut
 
-#: Bits of a code, a multiple of 64: vectors are padded to this length before they are rotated, so that the error shrinks as its root.
-BITS = 512
+#: Bits of a code for each component: vectors are padded to so many before they are rotated. An estimate's error goes as the root of 1 / bits and the
+#: spread of inner products as that of 1 / components, so that in this proportion the bounds find as much at any length of the vectors.
+BITS_PER_COMPONENT = 8
 #: Bit planes of a query's rotated components.
 PLANES = 5
-#: Width of the error bounds in standard deviations: on 51,282 random directions of 64 components about 1 % of the true neighbours are lost.
+#: Width of the error bounds in standard deviations: on random directions about 1 % of the true neighbours are lost, whatever their length.
 EPSILON = 0.9
-#: Codes (88 bytes each) and queries of a block at most. A group of the scan holds one block of each.
-VECTORS, QUERIES = 1 << 20, 1 << 16
+#: Bytes of the codes and of the queries' planes in a block at most. A group of the scan holds one block of each, and what the bounds leave of it.
+CODE_BYTES, QUERY_BYTES = 92 << 20, 6 << 20
 #: Codes and queries that meet at once within a group.
 CODES_AT_ONCE, AT_ONCE = 4_096, 16
 #: Parts of a group of equal vectors when its smallest ids are found.
 SALTS = 16
 
 
-def rotation(dim: int, bits: int = BITS, seed: int = 5) -> np.ndarray:
-    """(bits, dim) with orthonormal columns: a random rotation of the padded space."""
-    q, r = np.linalg.qr(np.random.default_rng(seed).normal(size=(max(bits, -(-dim // 64) * 64), dim)))
+def rotation(dim: int, per_component: int = BITS_PER_COMPONENT, seed: int = 5) -> np.ndarray:
+    """(bits, dim) with orthonormal columns: a random rotation of the padded space. The bits are a multiple of 64."""
+    q, r = np.linalg.qr(np.random.default_rng(seed).normal(size=(-(-dim * per_component // 64) * 64, dim)))
     return q * np.sign(np.diag(r))
 
 
@@ -131,7 +132,7 @@ def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch({"query": batch.column(0), "ids": batch.column(1), "score": pa.array((_matrix(batch.column(2)) * _matrix(batch.column(3))).sum(axis=1))})
 
 
-def search(vectors: DataFrame, query_step: int = 20, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", bits: int = BITS) -> DataFrame:
+def search(vectors: DataFrame, query_step: int = 20, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", per_component: int = BITS_PER_COMPONENT) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest rows of each row whose id is divisible by ``query_step``.
 
     Nearness is the inner product in double precision, ties go to the smaller id. Equal vectors are
@@ -141,7 +142,7 @@ def search(vectors: DataFrame, query_step: int = 20, k: int = 20, id_col: str =
 
     Null ids, vectors that are null, zero, of another length than most, or hold a null or non-finite
     component take no part. Rows with the query's id are its own. Repeated queries with one vector
-    give one result. An empty table, or one vector alone, gives an empty result. Extra columns are ignored.
+    give one result, an id with two vectors a ranking for each. An empty table, or one vector alone, gives an empty result. Extra columns are ignored.
     """
     stored = vectors.schema[vector_col].dataType.simpleString() == "array<float>"
     v = F.col(vector_col).cast("array<float>" if stored else "array<double>")  # products are double either way
@@ -161,12 +162,13 @@ def search(vectors: DataFrame, query_step: int = 20, k: int = 20, id_col: str =
     reps = cut(rows.groupBy(*same).agg(F.first("v").alias("v")).join(ids, same)).withColumn("rep", F.monotonically_increasing_id())
     means = reps.agg(F.count(F.lit(1)).alias("n"), *(F.avg(F.col("v")[i].cast("double")).alias(f"m{i}") for i in range(dim))).first()
     n, centre = means["n"], np.array(means[1:], float)
-    turn = rotation(dim, bits)
+    turn = rotation(dim, per_component)
+    bits = len(turn)
     asked = cut(rows.where(F.col("id") % query_step == 0).select("id", *same).distinct().join(reps.select(*same, "rep"), same).select(F.col("id").alias("query_id"), F.col("rep").alias("query")))
     queries = cut(asked.select("query").distinct().join(reps.select(F.col("rep").alias("query"), "v"), "query").select(F.col("query").alias("rep"), "v"))
     # few large blocks of codes, as each one passes on what may be nearest in it; within them cores share the queries
-    blocks, count = -(-n // VECTORS), queries.count()
-    parts = max(1, -(-count // QUERIES), min(-(-spark.sparkContext.defaultParallelism // blocks), -(-count // AT_ONCE)))
+    blocks, count = -(-n * (bits // 8 + 24) // CODE_BYTES), queries.count()
+    parts = max(1, -(-count * PLANES * bits // 8 // QUERY_BYTES), min(-(-spark.sparkContext.defaultParallelism // blocks), -(-count // AT_ONCE)))
 
     def spread(df: DataFrame, by: str, own: str, count: int, other: str, many: int) -> DataFrame:
         """Deals rows to ``count`` blocks of their own and repeats them for each of ``many`` blocks of the other side."""
