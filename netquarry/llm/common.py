@@ -91,9 +91,9 @@ def packed(docs: DataFrame) -> Column:
     return F.struct(*(quoted(c) for c in docs.columns)).alias("row")
 
 
-def row_hash(docs: DataFrame) -> Column:
-    """A hash over all columns; maps, which have no order, as JSON."""
-    return F.xxhash64(*(F.to_json(F.struct(quoted(f.name))) if "map" in f.dataType.simpleString() or "variant" in f.dataType.simpleString() else quoted(f.name) for f in docs.schema.fields))
+def row_hash(docs: DataFrame, *seed: Column) -> Column:
+    """A hash over all columns, and ``seed`` where a second one is needed; maps, which have no order, as JSON."""
+    return F.xxhash64(*seed, *(F.to_json(F.struct(quoted(f.name))) if "map" in f.dataType.simpleString() or "variant" in f.dataType.simpleString() else quoted(f.name) for f in docs.schema.fields))
 
 
 def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
