@@ -131,6 +131,20 @@ def test_bounds_hold_on_random_vectors():
     assert len(found) < 20 * 20_000 / 10  # most vectors aren't fetched
 
 
+@pytest.mark.parametrize(("dim", "n"), [(64, 20_000), (256, 20_000), (768, 8_000)])
+def test_recall_does_not_fall_with_length(dim, n):
+    rng = np.random.default_rng(dim)
+    x, q = rng.normal(size=(n, dim)).astype(np.float32), rng.normal(size=(16, dim))
+    turn, centre = ann.rotation(dim), x.mean(axis=0)
+    assert turn.shape == (8 * dim, dim) and np.allclose(turn.T @ turn, np.eye(dim))
+    codes, factor, error = ann.encode(x, centre, turn)
+    found = {(a, b) for i, j, _, _ in ann.survivors(codes, factor, error, *ann.planes(q, centre, turn), 20) for a, b in zip(i.tolist(), j.tolist(), strict=True)}
+    best = np.argsort(-(q @ x.T), axis=1)[:, :20]
+    recall = [np.mean([(a, b) in found for b in best[a].tolist()]) for a in range(len(q))]
+    assert np.mean(recall) >= 0.97 and min(recall) >= 0.85, (np.mean(recall), min(recall), len(found) / len(q))
+    assert len(found) < len(q) * n / 20
+
+
 # -- mixing
 
 
@@ -520,6 +534,36 @@ def test_every_match_within_the_budget_is_found():
         assert (found is not None) == (brute_distance(item, t) <= int(0.1 * len(item)))
 
 
+def test_short_items_have_edits_as_whole_words():
+    rng = random.Random(5)
+    hits = 0
+    for _ in range(600):
+        item = decontamination.normalised("".join(rng.choices("abc  2+", k=rng.randint(4, 19))))
+        if not item:
+            continue
+        chars = list(item)
+        for _ in range(rng.randint(0, 2)):
+            at, what = rng.randrange(len(chars) + 1), rng.random()
+            chars[at : at + (what < 0.6)] = [] if what < 0.3 else [rng.choice("abc2")]
+        t = decontamination.normalised("".join(rng.choices("abc  +", k=8)) + rng.choice((" ", "")) + "".join(chars) + rng.choice((" ", "")) + "".join(rng.choices("abc  +", k=8)))
+        edges = [x for x in range(len(t) + 1) if decontamination.at_edge(t, x)]
+        budget = int(0.1 * len(item))
+        best = min((max(len(item), b - a) if min(len(item), b - a) == 0 else whole_distance(item, t[a:b]) for a in edges for b in edges if a <= b <= a + len(item) + budget), default=99)
+        found = decontamination.Matcher([item], 0.1).hits(t).get(0)
+        assert found == (best if best <= budget else None), (item, t)
+        hits += found is not None
+    assert hits > 50
+
+
+def whole_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
 def test_decontamination(spark, odd, none, monkeypatch):
     item = "The quick brown fox jumps over the lazy dog, again and again."
     items = spark.createDataFrame([(1, item, "x"), (2, None, "x"), (3, "2 + 2 = 4", "x"), (None, "y" * 50, "x"), (4, "z" * 40, "x"), (5, " ", "x"), (6, "fort", "x")], "item_id long, text string, doc_id string")
