@@ -18,6 +18,8 @@ FIELDS = (
     "src_ip string, dst_ip string, src_port int, dst_port int, seq_number bigint, ack_number bigint, tcp_flags int, payload_offset int, payload_length int"
 )
 PAYLOAD = "payload binary"
+#: The fields that flows and most reports are made of.
+NARROW = ("frame_length", "has_ip", "parse_ok", "protocol", "has_tcp", "has_udp", "src_ip", "dst_ip", "src_port", "dst_port", "tcp_flags", "payload_length")
 _ARROW = {"int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary()}
 KINDS = {name: _ARROW[kind] for name, kind in (f.split() for f in FIELDS.split(", "))}
 
@@ -74,8 +76,8 @@ class Frames:
         picked = self.data[np.repeat(self.start - (ends - self.size), self.size) + np.arange(int(ends[-1]) if len(ends) else 0)]
         return pa.Array.from_buffers(pa.large_binary(), len(self.size), [None, pa.py_buffer(np.r_[0, ends].astype(np.int64)), pa.py_buffer(picked.tobytes())]).cast(pa.binary())
 
-    def columns(self) -> tuple[dict[str, pa.Array], Frames]:
-        """The decoded fields, and the payloads."""
+    def columns(self, wanted: tuple[str, ...] = ()) -> tuple[dict[str, pa.Array], Frames]:
+        """The decoded fields (all, or those ``wanted``), and the payloads."""
         n = self.size
         eth = n >= ETHERNET
         ether = self.number(12, 2, eth)
@@ -93,13 +95,14 @@ class Frames:
         offset = np.where(has_tcp, l4 + tcp_size, np.where(has_udp, l4 + 8, np.where(has_ip, l4, ETHERNET)))
         length = np.maximum(n - offset, 0)
         made = {
-            "frame_length": n, "ether_type": (ether, ~eth), "ip_version": (first >> 4, ~long_enough), "has_ip": has_ip, "protocol": (protocol, ~has_ip), "ttl": (self.number(22, 1, has_ip), ~has_ip), "has_tcp": has_tcp, "has_udp": has_udp,
-            "parse_ok": eth & (~is_ipv4 | (has_ip & (transport | ~np.isin(protocol, (TCP, UDP))))),
-            "src_mac": _named(self.number(6, 6, eth), eth, mac_text), "dst_mac": _named(self.number(0, 6, eth), eth, mac_text), "src_ip": _named(self.number(26, 4, has_ip), has_ip, ip_text), "dst_ip": _named(self.number(30, 4, has_ip), has_ip, ip_text),
-            "src_port": self.number(l4, 2, transport), "dst_port": self.number(l4 + 2, 2, transport), "seq_number": self.number(l4 + 4, 4, has_tcp), "ack_number": self.number(l4 + 8, 4, has_tcp), "tcp_flags": self.number(l4 + 13, 1, has_tcp),
-            "payload_offset": offset, "payload_length": length,
+            "frame_length": lambda: n, "ether_type": lambda: (ether, ~eth), "ip_version": lambda: (first >> 4, ~long_enough), "has_ip": lambda: has_ip, "protocol": lambda: (protocol, ~has_ip), "ttl": lambda: (self.number(22, 1, has_ip), ~has_ip),
+            "has_tcp": lambda: has_tcp, "has_udp": lambda: has_udp, "parse_ok": lambda: eth & (~is_ipv4 | (has_ip & (transport | ~np.isin(protocol, (TCP, UDP))))),
+            "src_mac": lambda: _named(self.number(6, 6, eth), eth, mac_text), "dst_mac": lambda: _named(self.number(0, 6, eth), eth, mac_text), "src_ip": lambda: _named(self.number(26, 4, has_ip), has_ip, ip_text), "dst_ip": lambda: _named(self.number(30, 4, has_ip), has_ip, ip_text),
+            "src_port": lambda: self.number(l4, 2, transport), "dst_port": lambda: self.number(l4 + 2, 2, transport), "seq_number": lambda: self.number(l4 + 4, 4, has_tcp), "ack_number": lambda: self.number(l4 + 8, 4, has_tcp), "tcp_flags": lambda: self.number(l4 + 13, 1, has_tcp),
+            "payload_offset": lambda: offset, "payload_length": lambda: length,
         }
-        arrays = {k: v if isinstance(v, pa.Array) else pa.array(v[0], KINDS[k], mask=v[1]) if isinstance(v, tuple) else pa.array(v, KINDS[k]) for k, v in made.items()}
+        values = {k: made[k]() for k in wanted or made}
+        arrays = {k: v if isinstance(v, pa.Array) else pa.array(v[0], KINDS[k], mask=v[1]) if isinstance(v, tuple) else pa.array(v, KINDS[k]) for k, v in values.items()}
         return arrays, self.payloads(np.minimum(offset, n), length)
 
 
@@ -135,6 +138,17 @@ def decode(raw: DataFrame) -> DataFrame:
     return with_fields(raw, f"{FIELDS}, {PAYLOAD}", made)
 
 
+def ddl(names: tuple[str, ...]) -> str:
+    """Some of the fields as a schema."""
+    return ", ".join(f for f in FIELDS.split(", ") if f.split()[0] in names)
+
+
+def headers(raw: DataFrame, wanted: tuple[str, ...] = NARROW) -> DataFrame:
+    """Numbers and times of raw packets with some decoded fields (all, if none are named), without bytes."""
+    keep = tuple(c for c in raw.columns if c in ("packet_no", "ts_sec", "ts_usec"))
+    return with_fields(raw, ddl(wanted or tuple(KINDS)), lambda frames: frames.columns(wanted)[0], keep)
+
+
 def engine_packets(packets: DataFrame) -> DataFrame:
     """What the engine accepts: parsed TCP and UDP over IPv4."""
     return packets.where("parse_ok AND has_ip AND (has_tcp OR has_udp)")

@@ -1,82 +1,85 @@
-"""Directional flows: each one's state machine in closed form, its table, and what is kept of it."""
+"""Directional flows: their state machines over many tasks, their table, and what is kept of it."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window, WindowSpec
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from netquarry.functions.codec import ACK, FIN, FIVE_TUPLE, RST, SYN, epoch, hash_step, ip_number, worker_of
+from netquarry.functions.codec import FIVE_TUPLE, epoch, hash_step, ip_number, worker_of
+from netquarry.operators import machine
 from netquarry.operators.rules import RuleSet
 
+#: Packets of the capture in a chunk; a flow's packets in one chunk are sorted by one task.
+SPAN = 1 << 22
 
-def _flow() -> WindowSpec:
-    """A flow's packets in order; all windows share it, so that they need one shuffle and one sort."""
-    return Window.partitionBy(*FIVE_TUPLE).orderBy("packet_no")
 
+def engine() -> Column:
+    """Of parsed packets and their tuples those that the engine looks at: TCP and UDP."""
+    return F.col("protocol").isin(6, 17)
 
-def _so_far(last: int = 0) -> WindowSpec:
-    return _flow().rowsBetween(Window.unboundedPreceding, last)
 
-
-def _last(condition: Column, last: int = 0) -> Column:
-    """Number of the last packet that meets a condition; null if none did."""
-    return F.max(F.when(condition, F.col("packet_no"))).over(_so_far(last))
+def _judged(inspected: DataFrame, rules: RuleSet) -> DataFrame:
+    """Packets with what the state machine reads of the flags and the rules."""
+    return inspected.withColumns({
+        "flags": F.when(F.col("has_tcp"), F.col("tcp_flags")).otherwise(0).cast("int"), "address_hit": rules.address_hit(F.col("src_ip"), F.col("dst_port")),
+        "found_hit": F.when(F.col("found_app").isNull(), False).otherwise(rules.flow_hit(F.col("found_app"), F.coalesce("found_sni", F.lit("")))),
+    })
 
 
-def _first(condition: Column) -> Column:
-    return F.min(F.when(condition, F.col("packet_no"))).over(_so_far())
+def _dealt(packets: DataFrame, span: int, *order: str) -> DataFrame:
+    """Packets by flow and chunk, so that a flow of any size lies over many tasks, sorted by flow and number."""
+    return packets.withColumn("chunk", F.floor(F.col("packet_no") / span)).repartition(*FIVE_TUPLE, "chunk").sortWithinPartitions(*FIVE_TUPLE, "packet_no", *order)
 
 
-def run_flows(inspected: DataFrame, rules: RuleSet | None = None) -> DataFrame:
-    """Adds ``seg, action, app, sni, seg_state, classified, blocked, last_of_flow``: each accepted packet's fate, and its flow after it.
+def runs(inspected: DataFrame, rules: RuleSet | None = None, span: int = SPAN) -> DataFrame:
+    """A row for each run of a flow's packets (those of one chunk, or fewer): counts, times, what the engine drops, the state it ends in, and the one it begins in.
 
     A flow is an exact five-tuple, its packets in the order of ``packet_no``. Flags come first (RST closes, and so does every ACK once
     FIN was seen); a blocked flow drops; the first finding of a payload classifies a flow that isn't; then the rules
     decide by the packet's addresses and what the flow carries. A close undoes classification and block, not what is carried.
 
-    Closes cut a flow into segments, and a segment's first finding counts if it comes with the segment's first packet, or
-    if nothing blocks the flow by then: no address rule, and no bad finding since the last that came with a segment's start. So
-    all is running extremes over the flow. The windows stream: a very large flow needs time but no more memory.
+    Each run is summed up as a function on the flow's few states (``machine``), where its packets are. Only these
+    summaries meet by flow, where they are composed. So the largest task has a chunk's packets, or a flow's summaries.
     """
     rules = rules or RuleSet()
-    unknown_bad = F.lit("Unknown" in rules.apps)
-    flag = lambda bit: F.coalesce(F.col("has_tcp") & (F.col("tcp_flags").bitwiseAND(bit) != 0), F.lit(False))
-    found, starts = F.col("found_app").isNotNull(), F.col("closes") | (F.col("place") == 1)
-    step = inspected.withColumns({
-        "address_hit": rules.address_hit(F.col("src_ip"), F.col("dst_port")), "found_hit": rules.flow_hit(F.coalesce("found_app", F.lit("Unknown")), F.coalesce("found_sni", F.lit(""))),
-        "fin_at": _first(flag(FIN)), "syn_at": _first(flag(SYN) & ~flag(ACK)), "synack_at": _first(flag(SYN) & flag(ACK)), "ack_at": _last(flag(ACK)),
-        "found_before": _last(found, -1), "place": F.row_number().over(_flow()), "last_of_flow": F.lead("packet_no").over(_flow()).isNull(),
-    })
-    step = step.withColumn("closes", flag(RST) | (flag(ACK) & F.col("fin_at").isNotNull()))
-    step = step.withColumns({"seg": F.sum(F.col("closes").cast("int")).over(_so_far()).cast("int"), "seg_at": _last(F.col("closes"))})
-    step = step.withColumn("first_found", found & (F.col("found_before").isNull() | F.coalesce(F.col("found_before") < F.col("seg_at"), F.lit(False))))
-    step = step.withColumn("fresh", F.col("first_found") & starts)
-    step = step.withColumn("offered", F.col("first_found") & (F.col("fresh") | ~F.col("address_hit")))
-    step = step.withColumns({"fresh_at": _last(F.col("fresh")), "bad_before": _last(F.col("offered") & F.col("found_hit"), -1)})
-    spoiled = F.when(F.col("fresh_at").isNull(), unknown_bad | F.col("bad_before").isNotNull()).otherwise(F.coalesce(F.col("bad_before") >= F.col("fresh_at"), F.lit(False)))
-    step = step.withColumn("classified", F.col("offered") & (F.col("fresh") | ~spoiled))
-    step = step.withColumns({"carried": F.last(F.when(F.col("classified"), F.struct("found_app", "found_sni", "found_hit")), ignorenulls=True).over(_so_far()), "classified_at": _last(F.col("classified"))})
-    drop = F.col("address_hit") | F.coalesce("carried.found_hit", unknown_bad)
-    classified = F.col("classified_at").isNotNull() & F.coalesce(F.col("classified_at") >= F.col("seg_at"), F.lit(True))
-    shaken = F.coalesce(F.col("ack_at") >= F.when(F.col("syn_at").isNotNull() & F.col("synack_at").isNotNull(), F.greatest("syn_at", "synack_at")), F.lit(False))
-    return step.withColumns({
-        "action": F.when(drop, "DROP").otherwise("FORWARD"), "app": F.coalesce("carried.found_app", F.lit("Unknown")), "sni": F.coalesce("carried.found_sni", F.lit("")),
-        "seg_state": F.when(drop, "BLOCKED").when(classified, "CLASSIFIED").when(F.col("seg") > 0, "CLOSED").when(shaken, "ESTABLISHED").otherwise("NEW"),
-        "blocked": drop & (starts | (F.col("classified") & F.col("found_hit"))),
-    }).drop("address_hit", "found_hit", "fin_at", "syn_at", "synack_at", "ack_at", "found_before", "place", "closes", "seg_at", "first_found", "fresh", "offered", "fresh_at", "bad_before", "carried", "classified_at")
-
-
-def flow_table(run: DataFrame, balancers: int = 2, workers: int = 2) -> DataFrame:
-    """One row a flow: running totals at its last packet, from the shuffle and sort of its state. Counts of a flow all go out, as its key is directional."""
-    ts = epoch(F.col("ts_sec"), F.col("ts_usec"))
-    events = lambda name: F.sum(F.col(name).cast("long")).over(_so_far())
-    ended = run.withColumns({
-        "packets": F.count(F.lit(1)).over(_so_far()), "bytes": F.sum("frame_length").over(_so_far()).cast("long"), "first_packet_no": F.first("packet_no").over(_so_far()), "first_ts": F.first(ts).over(_so_far()),
-        "classified_events": events("classified"), "blocked_events": events("blocked"),
-    }).where("last_of_flow")
-    flows = ended.select(*FIVE_TUPLE, F.col("seg_state").alias("state"), F.col("app").alias("application"), "sni", "packets", "bytes", "first_packet_no", "first_ts", ts.alias("last_ts"), "classified_events", "blocked_events")
-    return with_worker(flows, balancers, workers)
+    begin = machine.SPOILED if "Unknown" in rules.apps else machine.OPEN
+    narrow = _judged(inspected, rules).select(*FIVE_TUPLE, "packet_no", epoch(F.col("ts_sec"), F.col("ts_usec")).alias("ts"), "frame_length", "flags", "found_app", "found_sni", "found_hit", "address_hit")
+    sums = _dealt(narrow, span).mapInArrow(machine.summed_up, machine.SUMMARY)
+    return sums.repartition(*FIVE_TUPLE).sortWithinPartitions(*FIVE_TUPLE, "first_packet_no").mapInArrow(machine.resolved(begin), machine.RUN)
+
+
+def tuples(found: DataFrame, balancers: int = 2, workers: int = 2) -> DataFrame:
+    """One row for each five-tuple of ``runs``, those of other protocols than TCP and UDP too: its flow's final state and its counts."""
+    last, first = lambda what: F.max_by(what, "last_no"), lambda what: F.min_by(what, "first_packet_no")
+    total = lambda name: F.sum(name).alias(name)
+    made = found.groupBy(*FIVE_TUPLE).agg(
+        total("packets"), total("bytes"), total("dropped"), F.sum("classified").alias("classified_events"), F.sum("blocked").alias("blocked_events"), total("closes"), F.max("largest").alias("largest"), last("mode").alias("mode"), first("first_ts").alias("first_ts"), last("last_ts").alias("last_ts"),
+        F.max(F.struct("carried_no", "app", "sni")).alias("carried"), F.min("first_packet_no").alias("first_packet_no"), F.max("last_no").alias("last_no"), F.min("syn_at").alias("syn_at"), F.min("synack_at").alias("synack_at"), F.max("ack_at").alias("ack_at"),
+    )
+    shaken = F.col("ack_at") >= F.greatest("syn_at", "synack_at")
+    state = F.when(F.col("mode") == machine.BLOCKED, "BLOCKED").when(F.col("mode") == machine.CLASSIFIED, "CLASSIFIED").when(F.col("closes") > 0, "CLOSED").when(shaken, "ESTABLISHED").otherwise("NEW")
+    made = made.withColumns({"state": state, "application": F.coalesce("carried.app", F.lit("Unknown")), "sni": F.coalesce("carried.sni", F.lit(""))})
+    return with_worker(made.drop("carried", "mode", "closes", "syn_at", "synack_at", "ack_at"), balancers, workers)
+
+
+def flow_table(found: DataFrame) -> DataFrame:
+    """The flows of ``tuples``. Counts of a flow all go out, as its key is directional."""
+    return found.where(engine()).select(*FIVE_TUPLE, "state", "application", "sni", "packets", "bytes", "first_packet_no", "first_ts", "last_ts", "classified_events", "blocked_events", "worker")
+
+
+def run_flows(inspected: DataFrame, rules: RuleSet | None = None, span: int = SPAN) -> DataFrame:
+    """Adds ``action, seg, app, sni, classified``: each accepted packet's fate, and what its flow carries after it.
+
+    The states in which runs begin are sent to the runs' packets, which are then gone through from there.
+    """
+    rules = rules or RuleSet()
+    entries = runs(inspected, rules, span).select(*FIVE_TUPLE, F.col("first_packet_no").alias("packet_no"), "entry", "entry_seg", "entry_app", "entry_sni")
+    both = _judged(inspected, rules).unionByName(entries, allowMissingColumns=True).withColumn("is_packet", F.col("entry").isNull())
+    keep = [c for c in inspected.columns if c not in ("action", "seg", "app", "sni", "classified")]
+    schema = T.StructType([*(inspected.schema[c] for c in keep), *T.StructType.fromDDL(machine.REPLAYED).fields])
+    return _dealt(both, span, "is_packet").mapInArrow(machine.replayed(keep), schema)
 
 
 def with_hash(rows: DataFrame, name: str = "hash") -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from netquarry.functions.classify import app_of
 from netquarry.functions.codec import be
-from netquarry.operators.decode import FIELDS, Frames, with_fields
+from netquarry.operators.decode import NARROW, Frames, ddl, with_fields
 
 #: TLS is looked for in payloads of at least so many bytes on any port.
 TLS_ANYWHERE = 50
@@ -161,7 +161,7 @@ def _with_app(packets: DataFrame) -> DataFrame:
 
 
 def inspected(raw: DataFrame) -> DataFrame:
-    """Raw packets decoded as by ``decode``, without their bytes, with ``found_by``, ``found_app`` and ``found_sni``: what a
+    """Raw packets with the ``NARROW`` fields that ``decode`` gives, without their bytes, with ``found_by``, ``found_app`` and ``found_sni``: what a
     packet's payload says of its flow; null if nothing.
 
     It depends on the packet alone, so one pass over the bytes comes before any shuffle. TLS on port 443 or in larger payloads
@@ -169,8 +169,8 @@ def inspected(raw: DataFrame) -> DataFrame:
     """
 
     def made(frames: Frames) -> dict[str, pa.Array]:
-        fields, payloads = frames.columns()
+        fields, payloads = frames.columns(NARROW)
         return fields | _findings(fields, payloads)
 
     keep = tuple(c for c in raw.columns if c in ("packet_no", "ts_sec", "ts_usec"))
-    return _with_app(with_fields(raw, f"{FIELDS}, found_by string, found_sni string", made, keep))
+    return _with_app(with_fields(raw, f"{ddl(NARROW)}, found_by string, found_sni string", made, keep))

@@ -7,44 +7,28 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from netquarry.functions.codec import FIVE_TUPLE, epoch, flag_names, protocol_name, utc_millis
-from netquarry.operators.flows import with_worker
+from netquarry.operators.flows import engine
 from netquarry.operators.rules import RuleSet
 
-REVERSED = {"src_ip": "dst_ip", "dst_ip": "src_ip", "src_port": "dst_port", "dst_port": "src_port", "protocol": "protocol"}
 
-
-def per_tuple(reported: DataFrame) -> DataFrame:
-    """Counts and the first packet of each directional five-tuple, by partial and final aggregation of numbers."""
-    return reported.groupBy(*FIVE_TUPLE).agg(F.count(F.lit(1)).alias("packets"), F.sum("frame_length").cast("long").alias("bytes"), F.min("packet_no").alias("first_no"))
-
-
-def lookups(flows: DataFrame, exact: bool = False) -> DataFrame:
-    """``flow_app, flow_sni`` of the flow that a lookup of each five-tuple finds.
+def verdicts(tuples: DataFrame, rules: RuleSet, include_closed: bool = False, exact: bool = False) -> DataFrame:
+    """One row for each five-tuple: ``flow_app, flow_sni`` of the flow that a lookup finds, and ``first_hit``, the packet from which its pair of endpoints is dropped.
 
     A lookup goes through the workers in order and in each tries the tuple and then its reverse, so the other
-    direction's flow can be found first. With ``exact`` only the tuple itself counts.
-    """
-    known = flows.select(*FIVE_TUPLE, "worker", "application", "sni")
-    own = known.select(*FIVE_TUPLE, (F.col("worker") * 2).alias("own_turn"), F.col("application").alias("own_app"), F.col("sni").alias("own_sni"))
-    if exact:
-        return own.select(*FIVE_TUPLE, F.col("own_app").alias("flow_app"), F.col("own_sni").alias("flow_sni"))
-    other = known.select(*(F.col(c).alias(REVERSED[c]) for c in FIVE_TUPLE), (F.col("worker") * 2 + 1).alias("other_turn"), F.col("application").alias("other_app"), F.col("sni").alias("other_sni"))
-    both, mine = own.join(other, list(FIVE_TUPLE), "full"), F.coalesce(F.col("own_turn") < F.col("other_turn"), F.col("own_turn").isNotNull())
-    return both.select(*FIVE_TUPLE, F.when(mine, F.col("own_app")).otherwise(F.col("other_app")).alias("flow_app"), F.when(mine, F.col("own_sni")).otherwise(F.col("other_sni")).alias("flow_sni"))
-
-
-def verdicts(reported: DataFrame, flows: DataFrame, rules: RuleSet, exact: bool = False) -> DataFrame:
-    """One row for each five-tuple: its flow's attributes, and ``first_hit``, the packet from which its pair of endpoints is dropped.
+    direction's flow can be found first. With ``exact`` only the tuple itself counts. Closed flows aren't found unless they are included.
 
     Rules look at the tuple and at its flow's final attributes, so all packets of a tuple are hit or none is, and once one is, both
-    directions stay blocked: the first packets of two tuples decide. No packet is sorted or windowed.
+    directions stay blocked: the first packets of two tuples decide. Both directions meet in one window of at most two rows.
     """
-    found = per_tuple(reported).join(lookups(flows, exact), list(FIVE_TUPLE), "left")
-    hit = rules.address_hit(F.col("src_ip"), F.col("dst_port")) | rules.flow_hit(F.coalesce("flow_app", F.lit("Unknown")), F.coalesce("flow_sni", F.lit("")))
     forth, back = F.concat_ws("|", "src_ip", "src_port"), F.concat_ws("|", "dst_ip", "dst_port")
-    found = found.withColumns({"hit_no": F.when(hit, F.col("first_no")), "low": F.least(forth, back), "high": F.greatest(forth, back)})
+    seen = engine() if include_closed else engine() & (F.col("state") != "CLOSED")
+    found = tuples.select(*FIVE_TUPLE, "first_packet_no", (forth <= back).alias("up"), F.least(forth, back).alias("low"), F.greatest(forth, back).alias("high"), F.when(seen, F.struct("worker", F.col("application").alias("app"), "sni")).alias("flow"))
     pair = Window.partitionBy("protocol", "low", "high")
-    return found.withColumn("first_hit", F.min("hit_no").over(pair)).select(*FIVE_TUPLE, "flow_app", "flow_sni", "first_hit")
+    found = found.withColumns({"other": F.when(F.col("up"), F.max(F.when(~F.col("up"), F.col("flow"))).over(pair)).otherwise(F.max(F.when(F.col("up"), F.col("flow"))).over(pair))})
+    mine = F.lit(True) if exact else F.col("flow").isNotNull() & (F.col("other").isNull() | (F.col("flow.worker") <= F.col("other.worker")))
+    found = found.withColumn("met", F.when(mine, F.col("flow")).otherwise(F.col("other"))).withColumns({"flow_app": F.col("met.app"), "flow_sni": F.col("met.sni")})
+    hit = rules.address_hit(F.col("src_ip"), F.col("dst_port")) | rules.flow_hit(F.coalesce("flow_app", F.lit("Unknown")), F.coalesce("flow_sni", F.lit("")))
+    return found.withColumn("first_hit", F.min(F.when(hit, F.col("first_packet_no"))).over(pair)).select(*FIVE_TUPLE, "flow_app", "flow_sni", "first_hit")
 
 
 def act(reported: DataFrame, judged: DataFrame) -> DataFrame:
@@ -88,31 +72,28 @@ def app_distribution(flows: DataFrame) -> DataFrame:
     return flows.groupBy("application").agg(F.count(F.lit(1)).alias("flows"))
 
 
-def timeline(acted: DataFrame, reported: DataFrame | None = None) -> DataFrame:
-    """Packets, bytes and report drops in each second after the first packet of the capture, in order; seconds without packets have no row.
-
-    The first packet is looked for in ``reported``, the same packets without their flows, where it is given.
-    """
+def timeline(acted: DataFrame, tuples: DataFrame) -> DataFrame:
+    """Packets, bytes and report drops in each second after the first packet of the capture, in order; seconds without packets have no row."""
     ts = epoch(F.col("ts_sec"), F.col("ts_usec"))
-    first = (acted if reported is None else reported).agg(F.min_by(ts, "packet_no").alias("first_ts"))
+    first = tuples.agg(F.min_by("first_ts", "first_packet_no").alias("first_ts"))
     second = (ts - F.col("first_ts")).cast("long")
     counted = acted.select("ts_sec", "ts_usec", "frame_length", "report_action").crossJoin(F.broadcast(first)).withColumn("second", second)
     counted = counted.groupBy("second").agg(F.count(F.lit(1)).alias("packets"), F.sum("frame_length").cast("long").alias("bytes"), F.count_if(F.col("report_action") == "DROP").alias("dropped"))
     return counted.orderBy("second").select(F.col("second").cast("double").alias("timestamp"), F.format_string("+%ds", "second").alias("time_label"), "packets", "bytes", "dropped")
 
 
-def graph_nodes(reported: DataFrame, flows: DataFrame) -> DataFrame:
+def graph_nodes(tuples: DataFrame, flows: DataFrame) -> DataFrame:
     """Addresses and names with what they sent and received; the type is that of the first appearance, source before target. Built from the tuples' counts."""
-    seen = per_tuple(reported).select("packets", "bytes", F.expr("stack(2, src_ip, first_no * 2, dst_ip, first_no * 2 + 1) AS (id, seen_at)"))
+    seen = tuples.select("packets", "bytes", F.expr("stack(2, src_ip, first_packet_no * 2, dst_ip, first_packet_no * 2 + 1) AS (id, seen_at)"))
     named = flows.where("sni <> ''").groupBy(F.col("sni").alias("id")).agg(F.count(F.lit(1)).alias("packets")).select("packets", F.lit(0).cast("long").alias("bytes"), "id", F.lit(None).cast("long").alias("seen_at"))
     nodes = seen.unionByName(named).groupBy("id").agg(F.min("seen_at").alias("seen_at"), F.sum("packets").alias("packets"), F.sum("bytes").alias("bytes"))
     kind = F.when(F.col("seen_at").isNull(), "domain").when(F.col("seen_at") % 2 == 0, "client").otherwise("server")
     return nodes.select("id", F.col("id").alias("label"), kind.alias("type"), "packets", "bytes")
 
 
-def graph_edges(reported: DataFrame, flows: DataFrame) -> DataFrame:
+def graph_edges(tuples: DataFrame, flows: DataFrame) -> DataFrame:
     """Address pairs, and a server's names where that pair isn't an address pair; names carry no counts."""
-    pairs = per_tuple(reported).groupBy(F.col("src_ip").alias("source"), F.col("dst_ip").alias("target")).agg(F.min_by("protocol", "first_no").alias("number"), F.sum("packets").alias("packets"), F.sum("bytes").alias("bytes"))
+    pairs = tuples.groupBy(F.col("src_ip").alias("source"), F.col("dst_ip").alias("target")).agg(F.min_by("protocol", "first_packet_no").alias("number"), F.sum("packets").alias("packets"), F.sum("bytes").alias("bytes"))
     pairs = pairs.select("source", "target", protocol_name(F.col("number")).alias("protocol"), "packets", "bytes")
     names = flows.where("sni <> ''").select(F.col("dst_ip").alias("source"), F.col("sni").alias("target")).distinct()
     names = names.join(pairs, ["source", "target"], "left_anti").withColumns({"protocol": F.lit("TLS/SNI"), "packets": F.lit(0).cast("long"), "bytes": F.lit(0).cast("long")})
@@ -120,24 +101,25 @@ def graph_edges(reported: DataFrame, flows: DataFrame) -> DataFrame:
 
 
 def _engine_counts() -> list[Column]:
+    total = lambda what: F.coalesce(F.sum(F.when(engine(), what)), F.lit(0)).cast("long")
+    packets = F.col("packets")
     return [
-        F.count(F.lit(1)).alias("total_packets"), F.coalesce(F.sum("frame_length"), F.lit(0)).cast("long").alias("total_bytes"), F.count_if("has_tcp").alias("tcp_packets"), F.count_if("has_udp").alias("udp_packets"),
-        F.count_if(F.col("action") == "FORWARD").alias("forwarded_packets"), F.count_if(F.col("action") == "DROP").alias("dropped_packets"),
+        total(packets).alias("total_packets"), total(F.col("bytes")).alias("total_bytes"), total(F.when(F.col("protocol") == 6, packets)).alias("tcp_packets"), total(F.when(F.col("protocol") == 17, packets)).alias("udp_packets"),
+        total(packets - F.col("dropped")).alias("forwarded_packets"), total(F.col("dropped")).alias("dropped_packets"),
     ]
 
 
-def engine_totals(run: DataFrame) -> DataFrame:
-    return run.agg(*_engine_counts())
+def engine_totals(tuples: DataFrame) -> DataFrame:
+    return tuples.agg(*_engine_counts())
 
 
-def summary(run: DataFrame, reported: DataFrame, rules: RuleSet) -> DataFrame:
-    """One row: engine totals and active flows in one pass, with sizes and times of all report packets."""
-    ts = epoch(F.col("ts_sec"), F.col("ts_usec"))
-    times = reported.agg(F.coalesce(F.max("frame_length"), F.lit(0)).alias("largest_packet_size"), F.coalesce(F.max_by(ts, "packet_no") - F.min_by(ts, "packet_no"), F.lit(0.0)).alias("capture_duration"))
-    active = F.count_if(F.col("last_of_flow") & ~F.col("seg_state").isin("CLOSED", "BLOCKED")).alias("active_connections")
+def summary(tuples: DataFrame, rules: RuleSet) -> DataFrame:
+    """One row: engine totals and active flows, with sizes and times of all report packets."""
+    times = F.coalesce(F.max_by("last_ts", "last_no") - F.min_by("first_ts", "first_packet_no"), F.lit(0.0)).alias("capture_duration")
+    active = F.count_if(engine() & ~F.col("state").isin("CLOSED", "BLOCKED")).alias("active_connections")
     t, d = F.col("total_packets"), F.col("capture_duration")
     stats = rules.stats()
-    return run.agg(*_engine_counts(), active).crossJoin(times).select(
+    return tuples.agg(*_engine_counts(), active, F.coalesce(F.max("largest"), F.lit(0)).alias("largest_packet_size"), times).select(
         "total_packets", "total_bytes", "tcp_packets", "udp_packets", "forwarded_packets", "dropped_packets", F.when(t > 0, 100.0 * F.col("dropped_packets") / t).otherwise(0.0).alias("drop_rate"), F.when(t > 0, F.col("total_bytes") / t).otherwise(0.0).alias("average_packet_size"),
         "largest_packet_size", "capture_duration", F.when(d > 0, 8.0 * F.col("total_bytes") / d).otherwise(0.0).alias("bandwidth_bits_per_sec"), "active_connections",
         F.lit(stats["blocked_ips"]).alias("blocked_ips"), F.lit(stats["blocked_apps"]).alias("blocked_apps"), F.lit(stats["blocked_domains"]).alias("blocked_domains"),
@@ -177,18 +159,13 @@ def inspection_counters(run: DataFrame) -> DataFrame:
     return counted.agg(F.count_if(F.col("found_by") == "TLS").alias("sni_extractions"), F.count_if(hit).alias("classification_hits"))
 
 
-def worker_load(flows: DataFrame, balancers: int = 2, workers: int = 2) -> DataFrame:
-    """Packets and flows by the worker that a five-tuple's hash names; those that no hash reaches have none. flows: five-tuples with ``packets, forwarded``."""
-    loads = with_worker(flows, balancers, workers).groupBy("worker").agg(F.sum("packets").alias("processed"), F.sum("forwarded").alias("forwarded"), F.count(F.lit(1)).alias("flows"))
-    every = flows.sparkSession.range(balancers * workers).select(F.col("id").cast("int").alias("worker"))
+def worker_load(tuples: DataFrame, balancers: int = 2, workers: int = 2) -> DataFrame:
+    """Packets and flows by the worker that a five-tuple's hash names; those that no hash reaches have none."""
+    loads = tuples.where(engine()).groupBy("worker").agg(F.sum("packets").alias("processed"), F.sum(F.col("packets") - F.col("dropped")).alias("forwarded"), F.count(F.lit(1)).alias("flows"))
+    every = tuples.sparkSession.range(balancers * workers).select(F.col("id").cast("int").alias("worker"))
     return every.join(loads, "worker", "left").na.fill(0).withColumn("dropped", F.col("processed") - F.col("forwarded"))
 
 
-def flow_loads(run: DataFrame) -> DataFrame:
-    """Packets of each flow, and those that the engine lets pass."""
-    return run.groupBy(*FIVE_TUPLE).agg(F.count(F.lit(1)).alias("packets"), F.count_if(F.col("action") == "FORWARD").alias("forwarded"))
-
-
 def protocol_breakdown(reported: DataFrame) -> DataFrame:
     """Packets by protocol, and by the ports of DNS and TLS on either side."""
     on = lambda port: (F.col("src_port") == port) | (F.col("dst_port") == port)

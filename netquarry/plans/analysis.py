@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from netquarry.operators import flows as flow_ops
 from netquarry.operators import report
-from netquarry.operators.decode import decode, engine_packets, report_packets
+from netquarry.operators.decode import decode, engine_packets, headers, report_packets
 from netquarry.operators.inspection import inspected
 from netquarry.operators.rules import RuleSet
 from netquarry.sources import pcap
@@ -44,47 +44,58 @@ class Analysis:
         return inspected(self.raw)
 
     def persist(self, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> Analysis:
-        """Keeps the decoded packets (about a tenth of the bytes) once the first table is made, so that the next ones don't read the captures again."""
-        self.inspected.persist(level)
+        """Keeps the decoded packets (about a tenth of the bytes) and the flows' tables once they are made, so that the next tables don't read the captures again."""
+        self.reported = report_packets(self.inspected.persist(level))
+        self.tuples.persist(level)
         return self
 
     def unpersist(self) -> None:
         self.inspected.unpersist()
+        self.tuples.unpersist()
+
+    @cached_property
+    def reported(self) -> DataFrame:
+        """Report packets as decoded, for the tables that need packets but no names."""
+        return report_packets(headers(self.raw))
 
     @cached_property
     def run(self) -> DataFrame:
         """Accepted packets with the engine's action."""
         return flow_ops.run_flows(engine_packets(self.inspected), self.rules)
 
+    @cached_property
+    def tuples(self) -> DataFrame:
+        """A row for each five-tuple of the report's packets: what all tables of flows and addresses are made of."""
+        return flow_ops.tuples(flow_ops.runs(report_packets(self.inspected), self.rules), self.balancers, self.workers)
+
     @cached_property
     def all_flows(self) -> DataFrame:
-        return flow_ops.flow_table(self.run, self.balancers, self.workers)
+        return flow_ops.flow_table(self.tuples)
 
     @cached_property
     def flows(self) -> DataFrame:
         return flow_ops.visible(self.all_flows, self.include_closed)
 
     @cached_property
-    def reported(self) -> DataFrame:
-        """Report packets as decoded, for the tables that need no flow."""
-        return report_packets(self.inspected)
+    def judged(self) -> DataFrame:
+        return report.verdicts(self.tuples, self.rules, self.include_closed, self.exact)
 
     @cached_property
     def acted(self) -> DataFrame:
         """Report packets with their flow's attributes and the report's action."""
-        return report.act(self.reported, report.verdicts(self.reported, self.flows, self.rules, self.exact))
+        return report.act(self.reported, self.judged)
 
     @cached_property
     def summary(self) -> DataFrame:
-        return report.summary(self.run, self.reported, self.rules)
+        return report.summary(self.tuples, self.rules)
 
     @property
     def timeline(self) -> DataFrame:
-        return report.timeline(self.acted, self.reported)
+        return report.timeline(self.acted, self.tuples)
 
     @property
     def details(self) -> DataFrame:
-        return report.packet_details(self.acted)
+        return report.packet_details(report.act(report_packets(headers(self.raw, ())), self.judged))
 
     @property
     def flow_details(self) -> DataFrame:
@@ -92,7 +103,7 @@ class Analysis:
 
     @property
     def worker_load(self) -> DataFrame:
-        return report.worker_load(report.flow_loads(self.run), self.balancers, self.workers)
+        return report.worker_load(self.tuples, self.balancers, self.workers)
 
     def forwarded(self) -> DataFrame:
         """Raw packets that the engine lets pass, found by their number, which is unique over all captures."""
@@ -112,7 +123,7 @@ class Analysis:
     def tables(self) -> dict[str, DataFrame]:
         return {
             "stats": self.summary, "packets": self.details, "flows": self.flow_details, "applications": report.app_distribution(self.flows), "domains": report.domains(self.flows),
-            "timeline": self.timeline, "nodes": report.graph_nodes(self.reported, self.flows), "edges": report.graph_edges(self.reported, self.flows),
+            "timeline": self.timeline, "nodes": report.graph_nodes(self.tuples, self.flows), "edges": report.graph_edges(self.tuples, self.flows),
         }
 
 

@@ -69,7 +69,7 @@ def timeline(spark, sf_dir):
 
 @query
 def engine_totals(spark, sf_dir):
-    return report.engine_totals(analysis(spark, sf_dir).run)
+    return report.engine_totals(analysis(spark, sf_dir).tuples)
 
 
 @query
@@ -306,25 +306,25 @@ def domain_details(spark, sf_dir):
 @query
 def graph_nodes(spark, sf_dir):
     a = analysis(spark, sf_dir)
-    return report.graph_nodes(a.reported, a.flows)
+    return report.graph_nodes(a.tuples, a.flows)
 
 
 @query
 def graph_edges(spark, sf_dir):
     a = analysis(spark, sf_dir)
-    return report.graph_edges(a.reported, a.flows)
+    return report.graph_edges(a.tuples, a.flows)
 
 
 @query
 def edge_endpoints(spark, sf_dir):
     a = analysis(spark, sf_dir)
-    return views.edge_endpoints(report.graph_edges(a.reported, a.flows), report.graph_nodes(a.reported, a.flows))
+    return views.edge_endpoints(report.graph_edges(a.tuples, a.flows), report.graph_nodes(a.tuples, a.flows))
 
 
 @query
 def node_edges(spark, sf_dir):
     a = analysis(spark, sf_dir)
-    return views.edges_of(report.graph_edges(a.reported, a.flows), "198.51.100.1")
+    return views.edges_of(report.graph_edges(a.tuples, a.flows), "198.51.100.1")
 
 
 @query
@@ -466,7 +466,7 @@ def capture_set(spark, sf_dir):
     sent.repartitionByRange("packet_no").sortWithinPartitions("packet_no").write.format("pcap").option("filebytes", 1 << 18).mode("overwrite").save(f"{path}/in")
     a = Analysis(pcap.read_pcap(spark, f"{path}/in/*.pcap", piece_bytes=1 << 17), rules())
     a.write_capture(f"{path}/out")
-    totals = report.engine_totals(a.run).select("total_packets", "forwarded_packets", "dropped_packets")
+    totals = report.engine_totals(a.tuples).select("total_packets", "forwarded_packets", "dropped_packets")
     back = pcap.read_pcap(spark, f"{path}/out/*.pcap").agg(*_digest()).select(F.col("packets").alias("written_packets"), F.col("bytes").alias("written_bytes"), "digest")
     passed = analysis(spark, sf_dir).forwarded().agg(F.bit_xor(F.xxhash64("ts_sec", "ts_usec", "data")).alias("passed"))
     return totals.crossJoin(back).crossJoin(passed).select(*totals.columns, "written_packets", "written_bytes", (F.col("digest") == F.col("passed")).alias("same"))

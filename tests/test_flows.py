@@ -2,7 +2,7 @@
 
 import random
 
-from netquarry.operators.flows import alive, flow_table, newest, run_flows
+from netquarry.operators.flows import alive, flow_table, newest, run_flows, runs, tuples
 from netquarry.operators.rules import RuleSet
 from netquarry.operators.views import rows_of_map
 
@@ -45,13 +45,14 @@ def test_random_flows(spark):
     flows = [[(rng.choice((2, 18, 16, 24, 17, 4, 16, 24)), rng.choice(findings)) for _ in range(rng.randint(1, 12))] for _ in range(300)]
     rows = [("10.0.0.1", "10.0.0.2", i, 443, 6, k * 1000 + i, k, 0, 60, True, flags, "TLS" if found else None, found and found[0], found and found[1]) for i, flow in enumerate(flows) for k, (flags, found) in enumerate(flow)]
     df = spark.createDataFrame(rows, COLUMNS).repartition(5)
-    for rules, apps in ((RuleSet.of(apps=("YouTube",), domains=("bad",)), {"YouTube"}), (RuleSet.of(apps=("no such app",), domains=("bad",)), {"Unknown"}), (RuleSet(), set())):
-        run = run_flows(df, rules)
+    some = (RuleSet.of(apps=("YouTube",), domains=("bad",)), {"YouTube"}), (RuleSet.of(apps=("no such app",), domains=("bad",)), {"Unknown"}), (RuleSet(), set())
+    for (rules, apps), span in ((some[0], 1 << 22), (some[0], 3000), (some[1], 1000), (some[2], 5000)):
+        run = run_flows(df, rules, span)
         domains = ("bad",) if apps else ()
         actions: dict = {}
         for r in run.orderBy("packet_no").collect():
             actions.setdefault(r.src_port, []).append(r.action)
-        ends = {r.src_port: (r.state, r.application, r.sni) for r in flow_table(run).collect()}
+        ends = {r.src_port: (r.state, r.application, r.sni) for r in flow_table(tuples(runs(df, rules, span))).collect()}
         for i, flow in enumerate(flows):
             assert (actions[i], ends[i]) == plain(flow, apps, domains), (i, flow)
 

@@ -47,11 +47,11 @@ def test_goldens_with_rules(packets):
 
 def test_graph_and_applications(packets):
     a = Analysis(packets)
-    nodes = {r.id: r for r in report.graph_nodes(a.reported, a.flows).collect()}
+    nodes = {r.id: r for r in report.graph_nodes(a.tuples, a.flows).collect()}
     kinds = [n.type for n in nodes.values()]
     assert (kinds.count("client"), kinds.count("server"), kinds.count("domain")) == (2, 20, 18)
     assert (nodes[ME].packets, nodes[ME].bytes) == (72, 5468)
-    edges = report.graph_edges(a.reported, a.flows).collect()
+    edges = report.graph_edges(a.tuples, a.flows).collect()
     assert (sum(e.protocol == "TLS/SNI" for e in edges), len(edges)) == (18, 54)
     apps = {r.application: r.flows for r in report.app_distribution(a.flows).collect()}
     assert apps["Unknown"] == 21 and apps["DNS"] == 4 and apps["Twitter/X"] == 3 and apps["HTTPS"] == 2 and "Netflix" not in apps
