@@ -12,7 +12,7 @@ from netquarry.operators.rules import RuleSet
 
 
 def verdicts(tuples: DataFrame, rules: RuleSet, include_closed: bool = False, exact: bool = False) -> DataFrame:
-    """One row for each five-tuple: ``flow_app, flow_sni`` of the flow that a lookup finds, and ``first_hit``, the packet from which its pair of endpoints is dropped.
+    """One row for each five-tuple: ``flow_app, flow_sni`` of the flow that a lookup finds, and ``first_hit`` (number, time), the packet from which its pair of endpoints is dropped; ``first`` is the tuple's own.
 
     A lookup goes through the workers in order and in each tries the tuple and then its reverse, so the other
     direction's flow can be found first. With ``exact`` only the tuple itself counts. Closed flows aren't found unless they are included.
@@ -22,18 +22,19 @@ def verdicts(tuples: DataFrame, rules: RuleSet, include_closed: bool = False, ex
     """
     forth, back = F.concat_ws("|", "src_ip", "src_port"), F.concat_ws("|", "dst_ip", "dst_port")
     seen = engine() if include_closed else engine() & (F.col("state") != "CLOSED")
-    found = tuples.select(*FIVE_TUPLE, "first_packet_no", (forth <= back).alias("up"), F.least(forth, back).alias("low"), F.greatest(forth, back).alias("high"), F.when(seen, F.struct("worker", F.col("application").alias("app"), "sni")).alias("flow"))
+    first = F.struct(F.col("first_packet_no").alias("number"), F.col("first_ts").alias("ts")).alias("first")
+    found = tuples.select(*FIVE_TUPLE, first, (forth <= back).alias("up"), F.least(forth, back).alias("low"), F.greatest(forth, back).alias("high"), F.when(seen, F.struct("worker", F.col("application").alias("app"), "sni")).alias("flow"))
     pair = Window.partitionBy("protocol", "low", "high")
     found = found.withColumns({"other": F.when(F.col("up"), F.max(F.when(~F.col("up"), F.col("flow"))).over(pair)).otherwise(F.max(F.when(F.col("up"), F.col("flow"))).over(pair))})
     mine = F.lit(True) if exact else F.col("flow").isNotNull() & (F.col("other").isNull() | (F.col("flow.worker") <= F.col("other.worker")))
     found = found.withColumn("met", F.when(mine, F.col("flow")).otherwise(F.col("other"))).withColumns({"flow_app": F.col("met.app"), "flow_sni": F.col("met.sni")})
     hit = rules.address_hit(F.col("src_ip"), F.col("dst_port")) | rules.flow_hit(F.coalesce("flow_app", F.lit("Unknown")), F.coalesce("flow_sni", F.lit("")))
-    return found.withColumn("first_hit", F.min(F.when(hit, F.col("first_packet_no"))).over(pair)).select(*FIVE_TUPLE, "flow_app", "flow_sni", "first_hit")
+    return found.withColumn("first_hit", F.min(F.when(hit, F.col("first"))).over(pair)).select(*FIVE_TUPLE, "flow_app", "flow_sni", "first_hit", "first").where(" AND ".join(f"{c} IS NOT NULL" for c in FIVE_TUPLE))
 
 
 def act(reported: DataFrame, judged: DataFrame) -> DataFrame:
     """Report packets with ``flow_app``, ``flow_sni`` and ``report_action``: one join by the tuple, which AQE may broadcast or split."""
-    return reported.join(judged, list(FIVE_TUPLE), "left").withColumn("report_action", F.when(F.col("packet_no") >= F.col("first_hit"), "DROP").otherwise("FORWARD")).drop("first_hit")
+    return reported.join(judged, list(FIVE_TUPLE), "left").withColumn("report_action", F.when(F.col("packet_no") >= F.col("first_hit.number"), "DROP").otherwise("FORWARD")).drop("first_hit", "first")
 
 
 def packet_details(acted: DataFrame) -> DataFrame:
@@ -72,10 +73,13 @@ def app_distribution(flows: DataFrame) -> DataFrame:
     return flows.groupBy("application").agg(F.count(F.lit(1)).alias("flows"))
 
 
-def timeline(acted: DataFrame, tuples: DataFrame) -> DataFrame:
-    """Packets, bytes and report drops in each second after the first packet of the capture, in order; seconds without packets have no row."""
-    ts = epoch(F.col("ts_sec"), F.col("ts_usec"))
-    first = tuples.agg(F.min_by("first_ts", "first_packet_no").alias("first_ts"))
+def timeline(reported: DataFrame, judged: DataFrame) -> DataFrame:
+    """Packets, bytes and report drops in each second after the first packet of the capture, in order; seconds without packets have no row.
+
+    The first packet is taken from ``judged``, all of whose columns are named so that both uses of it share their shuffles.
+    """
+    acted, ts = act(reported, judged), epoch(F.col("ts_sec"), F.col("ts_usec"))
+    first = judged.agg(F.min(F.struct("first", *(c for c in judged.columns if c != "first")))["first"]["ts"].alias("first_ts"))
     second = (ts - F.col("first_ts")).cast("long")
     counted = acted.select("ts_sec", "ts_usec", "frame_length", "report_action").crossJoin(F.broadcast(first)).withColumn("second", second)
     counted = counted.groupBy("second").agg(F.count(F.lit(1)).alias("packets"), F.sum("frame_length").cast("long").alias("bytes"), F.count_if(F.col("report_action") == "DROP").alias("dropped"))

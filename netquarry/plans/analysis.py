@@ -91,7 +91,7 @@ class Analysis:
 
     @property
     def timeline(self) -> DataFrame:
-        return report.timeline(self.acted, self.tuples)
+        return report.timeline(self.reported, self.judged)
 
     @property
     def details(self) -> DataFrame:
