@@ -10,14 +10,19 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netquarry.functions.codec import be
 from netquarry.operators import flows as flow_ops
 from netquarry.operators import report
 from netquarry.operators.decode import decode, engine_packets, headers, report_packets
 from netquarry.operators.inspection import inspected
 from netquarry.operators.rules import RuleSet
 from netquarry.sources import pcap
+from netquarry.sources.files import cut
 from netquarry.synth import sample_packets
 
+#: Bitmaps (4 KB each, for 32,768 packets) that are broadcast at most.
+MOST_BITMAPS = 16_384
+
 
 @dataclass
 class Analysis:
@@ -32,6 +37,7 @@ class Analysis:
     workers: int = 2
     include_closed: bool = False
     exact: bool = False
+    pieces: DataFrame | None = None  # of the captures that ``raw`` is read from
 
     @cached_property
     def packets(self) -> DataFrame:
@@ -105,20 +111,39 @@ class Analysis:
     def worker_load(self) -> DataFrame:
         return report.worker_load(self.tuples, self.balancers, self.workers)
 
+    def with_action(self, action: str = "FORWARD") -> DataFrame:
+        """Raw packets to which the engine gave ``action``, as they lie in their captures.
+
+        The verdicts become bitmaps by packet number, a bit a packet. Of captures each piece gets its bitmaps and is read again by them, in order,
+        so no frame is shuffled. Other packets meet the bitmaps in a join by bucket: these are broadcast if they are few.
+        """
+        bitmaps = pcap.passing_bitmaps(self.run.where(F.col("action") == action).select("packet_no"))
+        if self.pieces is not None:
+            return pcap.read_pieces(pcap.with_bitmaps(self.pieces, bitmaps).repartitionByRange("number").sortWithinPartitions("number"))
+        bitmaps = cut(bitmaps)
+        if bitmaps.limit(MOST_BITMAPS + 1).count() <= MOST_BITMAPS:
+            bitmaps = F.broadcast(bitmaps)
+        at = F.col("packet_no") + 1
+        place = F.bitmap_bit_position(at)
+        passes = F.getbit(be(F.col("bits"), F.floor(place / 8), 1), place % 8) == 1
+        return self.raw.withColumn("bucket", F.bitmap_bucket_number(at)).join(bitmaps, "bucket").where(passes).select(*self.raw.columns)
+
     def forwarded(self) -> DataFrame:
-        """Raw packets that the engine lets pass, found by their number, which is unique over all captures."""
-        kept = self.run.where("action = 'FORWARD'").select("packet_no")
-        return self.raw.join(kept, "packet_no", "left_semi")
+        """Raw packets that the engine lets pass."""
+        return self.with_action()
 
     def write_capture(self, path: str, byteorder: str = "little", snaplen: int = 65_535, file_bytes: int = pcap.FILE_BYTES) -> None:
-        """The passing packets as captures in the folder ``path``: as many as their size asks for, file order being packet order."""
+        """The passing packets as captures in the folder ``path``: as many as their size asks for, file order being packet order. Captures are filtered piece by piece; packets from elsewhere are sorted first."""
         pcap.register(self.raw.sparkSession)
-        self.forwarded().repartitionByRange("packet_no").sortWithinPartitions("packet_no").write.format("pcap").option("byteorder", byteorder).option("snaplen", snaplen).option("filebytes", file_bytes).mode("overwrite").save(path)
+        passing = self.forwarded()
+        if self.pieces is None:
+            passing = passing.repartitionByRange("packet_no").sortWithinPartitions("packet_no")
+        passing.write.format("pcap").option("byteorder", byteorder).option("snaplen", snaplen).option("filebytes", file_bytes).mode("overwrite").save(path)
 
     def each_batch(self, output: Callable[[DataFrame, str], None]) -> None:
         """Gives the raw packets of each action to ``output(packets, action)``, as a hook for sinks of one's own."""
         for action in ("FORWARD", "DROP"):
-            output(self.raw.join(self.run.where(F.col("action") == action).select("packet_no"), "packet_no", "left_semi"), action)
+            output(self.with_action(action), action)
 
     def tables(self) -> dict[str, DataFrame]:
         return {
@@ -129,7 +154,8 @@ class Analysis:
 
 def analyze(spark: SparkSession, path: str, rules: RuleSet | None = None, **options) -> Analysis:
     """An analysis of the captures at ``path`` (one file, a glob or a folder), taken as one capture in the order of their names."""
-    return Analysis(pcap.read_pcap(spark, path), rules or RuleSet(), **options)
+    pieces = pcap.capture_pieces(spark, path, **({"piece_bytes": options.pop("piece_bytes")} if "piece_bytes" in options else {}))
+    return Analysis(pcap.read_pieces(pcap.dealt(pieces)), rules or RuleSet(), pieces=pieces, **options)
 
 
 def analyze_sample(spark: SparkSession, rules: RuleSet | None = None, **options) -> Analysis:

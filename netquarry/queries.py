@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +13,7 @@ from netquarry.operators import flows as flow_ops
 from netquarry.operators import inspection, report, views
 from netquarry.operators.decode import decode, engine_packets, report_packets
 from netquarry.operators.rules import RuleSet
-from netquarry.plans.analysis import Analysis
+from netquarry.plans.analysis import Analysis, analyze
 from netquarry.sources import exports, pcap
 from netquarry.sources.files import scratch
 from netquarry.streaming.captures import traffic
@@ -427,15 +426,11 @@ def _digest() -> list:
 
 @query
 def record_headers(spark, sf_dir):
-    """The header of each packet's record in both byte orders, as hexadecimal digits."""
-
-    def run(batches):
-        for batch in batches:
-            number, *values = (c.to_pylist() for c in batch.columns)
-            both = {name: [pcap.record_header(order, *v).hex() for v in zip(*values, strict=True)] for name, order in (("little", "<"), ("big", ">"))}
-            yield pa.record_batch({"packet_no": pa.array(number, pa.int64()), **{k: pa.array(v, pa.string()) for k, v in both.items()}})
-
-    return packets(spark, sf_dir).select("packet_no", "ts_sec", "ts_usec", "incl_len").mapInArrow(run, "packet_no long, little string, big string")
+    """The header of each packet's record in both byte orders, as hexadecimal digits: the lengths are both that of the bytes kept."""
+    digits = lambda c: F.lpad(F.lower(F.hex(F.col(c).cast("long").bitwiseAND(0xFFFFFFFF))), 8, "0")
+    turned = lambda c: F.concat(*(F.substring(digits(c), at, 2) for at in (7, 5, 3, 1)))
+    header = lambda number: F.concat(*map(number, ("ts_sec", "ts_usec", "incl_len", "incl_len")))
+    return packets(spark, sf_dir).select("packet_no", header(turned).alias("little"), header(digits).alias("big"))
 
 
 @query
@@ -464,7 +459,7 @@ def capture_set(spark, sf_dir):
     pcap.register(spark)
     path, sent = scratch(spark, "captures"), packets(spark, sf_dir)
     sent.repartitionByRange("packet_no").sortWithinPartitions("packet_no").write.format("pcap").option("filebytes", 1 << 18).mode("overwrite").save(f"{path}/in")
-    a = Analysis(pcap.read_pcap(spark, f"{path}/in/*.pcap", piece_bytes=1 << 17), rules())
+    a = analyze(spark, f"{path}/in/*.pcap", rules(), piece_bytes=1 << 17)
     a.write_capture(f"{path}/out")
     totals = report.engine_totals(a.tuples).select("total_packets", "forwarded_packets", "dropped_packets")
     back = pcap.read_pcap(spark, f"{path}/out/*.pcap").agg(*_digest()).select(F.col("packets").alias("written_packets"), F.col("bytes").alias("written_bytes"), "digest")

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-#: Times are shown in UTC; the rest are Spark's own means against skew and tiny partitions.
+#: Times are shown in UTC; the rest are Spark's own means against skew, tiny partitions and checkpoints that nothing needs any more.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 

@@ -11,18 +11,17 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
-from pyspark.sql.window import Window
 
-from netquarry.sources.files import located
+from netquarry.operators.decode import Frames
+from netquarry.sources.files import cut, located, running_totals
 
 SCHEMA = "source_file string, packet_no bigint, ts_sec int, ts_usec int, incl_len int, orig_len int, data binary"
 # The magic number in the file's byte order, sizes of the headers, and the most bytes of a frame.
 MAGIC, FILE_HEADER, RECORD_HEADER, MOST_BYTES = 0xA1B2C3D4, 24, 16, 65_535
-ROWS = 10_000
+ROWS, BYTES_AT_ONCE = 10_000, 4 << 20
 #: Bytes after which a task goes on in another file, and bytes of a file that one task reads.
 FILE_BYTES, PIECE_BYTES = 256 << 20, 64 << 20
 #: The data source numbers packets file by file: a file's place times this, and the packet's place in it.
@@ -71,6 +70,48 @@ def records(stream, header: Header) -> Iterator[tuple[int, int, int, int, bytes]
         yield signed(sec), signed(usec), kept, signed(whole), data
 
 
+def record_starts(content: bytes, header: Header, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where up to ``n`` records begin that follow each other from the start of some bytes, and these."""
+    raw, kind, at, starts = memoryview(content), struct.Struct(f"{header.order}I"), 0, []
+    while len(starts) < n and at + RECORD_HEADER <= len(raw):
+        kept = kind.unpack_from(raw, at + 8)[0]
+        if kept > header.most or at + RECORD_HEADER + kept > len(raw):
+            break
+        starts.append(at)
+        at += RECORD_HEADER + kept
+    return np.array(starts, np.int64), np.frombuffer(content, np.uint8)
+
+
+def record_batches(raw: np.ndarray, header: Header, at: np.ndarray, numbers: np.ndarray, name: str) -> Iterator[pa.RecordBatch]:
+    """Batches of the records at ``at``, some megabytes each: headers are read all at once, frames are kept by a mask over the bytes, without a Python object each."""
+    start = 0
+    while start < len(at):
+        end = max(start + 1, min(start + ROWS, int(np.searchsorted(at, at[start] + BYTES_AT_ONCE))))
+        some = at[start:end]
+        heads = raw[some[:, None] + np.arange(RECORD_HEADER)].view(f"{header.order}u4")
+        sec, usec, kept, whole = (heads[:, i].astype(np.uint32).view(np.int32) for i in range(4))
+        ends = some + RECORD_HEADER + kept
+        between = some + RECORD_HEADER - np.r_[some[0], ends[:-1]]  # headers, and what doesn't pass
+        wanted = np.repeat(np.tile([False, True], len(some)), np.column_stack([between, kept]).reshape(-1))
+        frames = raw[some[0] : ends[-1]][wanted]
+        data = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(np.r_[0, np.cumsum(kept)].astype(np.int32)), pa.py_buffer(frames)])
+        names = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(some), np.int32)), pa.array([name])).dictionary_decode()
+        yield pa.record_batch([names, pa.array(numbers[start:end], pa.int64()), *(pa.array(c, pa.int32()) for c in (sec, usec, kept, whole)), data], schema=COLUMNS)
+        start = end
+
+
+def record_bytes(order: str, sec: np.ndarray, usec: np.ndarray, frames: Frames) -> np.ndarray:
+    """Records of frames that lie one after another; the original length becomes that of the bytes kept."""
+    n, size = len(frames.size), frames.size
+    heads = np.empty((n, 4), f"{order}u4")
+    heads[:, 0], heads[:, 1], heads[:, 2], heads[:, 3] = sec.view(np.uint32), usec.view(np.uint32), size, size
+    is_frame = np.repeat(np.tile([False, True], n), np.column_stack([np.full(n, RECORD_HEADER), size]).reshape(-1))
+    out = np.empty(len(is_frame), np.uint8)
+    out[~is_frame] = heads.view(np.uint8).reshape(-1)
+    out[is_frame] = frames.data[frames.start[0] : frames.start[-1] + size[-1]] if n else frames.data[:0]
+    return out
+
+
 def batches(found: Iterator[tuple], name: str, first: int) -> Iterator[pa.RecordBatch]:
     """Record batches of ``records``, numbered from ``first``."""
     for rows in itertools.batched(((name, n, *r) for n, r in enumerate(found, first)), ROWS):
@@ -122,55 +163,106 @@ def _candidates(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             entries = np.array([FILE_HEADER]) if begin == 0 else np.arange(begin, min(end, begin + header.most + RECORD_HEADER))
             found = chains(content, begin, end, size, header, entries)
             yield pa.record_batch({
-                "source_file": pa.array([name] * len(found), pa.string()), "begin": pa.array([begin] * len(found), pa.int64()), "end": pa.array([end] * len(found), pa.int64()),
-                "entry": pa.array(list(found), pa.int64()), "leaves": pa.array([x for x, _ in found.values()], pa.int64()), "n": pa.array([n for _, n in found.values()], pa.int64()),
+                "source_file": pa.array([name] * len(found), pa.string()), "entry": pa.array(list(found), pa.int64()), "end": pa.array([end] * len(found), pa.int64()), "leaves": pa.array([x for x, _ in found.values()], pa.int64()), "n": pa.array([n for _, n in found.values()], pa.int64()),
             })
 
 
-def _followed(table: pa.Table) -> pa.Table:
-    """Of the candidates of one file the pieces' chains that join up from its start, with the packets before each."""
-    rows = {(b, e): (end, leaves, n) for b, end, e, leaves, n in zip(*(table[c].to_pylist() for c in ("begin", "end", "entry", "leaves", "n")), strict=True)}
-    begins = sorted({(b, end) for (b, _), (end, _, _) in rows.items()})
-    at, before, out = FILE_HEADER, 0, []
-    for begin, end in begins:
-        if at >= end:
-            continue  # a record reaches over the whole piece
-        _, leaves, n = rows.get((begin, at), (end, -1, 0))
-        if n:
-            out.append((table["source_file"][0].as_py(), at, leaves if leaves >= 0 else end, n, before))
-        before, at = before + n, leaves
-        if leaves < 0:
-            break
-    return pa.table({k: pa.array([r[i] for r in out], t) for i, (k, t) in enumerate((("source_file", pa.string()), ("entry", pa.int64()), ("leaves", pa.int64()), ("n", pa.int64()), ("before", pa.int64())))})
+def _ranked(candidates: DataFrame, most_pieces: int) -> DataFrame:
+    """Of the candidates the chains that join up from their file's start, with the packets ``before`` each: list ranking by pointer jumping.
+
+    A chain can only be joined where another one leaves, and the chains of a piece soon fall in with each other, so few of a piece's
+    candidates are left. Each round doubles what a pointer jumps over; then the chains reached from the start are
+    doubled from the longest jumps down. No file is gathered anywhere: all steps are joins by (file, place).
+    """
+    first = F.col("entry") == FILE_HEADER
+    exits = candidates.select("source_file", F.col("leaves").alias("entry")).distinct()
+    nodes = cut(candidates.where(first).unionByName(candidates.where(~first).join(exits, ["source_file", "entry"], "left_semi")))
+    jumps = [nodes.where("leaves >= 0").select("source_file", "entry", F.col("leaves").alias("to"), "n")]
+    while 1 << len(jumps) < most_pieces:
+        near, far = jumps[-1].alias("near"), jumps[-1].select(F.col("source_file").alias("of"), F.col("entry").alias("at"), F.col("to").alias("over"), F.col("n").alias("more"))
+        jumps.append(cut(near.join(far, (F.col("near.source_file") == F.col("of")) & (F.col("near.to") == F.col("at"))).select("source_file", "entry", F.col("over").alias("to"), (F.col("n") + F.col("more")).alias("n"))))
+    reached = nodes.where(first).select("source_file", "entry", F.lit(0).cast("long").alias("before"))
+    for jump in reversed(jumps):
+        reached = cut(reached.unionByName(reached.join(jump, ["source_file", "entry"]).select("source_file", F.col("to").alias("entry"), (F.col("before") + F.col("n")).alias("before"))))
+    return nodes.where("n > 0").join(reached, ["source_file", "entry"])
+
+
+def capture_pieces(spark: SparkSession, path: str, piece_bytes: int = PIECE_BYTES) -> DataFrame:
+    """``source_file, entry, leaves, n, number``: where the records of each piece begin and end, how many they are, and the number of the first over all captures.
+
+    A file of any size is cut into pieces. Where a record starts can't be told from within a file, so each piece gives the chains of
+    records from all places where one could start, and those that join up from the file's start are kept. Files
+    are opened by pyarrow, which knows local and mounted folders, S3, GCS and HDFS. The table (a row for each piece) is kept once made.
+    """
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("source_file"), "length")
+    pieces = F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("length") / piece_bytes) - 1, F.lit(0)).cast("long"))
+    cuts = files.select("source_file", "length", F.explode(pieces).alias("i"))
+    cuts = cuts.select("source_file", "length", "i", (F.col("i") * piece_bytes).alias("begin"), F.least((F.col("i") + 1) * piece_bytes, "length").alias("end"))
+    size = cuts.agg(F.count(F.lit(1)).alias("pieces"), F.sum(F.col("end") - F.col("begin")).alias("bytes"), F.coalesce(F.max("i"), F.lit(0)).alias("last")).first()
+    found = cut(cuts.drop("i").repartition(_tasks(spark, size.pieces, size.bytes)).mapInArrow(_candidates, "source_file string, entry long, end long, leaves long, n long"))
+    true = cut(_ranked(found, size.last + 1))
+    bases = running_totals(true.groupBy("source_file").agg(F.sum("n").alias("of_file")), "source_file", "of_file").select("source_file", F.col("before").alias("base"))
+    # of a chain that breaks what stands before the break is read
+    leaves = F.when(F.col("leaves") >= 0, F.col("leaves")).otherwise(F.col("end"))
+    return cut(true.join(bases, "source_file").select("source_file", "entry", leaves.alias("leaves"), "n", (F.col("base") + F.col("before")).alias("number")))
+
+
+#: Packets for which one bitmap tells which of them pass: Spark's own bitmaps have so many bits.
+BUCKET = 1 << 15
+
+
+def passing_bitmaps(numbers: DataFrame) -> DataFrame:
+    """``bucket, bits`` of a column of packet numbers: a bit for each packet of a bucket of the capture, set for those given."""
+    at = F.col("packet_no") + 1  # Spark counts from 1
+    return numbers.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+
+
+def with_bitmaps(pieces: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """Pieces with the bitmaps of their packets, ``passing``; a piece without any is left out."""
+    bucket = lambda number: (number / BUCKET).cast("long") + 1
+    over = pieces.withColumn("bucket", F.explode(F.sequence(bucket(F.col("number")), bucket(F.col("number") + F.col("n") - 1))))
+    return over.join(bitmaps, "bucket").groupBy("source_file", "entry", "leaves", "n", "number").agg(F.collect_list(F.struct("bucket", "bits")).alias("passing"))
 
 
 def _read_pieces(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The records of pieces, of those with bitmaps the ones that pass."""
     for batch in parts:
-        for name, entry, leaves, n, number in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            stream, header = _start(name)
-            with stream:
-                content = io.BytesIO(stream.read_at(leaves + MOST_BYTES + RECORD_HEADER - entry, entry))
-            yield from batches(itertools.islice(records(content, header), n), name, number)
+        for row in batch.to_pylist():
+            yield from _piece(row["source_file"], row["entry"], row["leaves"], row["n"], row["number"], row.get("passing"))
+
+
+def _piece(name: str, entry: int, leaves: int, n: int, number: int, passing: list | None) -> Iterator[pa.RecordBatch]:
+    stream, header = _start(name)
+    with stream:
+        content = stream.read_at(leaves + MOST_BYTES + RECORD_HEADER - entry, entry)
+    at, raw = record_starts(content, header, n)
+    numbers = number + np.arange(len(at))
+    if passing is not None:
+        bits = {p["bucket"]: np.unpackbits(np.frombuffer(p["bits"], np.uint8), bitorder="little") for p in passing}
+        none = np.zeros(BUCKET, np.uint8)
+        stay = np.concatenate([bits.get(b + 1, none)[max(0, number - b * BUCKET) : number + n - b * BUCKET] for b in range(number // BUCKET, (number + n - 1) // BUCKET + 1)]).astype(bool)
+        at, numbers = at[stay[: len(at)]], numbers[stay[: len(at)]]
+    yield from record_batches(raw, header, at, numbers, name)
+
+
+def read_pieces(pieces: DataFrame) -> DataFrame:
+    """The packets of ``capture_pieces``, those of a piece in order."""
+    return pieces.mapInArrow(_read_pieces, SCHEMA)
 
 
 def read_pcap(spark: SparkSession, path: str, piece_bytes: int = PIECE_BYTES) -> DataFrame:
-    """All packets of the captures at ``path`` (a glob, or a folder), as one capture: files in the order of their names, ``packet_no`` from 0 over all of them.
+    """All packets of the captures at ``path`` (a glob, or a folder), as one capture: files in the order of their names, ``packet_no`` from 0 over all of them. Files are read in pieces, see ``capture_pieces``."""
+    return read_pieces(dealt(capture_pieces(spark, path, piece_bytes)))
 
-    A file of any size is read in pieces. Where a record starts can't be told from within a file, so each piece gives the chains of
-    records from all places where one could start, and those that join up from the file's start are read. Files
-    are opened by pyarrow, which knows local and mounted folders, S3, GCS and HDFS. The chains (a row for each piece) are kept once made.
-    """
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("source_file"), "length")
-    pieces = F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("length") / piece_bytes) - 1, F.lit(0)).cast("long"))
-    cuts = files.select("source_file", "length", F.explode(pieces).alias("i"))
-    cuts = cuts.select("source_file", "length", (F.col("i") * piece_bytes).alias("begin"), F.least((F.col("i") + 1) * piece_bytes, "length").alias("end"))
-    tasks = max(1, min(cuts.count(), 10_000))
-    found = cuts.repartition(tasks).mapInArrow(_candidates, "source_file string, begin long, end long, entry long, leaves long, n long")
-    true = found.groupBy("source_file").applyInArrow(_followed, "source_file string, entry long, leaves long, n long, before long").persist(StorageLevel.MEMORY_AND_DISK)
-    totals = true.groupBy("source_file").agg(F.sum("n").alias("of_file"))
-    bases = totals.select(F.col("source_file").alias("file"), (F.sum("of_file").over(Window.orderBy("source_file").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("of_file")).alias("base"))
-    numbered = true.join(bases, F.col("source_file") == F.col("file")).select("source_file", "entry", "leaves", "n", (F.col("base") + F.col("before")).alias("number"))
-    return numbered.repartition(tasks, "source_file", "entry").mapInArrow(_read_pieces, SCHEMA)
+
+def dealt(pieces: DataFrame) -> DataFrame:
+    """Pieces in tasks of about PIECE_BYTES."""
+    size = pieces.agg(F.count(F.lit(1)).alias("pieces"), F.sum(F.col("leaves") - F.col("entry")).alias("bytes")).first()
+    return pieces.repartition(_tasks(pieces.sparkSession, size.pieces, size.bytes), "source_file", "entry")
+
+
+def _tasks(spark: SparkSession, pieces: int, size: int | None) -> int:
+    return max(1, min(pieces, max(spark.sparkContext.defaultParallelism, -(-(size or 0) // PIECE_BYTES))))
 
 
 # -- the data source
@@ -224,18 +316,23 @@ class _Writer(DataSourceArrowWriter):
         paths: list[str] = []
         out, size = None, 0
         for batch in iterator:
-            sec, usec, data = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("ts_sec", "ts_usec", "data"))
-            for s, u, d in zip(sec, usec, data, strict=True):
-                d = d or b""
-                if out is not None and size > FILE_HEADER and size + RECORD_HEADER + len(d) > self.most:
-                    out.close()
-                    out = None
-                if out is None:
+            sec, usec = (batch.column(batch.schema.get_field_index(c)).fill_null(0).to_numpy() for c in ("ts_sec", "ts_usec"))
+            frames = Frames.of(batch.column(batch.schema.get_field_index("data")))
+            ends, at = np.cumsum(frames.size + RECORD_HEADER), 0
+            while at < len(ends):
+                done = int(ends[at - 1]) if at else 0
+                upto = int(np.searchsorted(ends, done + self.most - size, "right")) if out is not None else at
+                if upto <= at and (out is None or size > FILE_HEADER):
+                    if out is not None:
+                        out.close()
                     paths.append(f"{root}/.part-{task.partitionId():08d}-{len(paths):05d}-{task.taskAttemptId()}.tmp")
                     out, size = io.BufferedWriter(fs.open_output_stream(paths[-1]), 1 << 20), FILE_HEADER
                     out.write(self.header)
-                out.write(record_header(self.order, s, u, len(d)) + d)
-                size += RECORD_HEADER + len(d)
+                    continue
+                upto = max(at + 1, min(upto, int(np.searchsorted(ends, done + BYTES_AT_ONCE))))
+                some = slice(at, upto)
+                out.write(record_bytes(self.order, sec[some], usec[some], Frames(frames.data, frames.start[some], frames.size[some])))
+                size, at = size + int(ends[upto - 1]) - done, upto
         if out is not None:
             out.close()
         return _Written(paths)

@@ -158,8 +158,8 @@ def capture_bytes(order, records, snaplen=65_535):
     return struct.pack(f"{order}IHHiIII", pcap.MAGIC, 2, 4, 0, 0, snaplen, 1) + b"".join(struct.pack(f"{order}IIII", i, 7, len(r), len(r)) + r for i, r in enumerate(records))
 
 
-@pytest.mark.parametrize("order", "<>")
-def test_files_are_read_in_pieces(spark, tmp_path, order):
+@pytest.mark.parametrize(("order", "sizes"), [("<", (150, 1 << 20)), (">", (777,))])
+def test_files_are_read_in_pieces(spark, tmp_path, order, sizes):
     """Payloads that look like records, zeros, records over several pieces, cut ends and empty captures."""
     rng = random.Random(3)
     fake = struct.pack(f"{order}IIII", 1, 2, 40, 40)
@@ -168,11 +168,25 @@ def test_files_are_read_in_pieces(spark, tmp_path, order):
     for i, f in enumerate(files):
         (tmp_path / f"{i}.pcap").write_bytes(capture_bytes(order, f) + (fake[:-3] if i == 1 else fake if i == 2 else b""))
     want = [(i, r) for i, r in enumerate(r for f in files for r in f)]
-    for size in (100, 777, 1 << 20):
+    for size in sizes:
         got = pcap.read_pcap(spark, str(tmp_path / "*.pcap"), piece_bytes=size).orderBy("packet_no").collect()
         assert [(r.packet_no, bytes(r.data)) for r in got] == want
 
 
+def test_a_file_of_a_thousand_pieces(spark, tmp_path):
+    """One file in 1,000 pieces, many of them zeros, in which any place could begin a record; what passes is read by bitmaps."""
+    frame = ipv4(ME, "1.2.3.4", 6, tcp(5, 443, 16))
+    records = [frame if i % 3 else bytes(100) for i in range(1100)]
+    content = capture_bytes("<", records)
+    (tmp_path / "one.pcap").write_bytes(content)
+    a = analyze(spark, str(tmp_path / "one.pcap"), RULES, piece_bytes=-(-len(content) // 1000))
+    assert a.pieces.agg(F.sum("n")).first()[0] == 1100 and a.pieces.count() > 900
+    assert [bytes(r.data) for r in a.raw.orderBy("packet_no").collect()] == records
+    plan = a.forwarded()._jdf.queryExecution().executedPlan().toString()
+    assert all("data#" not in line for line in plan.splitlines() if "Exchange" in line)
+    assert [r.packet_no for r in a.forwarded().orderBy("packet_no").collect()] == [i for i in range(1100) if i % 3]
+
+
 def test_export_by_format_and_hook(spark, packets, tmp_path):
     a = Analysis(packets, RULES).persist()
     for fmt in ("json", "csv", "html"):
