@@ -33,21 +33,24 @@ def _dealt(packets: DataFrame, span: int, *order: str) -> DataFrame:
     return packets.withColumn("chunk", F.floor(F.col("packet_no") / span)).repartition(*FIVE_TUPLE, "chunk").sortWithinPartitions(*FIVE_TUPLE, "packet_no", *order)
 
 
-def runs(inspected: DataFrame, rules: RuleSet | None = None, span: int = SPAN) -> DataFrame:
-    """A row for each run of a flow's packets (those of one chunk, or fewer): counts, times, what the engine drops, the state it ends in, and the one it begins in.
+def summaries(inspected: DataFrame, rules: RuleSet | None = None, span: int = SPAN) -> DataFrame:
+    """A row for each run of a flow's packets (those of one chunk, or fewer): counts, times, and the run as a function on the flow's few states (``machine``).
 
     A flow is an exact five-tuple, its packets in the order of ``packet_no``. Flags come first (RST closes, and so does every ACK once
     FIN was seen); a blocked flow drops; the first finding of a payload classifies a flow that isn't; then the rules
     decide by the packet's addresses and what the flow carries. A close undoes classification and block, not what is carried.
 
-    Each run is summed up as a function on the flow's few states (``machine``), where its packets are. Only these
-    summaries meet by flow, where they are composed. So the largest task has a chunk's packets, or a flow's summaries.
+    Packets meet by flow and chunk, so the largest task has a chunk's packets. Summaries of ranges of packets that don't interleave can be
+    stored and put together later, in any number; they hold under the rules that they were made with.
     """
-    rules = rules or RuleSet()
-    begin = machine.SPOILED if "Unknown" in rules.apps else machine.OPEN
-    narrow = _judged(inspected, rules).select(*FIVE_TUPLE, "packet_no", epoch(F.col("ts_sec"), F.col("ts_usec")).alias("ts"), "frame_length", "flags", "found_app", "found_sni", "found_hit", "address_hit")
-    sums = _dealt(narrow, span).mapInArrow(machine.summed_up, machine.SUMMARY)
-    return sums.repartition(*FIVE_TUPLE).sortWithinPartitions(*FIVE_TUPLE, "first_packet_no").mapInArrow(machine.resolved(begin), machine.RUN)
+    narrow = _judged(inspected, rules or RuleSet()).select(*FIVE_TUPLE, "packet_no", epoch(F.col("ts_sec"), F.col("ts_usec")).alias("ts"), "frame_length", "flags", "found_app", "found_sni", "found_hit", "address_hit")
+    return _dealt(narrow, span).mapInArrow(machine.summed_up, machine.SUMMARY)
+
+
+def runs(found: DataFrame, rules: RuleSet | None = None) -> DataFrame:
+    """``summaries`` with the state in which each run begins, and so what the engine drops of it and what it carries. Only the summaries meet by flow, where they are composed."""
+    begin = machine.SPOILED if "Unknown" in (rules or RuleSet()).apps else machine.OPEN
+    return found.repartition(*FIVE_TUPLE).sortWithinPartitions(*FIVE_TUPLE, "first_packet_no").mapInArrow(machine.resolved(begin), machine.RUN)
 
 
 def tuples(found: DataFrame, balancers: int = 2, workers: int = 2) -> DataFrame:
@@ -75,7 +78,7 @@ def run_flows(inspected: DataFrame, rules: RuleSet | None = None, span: int = SP
     The states in which runs begin are sent to the runs' packets, which are then gone through from there.
     """
     rules = rules or RuleSet()
-    entries = runs(inspected, rules, span).select(*FIVE_TUPLE, F.col("first_packet_no").alias("packet_no"), "entry", "entry_seg", "entry_app", "entry_sni")
+    entries = runs(summaries(inspected, rules, span), rules).select(*FIVE_TUPLE, F.col("first_packet_no").alias("packet_no"), "entry", "entry_seg", "entry_app", "entry_sni")
     both = _judged(inspected, rules).unionByName(entries, allowMissingColumns=True).withColumn("is_packet", F.col("entry").isNull())
     keep = [c for c in inspected.columns if c not in ("action", "seg", "app", "sni", "classified")]
     schema = T.StructType([*(inspected.schema[c] for c in keep), *T.StructType.fromDDL(machine.REPLAYED).fields])

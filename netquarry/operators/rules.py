@@ -8,12 +8,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netquarry.functions.classify import app_name
-from netquarry.functions.codec import ip_number
+from netquarry.operators.rule_index import matched
 from netquarry.sources.files import located
 
 # The sections of a rules file, with the kind of rule in each.
 SECTIONS = {"[BLOCKED_IPS]": "IP", "[BLOCKED_APPS]": "APP", "[BLOCKED_DOMAINS]": "DOMAIN", "[BLOCKED_PORTS]": "PORT"}
 
+#: Domain rules that are compared one by one within the plan at most.
+MOST_LITERALS = 64
+
 
 def _octets(ip: str) -> int:
     """As ``codec.ip_number``."""
@@ -86,7 +89,8 @@ class RuleSet:
     # -- conditions over columns
 
     def ip_hit(self, src_ip: Column) -> Column:
-        return ip_number(src_ip).isin(sorted(self.ips)) if self.ips else F.lit(False)
+        """Of addresses as packets have them: four numbers without leading zeros."""
+        return src_ip.isin(self.blocked_ips()) if self.ips else F.lit(False)
 
     def port_hit(self, dst_port: Column) -> Column:
         return dst_port.isin(sorted(self.ports)) if self.ports else F.lit(False)
@@ -95,7 +99,9 @@ class RuleSet:
         return app.isin(sorted(self.apps)) if self.apps else F.lit(False)
 
     def domain_hit(self, domain: Column) -> Column:
-        """A plain rule is met by any name that contains it, ``*.x`` by x and what ends in .x; other stars never."""
+        """A plain rule is met by any name that contains it, ``*.x`` by x and what ends in .x; other stars never. Few rules are part of the plan, more are looked up by an automaton."""
+        if len(self.domains) + len(self.patterns) > MOST_LITERALS:
+            return matched(SparkSession.active(), self.domains, self.patterns, domain)
         name, hit = F.lower(domain), F.lit(False)
         for rule in sorted(self.domains):
             hit = hit | F.contains(name, F.lit(rule.lower()))

@@ -204,6 +204,9 @@ def oracle_sql() -> dict[str, str]:
           UNION SELECT * FROM (VALUES ('DOMAIN', '*.example.org'), ('APP', 'Netflix'), ('PORT', '8080'))""",
         "ip_rule_semi_join": BASE + f" SELECT packet_no, src_ip FROM report WHERE src_ip IN ({', '.join(f"'{i}'" for i in IPS)})",
         "domain_rule_theta_join": f"SELECT page_id, rule FROM {mixed()}, (VALUES ('facebook'), ('zoom'), ('example'), ('*.spotify.com')) AS r(rule) WHERE CASE WHEN starts_with(rule, '*.') THEN ends_with(lower(host), substr(rule, 2)) OR lower(host) = substr(rule, 3) ELSE contains(lower(host), rule) END",
+        "rule_index_join": f"""WITH rules AS (SELECT DISTINCT rule FROM (SELECT unnest(regexp_extract_all(lower(html), '[a-z0-9]{{3,}}')) AS rule FROM pages UNION ALL SELECT '*' || regexp_replace(regexp_extract(url, '{HOST}', 1), '^[^.]*', '') FROM pages WHERE page_id % 3 = 0)
+          ), names AS (SELECT DISTINCT lower(host) AS name FROM {mixed()} WHERE host <> ''), met AS (SELECT name, rule FROM names, rules WHERE CASE WHEN starts_with(rule, '*.') THEN ends_with(name, substr(rule, 2)) OR name = substr(rule, 3) ELSE NOT contains(rule, '*') AND contains(name, rule) END
+          ) SELECT page_id, count(*) AS rules, arg_min(rule, (-length(rule), rule)) AS longest FROM {mixed()} JOIN met ON name = lower(host) GROUP BY page_id""",
         "payload_inspection": BASE + " SELECT packet_no, found_by, found_app, found_sni FROM found WHERE found_by IS NOT NULL",
         "engine_actions": run + " SELECT packet_no, action, seg, app, sni FROM now",
         "flow_states": run + " SELECT state, count(*) AS flows, sum(packets)::BIGINT AS packets FROM all_flows GROUP BY 1",
@@ -242,6 +245,7 @@ def oracle_sql() -> dict[str, str]:
         "capture_set": run + " SELECT count(*) AS total_packets, count(*) FILTER (action = 'FORWARD') AS forwarded_packets, count(*) FILTER (action = 'DROP') AS dropped_packets, count(*) FILTER (action = 'FORWARD') AS written_packets, sum(frame_length) FILTER (action = 'FORWARD')::BIGINT AS written_bytes, true AS same FROM run",
         "summary_shown": run + " SELECT round(100.0::DOUBLE * count(*) FILTER (action = 'FORWARD') / count(*), 1) AS forward_rate, round(100.0::DOUBLE * count(*) FILTER (action = 'DROP') / count(*), 2) AS drop_rate, (SELECT round(arg_max(ts, packet_no) - arg_min(ts, packet_no), 2) FROM acted) AS duration FROM run",
     }
+    own |= {f"stored_{name}": own[of] for name, of in (("flow_table", "flow_table"), ("graph_edges", "graph_edges"), ("summary", "summary_stats"))}
     # what a flow carries after each packet: its segment's finding from there on, before that what came with it
     now = f""", befores AS (SELECT {KEY}, seg, lag(app) OVER w AS app0, lag(sni) OVER w AS sni0 FROM segments WINDOW w AS (PARTITION BY {KEY} ORDER BY seg)
     ), now AS (SELECT r.*, CASE WHEN f IS NOT NULL AND packet_no >= f THEN seg_app ELSE coalesce(app0, 'Unknown') END AS app, CASE WHEN f IS NOT NULL AND packet_no >= f THEN seg_sni ELSE coalesce(sni0, '') END AS sni FROM run r JOIN befores USING ({KEY}, seg))"""

@@ -55,6 +55,13 @@ class Analysis:
         self.tuples.persist(level)
         return self
 
+    @classmethod
+    def from_summaries(cls, summaries: DataFrame, rules: RuleSet | None = None, **options) -> Analysis:
+        """An analysis of packets that were summed up before, range by range, under the same rules: totals, flows, names and the graph, but no table of packets."""
+        made = cls(None, rules or RuleSet(), **options)
+        made.summaries = summaries
+        return made
+
     def unpersist(self) -> None:
         self.inspected.unpersist()
         self.tuples.unpersist()
@@ -72,7 +79,12 @@ class Analysis:
     @cached_property
     def tuples(self) -> DataFrame:
         """A row for each five-tuple of the report's packets: what all tables of flows and addresses are made of."""
-        return flow_ops.tuples(flow_ops.runs(report_packets(self.inspected), self.rules), self.balancers, self.workers)
+        return flow_ops.tuples(flow_ops.runs(self.summaries, self.rules), self.balancers, self.workers)
+
+    @cached_property
+    def summaries(self) -> DataFrame:
+        """The flows' runs, which can be stored by range of packets; ``from_summaries`` makes the flows' tables of them."""
+        return flow_ops.summaries(report_packets(self.inspected), self.rules)
 
     @cached_property
     def all_flows(self) -> DataFrame:

@@ -12,6 +12,7 @@ from netquarry.functions.classify import app_named, app_of
 from netquarry.operators import flows as flow_ops
 from netquarry.operators import inspection, report, views
 from netquarry.operators.decode import decode, engine_packets, report_packets
+from netquarry.operators.rule_index import rule_hits
 from netquarry.operators.rules import RuleSet
 from netquarry.plans.analysis import Analysis, analyze
 from netquarry.sources import exports, pcap
@@ -261,10 +262,27 @@ def ip_rule_semi_join(spark, sf_dir):
 def domain_rule_theta_join(spark, sf_dir):
     """Hosts with each rule that they meet, the rules being a table."""
     table = RuleSet.of(domains=("facebook", "zoom", "example", "*.spotify.com")).table(spark).where("kind = 'DOMAIN'")
-    names, rule = mixed_hosts(spark, sf_dir).withColumn("name", F.lower("host")), F.lower(F.col("value"))
-    star = F.startswith(rule, F.lit("*."))
-    met = F.when(star, F.endswith(F.col("name"), F.substring(rule, 2, 1000)) | (F.col("name") == F.substring(rule, 3, 1000))).otherwise(F.contains(F.col("name"), rule))
-    return names.join(table, met).select("page_id", F.col("value").alias("rule"))
+    return _met(mixed_hosts(spark, sf_dir), table)
+
+
+def _met(names: DataFrame, rules: DataFrame) -> DataFrame:
+    hits = rule_hits(names.select(F.col("host").alias("name")), rules).withColumnRenamed("value", "rule")
+    return names.withColumn("name", F.lower("host")).join(hits, "name").select("page_id", "rule")
+
+
+def word_rules(spark, sf_dir) -> DataFrame:
+    """Domain rules drawn from pages: each word of their HTML, and the parents of their hosts with a star. About 40 rules a page."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    words = pages.select(F.explode(F.regexp_extract_all(F.lower("html"), F.lit("[a-z0-9]{3,}"), F.lit(0))).alias("value"))
+    parents = hosts(spark, sf_dir).where("page_id % 3 = 0").select(F.concat(F.lit("*"), F.regexp_replace("host", r"^[^.]*", "")).alias("value"))
+    return words.unionByName(parents).distinct()
+
+
+@query
+def rule_index_join(spark, sf_dir):
+    """Hosts with each of very many rules that they meet: how many, and the longest."""
+    met = _met(mixed_hosts(spark, sf_dir).where("host <> ''"), word_rules(spark, sf_dir))
+    return met.groupBy("page_id").agg(F.count(F.lit(1)).alias("rules"), F.min_by("rule", F.struct(-F.length("rule"), F.col("rule"))).alias("longest"))
 
 
 @query
@@ -483,6 +501,35 @@ def summary_shown(spark, sf_dir):
     return report.shown(analysis(spark, sf_dir).summary)
 
 
+def stored_parts(spark, sf_dir) -> Analysis:
+    """The packets in three ranges, each summed up and stored by itself, as captures that come one after another are."""
+    path, sent = scratch(spark, "summaries"), packets(spark, sf_dir)
+    low, high = events(spark, sf_dir).agg(F.min("event_id"), F.max("event_id")).first()
+    for i in range(3):
+        at = [low + (high + 1 - low) * k // 3 for k in (i, i + 1)] if low is not None else [0, 0]
+        Analysis(sent.where(F.col("packet_no").between(at[0], at[1] - 1)), rules()).summaries.write.mode("append").parquet(path)
+    return Analysis.from_summaries(spark.read.parquet(path), rules())
+
+
+@query
+def stored_flow_table(spark, sf_dir):
+    """The flow table made of stored parts."""
+    return stored_parts(spark, sf_dir).all_flows
+
+
+@query
+def stored_graph_edges(spark, sf_dir):
+    """The graph's edges made of stored parts."""
+    a = stored_parts(spark, sf_dir)
+    return report.graph_edges(a.tuples, a.flows)
+
+
+@query
+def stored_summary(spark, sf_dir):
+    """Engine totals and times made of stored parts."""
+    return stored_parts(spark, sf_dir).summary
+
+
 QUERIES["report_packets"] = report_totals
 
 

@@ -2,7 +2,9 @@
 
 import random
 
-from netquarry.operators.flows import alive, flow_table, newest, run_flows, runs, tuples
+from pyspark.sql import functions as F
+
+from netquarry.operators.flows import alive, flow_table, newest, run_flows, runs, summaries, tuples
 from netquarry.operators.rules import RuleSet
 from netquarry.operators.views import rows_of_map
 
@@ -52,11 +54,43 @@ def test_random_flows(spark):
         actions: dict = {}
         for r in run.orderBy("packet_no").collect():
             actions.setdefault(r.src_port, []).append(r.action)
-        ends = {r.src_port: (r.state, r.application, r.sni) for r in flow_table(tuples(runs(df, rules, span))).collect()}
+        ends = {r.src_port: (r.state, r.application, r.sni) for r in flow_table(tuples(runs(summaries(df, rules, span), rules))).collect()}
         for i, flow in enumerate(flows):
             assert (actions[i], ends[i]) == plain(flow, apps, domains), (i, flow)
 
 
+def test_one_flow_over_eight_ranges_and_small_batches(spark):
+    """A flow of most packets: no task gets more than a range of it, and the states that pass from run to run, and from batch to batch, are those of the whole."""
+    rng = random.Random(11)
+    findings = [None] * 6 + [("YouTube", "youtube.com"), ("HTTPS", "bad.com"), ("Zoom", "zoom.us")]
+    packets = [(rng.choice((2, 18, 16, 24, 17, 4, 0, 0, 8)), rng.choice(findings)) for _ in range(4000)]
+    rows = [("10.0.0.1", "10.0.0.2", 1, 443, 6, k, k, 0, 60, True, flags, "TLS" if found else None, found and found[0], found and found[1]) for k, (flags, found) in enumerate(packets)]
+    rules = RuleSet.of(apps=("YouTube",), domains=("bad",))
+    actions, end = plain(packets, {"YouTube"}, ("bad",))
+    df = spark.createDataFrame(rows, COLUMNS).repartition(6)
+    for most in ("10000", "37"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+        try:
+            found = summaries(df, rules, 500).cache()
+            assert found.agg(F.max("packets")).first()[0] <= 500 and found.where("first_packet_no div 500 <> last_no div 500").isEmpty()
+            flow = tuples(runs(found, rules)).first()
+            assert [r.action for r in run_flows(df, rules, 500).orderBy("packet_no").collect()] == actions
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert ((flow.state, flow.application, flow.sni), flow.packets, flow.dropped) == (end, 4000, actions.count("DROP"))
+
+
+def test_stored_summaries_are_those_of_the_whole(spark, tmp_path):
+    """Ranges of packets summed up apart, stored, and put together in any order."""
+    rng = random.Random(12)
+    rows = [("10.0.0.1", "10.0.0.2", i % 7, 443, 6, i, i, 0, 60 + i % 9, True, rng.choice((2, 18, 16, 24, 17, 4)), *(("TLS", "HTTPS", "bad.com") if rng.random() < 0.1 else (None, None, None))) for i in range(900)]
+    rules, df = RuleSet.of(domains=("bad",)), spark.createDataFrame(rows, COLUMNS)
+    for low, high in ((600, 900), (0, 250), (250, 600)):
+        summaries(df.where(f"packet_no >= {low} AND packet_no < {high}"), rules).write.mode("append").parquet(str(tmp_path / "sums"))
+    together = tuples(runs(spark.read.parquet(str(tmp_path / "sums")), rules))
+    assert sorted(together.collect(), key=str) == sorted(tuples(runs(summaries(df, rules), rules)).select(together.columns).collect(), key=str)
+
+
 def test_capacity_and_idle_flows(spark):
     rows = [(0, 10.0, 1, "NEW"), (0, 20.0, 2, "CLOSED"), (0, 30.0, 3, "NEW"), (3, 5.0, 4, "NEW")]
     flows = spark.createDataFrame(rows, "worker int, last_ts double, first_packet_no long, state string")

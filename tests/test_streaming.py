@@ -4,7 +4,7 @@ import time
 from pyspark.sql import functions as F
 
 from netquarry.operators.decode import decode, engine_packets, report_packets
-from netquarry.operators.flows import flow_table, run_flows, runs, tuples
+from netquarry.operators.flows import flow_table, run_flows, runs, summaries, tuples
 from netquarry.operators.inspection import inspected
 from netquarry.operators.rules import RuleSet
 from netquarry.streaming.captures import flow_updates, traffic
@@ -59,4 +59,4 @@ def test_stream_and_batch_agree(spark, tmp_path):
         ends[r.src_port] = (r.state, r.application, r.sni, r.packets, r.bytes, r.dropped)
     run = run_flows(df, rules)
     drops = {r.src_port: r.n for r in run.groupBy("src_port").agg(F.count_if(F.col("action") == "DROP").alias("n")).collect()}
-    assert ends == {r.src_port: (r.state, r.application, r.sni, r.packets, r.bytes, drops[r.src_port]) for r in flow_table(tuples(runs(df, rules))).collect()}
+    assert ends == {r.src_port: (r.state, r.application, r.sni, r.packets, r.bytes, drops[r.src_port]) for r in flow_table(tuples(runs(summaries(df, rules), rules))).collect()}
