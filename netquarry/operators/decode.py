@@ -149,9 +149,12 @@ def headers(raw: DataFrame, wanted: tuple[str, ...] = NARROW) -> DataFrame:
     return with_fields(raw, ddl(wanted or tuple(KINDS)), lambda frames: frames.columns(wanted)[0], keep)
 
 
+#: What the engine accepts: parsed TCP and UDP over IPv4.
+ENGINE_PACKETS = "parse_ok AND has_ip AND (has_tcp OR has_udp)"
+
+
 def engine_packets(packets: DataFrame) -> DataFrame:
-    """What the engine accepts: parsed TCP and UDP over IPv4."""
-    return packets.where("parse_ok AND has_ip AND (has_tcp OR has_udp)")
+    return packets.where(ENGINE_PACKETS)
 
 
 def report_packets(packets: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ def _dealt(packets: DataFrame, span: int, *order: str) -> DataFrame:
     return packets.withColumn("chunk", F.floor(F.col("packet_no") / span)).repartition(*FIVE_TUPLE, "chunk").sortWithinPartitions(*FIVE_TUPLE, "packet_no", *order)
 
 
-def summaries(inspected: DataFrame, rules: RuleSet | None = None, span: int = SPAN) -> DataFrame:
+def summaries(inspected: DataFrame, rules: RuleSet | None = None, span: int = SPAN, idle: float | None = None) -> DataFrame:
     """A row for each run of a flow's packets (those of one chunk, or fewer): counts, times, and the run as a function on the flow's few states (``machine``).
 
     A flow is an exact five-tuple, its packets in the order of ``packet_no``. Flags come first (RST closes, and so does every ACK once
@@ -41,23 +41,34 @@ def summaries(inspected: DataFrame, rules: RuleSet | None = None, span: int = SP
     decide by the packet's addresses and what the flow carries. A close undoes classification and block, not what is carried.
 
     Packets meet by flow and chunk, so the largest task has a chunk's packets. Summaries of ranges of packets that don't interleave can be
-    stored and put together later, in any number; they hold under the rules that they were made with.
+    stored and put together later, in any number; they hold under the rules that they were made with. A flow that is silent for more
+    than ``idle`` seconds begins anew.
     """
     narrow = _judged(inspected, rules or RuleSet()).select(*FIVE_TUPLE, "packet_no", epoch(F.col("ts_sec"), F.col("ts_usec")).alias("ts"), "frame_length", "flags", "found_app", "found_sni", "found_hit", "address_hit")
-    return _dealt(narrow, span).mapInArrow(machine.summed_up, machine.SUMMARY)
+    return _dealt(narrow, span).mapInArrow(machine.summed_up(idle), machine.SUMMARY)
 
 
-def runs(found: DataFrame, rules: RuleSet | None = None) -> DataFrame:
+def runs(found: DataFrame, rules: RuleSet | None = None, idle: float | None = None) -> DataFrame:
     """``summaries`` with the state in which each run begins, and so what the engine drops of it and what it carries. Only the summaries meet by flow, where they are composed."""
     begin = machine.SPOILED if "Unknown" in (rules or RuleSet()).apps else machine.OPEN
-    return found.repartition(*FIVE_TUPLE).sortWithinPartitions(*FIVE_TUPLE, "first_packet_no").mapInArrow(machine.resolved(begin), machine.RUN)
+    return found.repartition(*FIVE_TUPLE).sortWithinPartitions(*FIVE_TUPLE, "first_packet_no").mapInArrow(machine.resolved(begin, idle), machine.RUN)
 
 
-def tuples(found: DataFrame, balancers: int = 2, workers: int = 2) -> DataFrame:
+def sessions(inspected: DataFrame, rules: RuleSet | None = None, idle: float = 300.0, span: int = SPAN) -> DataFrame:
+    """The flows that a capture's own time ends: one row for each five-tuple and ``session``, the number of the packet with which it began after more than ``idle`` seconds of silence.
+
+    A silent flow is forgotten with its state, block and name, as a sweep of idle flows would do while packets still come. Silences are found within
+    runs where the packets are, and between runs where these are put together.
+    """
+    found = runs(summaries(inspected, rules, span, idle), rules, idle)
+    return tuples(found, keys=(*FIVE_TUPLE, "session"))
+
+
+def tuples(found: DataFrame, balancers: int = 2, workers: int = 2, keys: tuple[str, ...] = FIVE_TUPLE) -> DataFrame:
     """One row for each five-tuple of ``runs``, those of other protocols than TCP and UDP too: its flow's final state and its counts."""
     last, first = lambda what: F.max_by(what, "last_no"), lambda what: F.min_by(what, "first_packet_no")
     total = lambda name: F.sum(name).alias(name)
-    made = found.groupBy(*FIVE_TUPLE).agg(
+    made = found.groupBy(*keys).agg(
         total("packets"), total("bytes"), total("dropped"), F.sum("classified").alias("classified_events"), F.sum("blocked").alias("blocked_events"), total("closes"), F.max("largest").alias("largest"), last("mode").alias("mode"), first("first_ts").alias("first_ts"), last("last_ts").alias("last_ts"),
         F.max(F.struct("carried_no", "app", "sni")).alias("carried"), F.min("first_packet_no").alias("first_packet_no"), F.max("last_no").alias("last_no"), F.min("syn_at").alias("syn_at"), F.min("synack_at").alias("synack_at"), F.max("ack_at").alias("ack_at"),
     )

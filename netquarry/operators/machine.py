@@ -87,16 +87,22 @@ SUMMARY = f"{TUPLE}, {_COUNTS}, machine binary, names {NAMES}"
 _MACHINE = np.dtype([("counts", "<i4", (STATES, 4)), ("carried", "i1", STATES), ("functions", "u1", 2)])
 
 
-def summed_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each run of sorted packets that belong to one flow and stand in one batch."""
-    for batch in batches:
-        if batch.num_rows:
-            yield _summed_up(batch)
+def summed_up(idle: float | None = None):
+    """A row for each run of sorted packets that belong to one flow and stand in one batch; a silence of more than ``idle`` seconds ends a run."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield _summed_up(batch, idle)
+
+    return run
 
 
-def _summed_up(batch: pa.RecordBatch) -> pa.RecordBatch:
+def _summed_up(batch: pa.RecordBatch, idle: float | None) -> pa.RecordBatch:
     n, at = batch.num_rows, np.arange(batch.num_rows)
     new = _changes([batch.column(c) for c in (*FIVE_TUPLE, "chunk")])
+    if idle is not None:
+        new[1:] |= np.diff(_numpy(batch, "ts")) > idle
     starts, since = np.flatnonzero(new), _since(new)
     ends = np.r_[starts[1:], n] - 1
     flags, number, size = _numpy(batch, "flags"), _numpy(batch, "packet_no"), _numpy(batch, "frame_length")
@@ -131,22 +137,26 @@ def _summed_up(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.record_batch(made)
 
 
-RUN = f"{TUPLE}, {_COUNTS}, dropped bigint, classified bigint, blocked bigint, closes bigint, mode int, carried_no bigint, app string, sni string, entry int, entry_seg bigint, entry_app string, entry_sni string"
+RUN = f"{TUPLE}, {_COUNTS}, dropped bigint, classified bigint, blocked bigint, closes bigint, mode int, carried_no bigint, app string, sni string, session bigint, entry int, entry_seg bigint, entry_app string, entry_sni string"
 
 
-def resolved(begin: int):
+def resolved(begin: int, idle: float | None = None):
     """Runs with the state in which each begins, and so what it counts and carries. Runs of a flow follow each other; only a state is kept between batches.
 
-    begin: the mode in which flows begin."""
+    begin: the mode in which flows begin; idle: the seconds of silence after which a flow begins anew. ``session`` is the number of its first packet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: tuple | None = None  # the flow that the last batch ended with, its state, closes, and what it carries
+        kept: tuple | None = None  # the flow that the last batch ended with, its state, closes, what it carries, last time and session
         for batch in batches:
             if not batch.num_rows:
                 continue
             n, at = batch.num_rows, np.arange(batch.num_rows)
             new, machine = _changes([batch.column(c) for c in FIVE_TUPLE]), np.frombuffer(b"".join(batch.column("machine").to_pylist()), _MACHINE)
             goes_on = kept is not None and kept[0] == _key(batch, 0)
+            if idle is not None:
+                first_ts, last_ts = _numpy(batch, "first_ts"), _numpy(batch, "last_ts")
+                new[1:] |= first_ts[1:] - last_ts[:-1] > idle
+                goes_on = goes_on and first_ts[0] - kept[4] <= idle
             since = _since(new)
             fin = _numpy(batch, "fin")
             states = np.stack([image(machine["functions"][:, s >> 2], s & 3) + 4 * (fin | (s > 3)) for s in range(STATES)], axis=1).astype(np.uint8)
@@ -180,10 +190,13 @@ def resolved(begin: int):
             mode = image(end, entry & 3)
             number = pc.if_else(pa.array(carries), picked.field("no"), pa.scalar(None, pa.int64()))
             carried_out = [texts[c][n - 1].as_py() if carries[-1] else texts[f"entry_{c}"][n - 1].as_py() for c in ("app", "sni")]
-            kept = (_key(batch, n - 1), int(mode[-1]) + 4 * bool(fin[-1] or entry[-1] > 3), int(entry_seg[-1] + counts[-1, 3]), carried_out)
+            session = _numpy(batch, "first_packet_no")[since]
+            if goes_on:
+                session = np.where(since == 0, kept[5], session)
+            kept = (_key(batch, n - 1), int(mode[-1]) + 4 * bool(fin[-1] or entry[-1] > 3), int(entry_seg[-1] + counts[-1, 3]), carried_out, batch.column("last_ts")[n - 1].as_py(), int(session[-1]))
             made = {f.name: batch.column(f.name) for f in batch.schema if f.name not in ("machine", "names")}
             made |= {name: pa.array(counts[:, i]) for i, name in enumerate(("dropped", "classified", "blocked", "closes"))}
-            made |= {"mode": pa.array(mode, pa.int32()), "carried_no": number, "app": texts["app"], "sni": texts["sni"], "entry": pa.array(entry, pa.int32()), "entry_seg": pa.array(entry_seg, pa.int64()), "entry_app": texts["entry_app"], "entry_sni": texts["entry_sni"]}
+            made |= {"mode": pa.array(mode, pa.int32()), "carried_no": number, "app": texts["app"], "sni": texts["sni"], "session": pa.array(session, pa.int64()), "entry": pa.array(entry, pa.int32()), "entry_seg": pa.array(entry_seg, pa.int64()), "entry_app": texts["entry_app"], "entry_sni": texts["entry_sni"]}
             yield pa.record_batch(made)
 
     return run

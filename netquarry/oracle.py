@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from netquarry.functions.classify import APP_NAMES, APP_PATTERNS
-from netquarry.queries import APPS, CAPACITY, DOMAINS, HOST, IPS, NOW
+from netquarry.queries import APPS, CAPACITY, DOMAINS, HOST, IDLE, IPS, NOW
 from netquarry.synth import HOSTS
 
 KEY = "src_ip, dst_ip, src_port, dst_port, protocol"
@@ -154,6 +154,15 @@ def mixed() -> str:
     return f"(SELECT page_id, CASE page_id % 3 WHEN 0 THEN regexp_extract(url, '{HOST}', 1) WHEN 1 THEN {_list(HOSTS)}[page_id % {len(HOSTS)} + 1] ELSE upper({_list(HOSTS)}[page_id % {len(HOSTS)} + 1]) END AS host FROM pages)"
 
 
+def sessions_sql() -> str:
+    """The flows' state machine over sessions: five-tuples cut where they are silent."""
+    cut = f""", cut AS (SELECT *, max(begun) OVER (PARTITION BY {KEY} ORDER BY packet_no ROWS UNBOUNDED PRECEDING) AS session FROM (
+      SELECT *, CASE WHEN coalesce(ts - lag(ts) OVER (PARTITION BY {KEY} ORDER BY packet_no) > {IDLE}, true) THEN packet_no END AS begun FROM found))"""
+    run = _run().replace("FROM found", "FROM cut").replace(KEY, f"{KEY}, session")
+    return BASE + cut + run + f""", drops AS (SELECT {KEY}, session, count(*) FILTER (action = 'DROP') AS dropped FROM run GROUP BY ALL)
+      SELECT {KEY}, session, state, application, sni, packets, bytes, dropped, first_ts, last_ts FROM all_flows JOIN drops USING ({KEY}, session)"""
+
+
 def oracle_sql() -> dict[str, str]:
     run, free = BASE + _run(), BASE + _run((), (), ())
     header = ("ts_sec", "ts_usec", "frame_length", "frame_length")
@@ -207,6 +216,8 @@ def oracle_sql() -> dict[str, str]:
         "rule_index_join": f"""WITH rules AS (SELECT DISTINCT rule FROM (SELECT unnest(regexp_extract_all(lower(html), '[a-z0-9]{{3,}}')) AS rule FROM pages UNION ALL SELECT '*' || regexp_replace(regexp_extract(url, '{HOST}', 1), '^[^.]*', '') FROM pages WHERE page_id % 3 = 0)
           ), names AS (SELECT DISTINCT lower(host) AS name FROM {mixed()} WHERE host <> ''), met AS (SELECT name, rule FROM names, rules WHERE CASE WHEN starts_with(rule, '*.') THEN ends_with(name, substr(rule, 2)) OR name = substr(rule, 3) ELSE NOT contains(rule, '*') AND contains(name, rule) END
           ) SELECT page_id, count(*) AS rules, arg_min(rule, (-length(rule), rule)) AS longest FROM {mixed()} JOIN met ON name = lower(host) GROUP BY page_id""",
+        "idle_sessions": sessions_sql(),
+        "streamed_sessions": sessions_sql(),
         "payload_inspection": BASE + " SELECT packet_no, found_by, found_app, found_sni FROM found WHERE found_by IS NOT NULL",
         "engine_actions": run + " SELECT packet_no, action, seg, app, sni FROM now",
         "flow_states": run + " SELECT state, count(*) AS flows, sum(packets)::BIGINT AS packets FROM all_flows GROUP BY 1",

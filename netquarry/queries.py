@@ -11,19 +11,21 @@ from netquarry.functions import codec
 from netquarry.functions.classify import app_named, app_of
 from netquarry.operators import flows as flow_ops
 from netquarry.operators import inspection, report, views
-from netquarry.operators.decode import decode, engine_packets, report_packets
+from netquarry.operators.decode import ENGINE_PACKETS, engine_packets, headers, report_packets
 from netquarry.operators.rule_index import rule_hits
 from netquarry.operators.rules import RuleSet
 from netquarry.plans.analysis import Analysis, analyze
 from netquarry.sources import exports, pcap
 from netquarry.sources.files import scratch
-from netquarry.streaming.captures import traffic
+from netquarry.streaming.captures import FLOW_SCHEMA, flow_updates, traffic
 from netquarry.synth import HOSTS, frames
 
 #: Rules of the queries; of those by port only where a query says so.
 IPS, APPS, DOMAINS = ("10.0.0.7", "10.0.0.42"), ("YouTube", "tiktok"), ("facebook", "*.spotify.com")
 #: The time at which flows count as idle, and the flows that each worker keeps, in the two queries on that.
 NOW, CAPACITY = 1_706_500_000.0, 50
+#: Seconds of silence after which a flow begins anew, in the queries on that.
+IDLE = 86_400
 HOST = r"^[a-z]+://([^/:?#]+)"
 
 
@@ -485,15 +487,54 @@ def capture_set(spark, sf_dir):
     return totals.crossJoin(back).crossJoin(passed).select(*totals.columns, "written_packets", "written_bytes", (F.col("digest") == F.col("passed")).alias("same"))
 
 
+#: Seconds by which streamed packets may be out of order.
+LATE = 7 * 86_400
+
+
+def stream(spark, sf_dir, path: str) -> DataFrame:
+    """The packets as a stream of six files, each of a span of them but out of order where spans meet; at last a frame without an address, whose time passes all that still waits."""
+    sent = packets(spark, sf_dir)
+    bounds = sent.agg(F.min("packet_no").alias("low"), F.max("packet_no").alias("high"), F.max("ts_sec").alias("ts")).first()
+    low, span = (bounds.low, bounds.high - bounds.low + 1) if bounds.low is not None else (0, 1)
+    part = F.floor((F.col("packet_no") - low) * 6 / span + F.pmod(F.xxhash64("packet_no"), F.lit(100)) / 200).cast("int")
+    for i in range(7):
+        sent.where(part == i).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    end = sent.limit(1).select(*(F.lit(value).cast(f.dataType).alias(f.name) for f, value in ((f, {"packet_no": -1, "ts_sec": (bounds.ts or 0) + LATE + IDLE + 60, "ts_usec": 0, "data": b""}.get(f.name)) for f in sent.schema)))
+    end.coalesce(1).write.mode("append").parquet(f"{path}/in")
+    return spark.readStream.schema(sent.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+
+
+def _ended(rows: DataFrame, mode: str, path: str, schema: str) -> DataFrame:
+    """What a stream has written once it has taken all its files."""
+    rows.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").foreachBatch(lambda batch, i: batch.write.mode("overwrite").parquet(f"{path}/out/batch={i}")).trigger(availableNow=True).start().awaitTermination()
+    return rows.sparkSession.read.schema(schema).parquet(f"{path}/out")
+
+
 @query
 def streamed_traffic(spark, sf_dir):
-    """Packets and bytes of each second, from a stream that ends with the stored packets."""
-    path, sent = scratch(spark, "stream"), packets(spark, sf_dir)
-    sent.write.parquet(f"{path}/in")
-    seconds = traffic(report_packets(decode(spark.readStream.schema(sent.schema).parquet(f"{path}/in"))))
-    kept = seconds.select(F.unix_seconds("window.start").alias("second"), "packets", "bytes").writeStream.outputMode("complete").option("checkpointLocation", f"{path}/state")
-    kept.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{path}/out")).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("second long, packets long, bytes long").parquet(f"{path}/out")
+    """Packets and bytes of each second, in append mode: each second is given when it is over."""
+    path = scratch(spark, "stream")
+    seen = headers(stream(spark, sf_dir, path))
+    counted = F.col("parse_ok") & F.col("has_ip")
+    seconds = traffic(seen.withColumns({"frame_length": F.when(counted, F.col("frame_length"))}), f"{LATE} seconds")
+    found = seconds.select(F.unix_seconds("window.start").alias("second"), "packets", "bytes")
+    return _ended(found, "append", path, "second long, packets long, bytes long").select("second", "packets", "bytes").where("packets > 0")
+
+
+@query
+def streamed_sessions(spark, sf_dir):
+    """Flows cut where they are silent, from packets that come out of order: the last row of each session."""
+    path, setting = scratch(spark, "stream"), "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        seen = inspection.inspected(stream(spark, sf_dir, path))
+        rows = flow_updates(seen, rules(), IDLE, f"{LATE} seconds", F.expr(ENGINE_PACKETS))
+        found = _ended(rows, "update", path, FLOW_SCHEMA)
+    finally:
+        spark.conf.set(setting, before)
+    last = found.groupBy(*codec.FIVE_TUPLE, "session").agg(F.max_by(F.struct("state", "application", "sni", "packets", "bytes", "dropped", "first_ts", "last_ts"), "packets").alias("last"))
+    return last.select(*codec.FIVE_TUPLE, "session", "last.*")
 
 
 @query
@@ -501,6 +542,16 @@ def summary_shown(spark, sf_dir):
     return report.shown(analysis(spark, sf_dir).summary)
 
 
+SESSION = ("session", "state", "application", "sni", "packets", "bytes", "dropped", "first_ts", "last_ts")
+
+
+@query
+def idle_sessions(spark, sf_dir):
+    """Flows cut where they are silent for more than a day."""
+    found = flow_ops.sessions(engine_packets(analysis(spark, sf_dir).inspected), rules(), IDLE)
+    return found.select(*codec.FIVE_TUPLE, *SESSION)
+
+
 def stored_parts(spark, sf_dir) -> Analysis:
     """The packets in three ranges, each summed up and stored by itself, as captures that come one after another are."""
     path, sent = scratch(spark, "summaries"), packets(spark, sf_dir)

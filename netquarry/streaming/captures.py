@@ -1,69 +1,133 @@
-"""Streams of packets: flow state with a time limit, and one-second windows."""
+"""Streams of packets: flow state in event time, and one-second windows."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from netquarry.functions.codec import ACK, FIN, FIVE_TUPLE, RST, SYN, epoch
+from netquarry.operators import machine
 from netquarry.operators.rules import RuleSet
 
-FLOW_SCHEMA = "src_ip string, dst_ip string, src_port int, dst_port int, protocol int, packets bigint, bytes bigint, forwarded bigint, dropped bigint, application string, sni string, state string"
-_STATE = "packets bigint, bytes bigint, forwarded bigint, dropped bigint, application string, sni string, bad boolean, state string, syn boolean, synack boolean, fin boolean"
+_COUNTED = "session bigint, packets bigint, bytes bigint, dropped bigint, first_ts double, last_ts double"
+FLOW_SCHEMA = f"{machine.TUPLE}, {_COUNTED}, forwarded bigint, application string, sni string, state string"
+#: What is known of a flow between packets, and a packet that waits for its turn.
+_STATE = f"{_COUNTED}, mode int, fin boolean, closes bigint, syn boolean, synack boolean, shaken boolean, app string, sni string"
+_WAITING = "packet_no bigint, ts double, frame_length bigint, flags int, found_hit boolean, address_hit boolean, found_app string, found_sni string"
+_NAMES = [c.split()[0] for c in _STATE.split(", ")]
+_PACKET = [c.split()[0] for c in _WAITING.split(", ")]
+
+
+def advanced(flow: dict, packets: dict[str, np.ndarray]) -> dict:
+    """A flow after some more packets, in order and without a long silence: the packets are composed as functions on its modes, as the batch does it."""
+    flags, number, n = packets["flags"], packets["packet_no"], len(packets["flags"])
+    fin, ack, syn = flags & FIN != 0, flags & ACK != 0, flags & SYN != 0
+    close = (flags & RST != 0) | ack & (np.logical_or.accumulate(fin) | flow["fin"])
+    found = np.array([x is not None for x in packets["found_app"]], bool)
+    step = machine.STEP[close | found << 1 | packets["found_hit"].astype(bool) << 2 | packets["address_hit"].astype(bool) << 3]
+    mode = machine.image(machine.composed(step, np.arange(n)), flow["mode"])
+    was = np.r_[np.uint8(flow["mode"]), mode[:-1]]
+    classified = np.flatnonzero(found & (close | (was == machine.OPEN) | (was == machine.SPOILED)))
+    syns, synacks = np.logical_or.accumulate(syn & ~ack) | flow["syn"], np.logical_or.accumulate(syn & ack) | flow["synack"]
+    names = {c: packets[f"found_{c}"][classified[-1]] or "" for c in ("app", "sni")} if len(classified) else {}
+    return flow | names | {
+        "session": int(number[0]) if not flow["packets"] else flow["session"], "packets": flow["packets"] + n, "bytes": flow["bytes"] + int(packets["frame_length"].sum()), "dropped": flow["dropped"] + int((mode == machine.BLOCKED).sum()),
+        "first_ts": float(packets["ts"][0]) if not flow["packets"] else flow["first_ts"], "last_ts": float(packets["ts"][-1]), "mode": int(mode[-1]), "fin": bool(fin.any() or flow["fin"]), "closes": flow["closes"] + int(close.sum()),
+        "syn": bool(syns[-1]), "synack": bool(synacks[-1]), "shaken": bool(flow["shaken"] or (ack & syns & synacks).any()),
+    }
 
 
 class FlowState(StatefulProcessor):
-    """Counts, classification and block of a flow so far, as the batch has them; a flow that gets no packet for ``idle_ms`` of processing time starts anew."""
+    """Counts, classification and block of a flow so far, as the batch has them.
 
-    def __init__(self, idle_ms: int = 300_000, unknown_bad: bool = False):
-        self.idle_ms, self.unknown_bad = idle_ms, unknown_bad
+    Packets wait until the watermark has passed them and are then taken in the order of their numbers, whatever batches they came in.
+    A flow that is silent for more than ``idle`` seconds of the packets' time begins anew, and is forgotten once the watermark has passed that.
+    """
+
+    def __init__(self, idle: float, unknown_bad: bool):
+        self.idle, self.begin = idle, machine.SPOILED if unknown_bad else machine.OPEN
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.flow = handle.getValueState("flow", _STATE, ttlDurationMs=self.idle_ms)
+        self.handle = handle
+        self.flow, self.waiting = handle.getValueState("flow", _STATE), handle.getListState("waiting", _WAITING)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        packets, size, passed, dropped, app, sni, bad, state, syn, synack, fin = self.flow.get() if self.flow.exists() else (0, 0, 0, 0, "Unknown", "", self.unknown_bad, "NEW", False, False, False)
-        arrived = pd.concat(list(rows), ignore_index=True).sort_values("packet_no")
-        for r in arrived.itertuples():
-            packets, size = packets + 1, size + r.frame_length
-            if r.has_tcp:
-                ack = bool(r.tcp_flags & ACK)
-                syn, synack, fin = syn or bool(r.tcp_flags & SYN and not ack), synack or bool(r.tcp_flags & SYN and ack), fin or bool(r.tcp_flags & FIN)
-                if r.tcp_flags & RST or fin and ack:
-                    state = "CLOSED"
-                elif state == "NEW" and syn and synack and ack:
-                    state = "ESTABLISHED"
-            if state not in ("BLOCKED", "CLASSIFIED") and isinstance(r.found_app, str):
-                app, sni, bad, state = r.found_app, r.found_sni, bool(r.found_hit), "CLASSIFIED"
-            if r.address_hit or bad:
-                state = "BLOCKED"
-            dropped, passed = dropped + (state == "BLOCKED"), passed + (state != "BLOCKED")
-        self.flow.update((packets, int(size), passed, dropped, app, sni, bad, state, syn, synack, fin))
-        yield pd.DataFrame([(*key, packets, size, passed, dropped, app, sni, state)], columns=[c.split()[0] for c in FLOW_SCHEMA.split(", ")])
+        new = [r for df in rows for r in df[_PACKET].astype(object).where(df[_PACKET].notna(), None).itertuples(index=False, name=None)]
+        return self._taken(key, new, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        return self._taken(key, [], timerValues.getCurrentWatermarkInMs())
+
+    def _taken(self, key, new: list[tuple], watermark: int) -> Iterator[pd.DataFrame]:
+        rows = sorted([*self.waiting.get(), *new])
+        at = next((i for i, r in enumerate(rows) if r[1] * 1000 >= watermark), len(rows))  # a packet waits for those before it
+        ready, later = rows[:at], rows[at:]
+        flow = dict(zip(_NAMES, self.flow.get(), strict=True)) if self.flow.exists() else None
+        touched = []
+        if ready:
+            columns = {c: np.array(x) if c not in ("found_app", "found_sni") else list(x) for c, x in zip(_PACKET, zip(*ready, strict=True), strict=True)}
+            gaps = np.diff(np.r_[flow["last_ts"] if flow else columns["ts"][0], columns["ts"]]) > self.idle
+            cuts = [0, *np.flatnonzero(gaps).tolist(), len(ready)]
+            for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                if a == b:
+                    continue
+                if flow is None or i:
+                    flow = self._fresh()
+                flow = advanced(flow, {c: x[a:b] for c, x in columns.items()})
+                touched.append(flow)
+            self.flow.update(tuple(flow[c] for c in _NAMES))
+        elif flow and not later and (flow["last_ts"] + self.idle) * 1000 < watermark:
+            self.flow.clear()
+            flow = None
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if later:
+            self.waiting.put(later)
+            self.handle.registerTimer(int(later[0][1] * 1000) + 1)
+        else:
+            self.waiting.clear()
+            if flow:
+                self.handle.registerTimer(int((flow["last_ts"] + self.idle) * 1000) + 2)
+        if touched:
+            yield pd.DataFrame([self._row(key, f) for f in touched], columns=[c.split()[0] for c in FLOW_SCHEMA.split(", ")])
+
+    def _fresh(self) -> dict:
+        return dict(zip(_NAMES, (0, 0, 0, 0, 0.0, 0.0, self.begin, False, 0, False, False, False, "Unknown", ""), strict=True))
+
+    def _row(self, key, f: dict) -> tuple:
+        state = "BLOCKED" if f["mode"] == machine.BLOCKED else "CLASSIFIED" if f["mode"] == machine.CLASSIFIED else "CLOSED" if f["closes"] else "ESTABLISHED" if f["shaken"] else "NEW"
+        return (*key, *(f[c] for c in _NAMES[:6]), f["packets"] - f["dropped"], f["app"], f["sni"], state)
 
     def close(self) -> None:
         pass
 
 
-def flow_updates(inspected: DataFrame, rules: RuleSet | None = None, idle_ms: int = 300_000) -> DataFrame:
-    """A row for each flow that a batch of the stream touches, with the engine's verdicts under ``rules``. Needs the RocksDB state store.
+def _timed(packets: DataFrame, late: str) -> DataFrame:
+    return packets.withColumn("at", F.timestamp_micros(F.col("ts_sec") * F.lit(1_000_000).cast("long") + F.col("ts_usec"))).withWatermark("at", late)
+
+
+def flow_updates(inspected: DataFrame, rules: RuleSet | None = None, idle: float = 300.0, late: str = "10 seconds", where: Column | None = None) -> DataFrame:
+    """A row for each flow and session that the stream's packets advance, with the engine's verdicts under ``rules``. Needs the RocksDB state store.
 
-    Packets of one micro-batch are put in order by ``packet_no``; those of later batches come later. With every packet in
-    its place the last row of a flow agrees with the batch's flow table.
+    Packets may come up to ``late`` out of the order of their times; within that the last row of a session is the batch's, see ``flows.sessions``.
+    ``where`` picks the packets that count after all of them have moved the watermark.
     """
     rules = rules or RuleSet()
-    wanted = inspected.select(
-        *FIVE_TUPLE, "packet_no", "frame_length", "has_tcp", "tcp_flags", "found_app", "found_sni",
-        rules.address_hit(F.col("src_ip"), F.col("dst_port")).alias("address_hit"), rules.flow_hit(F.coalesce("found_app", F.lit("Unknown")), F.coalesce("found_sni", F.lit(""))).alias("found_hit"),
+    wanted = _timed(inspected, late)
+    if where is not None:
+        wanted = wanted.where(F.when(F.col("at").isNotNull(), where))  # names the time, so that it isn't done before the watermark
+    wanted = wanted.select(
+        *FIVE_TUPLE, "at", "packet_no", epoch(F.col("ts_sec"), F.col("ts_usec")).alias("ts"), F.col("frame_length").cast("long").alias("frame_length"), F.when(F.col("has_tcp"), F.col("tcp_flags")).otherwise(0).cast("int").alias("flags"),
+        F.when(F.col("found_app").isNull(), False).otherwise(rules.flow_hit(F.col("found_app"), F.coalesce("found_sni", F.lit("")))).alias("found_hit"), rules.address_hit(F.col("src_ip"), F.col("dst_port")).alias("address_hit"), "found_app", "found_sni",
     )
-    return wanted.groupBy(*FIVE_TUPLE).transformWithStateInPandas(FlowState(idle_ms, "Unknown" in rules.apps), FLOW_SCHEMA, "Update", "ProcessingTime")
+    return wanted.groupBy(*FIVE_TUPLE).transformWithStateInPandas(FlowState(idle, "Unknown" in rules.apps), FLOW_SCHEMA, "Update", "EventTime")
 
 
 def traffic(packets: DataFrame, late: str = "10 seconds") -> DataFrame:
-    """Packets and bytes of each second; packets later than ``late`` don't count."""
-    timed = packets.withColumn("at", F.timestamp_seconds(epoch(F.col("ts_sec"), F.col("ts_usec")))).withWatermark("at", late)
-    return timed.groupBy(F.window("at", "1 second")).agg(F.count(F.lit(1)).alias("packets"), F.sum("frame_length").alias("bytes"))
+    """Packets and bytes of each second. In append mode a second is given once the watermark has passed it and then leaves the state; packets that are later than ``late`` and than that don't count."""
+    return _timed(packets, late).groupBy(F.window("at", "1 second")).agg(F.count("frame_length").alias("packets"), F.sum("frame_length").alias("bytes"))

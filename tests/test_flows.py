@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from netquarry.operators.flows import alive, flow_table, newest, run_flows, runs, summaries, tuples
+from netquarry.operators.flows import alive, flow_table, newest, run_flows, runs, sessions, summaries, tuples
 from netquarry.operators.rules import RuleSet
 from netquarry.operators.views import rows_of_map
 
@@ -80,6 +80,32 @@ def test_one_flow_over_eight_ranges_and_small_batches(spark):
         assert ((flow.state, flow.application, flow.sni), flow.packets, flow.dropped) == (end, 4000, actions.count("DROP"))
 
 
+def test_silent_flows_begin_anew(spark):
+    """Sessions cut within runs, between runs and between batches are the flows of the packets between silences."""
+    rng = random.Random(13)
+    findings = [None] * 3 + [("YouTube", "youtube.com"), ("HTTPS", "bad.com"), ("Zoom", "zoom.us")]
+    rows, want, now = [], {}, [0] * 5
+    for k in range(600):
+        i = rng.randrange(5)
+        flags, found = rng.choice((2, 18, 16, 24, 17, 4, 0)), rng.choice(findings)
+        late = k - now[i] > 9 or not any(key[0] == i for key in want)
+        now[i] = k
+        first = k if late else max(key[1] for key in want if key[0] == i)
+        want.setdefault((i, first), []).append((flags, found))
+        rows.append(("10.0.0.1", "10.0.0.2", i, 443, 6, k, k, 0, 60, True, flags, "TLS" if found else None, found and found[0], found and found[1]))
+    df = spark.createDataFrame(rows, COLUMNS).repartition(3)
+    for span, most in ((1 << 22, "10000"), (100, "10000"), (50, "7")):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+        try:
+            got = {(r.src_port, r.session): ((r.state, r.application, r.sni), r.packets, r.dropped) for r in sessions(df, RuleSet.of(apps=("YouTube",), domains=("bad",)), 9.0, span).collect()}
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        for key, packets in want.items():
+            actions, end = plain(packets, {"YouTube"}, ("bad",))
+            assert got[key] == (end, len(packets), actions.count("DROP"))
+        assert set(got) == set(want) and len(want) > 50
+
+
 def test_stored_summaries_are_those_of_the_whole(spark, tmp_path):
     """Ranges of packets summed up apart, stored, and put together in any order."""
     rng = random.Random(12)

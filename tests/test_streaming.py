@@ -1,10 +1,9 @@
 import random
-import time
 
 from pyspark.sql import functions as F
 
-from netquarry.operators.decode import decode, engine_packets, report_packets
-from netquarry.operators.flows import flow_table, run_flows, runs, summaries, tuples
+from netquarry.operators.decode import ENGINE_PACKETS, decode, report_packets
+from netquarry.operators.flows import sessions
 from netquarry.operators.inspection import inspected
 from netquarry.operators.rules import RuleSet
 from netquarry.streaming.captures import flow_updates, traffic
@@ -19,44 +18,49 @@ def source(spark, tmp_path):
     return spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
 
 
-def finished(df, name, mode, rows):
-    """Runs until ``rows`` were taken in: a stream with state time limits doesn't end by itself."""
+def finished(df, name, mode):
+    """Runs until all files are taken in and what their times set free is given."""
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    until = time.time() + 120
-    while q.isActive and time.time() < until and sum(p["numInputRows"] for p in q.recentProgress) < rows:
-        time.sleep(0.3)
-    q.stop()
+    assert q.awaitTermination(240)
 
 
 def test_flow_state(spark, tmp_path):
-    finished(flow_updates(engine_packets(inspected(source(spark, tmp_path)))), "flows_out", "update", 3)
-    row = spark.table("flows_out").first()
-    assert (row.packets, row.application, row.sni, row.state) == (3, "Zoom", "zoom.us", "CLOSED")
+    packets = source(spark, tmp_path)
+    spark.createDataFrame([(-1, 9000, 0, bytearray(b""))], packets.schema).write.mode("append").parquet(str(tmp_path / "in"))
+    finished(flow_updates(inspected(packets), where=F.expr(ENGINE_PACKETS)), "flows_out", "update")
+    row = spark.table("flows_out").orderBy(F.desc("packets")).first()
+    assert (row.packets, row.application, row.sni, row.state, row.session, row.first_ts, row.last_ts) == (3, "Zoom", "zoom.us", "CLOSED", 0, 100.0, 101.0)
 
 
 def test_traffic(spark, tmp_path):
-    finished(traffic(report_packets(decode(source(spark, tmp_path)))), "traffic_out", "complete", 10**9)
+    finished(traffic(report_packets(decode(source(spark, tmp_path)))), "traffic_out", "complete")
     assert sorted(r.packets for r in spark.table("traffic_out").select(F.col("packets")).collect()) == [1, 2]
 
 
 def test_stream_and_batch_agree(spark, tmp_path):
-    """Random flows under rules, in several micro-batches: a flow's last row is the batch's flow."""
+    """Random flows under rules, silent at times, in micro-batches that are out of order: a session's last row is the batch's."""
     rng = random.Random(8)
     findings = [None, None, None, ("YouTube", "youtube.com"), ("HTTPS", ""), ("HTTPS", "bad.com"), ("Zoom", "zoom.us")]
     rows = []
-    for k in range(10):
+    for k in range(12):
         for i in range(40):
-            flags, found = rng.choice((2, 18, 16, 24, 17, 4, 16)), rng.choice(findings)
-            rows.append(("10.0.0.7" if i % 9 == 0 else "10.0.0.1", "10.0.0.2", i, 443, 6, k * 100 + i, k, 0, 60, True, flags, "TLS" if found else None, found and found[0], found and found[1]))
+            if rng.random() < 0.55:
+                flags, found = rng.choice((2, 18, 16, 24, 17, 4, 16)), rng.choice(findings)
+                rows.append(("10.0.0.7" if i % 9 == 0 else "10.0.0.1", "10.0.0.2", i, 443, 6, k * 100 + i, 1000 + k, i, 60, True, flags, "TLS" if found else None, found and found[0], found and found[1]))
     rules = RuleSet.of(ips=("10.0.0.7",), apps=("YouTube",), domains=("bad",))
     df = spark.createDataFrame(rows, COLUMNS)
-    for part in range(3):
-        df.where(f"packet_no div 100 in ({', '.join(str(x) for x in range(10) if x * 3 // 10 == part)})").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    parts: dict[int, list] = {}
+    for r in rows:
+        parts.setdefault((r[6] - 1000 + rng.randint(0, 3)) // 4, []).append(r)
+    parts[99] = [("0.0.0.0", "0.0.0.0", -1, 0, 6, -1, 9999, 0, 0, True, 0, None, None, None)]
+    for part in sorted(parts):
+        rng.shuffle(parts[part])
+        spark.createDataFrame(parts[part], COLUMNS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    finished(flow_updates(stream, rules), "verdicts_out", "update", 400)
+    finished(flow_updates(stream, rules, 2.5, "5 seconds", F.col("src_port") >= 0), "verdicts_out", "update")
+    last = ("state", "application", "sni", "packets", "bytes", "dropped", "first_ts", "last_ts")
     ends = {}
     for r in spark.table("verdicts_out").orderBy("packets").collect():
-        ends[r.src_port] = (r.state, r.application, r.sni, r.packets, r.bytes, r.dropped)
-    run = run_flows(df, rules)
-    drops = {r.src_port: r.n for r in run.groupBy("src_port").agg(F.count_if(F.col("action") == "DROP").alias("n")).collect()}
-    assert ends == {r.src_port: (r.state, r.application, r.sni, r.packets, r.bytes, drops[r.src_port]) for r in flow_table(tuples(runs(summaries(df, rules), rules))).collect()}
+        ends[r.src_port, r.session] = tuple(r[c] for c in last)
+    want = {(r.src_port, r.session): tuple(r[c] for c in last) for r in sessions(df, rules, 2.5).collect()}
+    assert {k: (v, want.get(k)) for k, v in ends.items() if want.get(k) != v} == {} and set(ends) == set(want) and len(want) > 60
