@@ -51,3 +51,9 @@ def app_named(name: Column) -> Column:
 def app_name(name: str) -> str:
     """``app_named`` of a Python string."""
     return next((app for app in APP_NAMES if app.lower() == name.lower()), "Unknown")
+
+
+def app_of_name(host: str) -> str:
+    """``app_of`` of a Python string."""
+    name = host.lower()
+    return next((app for app, patterns in APP_PATTERNS if any(p in name for p in patterns)), "HTTPS") if host else "Unknown"

@@ -48,10 +48,29 @@ def summaries(inspected: DataFrame, rules: RuleSet | None = None, span: int = SP
     return _dealt(narrow, span).mapInArrow(machine.summed_up(idle), machine.SUMMARY)
 
 
+def _by_flow(found: DataFrame, rules: RuleSet | None) -> tuple[DataFrame, int]:
+    """Summaries by flow and in order, and the mode in which flows begin."""
+    begin = machine.SPOILED if "Unknown" in (rules or RuleSet()).apps else machine.OPEN
+    return found.repartition(*FIVE_TUPLE).sortWithinPartitions(*FIVE_TUPLE, "first_packet_no"), begin
+
+
 def runs(found: DataFrame, rules: RuleSet | None = None, idle: float | None = None) -> DataFrame:
     """``summaries`` with the state in which each run begins, and so what the engine drops of it and what it carries. Only the summaries meet by flow, where they are composed."""
-    begin = machine.SPOILED if "Unknown" in (rules or RuleSet()).apps else machine.OPEN
-    return found.repartition(*FIVE_TUPLE).sortWithinPartitions(*FIVE_TUPLE, "first_packet_no").mapInArrow(machine.resolved(begin, idle), machine.RUN)
+    met, begin = _by_flow(found, rules)
+    return met.mapInArrow(machine.resolved(begin, idle), machine.RUN)
+
+
+def tuples(found: DataFrame, rules: RuleSet | None = None, balancers: int = 2, workers: int = 2, idle: float | None = None) -> DataFrame:
+    """One row for each five-tuple of ``summaries`` (and session, where there is a limit to silence), those of other protocols than TCP and UDP too: its flow's final state and its counts."""
+    met, begin = _by_flow(found, rules)
+    made = met.mapInArrow(machine.totals(begin, idle), machine.TOTAL)
+    shaken = F.col("ack_at") >= F.greatest("syn_at", "synack_at")
+    state = F.when(F.col("mode") == machine.BLOCKED, "BLOCKED").when(F.col("mode") == machine.CLASSIFIED, "CLASSIFIED").when(F.col("closes") > 0, "CLOSED").when(shaken, "ESTABLISHED").otherwise("NEW")
+    made = made.select(
+        *FIVE_TUPLE, "session", "packets", "bytes", "dropped", F.col("classified").alias("classified_events"), F.col("blocked").alias("blocked_events"), F.col("largest").cast("int").alias("largest"), "first_packet_no", "last_no", "first_ts", "last_ts",
+        state.alias("state"), F.coalesce("app", F.lit("Unknown")).alias("application"), F.coalesce("sni", F.lit("")).alias("sni"),
+    )
+    return with_worker(made, balancers, workers)
 
 
 def sessions(inspected: DataFrame, rules: RuleSet | None = None, idle: float = 300.0, span: int = SPAN) -> DataFrame:
@@ -60,22 +79,7 @@ def sessions(inspected: DataFrame, rules: RuleSet | None = None, idle: float = 3
     A silent flow is forgotten with its state, block and name, as a sweep of idle flows would do while packets still come. Silences are found within
     runs where the packets are, and between runs where these are put together.
     """
-    found = runs(summaries(inspected, rules, span, idle), rules, idle)
-    return tuples(found, keys=(*FIVE_TUPLE, "session"))
-
-
-def tuples(found: DataFrame, balancers: int = 2, workers: int = 2, keys: tuple[str, ...] = FIVE_TUPLE) -> DataFrame:
-    """One row for each five-tuple of ``runs``, those of other protocols than TCP and UDP too: its flow's final state and its counts."""
-    last, first = lambda what: F.max_by(what, "last_no"), lambda what: F.min_by(what, "first_packet_no")
-    total = lambda name: F.sum(name).alias(name)
-    made = found.groupBy(*keys).agg(
-        total("packets"), total("bytes"), total("dropped"), F.sum("classified").alias("classified_events"), F.sum("blocked").alias("blocked_events"), total("closes"), F.max("largest").alias("largest"), last("mode").alias("mode"), first("first_ts").alias("first_ts"), last("last_ts").alias("last_ts"),
-        F.max(F.struct("carried_no", "app", "sni")).alias("carried"), F.min("first_packet_no").alias("first_packet_no"), F.max("last_no").alias("last_no"), F.min("syn_at").alias("syn_at"), F.min("synack_at").alias("synack_at"), F.max("ack_at").alias("ack_at"),
-    )
-    shaken = F.col("ack_at") >= F.greatest("syn_at", "synack_at")
-    state = F.when(F.col("mode") == machine.BLOCKED, "BLOCKED").when(F.col("mode") == machine.CLASSIFIED, "CLASSIFIED").when(F.col("closes") > 0, "CLOSED").when(shaken, "ESTABLISHED").otherwise("NEW")
-    made = made.withColumns({"state": state, "application": F.coalesce("carried.app", F.lit("Unknown")), "sni": F.coalesce("carried.sni", F.lit(""))})
-    return with_worker(made.drop("carried", "mode", "closes", "syn_at", "synack_at", "ack_at"), balancers, workers)
+    return tuples(summaries(inspected, rules, span, idle), rules, idle=idle)
 
 
 def flow_table(found: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from netquarry.functions.classify import app_of
+from netquarry.functions.classify import app_of_name
 from netquarry.functions.codec import be
 from netquarry.operators.decode import NARROW, Frames, ddl, with_fields
 
@@ -123,6 +123,8 @@ def dns_name(p: Column, where: Column | None = None) -> Column:
     return _each(question_name)(F.when(guard, p))
 
 
+#: The applications of findings without a name.
+_APPS = {"DNS": "DNS", "port 80": "HTTP", "port 443": "HTTPS"}
 _HOST = re.compile(rb"(?is)(?=.{7})host:[ \t]*+([^\r\n]+)")
 
 
@@ -133,7 +135,7 @@ def host_name(p: bytes) -> str | None:
 
 
 def _findings(fields: dict[str, pa.Array], payloads: Frames) -> dict[str, pa.Array]:
-    """``found_by`` and ``found_sni`` of a batch: the conditions are numpy's, only payloads that may hold a name are looked into."""
+    """``found_by``, ``found_sni`` and ``found_app`` of a batch: the conditions are numpy's, only payloads that may hold a name are looked into."""
     number = lambda name: fields[name].to_numpy(zero_copy_only=False)
     source, target, size = number("src_port"), number("dst_port"), payloads.size
     has = (size > 0) & (number("has_tcp") | number("has_udp"))
@@ -152,12 +154,14 @@ def _findings(fields: dict[str, pa.Array], payloads: Frames) -> dict[str, pa.Arr
     for port in (80, 443):
         rest = has & (by == None) & (target == port)  # noqa: E711
         by[rest], name[rest] = f"port {port}", ""
-    return {"found_by": pa.array(by, pa.string()), "found_sni": pa.array(name, pa.string())}
-
-
-def _with_app(packets: DataFrame) -> DataFrame:
-    by = F.col("found_by")
-    return packets.withColumn("found_app", F.when(by.isin("TLS", "HTTP"), app_of(F.col("found_sni"))).when(by == "DNS", "DNS").when(by == "port 80", "HTTP").when(by == "port 443", "HTTPS"))
+    # an application for each kind of finding and distinct name
+    found, app, known = np.flatnonzero(by != None).tolist(), np.full(len(size), None, object), {}  # noqa: E711
+    for i in found:
+        key = by[i], name[i]
+        if key not in known:
+            known[key] = _APPS.get(key[0]) or app_of_name(key[1])
+        app[i] = known[key]
+    return {"found_by": pa.array(by, pa.string()), "found_sni": pa.array(name, pa.string()), "found_app": pa.array(app, pa.string())}
 
 
 def inspected(raw: DataFrame) -> DataFrame:
@@ -173,4 +177,4 @@ def inspected(raw: DataFrame) -> DataFrame:
         return fields | _findings(fields, payloads)
 
     keep = tuple(c for c in raw.columns if c in ("packet_no", "ts_sec", "ts_usec"))
-    return _with_app(with_fields(raw, f"{ddl(NARROW)}, found_by string, found_sni string", made, keep))
+    return with_fields(raw, f"{ddl(NARROW)}, found_by string, found_sni string, found_app string", made, keep)

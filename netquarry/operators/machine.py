@@ -202,6 +202,49 @@ def resolved(begin: int, idle: float | None = None):
     return run
 
 
+_SUMS, _LEAST, _MOST = ("packets", "bytes", "dropped", "classified", "blocked", "closes"), ("first_packet_no", "syn_at", "synack_at"), ("largest", "ack_at")
+_LAST, _NAMES = ("last_no", "last_ts", "mode"), ("app", "sni")
+TOTAL = f"{TUPLE}, session bigint, packets bigint, bytes bigint, dropped bigint, classified bigint, blocked bigint, closes bigint, first_packet_no bigint, syn_at bigint, synack_at bigint, largest bigint, ack_at bigint, last_no bigint, last_ts double, mode int, first_ts double, app string, sni string"
+_TOTAL = pa.schema([(name, {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64()}[kind]) for name, kind in (c.split() for c in TOTAL.split(", "))])
+
+
+def totals(begin: int, idle: float | None = None):
+    """A row for each flow, or session of one: what its runs add up to. As these follow each other, one unfinished row is all that is kept between batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_row: pa.RecordBatch | None = None
+        for batch in resolved(begin, idle)(batches):
+            rows = _added_up(batch)
+            if open_row is not None:
+                same = all(open_row.column(c)[0] == rows.column(c)[0] for c in (*FIVE_TUPLE, "session"))
+                if same:
+                    head = _added_up(pa.Table.from_batches([open_row, rows.slice(0, 1)]).combine_chunks().to_batches()[0])
+                    rows = pa.Table.from_batches([head, rows.slice(1)]).combine_chunks().to_batches()[0]
+                else:
+                    yield open_row
+            if rows.num_rows > 1:
+                yield rows.slice(0, rows.num_rows - 1)
+            open_row = rows.slice(rows.num_rows - 1)
+        if open_row is not None:
+            yield open_row
+
+    return run
+
+
+def _added_up(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Runs, or sums of runs, added up by flow and session."""
+    starts = np.flatnonzero(_changes([batch.column(c) for c in (*FIVE_TUPLE, "session")]))
+    ends = np.r_[starts[1:], batch.num_rows] - 1
+    first, last = pa.array(starts), pa.array(ends)
+    made = {c: batch.column(c).take(first) for c in (*FIVE_TUPLE, "session", "first_ts")} | {c: batch.column(c).take(last) for c in _LAST}
+    for names, add in ((_SUMS, np.add), (_LEAST, np.minimum), (_MOST, np.maximum)):
+        made |= {c: pa.array(add.reduceat(_numpy(batch, c), starts), pa.int64()) for c in names}
+    for c in _NAMES:
+        entry = f"entry_{c}"
+        made[c] = (pc.coalesce(batch.column(c), batch.column(entry)) if entry in batch.schema.names else batch.column(c)).take(last)
+    return pa.record_batch([made[f.name].cast(f.type) for f in _TOTAL], schema=_TOTAL)
+
+
 def _key(batch: pa.RecordBatch, row: int) -> tuple:
     return tuple(batch.column(c)[row].as_py() for c in FIVE_TUPLE)
 

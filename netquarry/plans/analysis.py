@@ -79,7 +79,7 @@ class Analysis:
     @cached_property
     def tuples(self) -> DataFrame:
         """A row for each five-tuple of the report's packets: what all tables of flows and addresses are made of."""
-        return flow_ops.tuples(flow_ops.runs(self.summaries, self.rules), self.balancers, self.workers)
+        return flow_ops.tuples(self.summaries, self.rules, self.balancers, self.workers)
 
     @cached_property
     def summaries(self) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from netquarry.operators.flows import alive, flow_table, newest, run_flows, runs, sessions, summaries, tuples
+from netquarry.operators.flows import alive, flow_table, newest, run_flows, sessions, summaries, tuples
 from netquarry.operators.rules import RuleSet
 from netquarry.operators.views import rows_of_map
 
@@ -54,7 +54,7 @@ def test_random_flows(spark):
         actions: dict = {}
         for r in run.orderBy("packet_no").collect():
             actions.setdefault(r.src_port, []).append(r.action)
-        ends = {r.src_port: (r.state, r.application, r.sni) for r in flow_table(tuples(runs(summaries(df, rules, span), rules))).collect()}
+        ends = {r.src_port: (r.state, r.application, r.sni) for r in flow_table(tuples(summaries(df, rules, span), rules)).collect()}
         for i, flow in enumerate(flows):
             assert (actions[i], ends[i]) == plain(flow, apps, domains), (i, flow)
 
@@ -73,7 +73,7 @@ def test_one_flow_over_eight_ranges_and_small_batches(spark):
         try:
             found = summaries(df, rules, 500).cache()
             assert found.agg(F.max("packets")).first()[0] <= 500 and found.where("first_packet_no div 500 <> last_no div 500").isEmpty()
-            flow = tuples(runs(found, rules)).first()
+            flow = tuples(found, rules).first()
             assert [r.action for r in run_flows(df, rules, 500).orderBy("packet_no").collect()] == actions
         finally:
             spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
@@ -113,8 +113,8 @@ def test_stored_summaries_are_those_of_the_whole(spark, tmp_path):
     rules, df = RuleSet.of(domains=("bad",)), spark.createDataFrame(rows, COLUMNS)
     for low, high in ((600, 900), (0, 250), (250, 600)):
         summaries(df.where(f"packet_no >= {low} AND packet_no < {high}"), rules).write.mode("append").parquet(str(tmp_path / "sums"))
-    together = tuples(runs(spark.read.parquet(str(tmp_path / "sums")), rules))
-    assert sorted(together.collect(), key=str) == sorted(tuples(runs(summaries(df, rules), rules)).select(together.columns).collect(), key=str)
+    together = tuples(spark.read.parquet(str(tmp_path / "sums")), rules)
+    assert sorted(together.collect(), key=str) == sorted(tuples(summaries(df, rules), rules).select(together.columns).collect(), key=str)
 
 
 def test_capacity_and_idle_flows(spark):

@@ -199,7 +199,11 @@ def test_export_by_format_and_hook(spark, packets, tmp_path):
     a.each_batch(lambda df, action: seen.update({action: df.count()}))
     assert seen == {"FORWARD": 69, "DROP": 8}
     text = exports.console(a)
-    assert all(x in text for x in ("classified", "unidentified", "connections seen", "worker 3", "dropped"))
+    lines = text.split("\n")
+    listed = {"packets": "77", "bytes": "5738", "TCP": "73", "UDP": "4", "forwarded": "69", "dropped": "8 (10.39%)", "blocked_ips": "1", "blocked_apps": "2", "blocked_domains": "1", "blocked_ports": "0", "flows": "43", "classified": "22 (51.2%)", "unidentified": "21 (48.8%)", "active connections": "43", "connections seen": "43", "blocked": "8"}
+    assert [f"{k:<24}{v}" for k, v in listed.items() if f"{k:<24}{v}" not in lines] == []
+    assert {"Engine", "Applications", "Connections", f"{'Unknown':<20}{21:>8} {48.8:5.1f}% {'#' * 9:<20}", f"{'www.youtube.com':<40}{1:>8}"} <= set(lines)
+    assert [x for x in lines if x.startswith("worker 1 ")] == [f"{'worker 1':<24}0 packets, 0 forwarded, 0 dropped, 0 flows"]
     a.unpersist()
 
 
