@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,8 @@ from netquarry.llm.components import components, forest
 
 #: Buckets up to this size are compared pair by pair in numpy, larger ones by searching outwards from one member.
 PAIRWISE = 256
+#: Random members that a bucket may hold; beyond that wider segments are taken.
+FEW = 64
 #: Pairs held in memory at once.
 PAIRS_AT_ONCE = 2_000_000
 #: Shingles hashed at once, so that a very long text needs no more memory.
@@ -174,6 +177,16 @@ def _bucket_links(radius: int):
     return lambda batches: forest(found(batches))
 
 
+def segments_for(count: int, radius: int) -> int:
+    """The most segments (the fewest probes) with which a bucket still holds few of ``count`` random fingerprints."""
+    for segments in range(radius - 1, 1, -1):
+        width = 64 // segments
+        probes = 1 + sum(comb(width + 1, bits) for bits in range(1, radius // segments + 1))
+        if count * probes <= FEW << width:
+            return segments
+    return 2
+
+
 def near_links(fps: DataFrame, radius: int = 4, segments: int = 3) -> DataFrame:
     """Links ``u, v`` that connect the distinct fingerprints ``fps(fp long)`` as all pairs within ``radius`` bits do.
 
@@ -185,17 +198,18 @@ def near_links(fps: DataFrame, radius: int = 4, segments: int = 3) -> DataFrame:
     return rows.repartition("bucket").sortWithinPartitions("bucket", "probe").mapInArrow(_bucket_links(radius), "u long, v long")
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42, radius: int = 4, segments: int = 3) -> DataFrame:
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42, radius: int = 4, segments: int | None = None) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of each row.
 
-    Fingerprints within ``radius`` bits link; a component's id is the smallest doc_id in it. Texts
+    Fingerprints within ``radius`` bits link; a component's id is the smallest doc_id in it. The number of segments follows
+    the counted fingerprints unless it is given (three to some millions, then two, of 32 bits); any number finds all links. Texts
     are whole and lower-cased in A-Z. Null texts and texts without words have fingerprint zero and
     link as any other. Equal fingerprints are compared once, so copies cost no pairs, and are never gathered in one task. Rows with a null id take part; a component of null ids only has a
     null id. Repeated rows give repeated results, an empty table an empty one. Extra columns are ignored.
     """
     rows = cut(fingerprints(docs, id_col, text_col, shingle, seed))
     fps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
-    labels = components(near_links(fps, radius, segments)).withColumnRenamed("node", "fp")
+    labels = components(near_links(fps, radius, segments or segments_for(fps.count(), radius))).withColumnRenamed("node", "fp")
     labelled = fps.join(labels, "fp", "left").select("fp", "least", F.col("n").alias("copies"), F.coalesce("label", "fp").alias("root"))
     smallest = cut(labelled.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")))
     of_fp = cut(hot_join(labelled.select("root", "fp", "copies"), smallest, "root").select("fp", "component_id", F.col("copies").alias("n")))

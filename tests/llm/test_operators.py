@@ -378,6 +378,13 @@ def test_simhash(spark, odd, none):
     assert simhash.simhash_components(none).count() == 0
 
 
+def test_segments_follow_the_count(spark, odd, monkeypatch):
+    assert [simhash.segments_for(n, 4) for n in (0, 10**5, 5 * 10**6, 10**7, 10**12)] == [3, 3, 3, 2, 2]
+    want = sorted(map(tuple, simhash.simhash_components(odd).collect()), key=str)
+    monkeypatch.setattr(simhash, "FEW", 0)
+    assert sorted(map(tuple, simhash.simhash_components(odd).collect()), key=str) == want
+
+
 @pytest.mark.parametrize(("heavy", "broadcast"), [(10**9, 0), (1, 0), (5, 200_000)])
 def test_hot_keys_are_dealt_out(spark, odd, monkeypatch, heavy, broadcast):
     """All keys heavy, none, or some; nodes salted or broadcast: the results are the same."""
