@@ -21,6 +21,38 @@ MOST_BITS = 1 << 29
 SECOND_PART, MOST_PART = 1 << 16, 1 << 27
 
 
+#: Shared keys (24 bytes each) that are broadcast to the tasks that read the texts; beyond that documents are shuffled to meet the keys that they lose.
+MOST_SHARED = 1_000_000
+
+
+class Shared(NamedTuple):
+    """Keys to lose and the document that keeps each, sorted by the keys' halves."""
+
+    high: np.ndarray
+    low: np.ndarray
+    keeper: np.ndarray
+    longest: int
+
+    @classmethod
+    def of(cls, keys: np.ndarray, keeper: np.ndarray) -> Shared:
+        halves = keys.view(np.uint64).reshape(-1, 2)
+        order = np.lexsort((halves[:, 1], halves[:, 0]))
+        high = halves[order, 0]
+        runs = np.diff(np.r_[np.flatnonzero(np.r_[True, high[1:] != high[:-1]]), len(high)]) if len(high) else np.zeros(1, np.int64)
+        return cls(high, halves[order, 1], keeper[order], int(runs.max()))
+
+    def keepers(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys are shared, and the document that keeps each of these."""
+        halves = keys.view(np.uint64).reshape(-1, 2)
+        found, keeper = np.zeros(len(halves), bool), np.zeros(len(halves), np.int64)
+        first = np.searchsorted(self.high, halves[:, 0])
+        for step in range(self.longest):
+            at = np.minimum(first + step, max(len(self.high) - 1, 0))
+            same = (self.high[at] == halves[:, 0]) & (self.low[at] == halves[:, 1])
+            found[same], keeper[same] = True, self.keeper[at[same]]
+        return found, keeper
+
+
 class Layout(NamedTuple):
     """Bits of a part of the first filter, and the numbers of parts: the first's parts p, p + seconds, ... fold to the second's part p."""
 
@@ -149,6 +181,31 @@ def _keep(least: int):
     return run
 
 
+def _keep_where_read(shared, least: int):
+    """As ``_keep``, with all shared keys at hand, so that no text leaves its task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest, known = xxhash.xxh3_128_digest, shared.value
+        for batch in batches:
+            for part in slices(batch, 1, 16 << 20):
+                texts = [(t.as_py() or b"").split(b"\n") for t in part.column(1)]
+                keyed = [(row, i, digest(k)) for row, lines in enumerate(texts) for i, x in enumerate(lines) if (k := line_key(x, least)) is not None]
+                total, dropped = [len(lines) for lines in texts], np.zeros(len(texts), np.int64)
+                if keyed and len(known.high):
+                    row, at = (np.fromiter((k[j] for k in keyed), np.int64, len(keyed)) for j in (0, 1))
+                    found, keeper = known.keepers(np.frombuffer(b"".join(k[2] for k in keyed), "V16"))
+                    own = part.column(0).fill_null(0).to_numpy()[row]
+                    is_own = (keeper == own) & part.column(0).is_valid().to_numpy(zero_copy_only=False)[row]
+                    gone = found & ~is_own
+                    for r, i in zip(row[gone].tolist(), at[gone].tolist(), strict=True):
+                        texts[r][i] = None
+                    dropped = np.bincount(row[gone], minlength=len(texts))
+                kept = [b"\n".join(x for x in lines if x is not None) for lines in texts]
+                yield pa.record_batch({"doc_id": part.column(0), "kept": pa.array(kept, pa.binary()), "n_lines": pa.array(total, pa.int64()), "n_dropped": pa.array(dropped, pa.int64())})
+
+    return run
+
+
 def drop_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 20, least_docs: int = 3, bits: int | None = None) -> DataFrame:
     """``doc_id, kept_text, n_lines, n_dropped`` of each row.
 
@@ -156,6 +213,7 @@ def drop_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     documents hold go, but for those in the largest doc_id that holds the key. The first filter has
     the keys seen once, the second those seen again; only lines that the second suspects are shuffled,
     by a 128-bit digest of the key, and counted exactly by distinct doc_id. A line of very many documents isn't gathered in one task.
+    Up to ``MOST_SHARED`` shared keys are broadcast, and lines go where the texts are read; with more, texts are shuffled once to meet theirs.
     ``bits`` is the first filter's size, a power of two of at least ``SECOND_PART``; by default it follows the text's.
 
     A null or empty text is one empty line. Rows that share a doc_id are one document when counted.
@@ -177,6 +235,11 @@ def drop_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         twice[second * (SECOND_PART // 8) : (second + 1) * (SECOND_PART // 8)] = np.frombuffer(words, np.uint8)
     suspects = cut(docs.mapInArrow(_suspects(spark.sparkContext.broadcast(twice), layout, least_chars), "doc_id long, key binary").distinct())
     shared = cut(suspects.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= least_docs))
+    out, readable = "doc_id long, kept binary, n_lines long, n_dropped long", lambda kept: kept.select("doc_id", F.col("kept").cast("string").alias("kept_text"), "n_lines", "n_dropped")
+    if shared.limit(MOST_SHARED + 1).count() <= MOST_SHARED:
+        found = [(r.key, r.keeper) for r in shared.where(F.col("keeper").isNotNull()).select("key", "keeper").toLocalIterator()]
+        known = Shared.of(np.frombuffer(b"".join(k for k, _ in found), "V16"), np.array([keeper for _, keeper in found], np.int64))
+        return readable(docs.mapInArrow(_keep_where_read(spark.sparkContext.broadcast(known), least_chars), out))
     drops = hot_join(suspects, shared, "key").where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).groupBy(F.col("doc_id").alias("of")).agg(F.collect_list("key").alias("keys"))
     rows = docs.join(drops, F.col("doc_id").eqNullSafe(F.col("of")), "left").select("doc_id", "text", "keys")
-    return rows.mapInArrow(_keep(least_chars), "doc_id long, kept binary, n_lines long, n_dropped long").select("doc_id", F.col("kept").cast("string").alias("kept_text"), "n_lines", "n_dropped")
+    return readable(rows.mapInArrow(_keep(least_chars), out))

@@ -213,13 +213,24 @@ def test_line_dedup(spark, odd, none, monkeypatch, bits, most_bits, most_part):
     lines = ["a common line of enough length", "  A COMMON line of enough length\t", "é" * 20, "é" * 19, "short", "another line that is repeated", "", "x" * 25 + "\r"]
     rows = [(i, "\n".join(rng.choices(lines, k=rng.randint(0, 6)))) for i in range(60)] + [(None, lines[0]), (7, lines[5]), (7, None), (99, "only one of its kind, this line")]
     df = make(spark, [(i, t, None, None) for i, t in rows])
-    got = sorted(map(tuple, line_dedup.drop_shared_lines(df, bits=bits).collect()), key=str)
-    assert got == brute_lines(rows)
+    for shared in (1_000_000, 0):  # lines go where texts are read, or texts are shuffled
+        monkeypatch.setattr(line_dedup, "MOST_SHARED", shared)
+        got = sorted(map(tuple, line_dedup.drop_shared_lines(df, bits=bits).collect()), key=str)
+        assert got == brute_lines(rows)
     assert line_dedup.drop_shared_lines(none, bits=bits).count() == 0
     if bits is None:
         assert {r.doc_id: r.n_dropped for r in line_dedup.drop_shared_lines(odd).collect()}[6] == 0
 
 
+def test_shared_keys_are_told_by_all_their_bytes():
+    keys = np.array([[5, 1], [5, 9], [5, 4], [0, 0], [7, 7]], np.uint64)
+    as_keys = lambda x: np.frombuffer(x.tobytes(), "V16")
+    known = line_dedup.Shared.of(as_keys(keys), np.arange(10, 15))
+    found, keeper = known.keepers(as_keys(np.array([[5, 4], [5, 5], [7, 7], [0, 0], [9, 9], [5, 1], [5, 9]], np.uint64)))
+    assert found.tolist() == [True, False, True, True, False, True, True] and keeper[found].tolist() == [12, 14, 13, 10, 11]
+    assert line_dedup.Shared.of(as_keys(keys[:0]), np.zeros(0, np.int64)).longest == 0
+
+
 @pytest.mark.parametrize(("bits", "most_bits", "most_part"), [(1 << 20, 1 << 29, 1 << 27), (1 << 20, 1 << 17, 1 << 27), (1 << 20, 1 << 17, 1 << 18)])
 def test_line_filters(monkeypatch, bits, most_bits, most_part):
     """Every key of two slices, or seen twice in one, is suspected; of the others few are."""
