@@ -79,7 +79,7 @@ def train(features: DataFrame, labels: DataFrame, label_col: str = "quality", id
     """Fits on all labelled rows of ``features(doc_id, features)``. Only the sums of each class reach the driver.
 
     A repeated label counts as often as it stands, for each row of its document; conflicting labels count in both classes. Null labels
-    and labels of unknown documents are left out. Without a row of both classes the model scores 0.5 everywhere.
+    and labels of unknown documents are left out. Without a labelled row the model scores 0.5 everywhere, with one class only 0 or 1.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

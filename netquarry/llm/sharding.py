@@ -145,9 +145,8 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
 
     A row's size is its text's UTF-8 bytes (none for null) plus ``overhead``. Groups of equal texts
     (by a 64-bit hash; null is a text of its own) stay together. Slots run from 0 in each shard.
-    Repeated rows share a group and differ in slot; crc32 of null is 0. A very long text counts whole: a group above an equal share
-    has a shard of its own. Groups of one hash order are told apart by it alone, and rows of a group by id. An empty table gives an
-    empty result. Extra columns are ignored.
+    Repeated rows share a group and differ in slot; crc32 of null is 0. A very long text counts whole; a group above an equal share
+    has a shard of its own. An empty table gives an empty result. Extra columns are ignored.
     """
     text = F.col(text_col)
     rows = docs.select(
