@@ -253,6 +253,7 @@ def oracle_sql() -> dict[str, str]:
         "streamed_traffic": BASE + " SELECT ts_sec::BIGINT AS second, count(*) AS packets, sum(frame_length)::BIGINT AS bytes FROM report GROUP BY 1",
         "pcap_roundtrip": BASE + " SELECT frame_length AS incl_len, count(*) AS packets, sum(frame_length)::BIGINT AS bytes, sum(ts_sec)::BIGINT AS seconds, sum(ts_usec)::BIGINT AS micros, true AS same FROM packets GROUP BY 1",
         "filtered_capture": run + " SELECT count(*) AS packets, sum(frame_length)::BIGINT AS bytes, sum(ts_sec)::BIGINT AS seconds, true AS same FROM run WHERE action = 'FORWARD'",
+        "first_packets": BASE + " SELECT row_number() OVER (ORDER BY packet_no) - 1 AS packet_no, ts_sec, ts_usec, frame_length AS incl_len FROM packets ORDER BY 1 LIMIT 100",
         "capture_set": run + " SELECT count(*) AS total_packets, count(*) FILTER (action = 'FORWARD') AS forwarded_packets, count(*) FILTER (action = 'DROP') AS dropped_packets, count(*) FILTER (action = 'FORWARD') AS written_packets, sum(frame_length) FILTER (action = 'FORWARD')::BIGINT AS written_bytes, true AS same FROM run",
         "summary_shown": run + " SELECT round(100.0::DOUBLE * count(*) FILTER (action = 'FORWARD') / count(*), 1) AS forward_rate, round(100.0::DOUBLE * count(*) FILTER (action = 'DROP') / count(*), 2) AS drop_rate, (SELECT round(arg_max(ts, packet_no) - arg_min(ts, packet_no), 2) FROM acted) AS duration FROM run",
     }

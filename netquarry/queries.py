@@ -487,6 +487,16 @@ def capture_set(spark, sf_dir):
     return totals.crossJoin(back).crossJoin(passed).select(*totals.columns, "written_packets", "written_bytes", (F.col("digest") == F.col("passed")).alias("same"))
 
 
+@query
+def first_packets(spark, sf_dir):
+    """The first 100 packets of a set of captures, read from the pieces that hold them."""
+    pcap.register(spark)
+    path = scratch(spark, "captures")
+    packets(spark, sf_dir).repartitionByRange("packet_no").sortWithinPartitions("packet_no").write.format("pcap").option("filebytes", 1 << 18).mode("overwrite").save(path)
+    pieces = pcap.capture_pieces(spark, f"{path}/*.pcap", piece_bytes=1 << 17)
+    return pcap.packets_between(pieces, 0, 100).select("packet_no", "ts_sec", "ts_usec", "incl_len")
+
+
 #: Seconds by which streamed packets may be out of order.
 LATE = 7 * 86_400
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import itertools
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,7 +13,8 @@ import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
 from netquarry.operators.decode import Frames
 from netquarry.sources.files import cut, located, running_totals
@@ -265,6 +266,36 @@ def _tasks(spark: SparkSession, pieces: int, size: int | None) -> int:
     return max(1, min(pieces, max(spark.sparkContext.defaultParallelism, -(-(size or 0) // PIECE_BYTES))))
 
 
+def packets_between(pieces: DataFrame, first: int, end: int) -> DataFrame:
+    """The packets numbered from ``first`` up to ``end``: only pieces that hold some of them are opened, as the table of pieces tells their numbers."""
+    some = pieces.where((F.col("number") < end) & (F.col("number") + F.col("n") > first))
+    return read_pieces(dealt(some)).where((F.col("packet_no") >= first) & (F.col("packet_no") < end))
+
+
+def _times(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in parts:
+        least, most = [], []
+        for row in batch.to_pylist():
+            stream, header = _start(row["source_file"])
+            with stream:
+                raw, at = record_starts(stream.read_at(row["leaves"] + MOST_BYTES + RECORD_HEADER - row["entry"], row["entry"]), header, row["n"])[::-1]
+            seconds = raw[at[:, None] + np.arange(4)].view(f"{header.order}u4").astype(np.uint32).view(np.int32)
+            least.append(int(seconds.min()))
+            most.append(int(seconds.max()))
+        yield pa.record_batch([*batch.columns, pa.array(least, pa.int32()), pa.array(most, pa.int32())], names=[*batch.schema.names, "least_sec", "most_sec"])
+
+
+def with_times(pieces: DataFrame) -> DataFrame:
+    """Pieces with the least and the greatest second of their packets, which need not be in order; kept once made, so that ranges of time can be looked for again and again."""
+    return cut(dealt(pieces).mapInArrow(_times, T.StructType([*pieces.schema.fields, T.StructField("least_sec", T.IntegerType()), T.StructField("most_sec", T.IntegerType())])))
+
+
+def packets_during(timed: DataFrame, first_sec: int, end_sec: int) -> DataFrame:
+    """The packets of the seconds from ``first_sec`` up to ``end_sec``: only pieces of ``with_times`` that may hold some are opened."""
+    some = timed.where((F.col("least_sec") < end_sec) & (F.col("most_sec") >= first_sec)).drop("least_sec", "most_sec")
+    return read_pieces(dealt(some)).where((F.col("ts_sec") >= first_sec) & (F.col("ts_sec") < end_sec))
+
+
 # -- the data source
 
 
@@ -276,7 +307,7 @@ class _Reader(DataSourceReader):
     """One partition a file; ``read_pcap`` reads large files in pieces."""
 
     def __init__(self, path: str):
-        self.path = path
+        self.path, self.low, self.high = path, 0, 1 << 62
 
     def partitions(self) -> list[InputPartition]:
         fs, path = located(self.path)
@@ -284,7 +315,7 @@ class _Reader(DataSourceReader):
         found = [f.path for f in fs.get_file_info(pyarrow.fs.FileSelector(path)) if f.path.endswith(".pcap")] if info.type == pyarrow.fs.FileType.Directory else [path] if info.is_file else []
         if not found:
             raise FileNotFoundError(self.path)
-        return [_File((i, f)) for i, f in enumerate(sorted(found))]
+        return [_File((i, f)) for i, f in enumerate(sorted(found)) if i * FILE_STEP <= self.high and (i + 1) * FILE_STEP > self.low]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         rank, path = partition.value
@@ -294,6 +325,19 @@ class _Reader(DataSourceReader):
             yield from batches(records(stream, header), path, rank * FILE_STEP)
 
 
+class _PushingReader(_Reader):
+    """Conditions on ``packet_no`` leave out the files whose numbers they exclude. Spark refuses it unless ``spark.sql.python.filterPushdown.enabled`` is set."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        for f in filters:
+            if getattr(f, "attribute", None) == ("packet_no",) and isinstance(getattr(f, "value", None), int):
+                if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)):
+                    self.low = max(self.low, f.value)
+                if isinstance(f, (EqualTo, LessThan, LessThanOrEqual)):
+                    self.high = min(self.high, f.value)
+            yield f  # Spark still looks at each row
+
+
 @dataclass
 class _Written(WriterCommitMessage):
     paths: list[str]
@@ -367,7 +411,7 @@ class PcapDataSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"])
+        return (_PushingReader if self.options.get("pushdown", "false").lower() == "true" else _Reader)(self.options["path"])
 
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
         return _Writer(dict(self.options), overwrite)

@@ -187,6 +187,29 @@ def test_a_file_of_a_thousand_pieces(spark, tmp_path):
     assert [r.packet_no for r in a.forwarded().orderBy("packet_no").collect()] == [i for i in range(1100) if i % 3]
 
 
+def test_ranges_open_few_pieces(spark, tmp_path):
+    """Ranges of numbers and of time read the pieces that hold them; conditions on numbers leave out whole files."""
+    frame = ipv4(ME, "1.2.3.4", 6, tcp(5, 443, 16))
+    for i in range(4):
+        (tmp_path / f"{i}.pcap").write_bytes(capture_bytes("<>"[i % 2], [frame] * 100))
+    pieces = pcap.capture_pieces(spark, str(tmp_path / "*.pcap"), piece_bytes=2000)
+    assert pieces.count() == 4 * 4 and pieces.where("number < 105 AND number + n > 101").count() == 1
+    assert [r.packet_no for r in pcap.packets_between(pieces, 101, 105).orderBy("packet_no").collect()] == [101, 102, 103, 104]
+    timed = pcap.with_times(pieces)
+    assert sorted(r.packet_no for r in pcap.packets_during(timed, 40, 42).collect()) == [40, 41, 140, 141, 240, 241, 340, 341]
+    assert {(r.least_sec, r.most_sec) for r in timed.where("number >= 300").collect()} == {(r.number - 300, r.number + r.n - 301) for r in pieces.where("number >= 300").collect()}
+    pcap.register(spark)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        for pushed, files in (("false", 4), ("true", 2)):
+            load = lambda: spark.read.format("pcap").option("pushdown", pushed).load(str(tmp_path))  # noqa: B023, E731
+            some = load().where(f"packet_no >= {2 * pcap.FILE_STEP + 98} AND packet_no < {3 * pcap.FILE_STEP + 2}")
+            assert some.count() == 4 and some.rdd.getNumPartitions() == files
+            assert load().where(f"packet_no = {pcap.FILE_STEP}").count() == 1 and load().count() == 400
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
 def test_export_by_format_and_hook(spark, packets, tmp_path):
     a = Analysis(packets, RULES).persist()
     for fmt in ("json", "csv", "html"):
