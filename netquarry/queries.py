@@ -42,6 +42,13 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames(events(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism))
 
 
+def write_packets(spark: SparkSession, sf_dir: str, path: str, **options) -> None:
+    """The packets as captures. Events are put in order before frames are made from them, so no frame is shuffled."""
+    pcap.register(spark)
+    ordered = events(spark, sf_dir).repartitionByRange(spark.sparkContext.defaultParallelism, "event_id").sortWithinPartitions("event_id")
+    frames(ordered).write.format("pcap").options(**options).mode("overwrite").save(path)
+
+
 def analysis(spark: SparkSession, sf_dir: str, with_rules: bool = True) -> Analysis:
     return Analysis(packets(spark, sf_dir), rules() if with_rules else RuleSet())
 
@@ -456,9 +463,8 @@ def record_headers(spark, sf_dir):
 @query
 def pcap_roundtrip(spark, sf_dir):
     """Frames written as captures and read again by the data source; ``same`` says whether all bytes and times came back."""
-    pcap.register(spark)
     path, sent = scratch(spark, "captures"), packets(spark, sf_dir)
-    sent.repartitionByRange("packet_no").sortWithinPartitions("packet_no").write.format("pcap").mode("overwrite").save(path)
+    write_packets(spark, sf_dir, path)
     back = spark.read.format("pcap").load(path).groupBy("incl_len").agg(*_digest(), F.sum("ts_sec").alias("seconds"), F.sum("ts_usec").alias("micros"))
     sent = sent.groupBy("incl_len").agg(*_digest()).select("incl_len", F.col("digest").alias("sent"))
     return back.join(sent, "incl_len", "left").select("incl_len", "packets", "bytes", "seconds", "micros", F.coalesce(F.col("digest") == F.col("sent"), F.lit(False)).alias("same"))
@@ -466,19 +472,21 @@ def pcap_roundtrip(spark, sf_dir):
 
 @query
 def filtered_capture(spark, sf_dir):
-    """What passes the rules, read back from the captures it was written to; ``same`` says whether they hold just those bytes."""
-    path, a = scratch(spark, "captures"), analysis(spark, sf_dir)
-    a.write_capture(path, byteorder="big")
-    back = pcap.read_pcap(spark, f"{path}/*.pcap").agg(*_digest(), F.sum("ts_sec").alias("seconds"))
-    return back.crossJoin(a.forwarded().agg(*_digest()).select(F.col("digest").alias("passed"))).select("packets", "bytes", "seconds", (F.col("digest") == F.col("passed")).alias("same"))
+    """What passes the rules of a capture, read back from the captures it was written to; ``same`` says whether they hold just the bytes that passed."""
+    path = scratch(spark, "captures")
+    write_packets(spark, sf_dir, f"{path}/in")
+    a = analyze(spark, f"{path}/in/*.pcap", rules())
+    a.write_capture(f"{path}/out", byteorder="big")
+    back = pcap.read_pcap(spark, f"{path}/out/*.pcap").agg(*_digest(), F.sum("ts_sec").alias("seconds"))
+    passed = analysis(spark, sf_dir).forwarded().agg(*_digest()).select(F.col("digest").alias("passed"))
+    return back.crossJoin(passed).select("packets", "bytes", "seconds", (F.col("digest") == F.col("passed")).alias("same"))
 
 
 @query
 def capture_set(spark, sf_dir):
     """Many captures taken as one: written, read in pieces, analysed, filtered, and read back."""
-    pcap.register(spark)
-    path, sent = scratch(spark, "captures"), packets(spark, sf_dir)
-    sent.repartitionByRange("packet_no").sortWithinPartitions("packet_no").write.format("pcap").option("filebytes", 1 << 18).mode("overwrite").save(f"{path}/in")
+    path = scratch(spark, "captures")
+    write_packets(spark, sf_dir, f"{path}/in", filebytes=1 << 18)
     a = analyze(spark, f"{path}/in/*.pcap", rules(), piece_bytes=1 << 17)
     a.write_capture(f"{path}/out")
     totals = report.engine_totals(a.tuples).select("total_packets", "forwarded_packets", "dropped_packets")
@@ -490,9 +498,8 @@ def capture_set(spark, sf_dir):
 @query
 def first_packets(spark, sf_dir):
     """The first 100 packets of a set of captures, read from the pieces that hold them."""
-    pcap.register(spark)
     path = scratch(spark, "captures")
-    packets(spark, sf_dir).repartitionByRange("packet_no").sortWithinPartitions("packet_no").write.format("pcap").option("filebytes", 1 << 18).mode("overwrite").save(path)
+    write_packets(spark, sf_dir, path, filebytes=1 << 18)
     pieces = pcap.capture_pieces(spark, f"{path}/*.pcap", piece_bytes=1 << 17)
     return pcap.packets_between(pieces, 0, 100).select("packet_no", "ts_sec", "ts_usec", "incl_len")
 
