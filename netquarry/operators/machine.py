@@ -55,12 +55,16 @@ def composed(functions: np.ndarray, age: np.ndarray) -> np.ndarray:
     return out
 
 
-def _changes(columns: list[pa.Array]) -> np.ndarray:
-    """True at each row that differs from the one before it, and at the first."""
+def changes(columns: list[pa.Array]) -> np.ndarray:
+    """True at each row that differs from the one before it, and at the first. Nulls are equal."""
     new = np.zeros(len(columns[0]), bool)
     new[:1] = True
     for c in columns:
-        new[1:] |= pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False)
+        a, b = c.slice(1), c.slice(0, len(c) - 1)
+        differ = pc.not_equal(a, b)
+        if c.null_count:
+            differ = pc.or_(differ.fill_null(False), pc.xor(a.is_null(), b.is_null()))
+        new[1:] |= differ.to_numpy(zero_copy_only=False)
     return new
 
 
@@ -68,7 +72,7 @@ def _numpy(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(name).to_numpy(zero_copy_only=False)
 
 
-def _since(new: np.ndarray) -> np.ndarray:
+def begun(new: np.ndarray) -> np.ndarray:
     """The first row of each row's group."""
     return np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
 
@@ -100,10 +104,10 @@ def summed_up(idle: float | None = None):
 
 def _summed_up(batch: pa.RecordBatch, idle: float | None) -> pa.RecordBatch:
     n, at = batch.num_rows, np.arange(batch.num_rows)
-    new = _changes([batch.column(c) for c in (*FIVE_TUPLE, "chunk")])
+    new = changes([batch.column(c) for c in (*FIVE_TUPLE, "chunk")])
     if idle is not None:
         new[1:] |= np.diff(_numpy(batch, "ts")) > idle
-    starts, since = np.flatnonzero(new), _since(new)
+    starts, since = np.flatnonzero(new), begun(new)
     ends = np.r_[starts[1:], n] - 1
     flags, number, size = _numpy(batch, "flags"), _numpy(batch, "packet_no"), _numpy(batch, "frame_length")
     found, hit, address = batch.column("found_app").is_valid().to_numpy(zero_copy_only=False), _numpy(batch, "found_hit"), _numpy(batch, "address_hit")
@@ -151,13 +155,13 @@ def resolved(begin: int, idle: float | None = None):
             if not batch.num_rows:
                 continue
             n, at = batch.num_rows, np.arange(batch.num_rows)
-            new, machine = _changes([batch.column(c) for c in FIVE_TUPLE]), np.frombuffer(b"".join(batch.column("machine").to_pylist()), _MACHINE)
+            new, machine = changes([batch.column(c) for c in FIVE_TUPLE]), np.frombuffer(b"".join(batch.column("machine").to_pylist()), _MACHINE)
             goes_on = kept is not None and kept[0] == _key(batch, 0)
             if idle is not None:
                 first_ts, last_ts = _numpy(batch, "first_ts"), _numpy(batch, "last_ts")
                 new[1:] |= first_ts[1:] - last_ts[:-1] > idle
                 goes_on = goes_on and first_ts[0] - kept[4] <= idle
-            since = _since(new)
+            since = begun(new)
             fin = _numpy(batch, "fin")
             states = np.stack([image(machine["functions"][:, s >> 2], s & 3) + 4 * (fin | (s > 3)) for s in range(STATES)], axis=1).astype(np.uint8)
             after, age, step = states, at - since, 1
@@ -205,7 +209,16 @@ def resolved(begin: int, idle: float | None = None):
 _SUMS, _LEAST, _MOST = ("packets", "bytes", "dropped", "classified", "blocked", "closes"), ("first_packet_no", "syn_at", "synack_at"), ("largest", "ack_at")
 _LAST, _NAMES = ("last_no", "last_ts", "mode"), ("app", "sni")
 TOTAL = f"{TUPLE}, session bigint, packets bigint, bytes bigint, dropped bigint, classified bigint, blocked bigint, closes bigint, first_packet_no bigint, syn_at bigint, synack_at bigint, largest bigint, ack_at bigint, last_no bigint, last_ts double, mode int, first_ts double, app string, sni string"
-_TOTAL = pa.schema([(name, {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64()}[kind]) for name, kind in (c.split() for c in TOTAL.split(", "))])
+#: Counts of a total that its runs' functions give.
+COUNTED = ("dropped", "classified", "blocked", "closes")
+
+
+def arrow_schema(ddl: str) -> pa.Schema:
+    kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
+    return pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in ddl.split(", "))])
+
+
+_TOTAL = arrow_schema(TOTAL)
 
 
 def totals(begin: int, idle: float | None = None):
@@ -214,11 +227,11 @@ def totals(begin: int, idle: float | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_row: pa.RecordBatch | None = None
         for batch in resolved(begin, idle)(batches):
-            rows = _added_up(batch)
+            rows, _ = added_up(batch)
             if open_row is not None:
                 same = all(open_row.column(c)[0] == rows.column(c)[0] for c in (*FIVE_TUPLE, "session"))
                 if same:
-                    head = _added_up(pa.Table.from_batches([open_row, rows.slice(0, 1)]).combine_chunks().to_batches()[0])
+                    head, _ = added_up(pa.Table.from_batches([open_row, rows.slice(0, 1)]).combine_chunks().to_batches()[0])
                     rows = pa.Table.from_batches([head, rows.slice(1)]).combine_chunks().to_batches()[0]
                 else:
                     yield open_row
@@ -231,9 +244,9 @@ def totals(begin: int, idle: float | None = None):
     return run
 
 
-def _added_up(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Runs, or sums of runs, added up by flow and session."""
-    starts = np.flatnonzero(_changes([batch.column(c) for c in (*FIVE_TUPLE, "session")]))
+def added_up(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray]:
+    """Runs, or sums of runs, added up by flow and session; and where each of these begins."""
+    starts = np.flatnonzero(changes([batch.column(c) for c in (*FIVE_TUPLE, "session")]))
     ends = np.r_[starts[1:], batch.num_rows] - 1
     first, last = pa.array(starts), pa.array(ends)
     made = {c: batch.column(c).take(first) for c in (*FIVE_TUPLE, "session", "first_ts")} | {c: batch.column(c).take(last) for c in _LAST}
@@ -242,7 +255,20 @@ def _added_up(batch: pa.RecordBatch) -> pa.RecordBatch:
     for c in _NAMES:
         entry = f"entry_{c}"
         made[c] = (pc.coalesce(batch.column(c), batch.column(entry)) if entry in batch.schema.names else batch.column(c)).take(last)
-    return pa.record_batch([made[f.name].cast(f.type) for f in _TOTAL], schema=_TOTAL)
+    return pa.record_batch([made[f.name].cast(f.type) for f in _TOTAL], schema=_TOTAL), starts
+
+
+def as_runs(flows: pa.Table) -> pa.Table:
+    """The totals (with ``fin``) of unfinished sessions as runs that end in their states whatever they begin in; of COUNTED they count nothing."""
+    n, carries = len(flows), flows["app"].combine_chunks().is_valid()
+    machine = np.zeros(n, _MACHINE)
+    machine["functions"] = CONSTANT[flows["mode"].to_numpy()][:, None]
+    machine["carried"] = np.where(carries.to_numpy(zero_copy_only=False), 0, -1)[:, None]
+    some = flows.filter(carries)
+    names = pa.StructArray.from_arrays([some[c].combine_chunks() for c in ("last_no", "app", "sni")], ["no", "app", "sni"])
+    offsets = pa.array(np.r_[0, np.cumsum(carries.to_numpy(zero_copy_only=False))], pa.int32())
+    same = {c: flows[c] for c in (*FIVE_TUPLE, "packets", "bytes", "last_no", "first_ts", "last_ts", "fin", "syn_at", "synack_at", "ack_at")}
+    return pa.table(same | {"largest": flows["largest"].cast(pa.int32()), "first_packet_no": flows["session"], "machine": _binary(machine.view(np.uint8).reshape(n, -1)), "names": pa.ListArray.from_arrays(offsets, names)})
 
 
 def _key(batch: pa.RecordBatch, row: int) -> tuple:
@@ -267,7 +293,7 @@ def replayed(keep: list[str]):
             flags = np.r_[0, batch.column("flags").fill_null(0).to_numpy()]
             is_true = lambda name: np.r_[False, batch.column(name).fill_null(False).to_numpy(zero_copy_only=False)]
             found, hit, address = np.r_[False, batch.column("found_app").is_valid().to_numpy(zero_copy_only=False)], is_true("found_hit"), is_true("address_hit")
-            since = _since(started)
+            since = begun(started)
             finned = (np.maximum.accumulate(np.where(flags & FIN != 0, at, -1)) >= since) | (entry[since] > 3)
             close = ~started & ((flags & RST != 0) | (flags & ACK != 0) & finned)
             mode = image(composed(np.where(started, CONSTANT[entry & 3], STEP[close | found << 1 | hit << 2 | address << 3]), at - since), 0)

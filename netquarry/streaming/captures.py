@@ -6,47 +6,77 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from netquarry.functions.codec import ACK, FIN, FIVE_TUPLE, RST, SYN, epoch
+from netquarry.functions.codec import FIVE_TUPLE, epoch
 from netquarry.operators import machine
 from netquarry.operators.rules import RuleSet
 
-_COUNTED = "session bigint, packets bigint, bytes bigint, dropped bigint, first_ts double, last_ts double"
-FLOW_SCHEMA = f"{machine.TUPLE}, {_COUNTED}, forwarded bigint, application string, sni string, state string"
-#: What is known of a flow between packets, and a packet that waits for its turn.
-_STATE = f"{_COUNTED}, mode int, fin boolean, closes bigint, syn boolean, synack boolean, shaken boolean, app string, sni string"
-_WAITING = "packet_no bigint, ts double, frame_length bigint, flags int, found_hit boolean, address_hit boolean, found_app string, found_sni string"
-_NAMES = [c.split()[0] for c in _STATE.split(", ")]
-_PACKET = [c.split()[0] for c in _WAITING.split(", ")]
-
-
-def advanced(flow: dict, packets: dict[str, np.ndarray]) -> dict:
-    """A flow after some more packets, in order and without a long silence: the packets are composed as functions on its modes, as the batch does it."""
-    flags, number, n = packets["flags"], packets["packet_no"], len(packets["flags"])
-    fin, ack, syn = flags & FIN != 0, flags & ACK != 0, flags & SYN != 0
-    close = (flags & RST != 0) | ack & (np.logical_or.accumulate(fin) | flow["fin"])
-    found = np.array([x is not None for x in packets["found_app"]], bool)
-    step = machine.STEP[close | found << 1 | packets["found_hit"].astype(bool) << 2 | packets["address_hit"].astype(bool) << 3]
-    mode = machine.image(machine.composed(step, np.arange(n)), flow["mode"])
-    was = np.r_[np.uint8(flow["mode"]), mode[:-1]]
-    classified = np.flatnonzero(found & (close | (was == machine.OPEN) | (was == machine.SPOILED)))
-    syns, synacks = np.logical_or.accumulate(syn & ~ack) | flow["syn"], np.logical_or.accumulate(syn & ack) | flow["synack"]
-    names = {c: packets[f"found_{c}"][classified[-1]] or "" for c in ("app", "sni")} if len(classified) else {}
-    return flow | names | {
-        "session": int(number[0]) if not flow["packets"] else flow["session"], "packets": flow["packets"] + n, "bytes": flow["bytes"] + int(packets["frame_length"].sum()), "dropped": flow["dropped"] + int((mode == machine.BLOCKED).sum()),
-        "first_ts": float(packets["ts"][0]) if not flow["packets"] else flow["first_ts"], "last_ts": float(packets["ts"][-1]), "mode": int(mode[-1]), "fin": bool(fin.any() or flow["fin"]), "closes": flow["closes"] + int(close.sum()),
-        "syn": bool(syns[-1]), "synack": bool(synacks[-1]), "shaken": bool(flow["shaken"] or (ack & syns & synacks).any()),
-    }
+FLOW_SCHEMA = f"{machine.TUPLE}, session bigint, packets bigint, bytes bigint, dropped bigint, first_ts double, last_ts double, forwarded bigint, application string, sni string, state string"
+#: Parts into which flows are dealt by a hash: the packets of a part that a micro-batch brings are taken at once.
+BUCKETS = 128
+_WAITING = f"{machine.TUPLE}, packet_no bigint, ts double, frame_length bigint, flags int, found_hit boolean, address_hit boolean, found_app string, found_sni string"
+_PACKET = machine.arrow_schema(_WAITING)
+#: What is known of a flow between packets: its session's counts so far, and whether a FIN was seen in it.
+_FLOW = machine.arrow_schema(f"{machine.TOTAL}, fin boolean")
+
+
+def _stored(rows: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as out:
+        out.write_table(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def _loaded(state, schema: pa.Schema) -> pa.Table:
+    found = state.get()
+    return pa.ipc.open_stream(bytes(found[0])).read_all() if found else schema.empty_table()
+
+
+def _batch(rows: pa.Table) -> pa.RecordBatch:
+    return rows.combine_chunks().to_batches()[0]
+
+
+def advanced(flows: pa.Table, packets: pa.Table, begin: int, idle: float) -> tuple[pa.Table, pa.Table]:
+    """All flows after some more packets, and a row for each session that these advance.
+
+    packets: at least one, by flow and in order. They are summed up as runs and composed after the flows' states, as the batch does it.
+    """
+    new = next(machine.summed_up(idle)(iter([_batch(packets.append_column("chunk", pa.array(np.zeros(len(packets), np.int64))))])))
+    before = machine.as_runs(flows).append_column("old", pa.array(np.ones(len(flows), bool))) if len(flows) else None
+    now = pa.Table.from_batches([new]).append_column("old", pa.array(np.zeros(new.num_rows, bool)))
+    runs = now if before is None else pa.concat_tables([before, now.select(before.column_names)])
+    order = [(c, "ascending") for c in FIVE_TUPLE]
+    # a session so far stands before the packets that come after it, whatever their numbers
+    runs = _batch(runs.append_column("at", pc.if_else(runs["old"], pa.scalar(-1, pa.int64()), runs["first_packet_no"])).sort_by([*order, ("old", "descending"), ("at", "ascending")]))
+    run = next(machine.resolved(begin, idle)(iter([runs])))
+    total, starts = machine.added_up(run)
+    old = run.column("old").to_numpy(zero_copy_only=False)
+    after = pa.Table.from_batches([total]).append_column("fin", pa.array(np.logical_or.reduceat(run.column("fin").to_numpy(zero_copy_only=False), starts)))
+    if before is not None:  # what was counted before
+        rank = np.cumsum(old) - 1
+        known, flows = np.flatnonzero(old[starts]), flows.sort_by(order)
+        for c in machine.COUNTED:
+            sums = after[c].to_numpy().copy()
+            sums[known] += flows[c].to_numpy()[rank[starts[known]]]
+            after = after.set_column(after.schema.get_field_index(c), c, pa.array(sums))
+    ends = np.r_[starts[1:], len(old)]
+    touched = ~(old[starts] & (ends - starts == 1))
+    last = machine.changes([total.column(c) for c in FIVE_TUPLE])
+    after = after.select(_FLOW.names)
+    return after.filter(pa.array(np.r_[last[1:], True])), after.filter(pa.array(touched))
 
 
 class FlowState(StatefulProcessor):
-    """Counts, classification and block of a flow so far, as the batch has them.
+    """Counts, classification and block of the flows of a bucket so far, as the batch has them.
 
     Packets wait until the watermark has passed them and are then taken in the order of their numbers, whatever batches they came in.
     A flow that is silent for more than ``idle`` seconds of the packets' time begins anew, and is forgotten once the watermark has passed that.
+    The state of a bucket is that of its flows and packets, as Arrow tables, so a micro-batch costs a few calls a bucket and none a flow.
     """
 
     def __init__(self, idle: float, unknown_bad: bool):
@@ -54,54 +84,45 @@ class FlowState(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.flow, self.waiting = handle.getValueState("flow", _STATE), handle.getListState("waiting", _WAITING)
+        self.flows, self.waiting = handle.getValueState("flows", "rows binary"), handle.getValueState("waiting", "rows binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = [r for df in rows for r in df[_PACKET].astype(object).where(df[_PACKET].notna(), None).itertuples(index=False, name=None)]
-        return self._taken(key, new, timerValues.getCurrentWatermarkInMs())
+        return self._taken([pa.Table.from_pandas(df[_PACKET.names], _PACKET, preserve_index=False) for df in rows], timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        return self._taken(key, [], timerValues.getCurrentWatermarkInMs())
-
-    def _taken(self, key, new: list[tuple], watermark: int) -> Iterator[pd.DataFrame]:
-        rows = sorted([*self.waiting.get(), *new])
-        at = next((i for i, r in enumerate(rows) if r[1] * 1000 >= watermark), len(rows))  # a packet waits for those before it
-        ready, later = rows[:at], rows[at:]
-        flow = dict(zip(_NAMES, self.flow.get(), strict=True)) if self.flow.exists() else None
-        touched = []
-        if ready:
-            columns = {c: np.array(x) if c not in ("found_app", "found_sni") else list(x) for c, x in zip(_PACKET, zip(*ready, strict=True), strict=True)}
-            gaps = np.diff(np.r_[flow["last_ts"] if flow else columns["ts"][0], columns["ts"]]) > self.idle
-            cuts = [0, *np.flatnonzero(gaps).tolist(), len(ready)]
-            for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                if a == b:
-                    continue
-                if flow is None or i:
-                    flow = self._fresh()
-                flow = advanced(flow, {c: x[a:b] for c, x in columns.items()})
-                touched.append(flow)
-            self.flow.update(tuple(flow[c] for c in _NAMES))
-        elif flow and not later and (flow["last_ts"] + self.idle) * 1000 < watermark:
-            self.flow.clear()
-            flow = None
+        return self._taken([], timerValues.getCurrentWatermarkInMs())
+
+    def _taken(self, new: list[pa.Table], watermark: int) -> Iterator[pd.DataFrame]:
+        flows, rows, touched = _loaded(self.flows, _FLOW), pa.concat_tables([_loaded(self.waiting, _PACKET), *new]), None
+        if len(rows):
+            rows = rows.sort_by([(c, "ascending") for c in (*FIVE_TUPLE, "packet_no")]).combine_chunks()
+            since = machine.begun(machine.changes([rows[c].combine_chunks() for c in FIVE_TUPLE]))
+            not_yet = rows["ts"].to_numpy() * 1000 >= watermark
+            waits = np.maximum.accumulate(np.where(not_yet, np.arange(len(rows)), -1)) >= since  # a packet waits for those before it
+            ready, rows = rows.filter(pa.array(~waits)), rows.filter(pa.array(waits))
+            if len(ready):
+                flows, touched = advanced(flows, ready, self.begin, self.idle)
+        flows = flows.filter(pa.array((flows["last_ts"].to_numpy() + self.idle) * 1000 >= watermark)) if len(flows) else flows
+        due = [int(rows["ts"].to_numpy()[machine.changes([rows[c].combine_chunks() for c in FIVE_TUPLE])].min() * 1000) + 1] if len(rows) else []
+        due += [int((pc.min(flows["last_ts"]).as_py() + self.idle) * 1000) + 2] if len(flows) else []
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        if later:
-            self.waiting.put(later)
-            self.handle.registerTimer(int(later[0][1] * 1000) + 1)
-        else:
-            self.waiting.clear()
-            if flow:
-                self.handle.registerTimer(int((flow["last_ts"] + self.idle) * 1000) + 2)
-        if touched:
-            yield pd.DataFrame([self._row(key, f) for f in touched], columns=[c.split()[0] for c in FLOW_SCHEMA.split(", ")])
-
-    def _fresh(self) -> dict:
-        return dict(zip(_NAMES, (0, 0, 0, 0, 0.0, 0.0, self.begin, False, 0, False, False, False, "Unknown", ""), strict=True))
-
-    def _row(self, key, f: dict) -> tuple:
-        state = "BLOCKED" if f["mode"] == machine.BLOCKED else "CLASSIFIED" if f["mode"] == machine.CLASSIFIED else "CLOSED" if f["closes"] else "ESTABLISHED" if f["shaken"] else "NEW"
-        return (*key, *(f[c] for c in _NAMES[:6]), f["packets"] - f["dropped"], f["app"], f["sni"], state)
+        for state, kept in ((self.flows, flows), (self.waiting, rows)):
+            if len(kept):
+                state.update((_stored(kept.combine_chunks()),))
+            else:
+                state.clear()
+        if due:
+            self.handle.registerTimer(max(min(due), watermark + 1))
+        if touched is not None and len(touched):
+            yield self._rows(touched)
+
+    def _rows(self, found: pa.Table) -> pd.DataFrame:
+        f = found.to_pandas()
+        shaken = f.ack_at >= np.maximum(f.syn_at, f.synack_at)
+        f["state"] = np.select([f["mode"] == machine.BLOCKED, f["mode"] == machine.CLASSIFIED, f.closes > 0, shaken], ["BLOCKED", "CLASSIFIED", "CLOSED", "ESTABLISHED"], "NEW").astype(object)
+        f["application"], f["sni"], f["forwarded"] = f.app.where(f.app.notna(), "Unknown"), f.sni.where(f.sni.notna(), ""), f.packets - f.dropped
+        return f[[c.split()[0] for c in FLOW_SCHEMA.split(", ")]]
 
     def close(self) -> None:
         pass
@@ -111,21 +132,21 @@ def _timed(packets: DataFrame, late: str) -> DataFrame:
     return packets.withColumn("at", F.timestamp_micros(F.col("ts_sec") * F.lit(1_000_000).cast("long") + F.col("ts_usec"))).withWatermark("at", late)
 
 
-def flow_updates(inspected: DataFrame, rules: RuleSet | None = None, idle: float = 300.0, late: str = "10 seconds", where: Column | None = None) -> DataFrame:
+def flow_updates(inspected: DataFrame, rules: RuleSet | None = None, idle: float = 300.0, late: str = "10 seconds", where: Column | None = None, buckets: int = BUCKETS) -> DataFrame:
     """A row for each flow and session that the stream's packets advance, with the engine's verdicts under ``rules``. Needs the RocksDB state store.
 
     Packets may come up to ``late`` out of the order of their times; within that the last row of a session is the batch's, see ``flows.sessions``.
-    ``where`` picks the packets that count after all of them have moved the watermark.
+    ``where`` picks the packets that count after all of them have moved the watermark. Flows are dealt to ``buckets`` by a hash; a stream keeps that number.
     """
     rules = rules or RuleSet()
     wanted = _timed(inspected, late)
     if where is not None:
         wanted = wanted.where(F.when(F.col("at").isNotNull(), where))  # names the time, so that it isn't done before the watermark
     wanted = wanted.select(
-        *FIVE_TUPLE, "at", "packet_no", epoch(F.col("ts_sec"), F.col("ts_usec")).alias("ts"), F.col("frame_length").cast("long").alias("frame_length"), F.when(F.col("has_tcp"), F.col("tcp_flags")).otherwise(0).cast("int").alias("flags"),
+        *FIVE_TUPLE, F.pmod(F.xxhash64(*FIVE_TUPLE), F.lit(buckets)).cast("int").alias("bucket"), "at", "packet_no", epoch(F.col("ts_sec"), F.col("ts_usec")).alias("ts"), F.col("frame_length").cast("long").alias("frame_length"), F.when(F.col("has_tcp"), F.col("tcp_flags")).otherwise(0).cast("int").alias("flags"),
         F.when(F.col("found_app").isNull(), False).otherwise(rules.flow_hit(F.col("found_app"), F.coalesce("found_sni", F.lit("")))).alias("found_hit"), rules.address_hit(F.col("src_ip"), F.col("dst_port")).alias("address_hit"), "found_app", "found_sni",
     )
-    return wanted.groupBy(*FIVE_TUPLE).transformWithStateInPandas(FlowState(idle, "Unknown" in rules.apps), FLOW_SCHEMA, "Update", "EventTime")
+    return wanted.groupBy("bucket").transformWithStateInPandas(FlowState(idle, "Unknown" in rules.apps), FLOW_SCHEMA, "Update", "EventTime")
 
 
 def traffic(packets: DataFrame, late: str = "10 seconds") -> DataFrame:

@@ -1,12 +1,14 @@
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
+from netquarry.functions.codec import FIVE_TUPLE
 from netquarry.operators.decode import ENGINE_PACKETS, decode, report_packets
 from netquarry.operators.flows import sessions
 from netquarry.operators.inspection import inspected
 from netquarry.operators.rules import RuleSet
-from netquarry.streaming.captures import flow_updates, traffic
+from netquarry.streaming.captures import FlowState, flow_updates, traffic
 from netquarry.synth import client_hello, ipv4, tcp
 from tests.test_flows import COLUMNS
 
@@ -64,3 +66,63 @@ def test_stream_and_batch_agree(spark, tmp_path):
         ends[r.src_port, r.session] = tuple(r[c] for c in last)
     want = {(r.src_port, r.session): tuple(r[c] for c in last) for r in sessions(df, rules, 2.5).collect()}
     assert {k: (v, want.get(k)) for k, v in ends.items() if want.get(k) != v} == {} and set(ends) == set(want) and len(want) > 60
+
+
+class Handle:
+    """The state of one bucket in memory, with the calls that were made."""
+
+    def __init__(self):
+        self.calls, self.values, self.timers = 0, {}, []
+
+    def getValueState(self, name, schema):
+        handle = self
+
+        class Value:
+            def get(self):
+                handle.calls += 1
+                return handle.values.get(name)
+
+            def exists(self):
+                handle.calls += 1
+                return name in handle.values
+
+            def update(self, value):
+                handle.calls += 1
+                handle.values[name] = value
+
+            def clear(self):
+                handle.calls += 1
+                handle.values.pop(name, None)
+
+        return Value()
+
+    def listTimers(self):
+        return list(self.timers)
+
+    def deleteTimer(self, timer):
+        self.timers.remove(timer)
+
+    def registerTimer(self, timer):
+        self.calls += 1
+        self.timers.append(timer)
+
+
+class Times:
+    def __init__(self, watermark):
+        self.watermark = watermark
+
+    def getCurrentWatermarkInMs(self):
+        return self.watermark
+
+
+def test_state_calls_do_not_grow_with_flows():
+    """Many flows of a bucket in a micro-batch cost as many calls of the state store as one flow does; they end as they should and are forgotten."""
+    handle, state = Handle(), FlowState(100.0, False)
+    state.init(handle)
+    n = 2_000
+    packets = pd.DataFrame([(f"10.0.{i // 256}.{i % 256}", "1.1.1.1", 5, 443, 6, 3 * i + k, 10.0 + 5 * k, 60, flags, False, False, app, app) for i in range(n) for k, (flags, app) in enumerate(((2, None), (24, "Zoom"), (16, None)))], columns=[*FIVE_TUPLE, "packet_no", "ts", "frame_length", "flags", "found_hit", "address_hit", "found_app", "found_sni"])
+    assert list(state.handleInputRows((0,), iter([packets[packets.ts < 20]]), Times(12_000))) != [] and handle.calls <= 6
+    assert handle.timers == [15_001]
+    rows = pd.concat(state.handleInputRows((0,), iter([packets[packets.ts == 20]]), Times(25_000)))
+    assert handle.calls <= 12 and len(rows) == n and set(rows.packets) == {3} and set(rows.application) == {"Zoom"} and set(rows.state) == {"CLASSIFIED"} and set(rows.first_ts) == {10.0}
+    assert list(state.handleExpiredTimer((0,), Times(200_000), None)) == [] and handle.values == {} and handle.timers == []
