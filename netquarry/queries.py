@@ -508,17 +508,31 @@ def first_packets(spark, sf_dir):
 LATE = 7 * 86_400
 
 
+#: Spans of the streamed packets, and packets of a file of theirs.
+SPANS, FILE_PACKETS = 6, 1_000_000
+
+
 def stream(spark, sf_dir, path: str) -> DataFrame:
-    """The packets as a stream of six files, each of a span of them but out of order where spans meet; at last a frame without an address, whose time passes all that still waits."""
+    """The packets as a stream of spans of time, out of order where spans meet but by less than LATE; at last a frame without an address, whose time passes all that still waits.
+
+    Frames are made once, by all cores. Each micro-batch takes a span's files, of which there are as many as its packets ask for.
+    """
     sent = packets(spark, sf_dir)
-    bounds = sent.agg(F.min("packet_no").alias("low"), F.max("packet_no").alias("high"), F.max("ts_sec").alias("ts")).first()
-    low, span = (bounds.low, bounds.high - bounds.low + 1) if bounds.low is not None else (0, 1)
-    part = F.floor((F.col("packet_no") - low) * 6 / span + F.pmod(F.xxhash64("packet_no"), F.lit(100)) / 200).cast("int")
-    for i in range(7):
-        sent.where(part == i).coalesce(1).write.mode("append").parquet(f"{path}/in")
-    end = sent.limit(1).select(*(F.lit(value).cast(f.dataType).alias(f.name) for f, value in ((f, {"packet_no": -1, "ts_sec": (bounds.ts or 0) + LATE + IDLE + 60, "ts_usec": 0, "data": b""}.get(f.name)) for f in sent.schema)))
+    made = f"{path}/made"
+    sent.write.parquet(made)
+    made = spark.read.schema(sent.schema).parquet(made)
+    bounds = made.agg(F.min("ts_sec").alias("low"), F.max("ts_sec").alias("high")).first()
+    low, span = (bounds.low, (bounds.high - bounds.low + 1) / SPANS) if bounds.low is not None else (0, 1)
+    delay = F.pmod(F.xxhash64("packet_no"), F.lit(100)) / 100 * min(0.5, 0.9 * LATE / span)
+    made = made.withColumn("part", F.floor((F.col("ts_sec") - low) / span + delay).cast("int"))
+    counts = {r.part: r.n for r in made.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    files = -(-max(counts.values(), default=0) // FILE_PACKETS)
+    files = files if files and min(counts.values()) >= 1_000 * files else 1  # none is left empty
+    for i in sorted(counts):
+        made.where(F.col("part") == i).drop("part").repartition(files, "packet_no").write.mode("append").parquet(f"{path}/in")
+    end = spark.range(1).select(*(F.lit(value).cast(f.dataType).alias(f.name) for f, value in ((f, {"packet_no": -1, "ts_sec": (bounds.high or 0) + LATE + IDLE + 60, "ts_usec": 0, "data": b""}.get(f.name)) for f in sent.schema)))
     end.coalesce(1).write.mode("append").parquet(f"{path}/in")
-    return spark.readStream.schema(sent.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    return spark.readStream.schema(sent.schema).option("maxFilesPerTrigger", files).parquet(f"{path}/in")
 
 
 def _ended(rows: DataFrame, mode: str, path: str, schema: str) -> DataFrame:

@@ -8,6 +8,7 @@ from netquarry.operators.decode import ENGINE_PACKETS, decode, report_packets
 from netquarry.operators.flows import sessions
 from netquarry.operators.inspection import inspected
 from netquarry.operators.rules import RuleSet
+from netquarry.queries import queries
 from netquarry.streaming.captures import FlowState, flow_updates, traffic
 from netquarry.synth import client_hello, ipv4, tcp
 from tests.test_flows import COLUMNS
@@ -126,3 +127,10 @@ def test_state_calls_do_not_grow_with_flows():
     rows = pd.concat(state.handleInputRows((0,), iter([packets[packets.ts == 20]]), Times(25_000)))
     assert handle.calls <= 12 and len(rows) == n and set(rows.packets) == {3} and set(rows.application) == {"Zoom"} and set(rows.state) == {"CLASSIFIED"} and set(rows.first_ts) == {10.0}
     assert list(state.handleExpiredTimer((0,), Times(200_000), None)) == [] and handle.values == {} and handle.timers == []
+
+
+def test_no_packet_of_a_long_time_is_late(spark, tmp_path):
+    """A table over two years, whose spans are much longer than what the stream waits for, loses no packet."""
+    events = spark.range(4_000).select(F.col("id").alias("event_id"), F.timestamp_seconds(1_700_000_000 + F.col("id") * 16_000).cast("timestamp_ntz").alias("ts"), (F.col("id") % 50).alias("user_id"), F.lit("click").alias("event_type"), F.lit(1.0).alias("value"))
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    assert queries()["streamed_traffic"](spark, str(tmp_path)).agg(F.sum("packets")).first()[0] == 4_000
