@@ -18,7 +18,7 @@ from netquarry.llm.common import held_out, packed, removed, row_hash, shared_dir
 
 #: Share of the one-versus-rest values from which a language stands out.
 LEAST_SCORE = 0.3
-#: Near-duplicates share this part (a fraction) of their five-word shingles: exact Jaccard similarity.
+#: Near-duplicates, found by SimHash and MinHash, share this part (a fraction) of their five-word shingles: exact Jaccard similarity.
 SHINGLE, SIMILARITY = 5, (4, 5)
 #: The mixture takes this share of all tokens, each document once at most: with sources of equal size the largest that still reaches the weights.
 MIX_SHARE = (6, 10)
@@ -38,7 +38,8 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar texts the document with the smallest id stays, and of repeated rows one.
+    """Of each group of similar texts the document with the smallest id stays, and of repeated rows one. Candidates are the links of the
+    texts' SimHash fingerprints, as op7's, and the pairs of MinHash buckets beyond them; an exact check follows both.
 
     Null ids come last, and of rows with one id the one with the smallest hash over all columns stays. Null texts and
     texts without words are one group; texts are compared whole. Columns stay, whatever their names. An empty table stays empty.

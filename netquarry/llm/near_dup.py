@@ -1,4 +1,4 @@
-"""Groups of documents whose sets of word shingles are alike, by MinHash candidates and exact Jaccard similarity."""
+"""Groups of documents whose sets of word shingles are alike: SimHash and MinHash candidates, confirmed by exact Jaccard similarity."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from netquarry.llm.common import as_int64, cut, slices
 from netquarry.llm.components import components
+from netquarry.llm.simhash import fingerprint, near_links, segments_for
 
 #: A pair of similarity s shares a bucket with probability 1 - (1 - s^DEPTH)^BANDS: all but 1.2e-7 of the pairs at 0.8.
 BANDS, DEPTH = 40, 5
@@ -75,21 +76,32 @@ def _key_columns(sets: list[np.ndarray]) -> dict[str, pa.Array]:
 
 
 def _distinct_sets(rows: DataFrame, shingle: int) -> DataFrame:
-    """``node, k1, k2, n, sketch, bands, least`` of each distinct shingle set; ``least`` is the first of its rows."""
+    """``node, k1, k2, n, sketch, bands, fp, least`` of each distinct shingle set; ``least`` is the first of its rows, ``fp`` a SimHash fingerprint of its texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 2):
                 sets = [shingle_set(t.as_py(), shingle) for t in part.column(2)]
                 bands = pa.array([buckets(s).view(np.int64) for s in sets], pa.list_(pa.int64()))
-                yield pa.record_batch({"doc_id": part.column(0), "row_hash": part.column(1), **_key_columns(sets), "n": pa.array(map(len, sets), pa.int64()), "sketch": pa.array(map(sketch, sets), pa.binary()), "bands": bands})
+                yield pa.record_batch({"doc_id": part.column(0), "row_hash": part.column(1), **_key_columns(sets), "n": pa.array(map(len, sets), pa.int64()), "sketch": pa.array(map(sketch, sets), pa.binary()), "bands": bands, "fp": as_int64(np.array([fingerprint(t.as_py()) for t in part.column(2)], np.uint64))})
 
-    found = rows.mapInArrow(run, "doc_id long, row_hash long, k1 long, k2 long, n long, sketch binary, bands array<long>")
+    found = rows.mapInArrow(run, "doc_id long, row_hash long, k1 long, k2 long, n long, sketch binary, bands array<long>, fp long")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_hash")).alias("least")
-    sets = found.groupBy("k1", "k2").agg(least, F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
+    sets = found.groupBy("k1", "k2").agg(least, F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"), F.min("fp").alias("fp"))
     return cut(sets.withColumn("node", F.monotonically_increasing_id()))
 
 
+def _simhash_pairs(sets: DataFrame, radius: int) -> DataFrame:
+    """Pairs of nodes that join all sets whose SimHash fingerprints link: each set with the first one of its fingerprint, and these along the links."""
+    sets = sets.where("n > 0")
+    firsts = cut(sets.groupBy("fp").agg(F.min("node").alias("first")))
+    links = near_links(firsts.select("fp"), radius, segments_for(firsts.count(), radius))
+    one, other = (firsts.select(F.col("fp").alias(c), F.col("first").alias(f"of_{c}")) for c in "uv")
+    across = links.join(one, "u").join(other, "v").select(F.least("of_u", "of_v").alias("a"), F.greatest("of_u", "of_v").alias("b"))
+    same = sets.select("fp", "node").join(firsts, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    return cut(across.unionByName(same).distinct())
+
+
 def _by_bucket(work: Callable[[list[np.ndarray]], Iterator[pa.RecordBatch]]):
     """Calls ``work`` with the columns of whole buckets, from rows sorted by bucket (the first column)."""
 
@@ -209,13 +221,14 @@ def _alike(pairs: DataFrame, members: DataFrame, similarity: tuple[int, int]) ->
     return cut(both.select("a", "b", "of_a", "of_b").mapInArrow(run, "u long, v long"))
 
 
-def first_rows(docs: DataFrame, row_hash: str, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
+def first_rows(docs: DataFrame, row_hash: str, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: tuple[int, int] = (4, 5), radius: int = 4) -> DataFrame:
     """``doc_id, row_hash`` of the row that stays of each group of similar texts.
 
     Texts link when the Jaccard similarity of their shingle sets is at least the fraction ``similarity``; groups
     are connected components. The row with the smallest id stays, of equal ids that with the smallest
-    ``row_hash`` (a column over all columns), null ids last. Equal sets meet by their digest, others in MinHash
-    buckets, and every pair in a bucket is confirmed on whole sets unless both are in one group already.
+    ``row_hash`` (a column over all columns), null ids last. Equal sets meet by their digest, others first along the
+    links of their SimHash fingerprints (within ``radius`` bits), then in MinHash buckets, for those whose fingerprints lie further apart. Every pair
+    is confirmed on whole sets, those in a bucket unless both are in one group already.
     Texts without words are one group, null texts among them. Very long texts are compared whole, some megabytes of texts
     at a time. An empty table gives an empty one; columns other than the three are ignored.
     """
@@ -230,12 +243,14 @@ def first_rows(docs: DataFrame, row_hash: str, id_col: str = "doc_id", text_col:
                 of = [shingle_set(t.as_py(), shingle) for t in part.column(0)]
                 yield pa.record_batch({**_key_columns(of), "hashes": pa.array([s.tobytes() for s in of], pa.binary())})
 
-    wanted = cut(sets.join(shared.select("node").distinct(), "node", "left_semi").select("node", "k1", "k2", F.col("least.row_hash").alias("wanted")))
+    linked = _simhash_pairs(sets, radius)
+    met = shared.select("node").unionByName(linked.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    wanted = cut(sets.join(met, "node", "left_semi").select("node", "k1", "k2", F.col("least.row_hash").alias("wanted")))
     found = rows.join(wanted.select("wanted"), F.col("row_hash") == F.col("wanted"), "left_semi").select("text").mapInArrow(hashes, "k1 long, k2 long, hashes binary")
     members = cut(found.join(wanted, ["k1", "k2"]).select("node", "hashes").dropDuplicates(["node"]))
 
     shared = cut(shared.join(sets.select("node", "sketch"), "node").select("bucket", "node", "n", "sketch"))
-    forest = cut(shared.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_forest_pairs(similarity), "a long, b long").distinct())
+    forest = cut(shared.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_forest_pairs(similarity), "a long, b long").unionByName(linked).distinct())
     links = _alike(forest, members, similarity)
     labels = components(links)
     labelled = shared.join(labels.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left").select("bucket", F.coalesce("label", "node").alias("label"), "node", "n", "sketch")

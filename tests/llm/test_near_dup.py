@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from netquarry.llm import near_dup, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars int"
 
@@ -46,3 +47,19 @@ def test_repeated_ids_and_rows(spark):
     results = [sorted(map(tuple, corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(x, SCHEMA).repartition(n), "").collect()), key=str) for x, n in ((rows, 1), (rows[::-1], 3))]
     assert results[0] == results[1]
     assert [(r[0], r[1]) for r in results[0]] == [(1, other), (1, one), (2, "  "), (None, "alone")]
+
+
+def test_simhash_links_are_candidates(spark):
+    """Texts whose fingerprints lie within four bits are paired by SimHash, as op7 links them, before any MinHash bucket."""
+    rng = random.Random(3)
+    texts = []
+    for _ in range(30):
+        words = [f"w{rng.randrange(10_000)}" for _ in range(800)]
+        texts += [" ".join(words), " ".join([*words[:-1], "other"])]
+    rows = spark.createDataFrame([(i, i, bytearray(t.encode())) for i, t in enumerate(texts)], "doc_id long, row_hash long, text binary").repartition(3)
+    sets = near_dup._distinct_sets(rows, 5)
+    ids = {r.node: r.least.doc_id for r in sets.collect()}
+    prints = [simhash.fingerprint(t.encode()) for t in texts]
+    near = {(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if (prints[a] ^ prints[b]).bit_count() <= 4}
+    assert len(near) > 20
+    assert {tuple(sorted((ids[r.a], ids[r.b]))) for r in near_dup._simhash_pairs(sets, 4).collect()} == near
