@@ -131,7 +131,7 @@ class Analysis:
         """
         bitmaps = pcap.passing_bitmaps(self.run.where(F.col("action") == action).select("packet_no"))
         if self.pieces is not None:
-            return pcap.read_pieces(pcap.with_bitmaps(self.pieces, bitmaps).repartitionByRange("number").sortWithinPartitions("number"))
+            return pcap.read_pieces(pcap.dealt_in_order(pcap.with_bitmaps(self.pieces, bitmaps), self.pieces))
         bitmaps = cut(bitmaps)
         if bitmaps.limit(MOST_BITMAPS + 1).count() <= MOST_BITMAPS:
             bitmaps = F.broadcast(bitmaps)

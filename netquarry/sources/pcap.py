@@ -25,6 +25,8 @@ MAGIC, FILE_HEADER, RECORD_HEADER, MOST_BYTES = 0xA1B2C3D4, 24, 16, 65_535
 ROWS, BYTES_AT_ONCE = 10_000, 4 << 20
 #: Bytes after which a task goes on in another file, and bytes of a file that one task reads.
 FILE_BYTES, PIECE_BYTES = 256 << 20, 64 << 20
+#: Bytes of a piece whose chains are held at a time; more than a record's, as all places where a piece's first record may start lie in the first of them.
+CHAIN_BYTES = 1 << 19
 #: The data source numbers packets file by file: a file's place times this, and the packet's place in it.
 FILE_STEP = 1 << 40
 COLUMNS = pa.schema([("source_file", pa.string()), ("packet_no", pa.int64()), *((c, pa.int32()) for c in ("ts_sec", "ts_usec", "incl_len", "orig_len")), ("data", pa.binary())])
@@ -154,15 +156,35 @@ def chains(content: np.ndarray, begin: int, end: int, size: int, header: Header,
     return {e: known[e] for e in sound.tolist()}
 
 
+def piece_chains(stream, begin: int, end: int, size: int, header: Header, entries: np.ndarray) -> dict[int, tuple[int, int]]:
+    """``chains`` through a piece of any size, block by block: the places where chains leave a block, few as they fall in with each other, are the entries of the next. Only a block's chains are held.
+
+    ``entries`` lie in the first block."""
+    found, tails = None, {}
+    for read in range(begin, end, BYTES_AT_ONCE):
+        upto = min(end, read + BYTES_AT_ONCE)
+        content = np.frombuffer(stream.read_at(min(size, upto + RECORD_HEADER) - read, read), np.uint8)
+        for start in range(read, upto, CHAIN_BYTES):
+            stop = min(upto, start + CHAIN_BYTES)
+            block = content[start - read : stop + RECORD_HEADER - read]
+            if found is None:
+                found = chains(block, start, stop, size, header, entries)
+                tails = {leaves: (leaves, 0) for leaves, _ in found.values()}
+                continue
+            inside = {at for at, _ in tails.values() if start <= at < stop}
+            on = dict.fromkeys(inside, (-1, 0)) | chains(block, start, stop, size, header, np.array(sorted(inside), np.int64))
+            tails = {leaves: (on[at][0], n + on[at][1]) if at in inside else (at, n) for leaves, (at, n) in tails.items()}
+    return {entry: (tails[leaves][0], n + tails[leaves][1]) for entry, (leaves, n) in (found or {}).items()}
+
+
 def _candidates(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The chains through each piece: from the file's header in the first piece, from anywhere that a record could start in others."""
     for batch in parts:
         for name, size, begin, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             stream, header = _start(name)
-            with stream:
-                content = np.frombuffer(stream.read_at(min(size, end + RECORD_HEADER) - begin, begin), np.uint8)
             entries = np.array([FILE_HEADER]) if begin == 0 else np.arange(begin, min(end, begin + header.most + RECORD_HEADER))
-            found = chains(content, begin, end, size, header, entries)
+            with stream:
+                found = piece_chains(stream, begin, end, size, header, entries)
             yield pa.record_batch({
                 "source_file": pa.array([name] * len(found), pa.string()), "entry": pa.array(list(found), pa.int64()), "end": pa.array([end] * len(found), pa.int64()), "leaves": pa.array([x for x, _ in found.values()], pa.int64()), "n": pa.array([n for _, n in found.values()], pa.int64()),
             })
@@ -228,7 +250,8 @@ def with_bitmaps(pieces: DataFrame, bitmaps: DataFrame) -> DataFrame:
 def _read_pieces(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The records of pieces, of those with bitmaps the ones that pass."""
     for batch in parts:
-        for row in batch.to_pylist():
+        for i in range(batch.num_rows):  # one at a time, as each may hold bitmaps
+            row = batch.slice(i, 1).to_pylist()[0]
             yield from _piece(row["source_file"], row["entry"], row["leaves"], row["n"], row["number"], row.get("passing"))
 
 
@@ -262,6 +285,12 @@ def dealt(pieces: DataFrame) -> DataFrame:
     return pieces.repartition(_tasks(pieces.sparkSession, size.pieces, size.bytes), "source_file", "entry")
 
 
+def dealt_in_order(rows: DataFrame, pieces: DataFrame) -> DataFrame:
+    """Some of the pieces in the order of their packets, in as many tasks as the bytes of ``pieces`` ask for. What a row itself weighs says nothing of the work, so Spark isn't left to coalesce tasks by it."""
+    size = pieces.agg(F.count(F.lit(1)).alias("pieces"), F.sum(F.col("leaves") - F.col("entry")).alias("bytes")).first()
+    return rows.repartitionByRange(_tasks(pieces.sparkSession, size.pieces, size.bytes), "number").sortWithinPartitions("number")
+
+
 def _tasks(spark: SparkSession, pieces: int, size: int | None) -> int:
     return max(1, min(pieces, max(spark.sparkContext.defaultParallelism, -(-(size or 0) // PIECE_BYTES))))
 
