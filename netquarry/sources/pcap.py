@@ -85,6 +85,18 @@ def record_starts(content: bytes, header: Header, n: int) -> tuple[np.ndarray, n
     return np.array(starts, np.int64), np.frombuffer(content, np.uint8)
 
 
+def windows(stream, header: Header, entry: int, leaves: int, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``record_starts`` of the ``n`` records of a piece, some megabytes of it at a time."""
+    end = leaves + MOST_BYTES + RECORD_HEADER
+    while n > 0:
+        at, raw = record_starts(stream.read_at(min(BYTES_AT_ONCE + MOST_BYTES + RECORD_HEADER, end - entry), entry), header, n)
+        if not len(at):
+            return
+        yield at, raw
+        last = int(at[-1])
+        n, entry = n - len(at), entry + last + RECORD_HEADER + int.from_bytes(raw[last + 8 : last + 12].tobytes(), "little" if header.order == "<" else "big")
+
+
 def record_batches(raw: np.ndarray, header: Header, at: np.ndarray, numbers: np.ndarray, name: str) -> Iterator[pa.RecordBatch]:
     """Batches of the records at ``at``, some megabytes each: headers are read all at once, frames are kept by a mask over the bytes, without a Python object each."""
     start = 0
@@ -257,16 +269,16 @@ def _read_pieces(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _piece(name: str, entry: int, leaves: int, n: int, number: int, passing: list | None) -> Iterator[pa.RecordBatch]:
     stream, header = _start(name)
+    bits = None if passing is None else {p["bucket"]: np.frombuffer(p["bits"], np.uint8) for p in passing}
     with stream:
-        content = stream.read_at(leaves + MOST_BYTES + RECORD_HEADER - entry, entry)
-    at, raw = record_starts(content, header, n)
-    numbers = number + np.arange(len(at))
-    if passing is not None:
-        bits = {p["bucket"]: np.unpackbits(np.frombuffer(p["bits"], np.uint8), bitorder="little") for p in passing}
-        none = np.zeros(BUCKET, np.uint8)
-        stay = np.concatenate([bits.get(b + 1, none)[max(0, number - b * BUCKET) : number + n - b * BUCKET] for b in range(number // BUCKET, (number + n - 1) // BUCKET + 1)]).astype(bool)
-        at, numbers = at[stay[: len(at)]], numbers[stay[: len(at)]]
-    yield from record_batches(raw, header, at, numbers, name)
+        for at, raw in windows(stream, header, entry, leaves, n):
+            numbers, end = number + np.arange(len(at)), number + len(at)
+            if bits is not None:
+                none = np.zeros(BUCKET // 8, np.uint8)
+                stay = np.concatenate([np.unpackbits(bits.get(b + 1, none), bitorder="little")[max(0, number - b * BUCKET) : end - b * BUCKET] for b in range(number // BUCKET, (end - 1) // BUCKET + 1)]).astype(bool)
+                at, numbers = at[stay], numbers[stay]
+            yield from record_batches(raw, header, at, numbers, name)
+            number = end
 
 
 def read_pieces(pieces: DataFrame) -> DataFrame:
@@ -307,10 +319,9 @@ def _times(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in batch.to_pylist():
             stream, header = _start(row["source_file"])
             with stream:
-                raw, at = record_starts(stream.read_at(row["leaves"] + MOST_BYTES + RECORD_HEADER - row["entry"], row["entry"]), header, row["n"])[::-1]
-            seconds = raw[at[:, None] + np.arange(4)].view(f"{header.order}u4").astype(np.uint32).view(np.int32)
-            least.append(int(seconds.min()))
-            most.append(int(seconds.max()))
+                seconds = [raw[at[:, None] + np.arange(4)].view(f"{header.order}u4").astype(np.uint32).view(np.int32) for at, raw in windows(stream, header, row["entry"], row["leaves"], row["n"])]
+            least.append(min(int(s.min()) for s in seconds))
+            most.append(max(int(s.max()) for s in seconds))
         yield pa.record_batch([*batch.columns, pa.array(least, pa.int32()), pa.array(most, pa.int32())], names=[*batch.schema.names, "least_sec", "most_sec"])
 
 
