@@ -145,7 +145,7 @@ class Analysis:
         return self.with_action()
 
     def write_capture(self, path: str, byteorder: str = "little", snaplen: int = 65_535, file_bytes: int = pcap.FILE_BYTES) -> None:
-        """The passing packets as captures in the folder ``path``: as many as their size asks for, file order being packet order. Captures are filtered piece by piece; packets from elsewhere are sorted first."""
+        """The passing packets as captures in the folder ``path``: one for each task at least and as many as their size asks for, file order being packet order. Captures are filtered piece by piece; packets from elsewhere are sorted first."""
         pcap.register(self.raw.sparkSession)
         passing = self.forwarded()
         if self.pieces is None:
